@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import license_scan, quality_rules, secret_scan
+from tidewright.llm import byte_bpe, license_scan, packing, quality_rules, secret_scan, token_store
+from tidewright.llm.workspace import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -21,12 +33,30 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.BlobLedger(spark).scan(table(spark, sf_dir, "documents")))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return token_store.digests(spark, path)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scans, op3_secret_scans, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_license_scans,
+        op3_secret_scans,
+        op4_token_store,
+        op6_byte_bpe,
+        op10_quality_rules,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
