@@ -180,7 +180,8 @@ def mask(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
     found = ledger.findings().select(F.col("blob").alias("_tw_blob"), F.col("spans").alias("_tw_spans"))
     joined = docs.withColumn("_tw_blob", blob).join(found, "_tw_blob", "left")
     clean = F.when(F.col("_tw_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_tw_spans")))
-    out = {"text": clean}
+    joined = joined.withColumn("text", clean)
     if "n_chars" in columns:
-        out["n_chars"] = F.when(F.col("_tw_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(clean).cast(docs.schema["n_chars"].dataType))
-    return joined.withColumns(out).select(*columns)
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        joined = joined.withColumn("n_chars", F.when(F.col("_tw_spans").isNull(), F.col("n_chars")).otherwise(length))
+    return joined.select(*columns)
