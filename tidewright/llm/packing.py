@@ -127,8 +127,8 @@ def pieces(docs: DataFrame, vocabulary: str, tokens: int = 4096) -> DataFrame:
         ranks: dict[int, int] = {}
         for ids, found in texts(batches):
             out = []
-            for doc, text in zip(ids, found):
-                data = encode(text) + END
+            for doc, data in zip(ids, encode.many(found)):
+                data += END
                 for k, at in enumerate(range(0, len(data), 4 * tokens)):
                     own = data[at : at + 4 * tokens]
                     length = len(own) // 4

@@ -35,7 +35,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, stripe_bytes: int
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = word_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for ids, found in texts(batches):
-            data = [encode(x) + END for x in found]
+            data = [x + END for x in encode.many(found)]
             n = np.fromiter((len(x) // 4 for x in data), np.int64, len(data))
             ends = n.cumsum()
             lists = pa.ListArray.from_arrays(

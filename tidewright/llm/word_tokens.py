@@ -10,15 +10,17 @@ only once as long as it stays in the (bounded) memo.
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 
 END = (1).to_bytes(4, "little")
-# Fixed value: how the vocabulary splits lower-case printable ASCII.
-_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# Texts without these characters are stable under composition, have one lower-case form a
+# character and no special token; below, how the vocabulary splits them once they are in lower case.
+_ODD = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]|<\|")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
 class _Memo(dict):
@@ -36,29 +38,63 @@ class _Memo(dict):
 
 
 class WordEncoder:
-    """UTF-8 bytes of a text to its ids as little-endian unsigned 32-bit integers."""
+    """UTF-8 bytes of texts to their ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, words: int = 400_000, pieces: int = 200_000) -> None:
+    Plain texts are split here, and each piece has a memo. Pieces that are new go
+    to the library many at a time, as one string with blanks between; each ends
+    with a token that closes a word. A text with any other character is cut at
+    white space, and the words that hold one go to the library whole.
+    """
+
+    def __init__(self, path: str, pieces: int = 1_000_000, words: int = 50_000, block: int = 2048) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._pieces = _Memo(self._by_library, pieces)
-        self._words = _Memo(self._word, words)
-
-    def _by_library(self, word: bytes) -> bytes:
-        ids = self.library.encode(word.decode(), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: bytes) -> bytes:
-        # A word that can hold a special token or anything but printable ASCII goes to the library whole.
-        if not word.isascii() or b"<|" in word or not word.decode().isprintable():
-            return self._by_library(word)
-        return b"".join(map(self._pieces.__getitem__, _PIECES.findall(word.lower())))
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.most, self.block = pieces, block
+        self._pieces: dict[str, bytes] = {}
+        self._words = _Memo(lambda word: self._ids(word).tobytes(), words)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), self.block):
+            own = new[at : at + self.block]
+            ids = self._ids(" ".join(own))
+            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()
+            if len(ends) == len(own):
+                self._pieces.update(zip(own, map(data.__getitem__, map(slice, [0, *ends], ends))))
+            else:
+                self._pieces.update((x, self._ids(x).tobytes()) for x in own)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        split = [_PIECES.findall(x.lower()) for x in texts]
+        if len(self._pieces) > self.most:
+            self._pieces.clear()
+        if new := set().union(*split).difference(self._pieces):
+            self._learn(list(new))
+        get = self._pieces.__getitem__
+        return [b"".join(map(get, own)) for own in split]
+
+    def _odd(self, text: bytes) -> bytes:
+        words = [x.decode() for x in text.split()]
+        plain = [x for x in words if not _ODD.search(x)]
+        known = iter(self._plain(plain))
+        return b"".join(self._words[x] if _ODD.search(x) else next(known) for x in words)
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        decoded = [x.decode() for x in texts]
+        odd = [_ODD.search(x) is not None for x in decoded]
+        known = iter(self._plain([x for x, o in zip(decoded, odd) if not o]))
+        return [self._odd(x) if o else next(known) for x, o in zip(texts, odd)]
 
     def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self._words.__getitem__, text.split()))
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -73,3 +109,31 @@ def texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part.column(0).to_pylist(), [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker and vocabulary."""
+    return WordEncoder(path)
+
+
+def texts(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
+    """Slices of (doc_id, text) batches as ids and UTF-8 bytes; null is empty.
+
+    A slice has ``rows`` texts or about ``size`` bytes at most, but one text at least.
+    """
+    for batch in batches:
+        data = batch.column(1).cast(pa.binary())
+        lengths = pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(lengths[at : at + rows].cumsum(), size, side="right"))
+            n = max(1, fits)
+            yield batch.column(0).slice(at, n).to_pylist(), [x or b"" for x in data.slice(at, n).to_pylist()]
+            at += n
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker and vocabulary."""
+    return WordEncoder(path)
