@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 END = (1).to_bytes(4, "little")
 # Texts without these characters are stable under composition, have one lower-case form a
@@ -46,7 +47,7 @@ class WordEncoder:
     white space, and the words that hold one go to the library whole.
     """
 
-    def __init__(self, path: str, pieces: int = 1_000_000, words: int = 50_000, block: int = 2048) -> None:
+    def __init__(self, path: str, pieces: int = 600_000, words: int = 50_000, block: int = 2048) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -103,20 +104,6 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list, list[bytes]]]:
-    """Slices of (doc_id, text) batches as ids and UTF-8 bytes; null is empty."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part.column(0).to_pylist(), [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-
-
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder a Python worker and vocabulary."""
-    return WordEncoder(path)
-
-
 def texts(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """Slices of (doc_id, text) batches as ids and UTF-8 bytes; null is empty.
 
