@@ -175,7 +175,7 @@ def piecewise_cost(shares: Column, depth: Column, c: float, p: float) -> Column:
 
 def significant(x: Column, digits: int = 12) -> Column:
     """``x`` at so many significant decimal digits, as a key for ties."""
-    return F.format_string(f"%.{digits - 1}e", x).cast("double")
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits - 1}e", x).cast("double"))
 
 
 def z_score(x: Column, window: WindowSpec) -> Column:

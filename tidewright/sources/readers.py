@@ -58,7 +58,7 @@ def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def tree(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv", nanos: str | None = None) -> DataFrame:
     """All files below a folder, with their path; nanosecond times also as timestamps."""
     df = spark.read.schema(schema).options(header=True, recursiveFileLookup=True, pathGlobFilter=pattern).csv(path).withColumn("source_file", F.col("_metadata.file_path"))
-    return df.withColumn("ts", F.timestamp_micros(F.col(nanos) / 1000)) if nanos else df
+    return df.withColumn("ts", F.timestamp_micros(F.floor(F.col(nanos) / 1000))) if nanos else df
 
 
 def session_path(root: str, symbol: str, date: str, schema: str) -> str:

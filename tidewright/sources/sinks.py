@@ -12,7 +12,7 @@ from tidewright.operators.contracts import differences, require
 
 def rounded(x: Column, digits: int = 6) -> Column:
     """A double at so many significant digits, as text formats would print it."""
-    return F.format_string(f"%.{digits - 1}e", x).cast("double")
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits - 1}e", x).cast("double"))
 
 
 def table(df: DataFrame, path: str, kind: str = "parquet", digits: int | None = None, replace: bool = False, partitions: Sequence[str] = ()) -> None:
