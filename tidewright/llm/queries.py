@@ -81,4 +81,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x + "'"
+    keys, values = (", ".join(map(quoted, x)) for x in (license_scan.SENTENCES, license_scan.SENTENCES.values()))
+    rules = []
+    for name, sequences in sorted(license_scan.RULES.items()):
+        tests = " OR ".join(f"regexp_matches(seq, {quoted(';' + ';(?:[^;]+;)*'.join(steps) + ';')})" for steps in sequences)
+        rules.append(f"CASE WHEN {tests} THEN {quoted(name)} END")
+    return f"""WITH p AS (SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(COALESCE(text, ''), '\\.(\\s|$)', chr(10), 'g'), '[\\n\\r!?;]+'),
+  lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS parts FROM documents),
+  i AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: MAP([{keys}], [{values}])[s]), lambda x: x IS NOT NULL) AS ids FROM p),
+  q AS (SELECT doc_id, ids, ';' || array_to_string(ids, ';') || ';' AS seq FROM i),
+  r AS (SELECT doc_id, ids, list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS found FROM q)
+  SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids, CAST(len(found) AS BIGINT) AS n_licenses, array_to_string(found, ',') AS licenses FROM r"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scans": _license_sql(),
+    "op7_warc": """WITH p AS (SELECT page_id, COALESCE(html, '') AS h FROM pages), s AS (SELECT page_id, h, strlen(h) AS n, sha1(h) || '0' AS x FROM p),
+  b AS (SELECT page_id, h, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((((strpos('0123456789abcdef', substr(x, 5 * i // 4 + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(x, 5 * i // 4 + 2, 1)) - 1) >> (3 - (5 * i) % 4)) & 31) + 1, 1)), '') AS d FROM s),
+  m AS (SELECT h, MAX(page_id) AS first FROM p GROUP BY h)
+  SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b JOIN m USING (h)""",
+    "op8_exact_dedup": """WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, regexp_replace(COALESCE(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS n FROM documents),
+  k AS (SELECT n, COUNT(*) AS c, arg_min(doc_id, (-length(t), doc_id)) AS keep FROM d GROUP BY n)
+  SELECT doc_id, keep AS keep_id, c AS group_size, doc_id = keep AS kept, sha256(n) AS text_sha256 FROM d JOIN k USING (n)""",
+}
