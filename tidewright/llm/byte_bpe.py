@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewright.llm.word_tokens import _Memo
+from tidewright.llm.workspace import hold
 
 # Fixed value: the byte-level splitting pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -161,12 +162,17 @@ def _gather(ids: np.ndarray, offsets: np.ndarray, blob: np.ndarray, rows: int =
     return b"".join(out)
 
 
-@lru_cache(maxsize=2)
-def byte_bpe(path: str) -> ByteBpe:
-    """One encoder a Python worker and vocabulary."""
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def byte_bpe(path: str) -> ByteBpe:
+    """The Python worker's encoder for a vocabulary."""
+    hold("byte bpe", _encoder.cache_clear)
+    return _encoder(path)
+
+
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text.
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.workspace import written
+from tidewright.llm.workspace import hold, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 HEAP = (("_tw_row", T.LongType()), ("_tw_entry", T.LongType()), ("_tw_key", T.LongType()), ("_tw_chars", T.LongType()), ("_tw_bytes", T.LongType()), ("_tw_sha", T.StringType()))
@@ -53,6 +53,7 @@ def heap(docs: DataFrame, key_bits: int = 64, held_bytes: int = 64 << 20) -> Dat
     drop = 64 - key_bits
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("exact")
         row, held, seen = TaskContext.get().partitionId() << 40, 0, {}
         for batch in batches:
             texts = batch.column(place)

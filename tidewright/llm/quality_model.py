@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.llm.workspace import hold
+
 PASSAGE = 64
 SAMPLE = 4000
 ACCEPT = 0.3
@@ -157,6 +159,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("quality")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

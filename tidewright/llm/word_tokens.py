@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidewright.llm.workspace import hold
+
 END = (1).to_bytes(4, "little")
 # Texts without these characters are stable under composition, have one lower-case form a
 # character and no special token; below, how the vocabulary splits them once they are in lower case.
@@ -47,7 +49,7 @@ class WordEncoder:
     white space, and the words that hold one go to the library whole.
     """
 
-    def __init__(self, path: str, pieces: int = 600_000, words: int = 50_000, block: int = 2048) -> None:
+    def __init__(self, path: str, pieces: int = 1_000_000, words: int = 50_000, block: int = 2048) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -104,7 +106,7 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def texts(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def texts(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 2 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """Slices of (doc_id, text) batches as ids and UTF-8 bytes; null is empty.
 
     A slice has ``rows`` texts or about ``size`` bytes at most, but one text at least.
@@ -120,7 +122,12 @@ def texts(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 2
             at += n
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder a Python worker and vocabulary."""
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The Python worker's encoder for a vocabulary."""
+    hold("word tokens", _encoder.cache_clear)
+    return _encoder(path)

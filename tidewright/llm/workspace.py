@@ -12,11 +12,24 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Say which operator a Python worker now runs; other operators' memos are dropped.
+
+    Workers outlive tasks, so without this a pipeline's memos would add up.
+    """
+    for other in [k for k in _MEMOS if k != name]:
+        _MEMOS.pop(other)()
+    if clear:
+        _MEMOS[name] = clear
 
 
 def _remove_own() -> None:
