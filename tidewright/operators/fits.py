@@ -132,7 +132,12 @@ def published(orders: DataFrame, y: Column, q: str, group: str, draws: int = 100
     grid = np.linspace(*bounds, steps)
     d = orders.withColumn("_y", y).filter(X.all_finite(["_y", q]) & (F.col(q) > 0))
     table = profile(d, F.col("_y"), F.pow(F.col(q), F.col("theta")), grid.tolist(), [group])
-    rows = table.select(group, "theta", "A", "B", "yy", "n").toPandas()
+    return contracted(table.select(group, "theta", "A", "B", "yy", "n").toPandas(), group, grid, draws, seed)
+
+
+def contracted(rows, group: str, grid: np.ndarray, draws: int, seed: int) -> dict[str, float]:
+    """Estimates and block intervals from the sums of every group and grid point."""
+    steps = len(grid)
     groups = sorted(rows[group].unique())
     shape = (len(groups), steps)
     rows = rows.sort_values([group, "theta"])
@@ -146,9 +151,9 @@ def published(orders: DataFrame, y: Column, q: str, group: str, draws: int = 100
         k = int(np.argmin(sse))
         delta = grid[k]
         if 0 < k < steps - 1:
-            l, c, r = sse[k - 1 : k + 2]
-            bend = l - 2 * c + r
-            delta += (grid[1] - grid[0]) * 0.5 * (l - r) / bend if bend > 0 else 0.0
+            left, low, right = sse[k - 1 : k + 2]
+            bend = left - 2 * low + right
+            delta += (grid[1] - grid[0]) * 0.5 * (left - right) / bend if bend > 0 else 0.0
         return float(max(sa[k], 0) / sb[k]), float(delta), float(sa[half] / sb[half])
 
     c, delta, c_half = solve(np.ones(len(groups)))
@@ -157,6 +162,22 @@ def published(orders: DataFrame, y: Column, q: str, group: str, draws: int = 100
     return {"c_free": c, "delta": delta, "c_half": c_half, "n": int(n.sum()), "delta_low": d_lo, "delta_high": d_hi, "c_half_low": h_lo, "c_half_high": h_hi}
 
 
+def published_panels(orders: DataFrame, y: Column, q: str, panel: str, group: str, draws: int = 200, seed: int = 0, bounds: tuple[float, float] = (0.0, 3.0), steps: int = 601) -> DataFrame:
+    """:func:`published` for every panel: sums are shuffled, orders are not."""
+    import pandas as pd
+
+    grid = np.linspace(*bounds, steps)
+    d = orders.withColumn("_y", y).filter(X.all_finite(["_y", q]) & (F.col(q) > 0))
+    table = profile(d, F.col("_y"), F.pow(F.col(q), F.col("theta")), grid.tolist(), [panel, group])
+    kind = orders.schema[panel].dataType.simpleString()
+
+    def fit(key, rows):
+        return pd.DataFrame([{panel: key[0], **contracted(rows, group, grid, draws, seed)}])
+
+    out = f"{panel} {kind}, c_free double, delta double, c_half double, n long, delta_low double, delta_high double, c_half_low double, c_half_high double"
+    return table.select(panel, group, "theta", "A", "B", "yy", "n").groupBy(panel).applyInPandas(fit, out)
+
+
 def blend_alpha(df: DataFrame, y: str, daily: str, trailing: str, q: str, by: Sequence[str] = (), steps: int = 101) -> DataFrame:
     """Weight of the daily volatility in the blend, and its level."""
     x = X.blend(F.col(daily), F.col(trailing), F.col("alpha")) * F.sqrt(q)

@@ -110,6 +110,20 @@ def nested(returns: np.ndarray, volume: np.ndarray, end: int, lags: Iterable[int
     return LagFit(b.delta, b.lags, kernel, b.r2_in, b.r2_out, int(ok.sum()), 0)
 
 
+def select_lags(returns: np.ndarray, volume: np.ndarray, end: int, grid: Sequence[int] = (1, 2, 5, 10, 20, 60), least: int = 100) -> int:
+    """Number of lags of a linear kernel, by score on the last 30% of the rows before ``end``."""
+    inner, best = int(end * 0.7), (-np.inf, grid[0])
+    for k in grid:
+        x = lag_matrix(np.asarray(volume, float), k)
+        rows = np.flatnonzero(np.isfinite(x).all(axis=1) & np.isfinite(returns))
+        fit_rows, test = rows[rows < inner], rows[(rows >= inner) & (rows < end)]
+        if len(fit_rows) < least or len(test) < least:
+            continue
+        beta = np.linalg.lstsq(x[fit_rows], returns[fit_rows], rcond=None)[0]
+        best = max(best, (r_squared(returns[test], x[test] @ beta), k), key=lambda t: t[0])
+    return best[1]
+
+
 def calibrate(bars: DataFrame, keys: Sequence[str] = SESSION, lags: Sequence[int] = LAGS, deltas: Sequence[float] = DELTAS, predictive: bool = False) -> DataFrame:
     """The whole grid of every session: scores, instant response, half life, gain over no lags."""
     names = ", ".join(f"{k} {bars.schema[k].dataType.simpleString()}" for k in keys)

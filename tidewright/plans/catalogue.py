@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import binning as B
 from tidewright.functions import exprs as X
 from tidewright.operators import bars as bar
-from tidewright.operators import book, contracts, fits, forms, joins, kernels, models, resample, runs, schedule, universe, volatility
+from tidewright.operators import book, contracts, fits, forms, joins, kernels, models, resample, runs, schedule, studies, universe, volatility
 from tidewright.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,15 +89,15 @@ def venue_ratio_quartiles(spark, d):
     return v.groupBy("symbol").agg(*[F.percentile("r", F.lit(p)).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))])
 
 
-@query(_with(V.PRINTS, V.MESSAGES) + """, f AS (SELECT symbol, dt, seq // 2 AS sequence, size FROM messages WHERE event_type = 4 AND seq % 2 = 0),
-  t AS (SELECT symbol, dt, seq // 2 AS sequence, size FROM messages WHERE event_type = 4 AND seq % 2 = 1),
+@query(_with(V.PRINTS, V.MESSAGES) + """, f AS (SELECT symbol, dt, seq // 2 AS sequence, size FROM messages WHERE event_type = 4 AND direction = 1),
+  t AS (SELECT symbol, dt, seq // 2 AS sequence, size FROM messages WHERE event_type = 4 AND direction = -1),
   h AS (SELECT symbol, dt, size FROM messages WHERE event_type = 5),
   p AS (SELECT symbol, dt, size AS a, 0 AS b, 0 AS c FROM f UNION ALL SELECT symbol, dt, 0, size, 0 FROM h
   UNION ALL SELECT symbol, dt, 0, 0, size FROM t WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.symbol = t.symbol AND f.dt = t.dt AND f.sequence = t.sequence))
   SELECT symbol, dt, CAST(SUM(a) AS BIGINT) AS displayed, CAST(SUM(b) AS BIGINT) AS hidden, CAST(SUM(c) AS BIGINT) AS unmatched, CAST(SUM(a) + SUM(c) AS BIGINT) AS total FROM p GROUP BY 1, 2""")
 def volume_tally(spark, d):
     m = V.messages(spark, d).withColumn("sequence", F.floor(F.col("seq") / 2))
-    return bar.tally(m.filter("event_type = 4 and seq % 2 = 0"), m.filter("event_type = 4 and seq % 2 = 1"), m.filter("event_type = 5"), KEYS)
+    return bar.tally(m.filter("event_type = 4 and direction = 1"), m.filter("event_type = 4 and direction = -1"), m.filter("event_type = 5"), KEYS)
 
 
 _CLOSES = """, c AS (SELECT symbol, dt, CAST(floor((sec - 34200) / 1800) AS BIGINT) AS bin, arg_max(price, (sec, seq)) AS close FROM prints GROUP BY 1, 2, 3),
@@ -523,9 +523,9 @@ def _names(spark, d):
     return o.select(F.col("o_custkey").alias("permno"), "o_orderkey", "a", F.date_sub(F.lead("a").over(w), 1).alias("z"), (F.col("o_orderkey") % 3 + 10).cast("int").alias("shrcd"))
 
 
-@query(f"WITH {_NAMES}, f AS (SELECT o_custkey AS permno, CAST(o_orderdate AS DATE) AS at FROM orders WHERE o_orderkey % 10 = 0) SELECT f.permno, f.at, nm.o_orderkey FROM f JOIN nm ON nm.permno = f.permno AND f.at BETWEEN nm.a AND COALESCE(nm.z, DATE '2100-12-31')")
+@query(f"WITH {_NAMES}, f AS (SELECT o_custkey AS permno, CAST(o_orderdate AS DATE) AS \"at\" FROM orders) SELECT f.permno, f.\"at\", nm.o_orderkey FROM f JOIN nm ON nm.permno = f.permno AND f.\"at\" BETWEEN nm.a AND COALESCE(nm.z, DATE '2100-12-31')")
 def interval_join(spark, d):
-    f = V.table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("permno"), F.to_date("o_orderdate").alias("at"))
+    f = V.table(spark, d, "orders").select(F.col("o_custkey").alias("permno"), F.to_date("o_orderdate").alias("at"))
     return joins.valid_at(f, _names(spark, d), "permno", "at", "a", "z").select("permno", "at", "o_orderkey")
 
 
@@ -618,7 +618,7 @@ def ofi_bars(spark, d):
 
 @query()
 def pca_weights(spark, d):
-    return book.integrated(book.imbalance_bars(_flows(spark, d), ("label",)), 10, F.col("sec") % 2 == 0).select("label", "sec", "ofi_integrated")
+    return book.integrated(book.imbalance_bars(_flows(spark, d), ("label",)), 10, F.col("sec") < 10).select("label", "sec", "ofi_integrated")
 
 
 @query()
@@ -768,3 +768,68 @@ def rebuild_differences(spark, d):
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1")
 def repeated_keys(spark, d):
     return contracts.repeated(V.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+# Compositions ---------------------------------------------------------------------------
+
+
+@query(_with(V.PRINTS) + _CLOSES + """, v AS (SELECT symbol, dt, CASE WHEN COUNT(*) >= 10 THEN stddev_samp(ret) * sqrt(13.0) END AS sigma FROM r GROUP BY 1, 2), n AS (SELECT symbol, dt, COUNT(*) AS prints FROM prints GROUP BY 1, 2 HAVING COUNT(*) >= 65)
+  SELECT symbol, dt, prints, round(sigma, 6) AS sigma FROM n JOIN v USING (symbol, dt) WHERE sigma > 0""")
+def usable_sessions(spark, d):
+    return studies.usable_sessions(V.prints(spark, d), KEYS, 65, 1800, 13)
+
+
+@query(_with(V.PRINTS) + """SELECT symbol, dt, seq, round(size, 6) AS size, round(price, 6) AS mid FROM prints""")
+def aligned_rows(spark, d):
+    p = V.prints(spark, d)
+    return studies.aligned(p.select(*KEYS, "seq", "size"), p.select(*KEYS, "seq", F.col("price").alias("mid")), KEYS)
+
+
+@query(_with(V.PRINTS) + """, a AS (SELECT symbol, dt, avg(price) AS sigma, COUNT(*) AS fills FROM prints GROUP BY 1, 2), b AS (SELECT symbol, dt, COUNT(*) AS displayed FROM prints GROUP BY 1, 2), c AS (SELECT symbol, dt, MAX(size) AS spread FROM prints GROUP BY 1, 2)
+  SELECT symbol, dt, round(sigma, 6) AS sigma, fills, displayed, round(spread, 6) AS spread FROM a JOIN b USING (symbol, dt) JOIN c USING (symbol, dt)""")
+def session_scales(spark, d):
+    g = V.prints(spark, d).groupBy(*KEYS)
+    return studies.session_scales(g.agg(F.avg("price").alias("sigma"), F.count("*").alias("fills")), g.agg(F.count("*").alias("displayed")), g.agg(F.max("size").alias("spread")), KEYS)
+
+
+@query(_with(V.PRINTS, V.BARS) + """, m AS (SELECT symbol, dt, CAST(floor((sec - 34200) / 60) AS BIGINT) AS minute, SUM(volume) AS v FROM bars WHERE sec >= 34200 GROUP BY 1, 2, 3), s AS (SELECT symbol, dt, minute, v / nullif(SUM(v) OVER (PARTITION BY symbol, dt), 0) AS share FROM m),
+  t AS (SELECT symbol, dt, median(share) FILTER (WHERE share > 0) AS typical, MAX(minute) AS last FROM s GROUP BY 1, 2), x AS (SELECT symbol, dt, typical, last, unnest(range(0, 360, 30)) AS f FROM t), y AS (SELECT *, f + unnest(range(0, 30)) AS minute FROM x)
+  SELECT y.symbol, y.dt, 34200 + f * 60 AS slice_start, round(SUM(CASE WHEN y.minute <= last THEN COALESCE(share, typical, 0) ELSE 0 END), 6) AS share FROM y LEFT JOIN s ON s.symbol = y.symbol AND s.dt = y.dt AND s.minute = y.minute GROUP BY 1, 2, 3""")
+def slice_profile(spark, d):
+    b = minute_bars(spark, d).filter("sec >= 34200")
+    shares = bar.minute_shares(b, KEYS).withColumnRenamed("slice", "minute")
+    s = shares.select(*KEYS).distinct().withColumn("from", F.lit(34200)).withColumn("to", F.lit(34200 + 360 * 60))
+    return studies.slice_profile(shares, schedule.slices(s, "from", "to", 1800).select(*KEYS, "slice_start"), 1800, KEYS)
+
+
+def _ofi_like(spark, d):
+    return _long_bars(spark, d).withColumn("ofi_integrated", F.col("signed_vol") * 0.5 + F.col("volume"))
+
+
+@query()
+def flow_comparison(spark, d):
+    return studies.incremental(studies.compare_flows(_ofi_like(spark, d), keys=("symbol",)), ("symbol",))
+
+
+@query()
+def per_symbol_fits(spark, d):
+    o = V.metaorders(spark, d).select("symbol", F.col("dt").alias("date"), F.col("q").alias("participation"), F.col("realised").alias("impact"), F.col("sigma").alias("sigma_d"))
+    daily = o.select("symbol", "date").distinct().select("symbol", F.lit(0.02).alias("sigma"), F.lit(100.0).alias("close"), F.lit(1e6).alias("volume"))
+    return studies.per_symbol(o, daily, 20, 50, 50)
+
+
+@query()
+def variant_fits(spark, d):
+    o = V.metaorders(spark, d).select("symbol", F.col("dt").alias("date"), F.col("shares").alias("Q"), F.col("q").alias("participation"), F.col("realised").alias("impact"), F.col("sigma").alias("sigma_d"))
+    v = o.select("symbol", "date").distinct().withColumn("volume_crsp", F.lit(20_000.0)).withColumn("sigma_crsp", F.lit(0.03))
+    return studies.variant_fits(o, v, 50)
+
+
+@query()
+def schedule_evaluation(spark, d):
+    b = _long_bars(spark, d)
+    o = V.metaorders(spark, d).withColumn("day", F.datediff("dt", F.lit("2024-01-01")))
+    start = F.col("day") * 86_400.0 + F.col("at")
+    flat = lambda n, x: F.array_repeat(F.lit(x), n)
+    o = o.select("symbol", start.alias("t_start"), (start + F.col("u")).alias("t_end"), "shares", F.lit(1.0).alias("sign"), F.lit(100.0).alias("mid_start"), (100.0 * F.exp("realised")).alias("mid_end"), F.lit(10_000.0).alias("session_volume"), F.lit(0.02).alias("sigma_d"), F.lit(10_000.0).alias("adv"), flat(13, 1.0).alias("profile"), flat(390, 1 / 390).alias("shape"))
+    return studies.evaluate_schedules(b, o, ("symbol",), width=3600 * 6, least=5)

@@ -38,7 +38,7 @@ LADDER = """levels AS (SELECT vec_id, label, i AS level, 100 + 0.01 * i AS ask_p
 ORDERS = """mo AS (SELECT event_id AS order_id, event_type AS symbol, CAST(ts AS DATE) AS dt,
   CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) AS "at", value + 1 AS shares, user_id % 40 AS u,
   0.01 * (1 + user_id % 7) * sqrt((value + 1) / 10000.0) AS realised, (value + 1) / 10000.0 AS q,
-  0.01 * (1 + event_id % 3) AS sigma, 0.01 * (1 + event_id % 5) AS trail FROM events WHERE event_id % 2 = 0)"""
+  0.01 * (1 + event_id % 3) AS sigma, 0.01 * (1 + event_id % 5) AS trail FROM events)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +104,7 @@ def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metaorders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 2 = 0")
+    e = table(spark, sf_dir, "events")
     shares = F.col("value") + 1
     return e.select(
         F.col("event_id").alias("order_id"),
