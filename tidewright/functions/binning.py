@@ -41,13 +41,15 @@ def log_bins(df: DataFrame, size: str, values: Sequence[str], bins: int, by: Seq
     """Equal-count bins of log size: means, count, spread of the first value.
 
     Rows with a size that is not positive or with any missing value are left out
-    together.
+    together. Logs and edges are compared at 12 decimals, so that interpolation
+    in the last place cannot move a tied row across an edge.
     """
     whole = F.col(size) > 0
     for v in values:
         whole = whole & F.col(v).isNotNull() & ~F.isnan(v)
-    logged = df.filter(whole).withColumn("log_size", F.ln(size))
-    binned = with_edges(logged, F.col("log_size"), bins, by).withColumn("bin", left_closed(F.col("log_size"), F.col("edges")))
+    logged = df.filter(whole).withColumn("log_size", F.round(F.ln(size), 12))
+    edged = with_edges(logged, F.col("log_size"), bins, by).withColumn("edges", F.array_distinct(F.transform("edges", lambda e: F.round(e, 12))))
+    binned = edged.withColumn("bin", left_closed(F.col("log_size"), F.col("edges")))
     means = [F.avg(v).alias(v) for v in values]
     return binned.groupBy(*by, "bin").agg(F.avg(size).alias(size), F.count("*").alias("n"), *means, F.stddev_samp(values[0]).alias("cost_sd"))
 

@@ -122,7 +122,7 @@ def power_fits(df: DataFrame, y: str, scale: str, q: str, by: Sequence[str], bou
     return df.select(*by, y, scale, q).groupBy(*by).applyInPandas(fit, f"{keys}, c double, delta double, n long")
 
 
-def published(orders: DataFrame, y: Column, q: str, group: str, draws: int = 1000, seed: int = 0, bounds: tuple[float, float] = (0.0, 3.0), steps: int = 601) -> dict[str, float]:
+def published(orders: DataFrame, y: Column, q: str, group: str, draws: int = 1000, seed: int = 0, bounds: tuple[float, float] = (0.0, 3.0), steps: int = 301) -> dict[str, float]:
     """Free and square-root exponents of y = c q ** delta with block intervals, in one pass.
 
     The pass leaves, per group and grid point, the sums A and B; every draw is a
@@ -162,7 +162,7 @@ def contracted(rows, group: str, grid: np.ndarray, draws: int, seed: int) -> dic
     return {"c_free": c, "delta": delta, "c_half": c_half, "n": int(n.sum()), "delta_low": d_lo, "delta_high": d_hi, "c_half_low": h_lo, "c_half_high": h_hi}
 
 
-def published_panels(orders: DataFrame, y: Column, q: str, panel: str, group: str, draws: int = 200, seed: int = 0, bounds: tuple[float, float] = (0.0, 3.0), steps: int = 601) -> DataFrame:
+def published_panels(orders: DataFrame, y: Column, q: str, panel: str, group: str, draws: int = 200, seed: int = 0, bounds: tuple[float, float] = (0.0, 3.0), steps: int = 301) -> DataFrame:
     """:func:`published` for every panel: sums are shuffled, orders are not."""
     import pandas as pd
 

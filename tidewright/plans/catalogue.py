@@ -329,7 +329,7 @@ def qcut_impact_bins(spark, d):
     return B.qcut_means(V.metaorders(spark, d), "q", "realised", 12)
 
 
-@query(_with(V.ORDERS) + f""", o AS (SELECT *, ln(shares) AS ls FROM mo), e AS (SELECT symbol, list_sort({_EDGES.format(v='ls', p=_points(10))}) AS e FROM o GROUP BY 1),
+@query(_with(V.ORDERS) + f""", o AS (SELECT *, round(ln(shares), 12) AS ls FROM mo), e AS (SELECT symbol, list_sort(list_distinct(list_transform({_EDGES.format(v='ls', p=_points(10))}, lambda x: round(x, 12)))) AS e FROM o GROUP BY 1),
   b AS (SELECT symbol, shares, realised, sigma, least(greatest(len(list_filter(e, lambda x: x <= ls)) - 1, 0), len(e) - 2) AS bin FROM o JOIN e USING (symbol))
   SELECT symbol, CAST(bin AS BIGINT) AS bin, round(avg(shares), 6) AS shares, COUNT(*) AS n, round(avg(realised), 6) AS realised, round(avg(sigma), 6) AS sigma, round(stddev_samp(realised), 6) AS cost_sd FROM b GROUP BY 1, 2""")
 def log_equal_count_bins(spark, d):
@@ -785,11 +785,11 @@ def aligned_rows(spark, d):
     return studies.aligned(p.select(*KEYS, "seq", "size"), p.select(*KEYS, "seq", F.col("price").alias("mid")), KEYS)
 
 
-@query(_with(V.PRINTS) + """, a AS (SELECT symbol, dt, avg(price) AS sigma, COUNT(*) AS fills FROM prints GROUP BY 1, 2), b AS (SELECT symbol, dt, COUNT(*) AS displayed FROM prints GROUP BY 1, 2), c AS (SELECT symbol, dt, MAX(size) AS spread FROM prints GROUP BY 1, 2)
+@query(_with(V.PRINTS) + """, a AS (SELECT symbol, dt, MAX(price) AS sigma, COUNT(*) AS fills FROM prints GROUP BY 1, 2), b AS (SELECT symbol, dt, COUNT(*) AS displayed FROM prints GROUP BY 1, 2), c AS (SELECT symbol, dt, MAX(size) AS spread FROM prints GROUP BY 1, 2)
   SELECT symbol, dt, round(sigma, 6) AS sigma, fills, displayed, round(spread, 6) AS spread FROM a JOIN b USING (symbol, dt) JOIN c USING (symbol, dt)""")
 def session_scales(spark, d):
     g = V.prints(spark, d).groupBy(*KEYS)
-    return studies.session_scales(g.agg(F.avg("price").alias("sigma"), F.count("*").alias("fills")), g.agg(F.count("*").alias("displayed")), g.agg(F.max("size").alias("spread")), KEYS)
+    return studies.session_scales(g.agg(F.max("price").alias("sigma"), F.count("*").alias("fills")), g.agg(F.count("*").alias("displayed")), g.agg(F.max("size").alias("spread")), KEYS)
 
 
 @query(_with(V.PRINTS, V.BARS) + """, m AS (SELECT symbol, dt, CAST(floor((sec - 34200) / 60) AS BIGINT) AS minute, SUM(volume) AS v FROM bars WHERE sec >= 34200 GROUP BY 1, 2, 3), s AS (SELECT symbol, dt, minute, v / nullif(SUM(v) OVER (PARTITION BY symbol, dt), 0) AS share FROM m),
