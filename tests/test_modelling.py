@@ -237,3 +237,11 @@ def test_bands():
     assert resample.band(v, 100, 0) == pytest.approx(tuple(want))
     low, high = resample.cluster(v, np.arange(15) // 3, np.median, 100)
     assert low <= np.median(v) <= high
+
+
+def test_points_interpolate_power_sums():
+    points, grid, matrix = fits.nodes((0.0, 3.0))
+    rng = np.random.default_rng(15)
+    lq = rng.normal(0, 2, 500)
+    exact, at = (np.exp(2 * t[:, None] * lq).sum(axis=1) for t in (grid, points))
+    assert matrix @ at == pytest.approx(exact, rel=1e-6)

@@ -122,39 +122,66 @@ def power_fits(df: DataFrame, y: str, scale: str, q: str, by: Sequence[str], bou
     return df.select(*by, y, scale, q).groupBy(*by).applyInPandas(fit, f"{keys}, c double, delta double, n long")
 
 
-def published(orders: DataFrame, y: Column, q: str, group: str, draws: int = 1000, seed: int = 0, bounds: tuple[float, float] = (0.0, 3.0), steps: int = 301) -> dict[str, float]:
+def nodes(bounds: tuple[float, float], pieces: int = 4, degree: int = 16, fine: int = 3001) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chebyshev points of each piece of an interval, a fine grid, and the matrix from values at the points to the grid."""
+    x = np.cos(np.pi * np.arange(degree, -1, -1) / degree)
+    weight = np.where(np.arange(degree + 1) % 2 == 0, 1.0, -1.0)
+    weight[[0, -1]] /= 2
+    ends = np.linspace(*bounds, pieces + 1)
+    points = np.unique(np.concatenate([lo + (x + 1) / 2 * (hi - lo) for lo, hi in zip(ends[:-1], ends[1:])]).round(12))
+    grid, matrix = np.linspace(*bounds, fine), np.zeros((fine, len(points)))
+    for k in range(pieces):
+        rows = np.flatnonzero((grid >= ends[k]) & ((grid < ends[k + 1]) if k + 1 < pieces else (grid <= ends[-1])))
+        own = points[k * degree : (k + 1) * degree + 1]
+        gap = grid[rows, None] - own
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = weight / gap
+            part /= part.sum(axis=1, keepdims=True)
+        on = np.abs(gap) < 1e-13
+        part[on.any(axis=1)] = on[on.any(axis=1)].astype(float)
+        matrix[rows, k * degree : (k + 1) * degree + 1] = part
+    return points, grid, matrix
+
+
+def _power_sums(orders: DataFrame, y: Column, q: str, by: Sequence[str], bounds: tuple[float, float]) -> tuple[DataFrame, float]:
+    """Sums of every group at the points, sizes taken relative to their mean logarithm."""
+    d = orders.withColumn("_y0", y).filter(X.all_finite(["_y0", q]) & (F.col(q) > 0)).withColumn("_lq", F.ln(q))
+    center = d.agg(F.avg("_lq")).first()[0] or 0.0
+    table = profile(d, F.col("_y0"), F.exp(F.col("theta") * (F.col("_lq") - center)), nodes(bounds)[0].tolist(), by)
+    return table.select(*by, "theta", "A", "B", "yy", "n"), center
+
+
+def published(orders: DataFrame, y: Column, q: str, group: str, draws: int = 1000, seed: int = 0, bounds: tuple[float, float] = (0.0, 3.0)) -> dict[str, float]:
     """Free and square-root exponents of y = c q ** delta with block intervals, in one pass.
 
-    The pass leaves, per group and grid point, the sums A and B; every draw is a
-    contraction of them. The estimates themselves are polished between grid
-    points by the parabola through the three lowest errors.
+    A and B are smooth in delta, so the pass keeps their group sums at some sixty
+    points; every draw is a contraction of them, interpolated to a fine grid and
+    polished by the parabola through the three lowest errors.
     """
-    grid = np.linspace(*bounds, steps)
-    d = orders.withColumn("_y", y).filter(X.all_finite(["_y", q]) & (F.col(q) > 0))
-    table = profile(d, F.col("_y"), F.pow(F.col(q), F.col("theta")), grid.tolist(), [group])
-    return contracted(table.select(group, "theta", "A", "B", "yy", "n").toPandas(), group, grid, draws, seed)
+    table, center = _power_sums(orders, y, q, [group], bounds)
+    return contracted(table.toPandas(), group, bounds, center, draws, seed)
 
 
-def contracted(rows, group: str, grid: np.ndarray, draws: int, seed: int) -> dict[str, float]:
-    """Estimates and block intervals from the sums of every group and grid point."""
-    steps = len(grid)
+def contracted(rows, group: str, bounds: tuple[float, float], center: float, draws: int, seed: int) -> dict[str, float]:
+    """Estimates and block intervals from the sums of every group and point."""
+    points, grid, matrix = nodes(bounds)
     groups = sorted(rows[group].unique())
-    shape = (len(groups), steps)
+    shape = (len(groups), len(points))
     rows = rows.sort_values([group, "theta"])
     a, b = rows["A"].to_numpy().reshape(shape), rows["B"].to_numpy().reshape(shape)
     yy, n = rows["yy"].to_numpy().reshape(shape)[:, 0], rows["n"].to_numpy().reshape(shape)[:, 0]
-    half = int(np.argmin(np.abs(grid - 0.5)))
+    half, step = int(np.argmin(np.abs(grid - 0.5))), grid[1] - grid[0]
 
     def solve(m: np.ndarray) -> tuple[float, float, float]:
-        sa, sb = m @ a, m @ b
+        sa, sb = matrix @ (m @ a), np.maximum(matrix @ (m @ b), 1e-300)
         sse = m @ yy - np.maximum(sa, 0) ** 2 / sb
         k = int(np.argmin(sse))
         delta = grid[k]
-        if 0 < k < steps - 1:
+        if 0 < k < len(grid) - 1:
             left, low, right = sse[k - 1 : k + 2]
             bend = left - 2 * low + right
-            delta += (grid[1] - grid[0]) * 0.5 * (left - right) / bend if bend > 0 else 0.0
-        return float(max(sa[k], 0) / sb[k]), float(delta), float(sa[half] / sb[half])
+            delta += step * np.clip(0.5 * (left - right) / bend, -1, 1) if bend > 0 else 0.0
+        return float(max(sa[k], 0) / sb[k] * np.exp(-grid[k] * center)), float(delta), float(sa[half] / sb[half] * np.exp(-grid[half] * center))
 
     c, delta, c_half = solve(np.ones(len(groups)))
     made = np.array([solve(m) for m in resample.multiplicities(groups, draws, seed)]).reshape(-1, 3)
@@ -162,20 +189,18 @@ def contracted(rows, group: str, grid: np.ndarray, draws: int, seed: int) -> dic
     return {"c_free": c, "delta": delta, "c_half": c_half, "n": int(n.sum()), "delta_low": d_lo, "delta_high": d_hi, "c_half_low": h_lo, "c_half_high": h_hi}
 
 
-def published_panels(orders: DataFrame, y: Column, q: str, panel: str, group: str, draws: int = 200, seed: int = 0, bounds: tuple[float, float] = (0.0, 3.0), steps: int = 301) -> DataFrame:
+def published_panels(orders: DataFrame, y: Column, q: str, panel: str, group: str, draws: int = 200, seed: int = 0, bounds: tuple[float, float] = (0.0, 3.0)) -> DataFrame:
     """:func:`published` for every panel: sums are shuffled, orders are not."""
     import pandas as pd
 
-    grid = np.linspace(*bounds, steps)
-    d = orders.withColumn("_y", y).filter(X.all_finite(["_y", q]) & (F.col(q) > 0))
-    table = profile(d, F.col("_y"), F.pow(F.col(q), F.col("theta")), grid.tolist(), [panel, group])
+    table, center = _power_sums(orders, y, q, [panel, group], bounds)
     kind = orders.schema[panel].dataType.simpleString()
 
     def fit(key, rows):
-        return pd.DataFrame([{panel: key[0], **contracted(rows, group, grid, draws, seed)}])
+        return pd.DataFrame([{panel: key[0], **contracted(rows, group, bounds, center, draws, seed)}])
 
     out = f"{panel} {kind}, c_free double, delta double, c_half double, n long, delta_low double, delta_high double, c_half_low double, c_half_high double"
-    return table.select(panel, group, "theta", "A", "B", "yy", "n").groupBy(panel).applyInPandas(fit, out)
+    return table.groupBy(panel).applyInPandas(fit, out)
 
 
 def blend_alpha(df: DataFrame, y: str, daily: str, trailing: str, q: str, by: Sequence[str] = (), steps: int = 101) -> DataFrame:
