@@ -14,7 +14,10 @@ r"""Near-duplicate detection by improved consistent weighted sampling.
    bucket. Those that do not match their leader are dealt out again by a longer
    key, where other leaders await them, and those that come close to it are
    compared with further members.
-4. ``components`` of the links are the classes.
+4. ``apart_pairs``: a prefix-filter join over all texts finds every pair of unlike
+   components that can be linked; one pair of a document and a component is
+   compared first, then all that are still apart.
+5. ``components`` of the links are the classes.
 
 A pair is linked when its weighted or its plain Jaccard similarity over shingles
 reaches the threshold, so weights find links but never hide one. A pair at 0.8
@@ -123,10 +126,12 @@ class Weights:
     def __init__(self, documents: int, table: np.ndarray) -> None:
         self.documents, self.table = documents, table
 
-    def __call__(self, ids: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    def seen(self, ids: np.ndarray) -> np.ndarray:
         a, b = _cells(ids)
-        seen = np.maximum(np.minimum(self.table[0][a], self.table[1][b]), 1)
-        idf = np.log1p(np.float32(self.documents) / seen.astype(np.float32))
+        return np.maximum(np.minimum(self.table[0][a], self.table[1][b]), 1)
+
+    def __call__(self, ids: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+        idf = np.log1p(np.float32(self.documents) / self.seen(ids).astype(np.float32))
         return idf if counts is None else idf * counts.astype(np.float32)
 
 
@@ -236,6 +241,16 @@ def similarity(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) ->
     return both / max(float(wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64)) - both, 1e-30), len(i) / max(len(a) + len(b) - len(i), 1)
 
 
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """Bits of the slots that occur in column ``slot``."""
+    # The bitmap functions count from 1: slot s is bit s % 32768 of bucket s // 32768 + 1.
+    maps = rows.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect()
+    bits = np.zeros((SLOTS // 32_768, 4096), np.uint8)
+    for r in maps:
+        bits[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return bits.reshape(-1)
+
+
 def _sets(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
     """row, ids and counts of the rows that occur in ``pairs``, and of some others.
 
@@ -243,13 +258,7 @@ def _sets(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
     that follow decide.
     """
     slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS))
-    rows = pairs.select("row").union(pairs.select(F.col("leader").alias("row"))).select(slot.alias("slot"))
-    # The bitmap functions count from 1: slot s is bit s % 32768 of bucket s // 32768 + 1.
-    maps = rows.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect()
-    bits = np.zeros((SLOTS // 32_768, 4096), np.uint8)
-    for r in maps:
-        bits[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    bits = bits.reshape(-1)
+    bits = _bitmap(pairs.select("row").union(pairs.select(F.col("leader").alias("row"))).select(slot.alias("slot")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,17 +291,88 @@ def verify(sketched: DataFrame, pairs: DataFrame, weigh: Weights) -> DataFrame:
     return joined.mapInArrow(compare, "row long, leader long, likeness double")
 
 
+def prefixes(sketched: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
+    """row, n, weight and the rarest shingles: those that a linked pair's first common shingle can be.
+
+    Shingles stand in one order for all documents, rarest first. ``rests`` is the
+    share of the weight from a shingle on, in 127ths and rounded up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near")
+        for batch in batches:
+            sizes, totals, ends, tokens, rests = [], [], [0], [], []
+            for own, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                ids = np.frombuffer(own, "<u4")
+                order = np.lexsort((ids, weigh.seen(ids)))
+                rest = np.cumsum(weigh(ids, n and np.frombuffer(n, "<u4"))[order][::-1], dtype=np.float64)[::-1]
+                most = np.arange(len(ids), 0, -1) >= threshold * len(ids) - 1e-6
+                k = int(np.count_nonzero(most | (rest >= threshold * rest[0] * (1 - 1e-6))))
+                sizes.append(len(ids))
+                totals.append(rest[0])
+                ends.append(ends[-1] + k)
+                tokens.append(ids[order[:k]].view(np.int32))
+                rests.append(np.minimum(np.ceil(127 * (rest[:k] / rest[0]) + 1e-6), 127).astype(np.int8))
+            if sizes:
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (tokens, rests)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(totals, pa.float64()), *lists], names=["row", "n", "weight", "tokens", "rests"])
+
+    narrow = sketched.filter("row is not null and octet_length(ids) > 0").select("row", "ids", "counts")
+    return narrow.mapInArrow(run, "row long, n int, weight double, tokens array<int>, rests array<tinyint>")
+
+
+def apart_pairs(sketched: DataFrame, labelled: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
+    """row, a, leader, b: every pair of unlike labels that can be linked, by a prefix-filter join without loss.
+
+    ``labelled``: row and label of every text. A linked pair has a first common
+    shingle; what either side holds from there on is at least what the pair must
+    share, ``threshold / (1 + threshold)`` of both sizes (or of both weights).
+    Shingles that occur under one label only are dropped before the join.
+    """
+    known = written(prefixes(sketched, weigh, threshold).join(labelled, "row"), "near-prefixes")
+    mixed = known.select(F.explode("tokens").alias("token"), "label").groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = written(mixed.filter("low < high").select("token", "low"), "near-mixed")
+    bits = _bitmap(mixed.select(F.col("token").cast("long").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, sizes = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            at = tokens.astype(np.int64) & (SLOTS - 1)
+            held = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            owner = np.repeat(np.arange(len(sizes)), sizes)[held]
+            row, n, weight, label = (batch.column(k).to_numpy()[owner] for k in (0, 1, 2, 5))
+            rest = batch.column(4).flatten().to_numpy()[held] / 127.0 * weight
+            cols = (tokens[held], row, label, n, (n - (held - starts[owner])).astype(np.int32), weight, rest)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "row", "label", "n", "left", "weight", "rest"])
+
+    flat = known.select("row", "n", "weight", "tokens", "rests", "label").mapInArrow(keep, "token int, row long, label long, n int, left int, weight double, rest double")
+    flat = written(flat.join(mixed, "token"), "near-rare")
+    # Of two labels at a shingle one at least is not the lowest.
+    one = flat.filter("label <> low").select("token", *[F.col(x).alias(x + "_a") for x in ("row", "label", "n", "left", "weight", "rest")])
+    share = threshold / (1 + threshold)
+    enough = F.least("left_a", "left") >= share * (F.col("n_a") + F.col("n")) - 1e-6
+    heavy = F.least("rest_a", "rest") >= share * (F.col("weight_a") + F.col("weight")) * (1 - 1e-6)
+    found = one.join(flat, "token").filter((F.col("label_a") != F.col("label")) & (enough | heavy))
+    lower = F.col("row_a") < F.col("row")
+    pair = [F.when(lower, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("row_a", "row", "row"), ("label_a", "label", "a"), ("row", "row_a", "leader"), ("label", "label_a", "b"))]
+    return found.select(*pair).distinct()
+
+
 def links(sketched: DataFrame, signed: DataFrame, weigh: Weights, threshold: float = THRESHOLD, levels: int = 3, seeds: int = 4, more_seeds: int = 32) -> DataFrame:
     """Verified (row, leader) links between documents of different texts.
 
     ``signed``: one row per text, with its band keys.
 
-    One minus a Jaccard similarity is a metric. So a document that can be linked
+    One minus either Jaccard similarity is a metric (the larger of two need not
+    be). So, within one similarity, a document that can be linked
     to one that matches its leader is itself at 2 * threshold - 1 from the leader
     at least. Documents between that and the threshold are compared with further
     leaders of their buckets, ``2 * seeds`` a band in hashed orders; those that
     are still in another component than their leader meet ``2 * more_seeds``
-    more. Documents below it need no comparison with those that match.
+    more. These rounds are samples: whatever they leave apart, at any likeness
+    and in any bucket, goes through :func:`apart_pairs`, and every pair that can
+    reach the threshold is compared or already in one component.
     """
     tested: list[DataFrame] = []
 
@@ -338,6 +418,16 @@ def links(sketched: DataFrame, signed: DataFrame, weigh: Weights, threshold: flo
     apart = grey.join(labels.select("row", F.col("label").alias("a")), "row", "left").join(labels.select(F.col("row").alias("leader"), F.col("label").alias("b")), "leader", "left")
     apart = written(apart.filter(F.coalesce("a", "row") != F.coalesce("b", "leader")).select("row", "key").distinct(), "near-apart")
     meet(apart, seeds, more_seeds)
+
+    def labelled() -> DataFrame:
+        return signed.filter("bands is not null").select("row").join(components(linked()), "row", "left").select("row", F.coalesce("label", "row").alias("label"))
+
+    rest = written(apart_pairs(sketched, labelled(), weigh, threshold), "near-rest")
+    # One pair of a document and a component first; then all that this leaves apart.
+    test(rest.groupBy("row", "b").agg(F.min_by("leader", F.xxhash64("row", "leader")).alias("leader")).select("row", "leader"))
+    now = written(labelled(), "near-now")
+    rest = rest.join(now.select("row", F.col("label").alias("x")), "row").join(now.select(F.col("row").alias("leader"), F.col("label").alias("y")), "leader")
+    test(rest.filter("x <> y").select("row", "leader"))
     return linked()
 
 
