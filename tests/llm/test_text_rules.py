@@ -132,6 +132,12 @@ def test_licenses(spark):
     assert got == ["Apache-2.0", "GPL-3.0,all-rights-reserved", "", "", "", "CC-BY-NC-4.0,MIT"]
 
 
+def test_license_words_apart(spark):
+    texts = ["All\tRights\tReserved", "All Rights\u00a0Reserved.", "All-Rights-Reserved", "All **rights** reserved", "all rights  reserved!"]
+    got = [r.licenses for r in license_scan.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["all-rights-reserved"] * 5
+
+
 def test_ordered_rule_needs_order(spark):
     rules = {"L": [["A", "B", "C"]]}
     sentences = {"a": "A", "b": "B", "c": "C", "x": "X"}

@@ -59,7 +59,7 @@ RULES = {
 #: A sentence ends at a line end, at ! ? ; or at a dot that white space or the end follows.
 BREAK = r"[\n\r!?;]+|\.(?=\s|$)"
 #: Cheap test that a text can hold any of the sentences at all.
-HINT = r"(?i)licen[sc]e|rights reserved|redistributions|permission notice|january 2004|june 2007|june 1991"
+HINT = r"(?i)licen[sc]e|rights[^a-z0-9]+reserved|redistributions|permission[^a-z0-9]+notice|january[^a-z0-9]+2004|june[^a-z0-9]+2007|june[^a-z0-9]+1991"
 
 
 def normal(sentence: Column) -> Column:
