@@ -138,6 +138,22 @@ def test_license_words_apart(spark):
     assert got == ["all-rights-reserved"] * 5
 
 
+def test_wrapped_licenses(spark):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal.\n\n"
+        "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
+        " * Redistributions of source code must retain the above copyright notice, this\n *   list of conditions and the following disclaimer.\n"
+        " * Redistributions in binary form must reproduce the above copyright notice,\n *   this list of conditions and the following disclaimer in the documentation\n *   and/or other materials provided with the distribution.",
+        '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.',
+        "(c) X, all rights reserved",
+        "This file is licensed under the MIT\nLicense.",
+        "under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or later",
+        "Licensed under the\n\nMIT License",
+    ]
+    got = [r.licenses for r in license_scan.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["MIT", "BSD", "Apache-2.0", "all-rights-reserved", "MIT", "GPL-3.0", ""]
+
+
 def test_ordered_rule_needs_order(spark):
     rules = {"L": [["A", "B", "C"]]}
     sentences = {"a": "A", "b": "B", "c": "C", "x": "X"}

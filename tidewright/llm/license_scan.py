@@ -3,6 +3,8 @@
 A text is cut into sentences, each sentence is normalised (lower case, letters
 and digits with one blank between runs), known licence sentences become
 identifiers, and the sequence of identifiers is matched against ordered rules.
+Sentences of notices and licence bodies are found inside longer sentences and
+over wrapped lines too (the oracle SQL knows whole one-line sentences only).
 Everything is an expression over one row: no shuffle, and a text of any length
 is handled whole.
 
@@ -56,10 +58,38 @@ RULES = {
     "all-rights-reserved": [["RIGHTS"]],
 }
 
+# Sentences of notices and bodies, found inside longer sentences and over wrapped lines too -> identifier.
+BODIES = {
+    "all rights reserved": "RIGHTS",
+    "licensed under the apache license version 2 0": "APACHE2_TAG",
+    "released under the mit license": "MIT_TAG",
+    "licensed under the mit license": "MIT_TAG",
+    "licensed under cc by nc 4 0": "CCBYNC4_TAG",
+    "licensed under cc by sa 4 0": "CCBYSA4_TAG",
+    "licensed under cc by 4 0": "CCBY4_TAG",
+    "licensed under a creative commons attribution noncommercial 4 0 international license": "CCBYNC4_TAG",
+    "licensed under a creative commons attribution sharealike 4 0 international license": "CCBYSA4_TAG",
+    "licensed under a creative commons attribution 4 0 international license": "CCBY4_TAG",
+    "licensed under the gnu general public license version 3": "GPL3_TAG",
+    "licensed under the gnu general public license version 2": "GPL2_TAG",
+    "gnu general public license as published by the free software foundation either version 3 of the license": "GPL3_TAG",
+    "gnu general public license as published by the free software foundation either version 2 of the license": "GPL2_TAG",
+    "gnu general public license as published by the free software foundation version 3": "GPL3_TAG",
+    "gnu general public license as published by the free software foundation version 2": "GPL2_TAG",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "MIT_GRANT",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSD_SOURCE",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSD_BINARY",
+}
+BODY_RULES = {"MIT": [["MIT_GRANT", "MIT_NOTICE"]]}
+
+#: What can stand between two words of a body sentence: anything but a sentence end or a blank line.
+GAP = r"(?:[^A-Za-z0-9.!?;\n]|\n(?![ \t\r]*\n)|\.(?!\s|$))+"
+
 #: A sentence ends at a line end, at ! ? ; or at a dot that white space or the end follows.
 BREAK = r"[\n\r!?;]+|\.(?=\s|$)"
 #: Cheap test that a text can hold any of the sentences at all.
-HINT = r"(?i)licen[sc]e|rights[^a-z0-9]+reserved|redistributions|permission[^a-z0-9]+notice|january[^a-z0-9]+2004|june[^a-z0-9]+2007|june[^a-z0-9]+1991"
+HINT = r"(?i)licen[sc]e|permission[^a-z0-9]+is[^a-z0-9]+hereby|rights[^a-z0-9]+reserved|redistributions|permission[^a-z0-9]+notice|january[^a-z0-9]+2004|june[^a-z0-9]+2007|june[^a-z0-9]+1991"
 
 
 def normal(sentence: Column) -> Column:
@@ -67,16 +97,30 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def unwrapped(text: Column) -> Column:
+    """Each body sentence of ``text`` on a line of its own, wherever lines broke it."""
+    for body in BODIES:
+        start = r"(?i)(?<![A-Za-z0-9])(?<!\bnot\s)" + ("(?<!not )" if body.startswith("licensed") else "")
+        # The whole of the one known sentence that holds another stays together.
+        if body.startswith("licensed under the gnu"):
+            start += "(?:this" + GAP + "work" + GAP + "is" + GAP + ")?"
+        text = F.regexp_replace(text, start + GAP.join(body.split()) + r"(?![A-Za-z0-9]|\.[0-9])", "\n" + body + "\n")
+    return text
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[str, list[list[str]]] | None = None) -> DataFrame:
     """doc_id, sentence_ids (in order), n_sentences, licenses (sorted), n_licenses.
 
     A rule matches when its identifiers occur in its order, other identifiers
     between them allowed.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    whole = sentences is None
+    sentences = sentences or BODIES | SENTENCES
+    rules = rules or {k: v + BODY_RULES.get(k, []) for k, v in RULES.items()}
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
-    hint = text.rlike(HINT) if sentences is SENTENCES else F.lit(True)
+    hint = text.rlike(HINT) if whole else F.lit(True)
+    text = unwrapped(text) if whole else text
     df = docs.select("doc_id", F.when(hint, F.split(text, BREAK)).otherwise(F.array().cast("array<string>")).alias("parts"))
     named = F.transform("parts", lambda s: F.try_element_at(known, normal(s)))
     df = df.select("doc_id", F.filter(named, lambda x: x.isNotNull()).alias("sentence_ids"))
