@@ -59,3 +59,16 @@ def test_prefix_join_finds_every_pair(spark):
             if max(near_dedup.similarity(x, y, weigh(x, n), weigh(y, m))) >= 0.8:
                 want.add((a, b))
     assert len(want) > 50 and want <= got
+
+
+def test_pairs_inside_a_template_bucket(spark):
+    rng = random.Random(4)
+    template = words(rng, 160)
+    texts = [" ".join(template + words(rng, 40)) for _ in range(60)]
+    pairs = [(10, 51), (22, 45), (30, 41), (13, 37), (18, 33)]
+    for i, j in pairs:
+        near = template + words(rng, 40)
+        texts[i], texts[j] = " ".join(near), " ".join(near[:-15] + words(rng, 15))
+    got = labels_by_bands(spark, texts, [own_bands(i, 7) for i in range(60)], seeds=1, more_seeds=1)
+    assert all(got[i] == got[j] for i, j in pairs)
+    assert len(set(got)) == 55
