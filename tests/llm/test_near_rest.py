@@ -72,3 +72,16 @@ def test_pairs_inside_a_template_bucket(spark):
     got = labels_by_bands(spark, texts, [own_bands(i, 7) for i in range(60)], seeds=1, more_seeds=1)
     assert all(got[i] == got[j] for i, j in pairs)
     assert len(set(got)) == 55
+
+
+def test_plain_copies_over_common_passages(spark):
+    rng = random.Random(6)
+    passages = [words(rng, 60) for _ in range(80)]
+    texts = [" ".join(words(rng, 60)) for _ in range(160)]
+    # A third of the documents hold all passages; each pair holds one, and differs in rare shingles only.
+    texts += [" ".join(sum(passages, words(rng, 60))) + " " + " ".join(words(rng, 1800)) for _ in range(160)]
+    texts += [" ".join(p + words(rng, 7)) for p in passages for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert all(got[k] == got[k + 1] for k in range(320, 480, 2))
+    assert len(set(got.values())) == 400
