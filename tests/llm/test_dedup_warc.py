@@ -1,6 +1,7 @@
 """Exact deduplication and WARC archives against brute force."""
 
 import base64
+import gzip
 import hashlib
 import re
 from collections import defaultdict
@@ -92,7 +93,7 @@ def test_archives(spark, least, whole):
     else:
         rows = [(i * 7, None if i == 3 else f"http://x/{i}\r\nInjected: 1", h, "") for i, h in enumerate(HTML)]
     path = new_folder(spark, "warc-test")
-    warc.write(pages(spark, rows), path, least, records=4)
+    warc.write(pages(spark, rows), path, least, file_bytes=2000)
     got = {r.page_id: r for r in warc.read(spark, path).collect()}
     assert len(got) == len(rows)
     largest = {}
@@ -116,3 +117,52 @@ def test_archive_of_nothing_nulls_and_repeats(spark):
     warc.write(pages(spark, [(1, "u", "h", ""), (1, "u", "h", ""), (None, None, None, None), (0, "u", "h", "")]), path)
     got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.read(spark, path).collect())
     assert got == [("0", "revisit", 1), ("1", "response", None), ("1", "response", None), ("None", "response", None)]
+
+
+def test_archives_roll_by_bytes(spark, tmp_path):
+    """Each file has one warcinfo record, first, and outgrows the limit by one record at most; a third of all pages are alike."""
+    html = ["x%d " % i * 300 if i % 3 else "<b>alike</b>" * 40 for i in range(300)]
+    path = str(tmp_path / "rolled")
+    warc.write(pages(spark, [(i, "u", h, "") for i, h in enumerate(html)]), path, file_bytes=20_000)
+    files = list((tmp_path / "rolled").rglob("*.gz"))
+    assert len(files) > 10
+    for file in files:
+        data = file.read_bytes()
+        kinds = [h["warc-type"] for h, _ in warc.parse(data)]
+        assert kinds[0] == "warcinfo" and kinds.count("warcinfo") == 1
+        assert len(gzip.decompress(data)) < 20_000 + 3000
+    got = {r.page_id: r for r in warc.read(spark, path).collect()}
+    assert len(got) == 300 and all(r.intact for r in got.values())
+    assert sum(r.refers_to == 297 for r in got.values()) == 99
+
+
+def test_parse_members_and_faults():
+    text = warc.record(7, "http://x", "body " * 400_000, "D", 2_000_000, 7, None, "2024-01-01T00:00:00Z", False).encode() + b"\r\n\r\n"
+    for data in (text * 3, gzip.compress(text) * 3, gzip.compress(text * 3)):
+        found = list(warc.parse(data))
+        assert [h["warc-record-id"] for h, _ in found] == ["<urn:x-page:7>"] * 3
+        assert all(block.endswith(b"body ") for _, block in found)
+    assert list(warc.parse(b"")) == []
+    for broken in (text[:-4], text[:50], b"no record\r\n\r\n", text[:-4] + b"more"):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
+
+
+def test_ids_and_names_that_clash(spark):
+    least = -(1 << 63)
+    rows = [(least, "t", 1, 2, 3), (5, "t", 1, 2, 3), (None, "t", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _tw_row int, _tw_key int, own int")
+    assert {r.keep_id for r in exact_dedup.groups(docs).collect()} == {least}
+    assert [tuple(r) for r in exact_dedup.deduplicate(docs).collect()] == [rows[0]]
+    assert exact_dedup.deduplicate(docs).columns == docs.columns
+    plain = docs.select("doc_id", "text")
+    assert exact_dedup.deduplicate(plain).collect() == plain.limit(1).collect()
+
+
+def test_owners_have_key_ranges(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2000) AS text")
+    _, pages_ = exact_dedup.index(docs, owner_bytes=2000, bucket_bytes=500)
+    spans = [(r.a, r.b) for r in pages_.groupBy("_tw_bucket").agg({"_tw_key": "min"}).selectExpr("_tw_bucket", "`min(_tw_key)` a").join(pages_.groupBy("_tw_bucket").agg({"_tw_key": "max"}).selectExpr("_tw_bucket", "`max(_tw_key)` b"), "_tw_bucket").collect()]
+    unsigned = sorted((a % (1 << 64), b % (1 << 64)) for a, b in spans if a < 0 or b >= 0 and a >= 0)
+    assert len(spans) > 20 and all(b < c for (_, b), (c, _) in zip(unsigned, unsigned[1:]))
+    assert sum(r.kept for r in exact_dedup.groups(docs).collect()) == 2000

@@ -144,13 +144,56 @@ def test_held_out_accuracy(spark):
 
 def test_gradients():
     rng = np.random.default_rng(0)
-    bags = [rng.normal(size=(rng.integers(1, 5), len(quality_model.FEATURES))) for _ in range(40)]
+    bags = [rng.normal(size=(rng.integers(1, 5), quality_model.FEATURES)) for _ in range(40)]
     labels = np.array([int(b[:, 0].max() > 0.8) for b in bags])
-    model = quality_model.fit(bags, labels, rounds=300)
+    model = quality_model.fit(bags, labels, steps=300)
     x, starts = np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
     assert ((model.score(x, starts) > 0.5) == labels).mean() > 0.95
 
 
+def test_gradients_against_differences():
+    """Every gradient equals the difference quotient of the loss."""
+    rng = np.random.default_rng(1)
+    x, starts, y = rng.normal(size=(9, 5)), np.array([0, 2, 3, 7]), np.array([1.0, 0.0, 1.0, 0.0])
+    w = quality_model._initial(5, 4, 3, 0.6, 2)
+    _, grad = quality_model.gradients(w, x, starts, y)
+    for name, value in w.items():
+        for at in np.ndindex(value.shape):
+            losses = []
+            for step in (1e-6, -1e-6):
+                moved = {k: v.copy() for k, v in w.items()}
+                moved[name][at] += step
+                losses.append(quality_model.gradients(moved, x, starts, y)[0])
+            assert abs((losses[0] - losses[1]) / 2e-6 - grad[name][at]) < 1e-6
+
+
+def test_words_alone_tell():
+    """Good and bad documents differ in a few words only, of the same letters and lengths, in one passage of several."""
+    rng = random.Random(3)
+    plain, good, bad = words(rng, 400), ["solid", "tests", "proof"], ["dilos", "sttes", "foorp"]
+    texts, labels = [], []
+    for i in range(600):
+        text = [rng.choice(plain) for _ in range(rng.randrange(80, 300))]
+        at = rng.randrange(len(text) - 20)
+        for k in range(at, at + 20, 2):
+            text[k] = rng.choice(good if i % 2 else bad)
+        texts.append(" ".join(text).encode())
+        labels.append(i % 2)
+    model = quality_model.fit([quality_model.bag(t) for t in texts[:450]], np.array(labels[:450]))
+    right = 0
+    for text, label in zip(texts[450:], labels[450:]):
+        right += (model.score(quality_model.passages(text), np.array([0]))[0] > 0.5) == label
+    assert right >= 0.9 * 150
+
+
+def test_bags_cover_whole_texts():
+    text = " ".join(f"w{k}" for k in range(64 * 200)).encode()
+    whole, small = quality_model.passages(text), quality_model.bag(text)
+    assert (len(whole), len(small)) == (200, quality_model.BAG)
+    sizes = np.diff(np.append(np.arange(64) * 200 // 64, 200))
+    assert np.allclose((small * sizes[:, None]).sum(axis=0), whole.sum(axis=0))
+
+
 def test_quality_edge_cases(spark):
     docs = frame(spark, [None, "", "word", "long " * 60_000])
     labels = spark.createDataFrame([(0, None), (None, 1), (99, 1)], "doc_id long, quality int")

@@ -1,4 +1,4 @@
-"""Links that no leader shows: the exact search after the sampled rounds."""
+"""Links that no leader shows: the exact search after the leaders' rounds."""
 
 import random
 
@@ -50,8 +50,8 @@ def test_prefix_join_finds_every_pair(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sketched = near_dedup.written(near_dedup.sketch(docs), "test-sketch")
     weigh = near_dedup.weights(sketched)
-    apart = sketched.filter("row is not null").selectExpr("row", "row AS label")
-    got = {(r.row, r.leader) for r in near_dedup.apart_pairs(sketched, apart, weigh, 0.8).collect()}
+    apart = sketched.filter("row is not null").selectExpr("row", "row AS cell", "1L AS size")
+    got = {tuple(sorted((r.row, r.cell))) for r in near_dedup.visits(sketched, apart, weigh, 0.8).collect()}
     rows = [(r.row, np.frombuffer(r.ids, "<u4"), r.counts and np.frombuffer(r.counts, "<u4")) for r in sketched.filter("row is not null").orderBy("row").collect()]
     want = set()
     for k, (a, x, n) in enumerate(rows):
@@ -69,7 +69,7 @@ def test_pairs_inside_a_template_bucket(spark):
     for i, j in pairs:
         near = template + words(rng, 40)
         texts[i], texts[j] = " ".join(near), " ".join(near[:-15] + words(rng, 15))
-    got = labels_by_bands(spark, texts, [own_bands(i, 7) for i in range(60)], seeds=1, more_seeds=1)
+    got = labels_by_bands(spark, texts, [own_bands(i, 7) for i in range(60)])
     assert all(got[i] == got[j] for i, j in pairs)
     assert len(set(got)) == 55
 
@@ -85,3 +85,29 @@ def test_plain_copies_over_common_passages(spark):
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
     assert all(got[k] == got[k + 1] for k in range(320, 480, 2))
     assert len(set(got.values())) == 400
+
+
+def test_odd_sketches_bound_differences():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        both, a, b = (rng.choice(1 << 32, rng.integers(1, 900), replace=False).astype(np.uint32) for _ in range(3))
+        x, y = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+        least = near_dedup.apart_at_least(near_dedup.parity(x), near_dedup.parity(y))
+        assert 0 <= least <= len(np.setxor1d(x, y))
+    assert near_dedup.apart_at_least(near_dedup.parity(x), near_dedup.parity(x)) == 0
+
+
+def test_likely_keeps_every_link(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(20):
+        base = words(rng, rng.randrange(5, 120)) + ["of"] * rng.choice([0, 0, 30])
+        texts += [" ".join(base + words(rng, rng.randrange(0, 60))) for _ in range(4)] + [" ".join(base + words(rng, 2)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketched = near_dedup.written(near_dedup.sketch(docs), "test-sketch")
+    weigh = near_dedup.weights(sketched)
+    rows = [r.row for r in sketched.filter("octet_length(ids) > 0").orderBy("row").collect()]
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :]], "row long, leader long")
+    kept = {tuple(r) for r in near_dedup.likely(sketched, pairs, weigh, 0.8).collect()}
+    want = {(r.row, r.leader) for r in near_dedup.verify(sketched, pairs, weigh).collect() if r.likeness >= 0.8}
+    assert len(want) >= 20 and want <= kept and len(kept) < pairs.count() / 3

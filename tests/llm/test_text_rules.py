@@ -1,6 +1,7 @@
 """Brute-force versions of the native text operators, and their edge cases."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -80,6 +81,46 @@ def test_quality_verdicts_follow_labels(spark):
     assert sum(good) >= 0.95 * len(good)
 
 
+def test_posterior_against_brute_force_em():
+    """The same EM, written one document at a time with plain floats."""
+    rng = random.Random(8)
+    documents = []
+    for _ in range(300):
+        good = rng.random() < 0.8
+        documents.append(tuple(rng.choices((-1, 0, 1), (0.1, 0.2, 0.7) if good else (0.7, 0.2, 0.1))[0] for _ in range(4)))
+    patterns = sorted(set(documents))
+    got = dict(zip(patterns, quality_rules.fit_votes(patterns, [documents.count(p) for p in patterns])))
+    start = ({-1: 0.6, 0: 0.25, 1: 0.15}, {-1: 0.15, 0: 0.25, 1: 0.6})
+    table, share, prior = [[dict(start[0]), dict(start[1])] for _ in range(4)], 0.8, 0.01 * len(documents)
+    for _ in range(200):
+        posterior = []
+        for d in documents:
+            bad, good = 1 - share, share
+            for rule, vote in enumerate(d):
+                bad, good = bad * table[rule][0][vote], good * table[rule][1][vote]
+            posterior.append(good / (bad + good))
+        for rule in range(4):
+            for kind in (0, 1):
+                seen = {v: prior * start[kind][v] for v in (-1, 0, 1)}
+                for d, p in zip(documents, posterior):
+                    seen[d[rule]] += p if kind else 1 - p
+                table[rule][kind] = {v: n / sum(seen.values()) for v, n in seen.items()}
+        share = (sum(posterior) + 0.8 * prior) / (len(documents) + prior)
+    assert all(abs(got[d] - p) < 1e-6 for d, p in zip(documents, posterior))
+
+
+def test_bad_documents_go(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    clean = [" ".join(word() for _ in range(120)) + "\n" + " ".join(word() for _ in range(60)) for _ in range(90)]
+    junk = ["## $$ %% " * 40 + " ".join(word() for _ in range(30)) for _ in range(10)]
+    junk += [" ".join(["BUY NOW " + word().upper()] * 40) + "\n" + "\n".join(["CLICK HERE"] * 30) for _ in range(10)]
+    rows = quality_rules.judge(docs(spark, clean + junk)).orderBy("doc_id").collect()
+    assert all(r.kept for r in rows[:90])
+    assert sum(r.kept for r in rows[90:]) <= 2
+    assert all(0 <= r.posterior <= 1 for r in rows)
+
+
 def test_empty_tables(spark):
     none = docs(spark, ["x"]).limit(0)
     assert quality_rules.judge(none).count() == 0
@@ -119,6 +160,66 @@ def test_mask(spark):
     assert got == ["see [SECRET] and é [SECRET].", None, "clean"]
 
 
+def brute_mask(text):
+    """Union of all spans, extra kinds too, each run of touching starts on its own."""
+    own = spans(text)
+    for pattern in (r"gh[pousr]_[A-Za-z0-9]{36,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"):
+        own += [(m.start(), 9, m.end(), "") for m in re.finditer(pattern, text)]
+    out, at = [], 0
+    for start, _, end, _ in sorted(own):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def test_many_matches(spark):
+    """Spans and masks of long texts with thousands of matches, some overlapping, in far less than quadratic time."""
+    long = " ".join(f"é😀 token={'ab12' * 8}{k:06d} plain words {'0f' * 14} AKIA{'A' * 18}" for k in range(6000))
+    texts = [long, "secret=" + "a" * 40 + " " + "x" * 3000 + " token=" + "f" * 30, "token=abcdef", *[t for t in ODD if t]]
+    frame = docs(spark, texts)
+    got = {r.doc_id: r for r in secret_scan.report(secret_scan.BlobLedger(spark).scan(frame)).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.mask(frame, secret_scan.BlobLedger(spark)).collect()}
+    for i, t in enumerate(texts):
+        want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans(t))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert clean[i] == brute_mask(t)
+    assert got[0].n_assign == 6000 and got[0].n_hex >= 6000
+
+
+def test_two_writers_count_once(spark):
+    one = secret_scan.BlobLedger(spark)
+    two = secret_scan.BlobLedger(spark, one.path)
+    frame = docs(spark, ["token=abcdefgh"])
+    one.update(frame)
+    two.update(frame)
+    both = secret_scan.BlobLedger(spark, one.path)
+    assert len(both.batches) == 2
+    row = secret_scan.report(both.scan(frame)).first()
+    assert (row.n_assign, row.spans) == (1, "assign:0:14")
+
+
+def test_grown_rules_and_versions_of_a_path(spark):
+    texts = ["token=abcdef", "ghp_" + "Z" * 36, "token=abcdef", None]
+    frame = spark.createDataFrame([("p%d" % (i % 2), i, t) for i, t in enumerate(texts)], "path string, version int, text string")
+    ledger = secret_scan.BlobLedger(spark)
+    got = {(r.path, r.version): [s.kind for s in r.spans] for r in secret_scan.grown(frame, ledger.path, ("path", "version")).collect()}
+    assert got == {("p0", 0): ["assign"], ("p1", 1): ["forge"], ("p0", 2): ["assign"], ("p1", 3): []}
+    first, second = (spark.read.parquet(x) for x in secret_scan.BlobLedger(spark, ledger.path).batches)
+    assert {len(r.versions) for r in first.collect()} == {len(secret_scan.BASE)}
+    assert {len(r.versions) for r in second.collect()} == {len(secret_scan.EXTRA)}
+
+
+def test_names_that_clash(spark):
+    columns = "doc_id long, text string, blob string, spans string, key int, own int, hit int, masked int, _tw_blob int, n_chars int"
+    frame = spark.createDataFrame([(1, "token=abcdef x", "b", "s", 1, 2, 3, 4, 5, 14), (None, None, None, None, None, None, None, None, None, None)], columns)
+    rows = sorted(secret_scan.mask(frame, secret_scan.BlobLedger(spark)).collect(), key=str)
+    assert [tuple(r) for r in rows] == [(1, "[SECRET] x", "b", "s", 1, 2, 3, 4, 5, 10), (None,) * 10]
+    assert secret_scan.report(secret_scan.BlobLedger(spark).scan(frame)).count() == 2
+    assert license_scan.scan(frame.withColumnRenamed("blob", "parts").withColumnRenamed("spans", "licenses")).count() == 2
+    assert quality_rules.judge(frame.withColumnRenamed("blob", "words").withColumnRenamed("spans", "pattern")).count() == 2
+
+
 def test_licenses(spark):
     texts = [
         "Text.\nLicensed under the Apache License, Version 2.0.\nMore.",
@@ -151,7 +252,51 @@ def test_wrapped_licenses(spark):
         "Licensed under the\n\nMIT License",
     ]
     got = [r.licenses for r in license_scan.scan(docs(spark, texts)).orderBy("doc_id").collect()]
-    assert got == ["MIT", "BSD", "Apache-2.0", "all-rights-reserved", "MIT", "GPL-3.0", ""]
+    assert got == ["MIT", "BSD-2-Clause", "Apache-2.0", "all-rights-reserved", "MIT", "GPL-3.0", ""]
+
+
+def test_notices_of_many_licenses(spark):
+    """Headers and bodies as their licences print them, wrapped; expected names are the licences' own."""
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+        "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    )
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+    want = {
+        "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": "GPL-2.0",
+        "/* SPDX-License-Identifier: MIT */": "MIT",
+        "SPDX-License-Identifier: MIT-0": "",
+        "Mozilla Public License Version 2.0": "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed": "MPL-2.0",
+        bsd: "BSD-2-Clause",
+        bsd + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.": "BSD-3-Clause",
+        isc + ", provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+        isc + ".": "0BSD",
+        "under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or": "LGPL-2.1",
+        "under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or": "GPL-2.0",
+        "the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or": "AGPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007": "LGPL-3.0",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+        "CC0 1.0 Universal": "CC0-1.0",
+        "It is not licensed under the MIT License": "",
+    }
+    got = [r.licenses for r in license_scan.scan(docs(spark, list(want))).orderBy("doc_id").collect()]
+    assert got == list(want.values())
+
+
+def test_hints_pass_every_sentence_over_to_the_rules(spark):
+    known = license_scan.SENTENCES | license_scan.BODIES
+    found = license_scan.scan(docs(spark, list(known))).orderBy("doc_id").collect()
+    assert all(r.n_sentences >= 1 for r in found)
+
+
+def test_long_text_keeps_every_license(spark):
+    text = ("words of a long text. " * 200 + "\nMIT License\n" + "more of it " * 50 + "\nAll rights\nreserved.\n") * 60
+    row = license_scan.scan(docs(spark, [text])).first()
+    assert row.n_sentences == 120 and row.licenses == "all-rights-reserved"
 
 
 def test_ordered_rule_needs_order(spark):

@@ -158,25 +158,41 @@ def test_packing(spark, score, capacity):
         assert bins <= -(-total // capacity.tokens) + 1
 
 
-def test_packing_against_one_by_one():
-    """Runs of bins must give what placing the pieces one at a time gives."""
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [packing.Capacity(100, 5), packing.Capacity(100), packing.Capacity(100, 7, 4000.0)])
+def test_packing_against_one_by_one(score, capacity):
+    """Runs of bins give what placing the pieces one at a time gives, by the vector score."""
     rng = random.Random(3)
+    weights = (1.0, 0.0537, 0.0711)
+    scale = np.array(weights) / capacity.vector()
     for _ in range(30):
-        lengths = [rng.randrange(1, 101) for _ in range(rng.randrange(1, 400))]
-        capacity = packing.Capacity(100, 5)
+        longest = rng.choice([20, 60])
+        lengths = [rng.randrange(1, longest) for _ in range(rng.randrange(1, 400))]
         counts = {x: lengths.count(x) for x in set(lengths)}
-        plan = packing.best_fit(counts, capacity)
-        bins = []
+        plan = packing.best_fit(counts, capacity, weights, score)
+        rooms, held = [], []
         for x in sorted(lengths, reverse=True):
-            open_bins = [(((b[0] - x) / 100) ** 2 + (0.05 * (b[1] - 1) / 5) ** 2, i) for i, b in enumerate(bins) if b[0] >= x and b[1] >= 1]
-            if open_bins:
-                bins[min(open_bins)[1]][0] -= x
-                bins[min(open_bins)[1]][1] -= 1
+            need = np.array([x, 1.0, x * x])
+            fits = [i for i, room in enumerate(rooms) if (room >= need).all()]
+            if not fits:
+                rooms.append(capacity.vector())
+                held.append([])
+                best = len(rooms) - 1
+            elif score == "dot":
+                best = max(fits, key=lambda i: ((rooms[i] * scale) @ (need * scale), -i))
             else:
-                bins.append([100 - x, 4])
-        assert plan.bins <= len(bins) + 1
-        at, offset = plan.place(*(np.array(x, dtype=np.int64) for x in zip(*[(n, k) for n, c in counts.items() for k in range(c)])))
-        assert at.max() + 1 == plan.bins
+                best = min(fits, key=lambda i: ((((rooms[i] - need) * scale) ** 2).sum(), i))
+            rooms[best] = rooms[best] - need
+            held[best].append(x)
+        assert plan.bins == len(rooms)
+        pieces = [(n, k) for n, c in counts.items() for k in range(c)]
+        at, offset = plan.place(*(np.array(x, dtype=np.int64) for x in zip(*pieces)))
+        got = defaultdict(list)
+        for bin_, (n, _) in zip(at.tolist(), pieces):
+            got[bin_].append(n)
+        # Bins of equal residuals are alike to the score, whatever they hold.
+        used = lambda bins: sorted((sum(x), len(x), sum(n * n for n in x)) for x in bins)
+        assert used(got.values()) == used(held)
 
 
 def test_packing_nothing(spark):

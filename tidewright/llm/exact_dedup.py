@@ -6,11 +6,10 @@ Three tables under one shared folder make the index:
   text), a row number, and the row number of its *entry*, the first row of the
   same task with the same normalised bytes. Copies within a task share an entry,
   so a text that a third of all rows repeat is one entry a task.
-* the directory: buckets by leading key bits. A bucket over capacity doubles the
-  directory below it until it fits or holds one key only; capacity follows from
-  the corpus bytes and the session's shuffle partitions, so the directory's size
-  follows the cluster's width, not the corpus.
-* ``pages``: entries by bucket. An owner task has the entries of whole buckets in
+* the directory: a row for each prefix of leading key bits, with its bucket and
+  the bucket's owner. A bucket over its bytes doubles the directory below it until
+  it fits or holds one key only. It has a row for some MB of text.
+* ``pages``: entries by bucket. An owner task has the buckets of one key range in
   key order, chains entries of equal keys and compares their bytes; entries of
   equal bytes get the same variant number.
 
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.workspace import hold, written
+from tidewright.llm.workspace import Scratch, hold, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 HEAP = (("_tw_row", T.LongType()), ("_tw_entry", T.LongType()), ("_tw_key", T.LongType()), ("_tw_chars", T.LongType()), ("_tw_bytes", T.LongType()), ("_tw_sha", T.StringType()))
@@ -152,20 +151,28 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def index(docs: DataFrame, key_bits: int = 64, buckets_a_task: int = 4) -> tuple[DataFrame, DataFrame]:
-    """The heap and the pages of the index over ``docs``, both written."""
+def index(docs: DataFrame, key_bits: int = 64, bucket_bytes: int = 32 << 20, owner_bytes: int = 128 << 20) -> tuple[DataFrame, DataFrame]:
+    """The heap and the pages of the index over ``docs``, both written.
+
+    A bucket holds ``bucket_bytes`` of normalised text at most and an owner task
+    about ``owner_bytes``, whatever the corpus size; small corpora get as many
+    owners as the session has cores.
+    """
     spark = docs.sparkSession
     rows = written(heap(docs, key_bits), "dedup-heap", compression="zstd")
     entries = rows.filter("_tw_entry = _tw_row")
     narrow = entries.select("_tw_key", "_tw_bytes")
     total = narrow.agg(F.sum("_tw_bytes")).first()[0] or 0
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    depth, table = directory(narrow, max(total // (wide * buckets_a_task), 1))
-    places = spark.createDataFrame(list(enumerate(table.tolist())), "_tw_prefix long, _tw_bucket long")
-    if len(table) <= 1 << 21:  # 16 bytes a row
+    owners = max(-(-total // owner_bytes), spark.sparkContext.defaultParallelism)
+    depth, table = directory(narrow, max(min(bucket_bytes, total // (4 * owners)), 1))
+    buckets = int(table[-1]) + 1
+    # Buckets are numbered in key order, so an owner's buckets are one key range.
+    leaves = pa.table({"_tw_prefix": np.arange(len(table)), "_tw_bucket": table, "_tw_owner": (table * owners // buckets).astype(np.int32)})
+    places = written(spark.createDataFrame(leaves), "dedup-directory")
+    if len(table) <= 1 << 21:  # 20 bytes a row
         places = F.broadcast(places)
-    routed = entries.withColumn("_tw_prefix", _prefix(depth)).join(places, "_tw_prefix").select("_tw_bucket", "_tw_key", "_tw_entry", "text")
-    owned = routed.repartition("_tw_bucket").sortWithinPartitions("_tw_bucket", "_tw_key")
+    routed = entries.withColumn("_tw_prefix", _prefix(depth)).join(places, "_tw_prefix").select("_tw_owner", "_tw_bucket", "_tw_key", "_tw_entry", "text")
+    owned = routed.repartitionById(owners, "_tw_owner").sortWithinPartitions("_tw_bucket", "_tw_key").select("_tw_bucket", "_tw_key", "_tw_entry", "text")
     pages = owned.mapInArrow(_chained, "_tw_bucket long, _tw_key long, _tw_entry long, _tw_variant int")
     return rows, written(pages, "dedup-pages")
 
@@ -175,20 +182,27 @@ def _verdicts(rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = ["_tw_key", "_tw_variant"]
     members = rows.select("doc_id", "_tw_row", "_tw_entry", "_tw_chars", "_tw_sha").join(pages.select("_tw_entry", *own), "_tw_entry")
     members = written(members.drop("_tw_entry"), "dedup-members")
-    best = F.max(F.struct(F.col("_tw_chars").alias("chars"), (-F.col("doc_id")).alias("id"), (-F.col("_tw_row")).alias("row")))
-    classes = members.groupBy(*own).agg(best.alias("best"), F.count("*").alias("group_size"))
-    return members, classes.select(*own, (-F.col("best.id")).alias("keep_id"), (-F.col("best.row")).alias("_tw_keep"), "group_size")
+    order = F.struct((-F.col("_tw_chars")).alias("chars"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_tw_row").alias("row"))
+    classes = members.groupBy(*own).agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    return members, classes.select(*own, F.col("best.id").alias("keep_id"), F.col("best.row").alias("_tw_keep"), "group_size")
 
 
 def groups(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    members, classes = _verdicts(*index(docs.select("doc_id", "text"), key_bits))
+    with Scratch(docs.sparkSession) as scratch:
+        members, classes = _verdicts(*index(docs.select("doc_id", "text"), key_bits))
+        scratch.keep(members)
     joined = members.join(classes, ["_tw_key", "_tw_variant"])
     return joined.select("doc_id", "keep_id", "group_size", (F.col("_tw_row") == F.col("_tw_keep")).alias("kept"), F.col("_tw_sha").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    rows, pages = index(docs, key_bits)
-    _, classes = _verdicts(rows, pages)
-    return rows.join(classes.select(F.col("_tw_keep").alias("_tw_row")), "_tw_row", "left_semi").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    inner = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("own"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows, pages = index(inner, key_bits)
+        members, classes = _verdicts(rows, pages)
+        scratch.keep(rows, members)
+    kept = classes.select(F.col("_tw_keep").alias("_tw_row"))
+    return rows.join(kept, "_tw_row", "left_semi").select(*[F.col("own")[c].alias(c) if c in others else F.col(c) for c in docs.columns])

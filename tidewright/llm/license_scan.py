@@ -5,6 +5,8 @@ and digits with one blank between runs), known licence sentences become
 identifiers, and the sequence of identifiers is matched against ordered rules.
 Sentences of notices and licence bodies are found inside longer sentences and
 over wrapped lines too (the oracle SQL knows whole one-line sentences only).
+Texts without any word of a set that every known sentence draws on are passed
+over; the set is made from the sentences.
 Everything is an expression over one row: no shuffle, and a text of any length
 is handled whole.
 
@@ -15,6 +17,12 @@ repeated rows give equal rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,20 +51,45 @@ SENTENCES = {
     "version 2 june 1991": "GPL2_DATE",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSD_SOURCE",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSD_BINARY",
+    "gnu lesser general public license": "LGPL_TITLE",
+    "version 2 1 february 1999": "LGPL21_DATE",
+    "gnu affero general public license": "AGPL_TITLE",
+    "version 3 19 november 2007": "AGPL3_DATE",
 }
 
-# Licence -> sequences of identifiers; any one of them names the licence.
+# SPDX short identifiers whose tags are known, as written after "SPDX-License-Identifier:".
+SPDX = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 "
+    "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 "
+    "Unlicense Zlib"
+).split()
+
+# Licence -> sequences of identifiers; any one of them names the licence. Earlier rules come first.
 RULES = {
     "Apache-2.0": [["APACHE2_TAG"], ["APACHE_TITLE", "APACHE2_DATE"]],
-    "MIT": [["MIT_TAG"], ["MIT_TITLE", "MIT_NOTICE"]],
+    "MIT": [["MIT_TAG"], ["MIT_TITLE", "MIT_NOTICE"], ["MIT_GRANT", "MIT_NOTICE"]],
     "CC-BY-NC-4.0": [["CCBYNC4_TAG"]],
     "CC-BY-4.0": [["CCBY4_TAG"]],
     "CC-BY-SA-4.0": [["CCBYSA4_TAG"]],
+    "CC0-1.0": [["CC0_TAG"]],
+    "AGPL-3.0": [["AGPL3_TAG"], ["AGPL_TITLE", "AGPL3_DATE"]],
+    "LGPL-3.0": [["LGPL3_TAG"], ["LGPL_TITLE", "GPL3_DATE"]],
+    "LGPL-2.1": [["LGPL21_TAG"], ["LGPL_TITLE", "LGPL21_DATE"]],
     "GPL-3.0": [["GPL3_TAG"], ["GPL_TITLE", "GPL3_DATE"]],
     "GPL-2.0": [["GPL2_TAG"], ["GPL_TITLE", "GPL2_DATE"]],
-    "BSD": [["BSD_SOURCE", "BSD_BINARY"]],
+    "MPL-2.0": [["MPL2_TAG"]],
+    "EPL-2.0": [["EPL2_TAG"]],
+    "BSL-1.0": [["BSL1_TAG"]],
+    "BSD-3-Clause": [["BSD3_TAG"], ["BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE"]],
+    "BSD-2-Clause": [["BSD2_TAG"], ["BSD_SOURCE", "BSD_BINARY"]],
+    "ISC": [["ISC_TAG"], ["ISC_GRANT", "ISC_NOTICE"]],
+    "0BSD": [["0BSD_TAG"], ["ISC_GRANT"]],
+    "Zlib": [["ZLIB_TAG"], ["ZLIB_WARRANTY", "ZLIB_MARKED"]],
+    "Unlicense": [["UNLICENSE_TAG"]],
     "all-rights-reserved": [["RIGHTS"]],
 }
+#: A rule gives way to earlier rules whose sequences hold its own.
+YIELDS = {"BSD-2-Clause": ["BSD-3-Clause"], "0BSD": ["ISC"]}
 
 # Sentences of notices and bodies, found inside longer sentences and over wrapped lines too -> identifier.
 BODIES = {
@@ -70,26 +103,69 @@ BODIES = {
     "licensed under a creative commons attribution noncommercial 4 0 international license": "CCBYNC4_TAG",
     "licensed under a creative commons attribution sharealike 4 0 international license": "CCBYSA4_TAG",
     "licensed under a creative commons attribution 4 0 international license": "CCBY4_TAG",
+    "cc0 1 0 universal": "CC0_TAG",
     "licensed under the gnu general public license version 3": "GPL3_TAG",
     "licensed under the gnu general public license version 2": "GPL2_TAG",
     "gnu general public license as published by the free software foundation either version 3 of the license": "GPL3_TAG",
     "gnu general public license as published by the free software foundation either version 2 of the license": "GPL2_TAG",
     "gnu general public license as published by the free software foundation version 3": "GPL3_TAG",
     "gnu general public license as published by the free software foundation version 2": "GPL2_TAG",
+    "gnu lesser general public license as published by the free software foundation either version 3 of the license": "LGPL3_TAG",
+    "gnu lesser general public license as published by the free software foundation either version 2 1 of the license": "LGPL21_TAG",
+    "gnu affero general public license as published by the free software foundation either version 3 of the license": "AGPL3_TAG",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL2_TAG",
+    "mozilla public license version 2 0": "MPL2_TAG",
+    "eclipse public license v 2 0": "EPL2_TAG",
+    "eclipse public license version 2 0": "EPL2_TAG",
+    "boost software license version 1 0": "BSL1_TAG",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "MIT_GRANT",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSD_SOURCE",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSD_BINARY",
+    "may be used to endorse or promote products derived from this software without specific prior written permission": "BSD_ENDORSE",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "ISC_GRANT",
+    "provided that the above copyright notice and this permission notice appear in all copies": "ISC_NOTICE",
+    "this software is provided as is without any express or implied warranty": "ZLIB_WARRANTY",
+    "altered source versions must be plainly marked as such": "ZLIB_MARKED",
+    "this is free and unencumbered software released into the public domain": "UNLICENSE_TAG",
 }
-BODY_RULES = {"MIT": [["MIT_GRANT", "MIT_NOTICE"]]}
 
-#: What can stand between two words of a body sentence: anything but a sentence end or a blank line.
-GAP = r"(?:[^A-Za-z0-9.!?;\n]|\n(?![ \t\r]*\n)|\.(?!\s|$))+"
+
+def _normal(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
+def _tag(spdx: str) -> str:
+    """The identifier that alone names an SPDX identifier's licence."""
+    name = spdx.removesuffix("-only").removesuffix("-or-later")
+    return next(step for (step, *more) in RULES[name] if not more)
+
+
+TAGS = {f"spdx license identifier {_normal(x)}": _tag(x) for x in SPDX}
+SENTENCES |= TAGS
+
+
+def _hints(sentences: Iterable[str]) -> list[str]:
+    """Few words of six letters or more, so that each sentence holds one of them (or else its longest word)."""
+    left, out = [set(x.split()) for x in sentences], []
+    while left:
+        seen = Counter(w for x in left for w in x if len(w) >= 6) or Counter(max(x, key=len) for x in left)
+        # Words of few sentences are rare ones in other texts too; a word must still cover many here.
+        out.append(max(seen, key=lambda w: (seen[w], len(w), w)))
+        rest = [x for x in left if out[-1] not in x]
+        if len(rest) == len(left):
+            rest = left[1:]
+        left = rest
+    return out
+
+
+#: What can stand between two words of a body sentence: anything but a closing . ! or ? and a blank line.
+GAP = r"(?:[^A-Za-z0-9.!?\n]|\n(?![ \t\r]*\n)|\.(?!\s|$))+"
 
 #: A sentence ends at a line end, at ! ? ; or at a dot that white space or the end follows.
 BREAK = r"[\n\r!?;]+|\.(?=\s|$)"
-#: Cheap test that a text can hold any of the sentences at all.
-HINT = r"(?i)licen[sc]e|permission[^a-z0-9]+is[^a-z0-9]+hereby|rights[^a-z0-9]+reserved|redistributions|permission[^a-z0-9]+notice|january[^a-z0-9]+2004|june[^a-z0-9]+2007|june[^a-z0-9]+1991"
+#: Stands for an identifier that is already found; no text keeps it.
+MARK = "\x01"
 
 
 def normal(sentence: Column) -> Column:
@@ -97,14 +173,15 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def unwrapped(text: Column) -> Column:
-    """Each body sentence of ``text`` on a line of its own, wherever lines broke it."""
-    for body in BODIES:
-        start = r"(?i)(?<![A-Za-z0-9])(?<!\bnot\s)" + ("(?<!not )" if body.startswith("licensed") else "")
-        # The whole of the one known sentence that holds another stays together.
-        if body.startswith("licensed under the gnu"):
-            start += "(?:this" + GAP + "work" + GAP + "is" + GAP + ")?"
-        text = F.regexp_replace(text, start + GAP.join(body.split()) + r"(?![A-Za-z0-9]|\.[0-9])", "\n" + body + "\n")
+def unwrapped(text: Column, bodies: dict[str, str]) -> Column:
+    """``text`` with each body sentence, wherever lines broke it, as its marked identifier on a line; longer sentences first."""
+    text = F.translate(text, MARK, " ")
+    for body in sorted(bodies, key=lambda x: (-len(x), x)):
+        start, end = r"(?i)(?<![A-Za-z0-9])(?<!\bnot\s)", r"(?![A-Za-z0-9]|\.[0-9])"
+        words = [r"v\.?" if word == "v" else word for word in body.split()]
+        if body in TAGS:
+            end = r"(?![A-Za-z0-9]|[.-][A-Za-z0-9])"
+        text = F.regexp_replace(text, start + GAP.join(words) + end, f"\n{MARK}{bodies[body]}\n")
     return text
 
 
@@ -112,26 +189,28 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[s
     """doc_id, sentence_ids (in order), n_sentences, licenses (sorted), n_licenses.
 
     A rule matches when its identifiers occur in its order, other identifiers
-    between them allowed.
+    between them allowed, and no earlier rule that it yields to matches.
     """
-    whole = sentences is None
-    sentences = sentences or BODIES | SENTENCES
-    rules = rules or {k: v + BODY_RULES.get(k, []) for k, v in RULES.items()}
+    bodies = BODIES | TAGS if sentences is None else {}
+    sentences = sentences or SENTENCES
+    rules = rules or RULES
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
-    hint = text.rlike(HINT) if whole else F.lit(True)
-    text = unwrapped(text) if whole else text
-    df = docs.select("doc_id", F.when(hint, F.split(text, BREAK)).otherwise(F.array().cast("array<string>")).alias("parts"))
-    named = F.transform("parts", lambda s: F.try_element_at(known, normal(s)))
+    parts = F.split(unwrapped(text, bodies), BREAK)
+    hint = F.lower(text).rlike("|".join(map(re.escape, _hints([*sentences, *bodies]))))
+    df = docs.select("doc_id", F.when(hint, parts).otherwise(F.array().cast("array<string>")).alias("parts"))
+    named = F.transform("parts", lambda s: F.when(s.startswith(MARK), F.substr(s, F.lit(2))).otherwise(F.try_element_at(known, normal(s))))
     df = df.select("doc_id", F.filter(named, lambda x: x.isNotNull()).alias("sentence_ids"))
     sequence = F.concat(F.lit(";"), F.array_join("sentence_ids", ";"), F.lit(";"))
-    hit = lambda steps: sequence.rlike(";" + ";(?:[^;]*;)*?".join(steps) + ";") if len(steps) == 1 else sequence.rlike(";" + ";(?:[^;]+;)*".join(steps) + ";")
-    found = []
-    for name, sequences in sorted(rules.items()):
-        any_of = F.lit(False)
+    hits = {}
+    for name, sequences in rules.items():
+        hits[name] = F.lit(False)
         for steps in sequences:
-            any_of = any_of | hit(steps)
-        found.append(F.when(any_of, F.lit(name)))
+            hits[name] |= sequence.rlike(";" + ";(?:[^;]+;)*".join(map(re.escape, steps)) + ";")
+    found = []
+    for name in sorted(hits):
+        stronger = [hits[x] for x in YIELDS.get(name, []) if x in hits]
+        found.append(F.when(hits[name] & ~reduce(or_, stronger, F.lit(False)), F.lit(name)))
     df = df.select("doc_id", "sentence_ids", F.array_compact(F.array(*found)).alias("licenses"))
     return df.select(
         "doc_id",

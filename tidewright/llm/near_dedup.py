@@ -12,17 +12,18 @@ r"""Near-duplicate detection by improved consistent weighted sampling.
 3. ``links``: within a band's bucket every document is compared with one leader
    (the bucket's first or last row, in turn by band): never all pairs of a
    bucket. Those that do not match their leader are dealt out again by a longer
-   key, where other leaders await them, and those that come close to it are
-   compared with further members.
-4. ``apart_pairs``: a prefix-filter join over all texts finds every pair of unlike
-   components that can be linked; one pair of a document and a component is
-   compared first, then all that are still apart.
+   key, where other leaders await them.
+4. ``visits`` and ``close_pairs``: alike documents form cells; a prefix-filter join
+   over all texts finds, for every document, the other cells that can hold a link
+   of it. Each document is compared with its cells' leaders, and what two documents
+   have in and beside a leader bounds their similarity, so few pairs remain to be
+   compared, and no link is lost.
 5. ``components`` of the links are the classes.
 
-A pair is linked when its weighted or its plain Jaccard similarity over shingles
-reaches the threshold, so weights find links but never hide one. A pair at 0.8
-plain similarity and even weights misses every band with probability
-(1 - 0.64) ** 12, about 5e-6.
+A pair is linked when its weighted Jaccard similarity over shingles reaches the
+threshold; a second rule links it at the same plain similarity, so that weights
+never hide a plain near copy. Weights depend on the share of documents that hold
+a shingle, not on their number: see :class:`Weights`.
 
 Words are runs of ``[^\x20\x09-\x0D]``. Defined cases: a document of one to four
 words has no shingle and is linked only to equal word sequences; a null or empty
@@ -40,19 +41,23 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.word_tokens import _Memo, texts
-from tidewright.llm.workspace import hold, written
+from tidewright.llm.workspace import Scratch, hold, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 2
 #: Count-min table: rows, cells a row, pieces a row travels in.
-DEPTH, WIDTH, PIECES = 2, 1 << 19, 16
+DEPTH, WIDTH, PIECES = 2, 1 << 21, 16
+#: Up to so many shingles are kept in a row, to count common ones in place; more change cost only.
+CARRIED = 64
+#: The share of documents, as one in so many, below which shingles weigh alike.
+RARE = 2000
 #: Slots of the filter that keeps sets without a candidate pair out of a shuffle.
-SLOTS = 1 << 26
+SLOTS = 1 << 24
 SKETCH = "row long, doc_id long, key string, ids binary, counts binary, piece int, cells binary"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -106,7 +111,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sets.append(ids)
                 row += 1
             for k, cells in enumerate(_cells(np.concatenate(sets))):
-                table[k] += np.bincount(cells, minlength=WIDTH).astype(np.int32)
+                np.add.at(table[k], cells, np.int32(1))
             yield made(out)
         if table.any():
             pieces = table.reshape(DEPTH * PIECES, -1)
@@ -119,19 +124,27 @@ class Weights:
     """Weights of shingles: count times inverse document frequency.
 
     The frequency is the smaller cell of the count-min table, which counts every
-    document: it exceeds the true one by a fixed share of all shingles at most
-    (in expectation), at every corpus size. So rare shingles weigh alike.
+    document. It exceeds the true one by the documents' mean number of shingles
+    over ``WIDTH`` in expectation, as a share of all documents and so alike at
+    every corpus size. Shingles in fewer than one document in ``RARE`` weigh like
+    one in ``RARE``, which covers that excess up to ``WIDTH / RARE`` (about 1000)
+    shingles a document.
     """
 
-    def __init__(self, documents: int, table: np.ndarray) -> None:
+    def __init__(self, documents: int, table: Broadcast) -> None:
         self.documents, self.table = documents, table
+        self.most = np.float32(min(max(documents, 1), RARE))
 
     def seen(self, ids: np.ndarray) -> np.ndarray:
-        a, b = _cells(ids)
-        return np.maximum(np.minimum(self.table[0][a], self.table[1][b]), 1)
+        (a, b), table = _cells(ids), self.table.value
+        return np.maximum(np.minimum(table[0][a], table[1][b]), 1)
+
+    def rarity(self, ids: np.ndarray) -> np.ndarray:
+        """One in how many documents holds a shingle, ``most`` at most."""
+        return np.minimum(np.float32(self.documents) / self.seen(ids).astype(np.float32), self.most)
 
     def __call__(self, ids: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
-        idf = np.log1p(np.float32(self.documents) / self.seen(ids).astype(np.float32))
+        idf = np.log1p(self.rarity(ids))
         return idf if counts is None else idf * counts.astype(np.float32)
 
 
@@ -149,7 +162,8 @@ def weights(sketched: DataFrame) -> Weights:
     table = np.zeros((DEPTH * PIECES, WIDTH // PIECES), np.int64)
     for r in sketched.filter("piece is not null").select("piece", "cells").groupBy("piece").applyInPandas(add, "piece int, cells binary").collect():
         table[r["piece"]] = np.frombuffer(r["cells"], "<i8")
-    return Weights(sketched.filter("row is not null").count(), table.reshape(DEPTH, WIDTH))
+    counts = np.minimum(table, np.iinfo(np.int32).max).astype(np.int32).reshape(DEPTH, WIDTH)
+    return Weights(sketched.filter("row is not null").count(), sketched.sparkSession.sparkContext.broadcast(counts))
 
 
 class Sampler:
@@ -241,14 +255,14 @@ def similarity(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) ->
     return both / max(float(wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64)) - both, 1e-30), len(i) / max(len(a) + len(b) - len(i), 1)
 
 
-def _bitmap(rows: DataFrame) -> np.ndarray:
-    """Bits of the slots that occur in column ``slot``."""
+def _bitmap(rows: DataFrame) -> Broadcast:
+    """Bits of the slots that occur in column ``slot``, of a fixed size."""
     # The bitmap functions count from 1: slot s is bit s % 32768 of bucket s // 32768 + 1.
     maps = rows.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect()
     bits = np.zeros((SLOTS // 32_768, 4096), np.uint8)
     for r in maps:
         bits[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    return bits.reshape(-1)
+    return rows.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
 
 def _sets(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -257,24 +271,79 @@ def _sets(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
     A bitmap of fixed size drops most other rows before any shuffle; the joins
     that follow decide.
     """
+    keep, narrow = _slotted(sketched, pairs)
+    return narrow.mapInArrow(lambda batches: map(keep, batches), "row long, ids binary, counts binary")
+
+
+def _slotted(sketched: DataFrame, pairs: DataFrame):
+    """A filter of batches by the bitmap of ``pairs``, and the sets it is for."""
     slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS))
-    bits = _bitmap(pairs.select("row").union(pairs.select(F.col("leader").alias("row"))).select(slot.alias("slot")))
+    shared = _bitmap(pairs.select("row").union(pairs.select(F.col("leader").alias("row"))).select(slot.alias("slot")))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, bits = batch.column(3).to_numpy(), shared.value
+        return batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)).select([0, 1, 2])
+
+    return keep, sketched.filter("row is not null and octet_length(ids) > 0").select("row", "ids", "counts", slot.alias("slot"))
+
+
+def parity(ids: np.ndarray) -> bytes:
+    """Odd sketch: a bit for each slot that an odd number of shingles falls in; as many slots as shingles, up to a power of two."""
+    slots = 1 << max(6, int(len(ids)).bit_length())
+    return np.packbits((np.bincount(ids & np.uint32(slots - 1), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart_at_least(a: bytes, b: bytes) -> int:
+    """Lower bound of the shingles that one of two sets has and the other lacks: slots of unlike parity."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def likely(sketched: DataFrame, pairs: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
+    """The rows of ``pairs`` (row, leader and more) that odd sketches of their rare shingles do not rule out; no link is lost.
+
+    Linked sets differ in ``(1 - threshold) / (1 + threshold)`` of both sizes, or
+    of both weights, at most, and each shingle that weighs most differs whole.
+    """
+    keep, narrow = _slotted(sketched, pairs)
+    columns = pairs.columns
+    most, share = float(np.log1p(weigh.most)), (1 - threshold) / (1 + threshold)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near")
+        for batch in map(keep, batches):
+            out = []
+            for row, own, n in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(own, "<u4")
+                rare = ids[weigh.rarity(ids) >= weigh.most]
+                out.append((row, len(ids), float(weigh(ids, n and np.frombuffer(n, "<u4")).sum(dtype=np.float64)), parity(rare)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.float64(), pa.binary()))], names=["row", "n", "w", "odd"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(3).to_numpy()
-            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)).select([0, 1, 2])
+            apart = np.array([apart_at_least(a, b) for a, b in zip(batch.column("odd_a").to_pylist(), batch.column("odd_b").to_pylist())], float)
+            sizes, heavy = (batch.column(f"{x}_a").to_numpy() + batch.column(f"{x}_b").to_numpy() for x in "nw")
+            yield batch.filter(pa.array((apart <= share * sizes + 1e-6) | (apart * most <= share * heavy * (1 + 1e-6)))).select(columns)
 
-    narrow = sketched.filter("row is not null and octet_length(ids) > 0").select("row", "ids", "counts", slot.alias("slot"))
-    return narrow.mapInArrow(keep, "row long, ids binary, counts binary")
+    measured = written(narrow.mapInArrow(measure, "row long, n int, w double, odd binary"), "near-odd")
+    one, two = (measured.select(F.col("row").alias(key), *[F.col(x).alias(f"{x}_{end}") for x in ("n", "w", "odd")]) for key, end in (("row", "a"), ("leader", "b")))
+    return pairs.join(one, "row").join(two, "leader").select(*pairs.columns, "n_a", "n_b", "w_a", "w_b", "odd_a", "odd_b").mapInArrow(test, pairs.schema)
 
 
-def verify(sketched: DataFrame, pairs: DataFrame, weigh: Weights) -> DataFrame:
-    """row, leader, likeness: the larger of the two similarities."""
+def _compared(sketched: DataFrame, pairs: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare`` over ``pairs`` (row, leader and more) with the sets of both."""
     # Written once: both joins read it, and no task runs two Python stages at a time.
     sets = written(_sets(sketched, pairs), "near-sets")
     own = sets.select("row", F.col("ids").alias("ids_a"), F.col("counts").alias("counts_a"))
     lead = sets.select(F.col("row").alias("leader"), F.col("ids").alias("ids_b"), F.col("counts").alias("counts_b"))
+    return pairs.join(own, "row").join(lead, "leader").select(*pairs.columns, "ids_a", "counts_a", "ids_b", "counts_b").mapInArrow(compare, schema)
+
+
+def verify(sketched: DataFrame, pairs: DataFrame, weigh: Weights) -> DataFrame:
+    """row, leader, likeness: the larger of the two similarities."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("near")
@@ -287,8 +356,42 @@ def verify(sketched: DataFrame, pairs: DataFrame, weigh: Weights) -> DataFrame:
                 found.append(max(similarity(x, y, weigh(x, n and whole(n)), weigh(y, m and whole(m)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["row", "leader", "likeness"])
 
-    joined = pairs.join(own, "row").join(lead, "leader").select("row", "leader", "ids_a", "counts_a", "ids_b", "counts_b")
-    return joined.mapInArrow(compare, "row long, leader long, likeness double")
+    return _compared(sketched, pairs.select("row", "leader"), compare, "row long, leader long, likeness double")
+
+
+def profiles(sketched: DataFrame, pairs: DataFrame, weigh: Weights) -> DataFrame:
+    """What each row of ``pairs`` (row, leader, cell, home, alone) has in and beside its leader.
+
+    ``i`` of its ``n`` shingles, and ``wi`` of its weight ``w``, are shingles of
+    the leader; ``tokens`` and ``weights`` are its others (none where ``alone``).
+    The leader has ``m`` more shingles: ``missing``, or null for over ``CARRIED``.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near")
+        whole = lambda x: np.frombuffer(x, "<u4")
+        for batch in batches:
+            found, ends, tokens, shares, missing = [], [0], [], [], []
+            for alone, a, n, b, m in zip(*(batch.column(k) for k in range(4, 9))):
+                a, n, b, m = a.as_py(), n.as_py(), b.as_py(), m.as_py()
+                x, y = whole(a), whole(b)
+                w = weigh(x, n and whole(n))
+                both = np.isin(x, y, assume_unique=True)
+                lacks = y[~np.isin(y, x, assume_unique=True)].view(np.int32)
+                found.append((max(similarity(x, y, w, weigh(y, m and whole(m)))), len(x), int(both.sum()), float(w.sum(dtype=np.float64)), float(w[both].sum(dtype=np.float64)), len(lacks)))
+                missing.append(lacks if len(lacks) <= CARRIED else None)
+                beside = np.zeros(0, np.int64) if alone.as_py() else np.flatnonzero(~both)
+                ends.append(ends[-1] + len(beside))
+                tokens.append(x[beside].view(np.int32))
+                shares.append(w[beside])
+            if found:
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x), t)) for x, t in ((tokens, pa.int32()), (shares, pa.float32()))]
+                numbers = [pa.array(c, t) for c, t in zip(zip(*found), (pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32()))]
+                names = ["row", "leader", "cell", "home", "alone", "likeness", "n", "i", "w", "wi", "m", "tokens", "weights", "missing"]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], *numbers, *lists, pa.array(missing, pa.list_(pa.int32()))], names=names)
+
+    schema = "row long, leader long, cell long, home boolean, alone boolean, likeness double, n int, i int, w double, wi double, m int, tokens array<int>, weights array<float>, missing array<int>"
+    return _compared(sketched, pairs.select("row", "leader", "cell", "home", "alone"), compare, schema)
 
 
 def prefixes(sketched: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
@@ -321,79 +424,120 @@ def prefixes(sketched: DataFrame, weigh: Weights, threshold: float) -> DataFrame
     return narrow.mapInArrow(run, "row long, n int, weight double, tokens array<int>, rests array<tinyint>")
 
 
-def apart_pairs(sketched: DataFrame, labelled: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
-    """row, a, leader, b: every pair of unlike labels that can be linked, by a prefix-filter join without loss.
+def visits(sketched: DataFrame, homes: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
+    """row, cell: every other cell that may hold a text linked to the row, by a prefix-filter join without loss.
 
-    ``labelled``: row and label of every text. A linked pair has a first common
-    shingle; what either side holds from there on is at least what the pair must
-    share, ``threshold / (1 + threshold)`` of both sizes (or of both weights).
-    Shingles that occur under one label only are dropped before the join.
+    ``homes``: row, cell and size (of the cell) of every text. A linked pair has a
+    first common shingle; what either side holds from there on is at least what
+    the pair must share, ``threshold / (1 + threshold)`` of both sizes (or of both
+    weights). A cell's texts are one posting a shingle, with the most that any of
+    them holds and the least that any of them is, and of two cells the smaller
+    one's texts visit the larger. Shingles of one cell only are dropped first.
     """
-    known = written(prefixes(sketched, weigh, threshold).join(labelled, "row"), "near-prefixes")
-    mixed = known.select(F.explode("tokens").alias("token"), "label").groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = written(mixed.filter("low < high").select("token", "low"), "near-mixed")
-    bits = _bitmap(mixed.select(F.col("token").cast("long").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")))
+    known = written(prefixes(sketched, weigh, threshold).join(homes.select("row", "cell", "size"), "row"), "near-prefixes")
+    mixed = known.select(F.explode("tokens").alias("token"), "cell").groupBy("token").agg(F.min("cell").alias("low"), F.max("cell").alias("high"))
+    mixed = written(mixed.filter("low < high").select("token"), "near-mixed")
+    shared = _bitmap(mixed.select(F.col("token").cast("long").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
             tokens, sizes = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
             starts = np.cumsum(sizes) - sizes
             at = tokens.astype(np.int64) & (SLOTS - 1)
             held = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             owner = np.repeat(np.arange(len(sizes)), sizes)[held]
-            row, n, weight, label = (batch.column(k).to_numpy()[owner] for k in (0, 1, 2, 5))
+            row, n, weight, cell, size = (batch.column(k).to_numpy()[owner] for k in (0, 1, 2, 5, 6))
             rest = batch.column(4).flatten().to_numpy()[held] / 127.0 * weight
-            cols = (tokens[held], row, label, n, (n - (held - starts[owner])).astype(np.int32), weight, rest)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "row", "label", "n", "left", "weight", "rest"])
+            cols = (tokens[held], row, cell, size, n, (n - (held - starts[owner])).astype(np.int32), weight, rest)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "row", "cell", "size", "n", "left", "weight", "rest"])
 
-    flat = known.select("row", "n", "weight", "tokens", "rests", "label").mapInArrow(keep, "token int, row long, label long, n int, left int, weight double, rest double")
-    flat = written(flat.join(mixed, "token"), "near-rare")
-    # Of two labels at a shingle one at least is not the lowest.
-    one = flat.filter("label <> low").select("token", *[F.col(x).alias(x + "_a") for x in ("row", "label", "n", "left", "weight", "rest")])
+    flat = known.select("row", "n", "weight", "tokens", "rests", "cell", "size").mapInArrow(keep, "token int, row long, cell long, size long, n int, left int, weight double, rest double")
+    flat = written(flat.join(mixed, "token", "left_semi"), "near-rare")
+    least, most = (lambda x: F.min(x).alias(f"{x}_b")), (lambda x: F.max(x).alias(f"{x}_b"))
+    hosts = flat.groupBy("token", F.col("cell").alias("cell_b"), F.col("size").alias("size_b")).agg(most("left"), least("n"), most("rest"), least("weight"))
     share = threshold / (1 + threshold)
-    enough = F.least("left_a", "left") >= share * (F.col("n_a") + F.col("n")) - 1e-6
-    heavy = F.least("rest_a", "rest") >= share * (F.col("weight_a") + F.col("weight")) * (1 - 1e-6)
-    found = one.join(flat, "token").filter((F.col("label_a") != F.col("label")) & (enough | heavy))
-    lower = F.col("row_a") < F.col("row")
-    pair = [F.when(lower, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("row_a", "row", "row"), ("label_a", "label", "a"), ("row", "row_a", "leader"), ("label", "label_a", "b"))]
-    return found.select(*pair).distinct()
-
-
-def links(sketched: DataFrame, signed: DataFrame, weigh: Weights, threshold: float = THRESHOLD, levels: int = 3, seeds: int = 4, more_seeds: int = 32) -> DataFrame:
-    """Verified (row, leader) links between documents of different texts.
+    enough = F.least("left", "left_b") >= share * (F.col("n") + F.col("n_b")) - 1e-6
+    heavy = F.least("rest", "rest_b") >= share * (F.col("weight") + F.col("weight_b")) * (1 - 1e-6)
+    smaller = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("cell") < F.col("cell_b")))
+    return flat.join(hosts, "token").filter(smaller & (enough | heavy)).select("row", F.col("cell_b").alias("cell")).distinct()
+
+
+def close_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """row, leader: every pair of unlike labels that shares a cell and can be linked.
+
+    ``members``: profiles of the cells' own texts and visitors, with labels. What
+    two texts share is what both have of the cell's leader, known from what they
+    lack of it, and the shingles beside it that both have. Pairs with a common
+    shingle beside the leader meet at the first one (rows with more than
+    ``CARRIED`` such shingles meet at each); pairs without one can only be linked
+    if both have the threshold's share in the leader. Rows that lack more than
+    ``CARRIED`` shingles count as having what they can have.
+    """
+    share = threshold / (1 + threshold)
+    beside = members.select("cell", "row", "label", "home", F.explode(F.arrays_zip("tokens", "weights")).alias("x"))
+    beside = beside.select("cell", "row", "label", "home", F.col("x.tokens").alias("token"), F.col("x.weights").alias("weight"))
+    mixed = beside.groupBy("cell", "token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("home").alias("any_home"))
+    mixed = written(mixed.filter("low < high and any_home").select("cell", "token"), "near-beside")
+    own = beside.join(mixed, ["cell", "token"]).groupBy("cell", "row").agg(F.sort_array(F.collect_list("token")).alias("held"), F.sum("weight").alias("we"))
+    numbers = ("row", "label", "home", "n", "i", "w", "wi", "m", "missing")
+    held = own.join(members.select("cell", *numbers), ["cell", "row"])
+    held = held.select("cell", *numbers, "we", F.size("held").alias("e"), F.when(F.size("held") <= CARRIED, F.col("held")).alias("carried"), F.explode("held").alias("token"))
+    held = written(held, "near-held")
+    other = held.filter("home").select("cell", "token", *[F.col(x).alias(f"{x}_b") for x in (*numbers, "we", "e", "carried")])
+    once = (F.col("label") != F.col("label_b")) & (~F.col("home") | (F.col("row") < F.col("row_b")))
+    at_most, sizes = F.least("i", "i_b"), share * (F.col("n") + F.col("n_b")) - 1e-6
+    inside = F.coalesce(F.col("i") - F.col("m_b") + F.size(F.array_intersect("missing", "missing_b")), at_most)
+    weights = share * (F.col("w") + F.col("w_b")) * (1 - 1e-6)
+    weighty = F.least("wi", "wi_b") + F.least("we", "we_b") >= weights
+    common = F.array_intersect("carried", "carried_b")
+    meets = F.col("carried").isNull() | F.col("carried_b").isNull() | ((F.col("token") == F.array_min(common)) & (weighty | (inside + F.size(common) >= sizes)))
+    first = held.join(other, ["cell", "token"]).filter(once & (weighty | (at_most + F.least("e", "e_b") >= sizes)) & meets).select("row", F.col("row_b").alias("leader"))
+
+    fit = members.filter((F.col("i") >= threshold * F.col("n") - 1e-6) | (F.col("wi") >= threshold * F.col("w") * (1 - 1e-6))).select("cell", *numbers)
+    main = members.filter("row = leader").select("cell", F.col("label").alias("main"))
+    odd = fit.join(main, "cell").filter("label <> main")
+    rest = fit.select("cell", *[F.col(x).alias(f"{x}_b") for x in numbers])
+    bound = ((at_most >= sizes) & (inside >= sizes)) | (F.least("wi", "wi_b") >= weights)
+    second = odd.join(rest, "cell").filter((F.col("label") != F.col("label_b")) & (F.col("home") | F.col("home_b")) & bound).select("row", F.col("row_b").alias("leader"))
+    return first.union(second).select(F.least("row", "leader").alias("row"), F.greatest("row", "leader").alias("leader")).distinct()
+
+
+def links(sketched: DataFrame, signed: DataFrame, weigh: Weights, threshold: float = THRESHOLD, levels: int = 2) -> DataFrame:
+    """Verified (row, leader) links between documents of different texts, enough to connect every class.
 
     ``signed``: one row per text, with its band keys.
 
-    One minus either Jaccard similarity is a metric (the larger of two need not
-    be). So, within one similarity, a document that can be linked
-    to one that matches its leader is itself at 2 * threshold - 1 from the leader
-    at least. Documents between that and the threshold are compared with further
-    leaders of their buckets, ``2 * seeds`` a band in hashed orders; those that
-    are still in another component than their leader meet ``2 * more_seeds``
-    more. These rounds are samples: whatever they leave apart, at any likeness
-    and in any bucket, goes through :func:`apart_pairs`, and every pair that can
-    reach the threshold is compared or already in one component.
+    Rounds of leaders find most links. Texts at ``2 * threshold - 1`` or more
+    from a leader form cells, each led by the text with most company in its buckets,
+    as texts in the middle of their like have.
+    :func:`visits` names the texts of other cells that a cell may hold links to,
+    and :func:`profiles` compares members and visitors with the cell's leader
+    once. What is still apart after that and can be linked at all, by
+    :func:`close_pairs`, is compared pair by pair. Bands decide cost only: a pair
+    that reaches the threshold is compared, or already in one component.
     """
     tested: list[DataFrame] = []
 
-    def test(pairs: DataFrame) -> None:
-        for old in tested:
-            pairs = pairs.join(old.select("row", "leader"), ["row", "leader"], "left_anti")
-        tested.append(written(verify(sketched, written(pairs, "near-pairs"), weigh), "near-tested"))
-
     def all_tested() -> DataFrame:
         out = tested[0]
         for more in tested[1:]:
             out = out.unionByName(more)
         return out
 
-    first = signed.filter("bands is not null").select("row", F.posexplode("bands").alias("band", "key"))
-    members, led_first = first, None
+    def test(pairs: DataFrame) -> None:
+        if tested:
+            pairs = pairs.join(all_tested().select("row", "leader"), ["row", "leader"], "left_anti")
+        tested.append(written(verify(sketched, written(pairs, "near-pairs"), weigh), "near-tested"))
+
+    members = signed.filter("bands is not null").select("row", F.posexplode("bands").alias("band", "key"))
+    company = None
     for level in range(levels):
-        buckets = members.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low <> high")
+        buckets = members.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n")).filter("low <> high")
         leader = F.when(F.col("band") % 2 == 0, F.col("low")).otherwise(F.col("high"))
-        led = written(members.join(buckets, "key").select("row", "band", "key", leader.alias("leader")).filter("row <> leader"), "near-led")
-        led_first = led_first or led
+        met = written(members.join(buckets, "key").select("row", "band", "key", leader.alias("leader"), "n"), "near-led")
+        company = met.groupBy("row").agg(F.sum("n").alias("company")) if company is None else company
+        led = met.filter("row <> leader")
         test(led.select("row", "leader").distinct())
         left = led.join(all_tested().filter(F.col("likeness") < threshold).select("row", "leader"), ["row", "leader"]).select("row", "band", "key")
         if level + 1 == levels or left.isEmpty():
@@ -401,33 +545,26 @@ def links(sketched: DataFrame, signed: DataFrame, weigh: Weights, threshold: flo
         # The key grows by 1 band, then by 3 more.
         more = [F.get("bands", F.pmod(F.col("band") + k, F.lit(BANDS))) for k in range(2**level, 2 ** (level + 1) + level)]
         members = left.join(signed.select("row", "bands"), "row").select("row", "band", F.xxhash64("key", *more).alias("key"))
-    near = all_tested().filter((F.col("likeness") >= 2 * threshold - 1) & (F.col("likeness") < threshold)).select("row", "leader")
-    grey = written(led_first.join(near, ["row", "leader"]).select("row", "leader", "key"), "near-grey")
 
-    def meet(rows: DataFrame, start: int, count: int) -> None:
-        ordered = [F.struct(F.xxhash64("row", "key", F.lit(k)).alias("h"), "row") for k in range(start, start + count)]
-        others = first.join(rows.select("key").distinct(), "key", "left_semi").groupBy("key")
-        others = others.agg(F.array(*[f(x)["row"] for x in ordered for f in (F.min, F.max)]).alias("leaders"))
-        test(rows.join(others, "key").select("row", F.explode(F.array_distinct("leaders")).alias("leader")).filter("row <> leader").distinct())
+    everyone = signed.filter("bands is not null").select("row")
+    near = written(all_tested().filter(F.col("likeness") >= 2 * threshold - 1), "near-near")
+    cells = everyone.join(components(near.select("row", "leader")), "row", "left").select("row", F.coalesce("label", "row").alias("cell"))
+    cells = written(cells.join(company, "row", "left"), "near-cells")
+    leaders = cells.groupBy("cell").agg(F.max_by("row", F.struct("company", "row")).alias("leader"), F.count("*").alias("size"))
+    homes = written(cells.join(leaders, "cell").select("row", "cell", "leader", "size"), "near-homes")
+    guests = visits(sketched, homes, weigh, threshold).join(homes.filter("row = leader").select("cell", "leader", "size"), "cell")
+    guests = written(guests.select("row", "leader", "cell", F.lit(False).alias("home"), (F.col("size") == 1).alias("alone")), "near-guests")
+    own = homes.filter("size > 1").select("row", "leader", "cell", F.lit(True).alias("home"), F.lit(False).alias("alone"))
+    pairs = own.union(guests.filter("not alone")).union(likely(sketched, guests.filter("alone"), weigh, threshold))
+    profiled = written(profiles(sketched, written(pairs, "near-visits"), weigh), "near-profiles")
+    tested.append(profiled.filter("row <> leader").select("row", "leader", "likeness"))
 
     def linked() -> DataFrame:
         return all_tested().filter(F.col("likeness") >= threshold).select("row", "leader")
 
-    meet(grey, 0, seeds)
     labels = components(linked())
-    apart = grey.join(labels.select("row", F.col("label").alias("a")), "row", "left").join(labels.select(F.col("row").alias("leader"), F.col("label").alias("b")), "leader", "left")
-    apart = written(apart.filter(F.coalesce("a", "row") != F.coalesce("b", "leader")).select("row", "key").distinct(), "near-apart")
-    meet(apart, seeds, more_seeds)
-
-    def labelled() -> DataFrame:
-        return signed.filter("bands is not null").select("row").join(components(linked()), "row", "left").select("row", F.coalesce("label", "row").alias("label"))
-
-    rest = written(apart_pairs(sketched, labelled(), weigh, threshold), "near-rest")
-    # One pair of a document and a component first; then all that this leaves apart.
-    test(rest.groupBy("row", "b").agg(F.min_by("leader", F.xxhash64("row", "leader")).alias("leader")).select("row", "leader"))
-    now = written(labelled(), "near-now")
-    rest = rest.join(now.select("row", F.col("label").alias("x")), "row").join(now.select(F.col("row").alias("leader"), F.col("label").alias("y")), "leader")
-    test(rest.filter("x <> y").select("row", "leader"))
+    shared = profiled.filter("not alone").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    test(close_pairs(written(shared, "near-members"), threshold))
     return linked()
 
 
@@ -451,21 +588,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), class_size, kept (doc_id = class_id) of every row."""
-    sketched = written(sketch(docs), "near-sketch")
-    weigh = weights(sketched)
-    signed = written(signatures(sketched, weigh), "near-signatures")
-    names = signed.filter("key is not null").groupBy("key").agg(F.min("row").alias("text_row"), F.max("bands").alias("bands"))
-    names = written(names, "near-texts")
-    edges = links(sketched, names.select(F.col("text_row").alias("row"), "bands"), weigh, threshold)
-    labels = components(edges).select(F.col("row").alias("text_row"), "label")
-    named = names.select("key", "text_row").join(labels, "text_row", "left").select("key", F.coalesce("label", "text_row").alias("label"))
-    rows = sketched.filter("row is not null").select("row", "doc_id", "key").join(named, "key", "left")
-    rows = written(rows.select("doc_id", F.coalesce("label", "row").alias("label")), "near-rows")
+    with Scratch(docs.sparkSession) as scratch:
+        sketched = written(sketch(docs), "near-sketch")
+        weigh = weights(sketched)
+        signed = written(signatures(sketched, weigh), "near-signatures")
+        names = signed.filter("key is not null").groupBy("key").agg(F.min("row").alias("text_row"), F.max("bands").alias("bands"))
+        names = written(names, "near-texts")
+        edges = links(sketched, names.select(F.col("text_row").alias("row"), "bands"), weigh, threshold)
+        labels = components(edges).select(F.col("row").alias("text_row"), "label")
+        named = names.select("key", "text_row").join(labels, "text_row", "left").select("key", F.coalesce("label", "text_row").alias("label"))
+        rows = sketched.filter("row is not null").select("row", "doc_id", "key").join(named, "key", "left")
+        rows = written(rows.select("doc_id", F.coalesce("label", "row").alias("label")), "near-rows")
+        scratch.keep(rows)
     sizes = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(sizes, "label").select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each class, with their columns."""
-    gone = classes(docs, threshold).filter("not kept").select(F.col("doc_id").alias("_tw_doc_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_tw_doc_id"), "left_anti")
+    return docs.join(classes(docs, threshold).filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)

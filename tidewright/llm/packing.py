@@ -1,7 +1,10 @@
 """Best-fit packing of documents into fixed-length training sequences.
 
 Vector best-fit: a bin (sequence) has residual capacity in tokens, documents and
-attention cost (the sum of squared piece lengths). Pieces go in order of
+attention cost (the sum of squared piece lengths). By default a sequence holds as
+many documents as tokens and the cost of one full-length piece, which no set of
+pieces exceeds that fits its tokens: both then weigh in the choice of a bin and
+never open one. Pieces go in order of
 decreasing length to the bin that meets every constraint and scores best, by the
 weighted norm of what would remain (``norm``) or the weighted dot product of
 demand and residual (``dot``); a new bin opens only when none fits.
@@ -37,14 +40,15 @@ from tidewright.llm.workspace import written
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence can hold; None is no limit."""
+    """What one sequence can hold; None is what its tokens alone allow, infinity is no limit."""
 
     tokens: int = 4096
-    documents: int | None = None
+    documents: float | None = None
     cost: float | None = None
 
     def vector(self) -> np.ndarray:
-        return np.array([self.tokens, self.documents or np.inf, self.cost or np.inf], dtype=float)
+        documents = self.tokens if self.documents is None else self.documents
+        return np.array([self.tokens, documents, float(self.tokens) ** 2 if self.cost is None else self.cost], dtype=float)
 
 
 @dataclass(frozen=True)
@@ -96,16 +100,26 @@ def best_fit(counts: Mapping[int, int], capacity: Capacity = Capacity(), weights
             raise ValueError(f"a piece of {length} tokens does not fit an empty sequence")
         while left:
             fits = np.flatnonzero((free[:runs] >= need).all(axis=1) & (many[:runs] > 0))
+            layer = left
             if len(fits):
                 residual = np.where(limited, free[fits], 0.0)
+                demand = np.where(limited, need, 0.0) * scale
                 if score == "dot":
-                    k = fits[np.argmax(residual * scale @ np.where(limited, need * scale, 0.0))]
+                    liking = residual * scale @ demand
+                    order = np.argsort(-liking, kind="stable")[:2]
+                    k = fits[order[0]]
+                    # Each piece makes its bin less liked: a bin takes pieces until another one is liked better.
+                    if many[k] > 1:
+                        layer = 1
+                    elif len(order) > 1 and demand @ demand > 0:
+                        layer = int((liking[order[0]] - liking[order[1]]) / (demand @ demand)) + 1
                 else:
-                    k = fits[np.argmin((((residual - np.where(limited, need, 0.0)) * scale) ** 2).sum(axis=1))]
+                    # Each piece makes its bin liked better, so it takes all that fit.
+                    k = fits[np.argmin(((residual * scale - demand) ** 2).sum(axis=1))]
                 room, start, available, old = free[k].copy(), int(first[k]), int(many[k]), True
             else:
                 room, start, available, old = most.copy(), bins, left, False
-            copies = int(min(np.floor(room[limited] / need[limited]).min(), left))
+            copies = int(min(np.floor(room[limited] / need[limited]).min(), left, layer))
             used = min(available, left // copies)
             rows.append((length, rank, start, copies, int(capacity.tokens - room[0])))
             if old:

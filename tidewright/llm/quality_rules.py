@@ -143,10 +143,9 @@ def judge(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
     voted = measured.select("*", F.concat_ws(",", *[c.cast("string") for c in rules.values()]).alias("pattern"))
     table = voted.groupBy("pattern").count().collect()
     good = fit_votes([[int(x) for x in r["pattern"].split(",")] for r in table], [r["count"] for r in table])
-    posterior = F.lit(None).cast("double")
-    if table:
-        pairs = [x for r, p in zip(table, good) for x in (F.lit(r["pattern"]), F.lit(float(p)))]
-        posterior = F.element_at(F.create_map(*pairs), F.col("pattern"))
+    # At most 3 ** len(rules) rows.
+    verdicts = docs.sparkSession.createDataFrame([(r["pattern"], float(p)) for r, p in zip(table, good)], "pattern string, posterior double")
+    voted, posterior = voted.join(F.broadcast(verdicts), "pattern", "left"), F.col("posterior")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return voted.select(
         "doc_id",
@@ -157,5 +156,5 @@ def judge(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
         "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (F.coalesce(posterior, F.lit(0.0)) >= keep_at)).alias("kept"),
-        posterior.alias("posterior"),
+        posterior,
     )

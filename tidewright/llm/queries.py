@@ -30,7 +30,7 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.report(secret_scan.BlobLedger(spark).scan(table(spark, sf_dir, "documents")))
+    return secret_scan.report(secret_scan.grown(table(spark, sf_dir, "documents")))
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def _license_sql() -> str:
     quoted = lambda x: "'" + x + "'"
     keys, values = (", ".join(map(quoted, x)) for x in (license_scan.SENTENCES, license_scan.SENTENCES.values()))
+    hits = {
+        name: "(" + " OR ".join(f"regexp_matches(seq, {quoted(';' + ';(?:[^;]+;)*'.join(steps) + ';')})" for steps in sequences) + ")"
+        for name, sequences in license_scan.RULES.items()
+    }
     rules = []
-    for name, sequences in sorted(license_scan.RULES.items()):
-        tests = " OR ".join(f"regexp_matches(seq, {quoted(';' + ';(?:[^;]+;)*'.join(steps) + ';')})" for steps in sequences)
-        rules.append(f"CASE WHEN {tests} THEN {quoted(name)} END")
+    for name in sorted(hits):
+        stronger = "".join(f" AND NOT {hits[x]}" for x in license_scan.YIELDS.get(name, []))
+        rules.append(f"CASE WHEN {hits[name]}{stronger} THEN {quoted(name)} END")
     return f"""WITH p AS (SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(COALESCE(text, ''), '\\.(\\s|$)', chr(10), 'g'), '[\\n\\r!?;]+'),
   lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS parts FROM documents),
   i AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: MAP([{keys}], [{values}])[s]), lambda x: x IS NOT NULL) AS ids FROM p),

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,32 @@ EXTRA = (
 )
 
 
+CHUNK, SEGMENT = 64, 1024
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def before(numbers: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array, ``step`` over all numbers before it, from 0 on.
+
+    Chunks are summed up first, so the work grows little faster than the array.
+    """
+
+    def chained(start: Column, own: Column) -> Column:
+        whole = F.aggregate(own, F.array(start), lambda done, x: F.concat(done, F.array(step(F.element_at(done, -1), x))))
+        return F.slice(whole, F.lit(1), F.size(own))
+
+    def by_chunk(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), step))
+        return F.flatten(F.zip_with(chunks, chained(F.lit(0), sums), lambda c, start: chained(start, c)))
+
+    cut = bound(numbers, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(CHUNK)), lambda k: F.slice(x, k + 1, F.lit(CHUNK))))
+    return F.when(F.size(numbers) > 0, bound(cut, by_chunk)).otherwise(F.array().cast("array<int>"))
+
+
 def matches(text: Column, rule: Rule, rank: int) -> Column:
     """Array of spans of one rule.
 
@@ -71,19 +98,15 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
         F.zip_with(whole, checked, lambda a, b: F.struct(F.char_length(a).alias("n"), F.char_length(b).alias("g"))),
         lambda gap, m: F.struct(gap.alias("gap"), m["n"].alias("n"), m["g"].alias("g")),
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(T.ArrayType(SPAN)).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"))
-        keep = x["n"].isNotNull() & (x["g"] >= rule.least)
-        return F.struct(
-            F.coalesce(start + x["n"], start).alias("at"),
-            F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
+
+    def placed(found: Column) -> Column:
+        starts = before(F.transform(found, lambda x: x["gap"] + F.coalesce(x["n"], F.lit(0))), lambda a, b: a + b)
+        spans = F.zip_with(found, starts, lambda x, at: F.struct((at + x["gap"]).alias("start"), x["n"].alias("n"), x["g"].alias("g")))
+        kept = F.filter(spans, lambda x: x["n"].isNotNull() & (x["g"] >= rule.least))
+        return F.transform(kept, lambda x: F.struct(x["start"], F.lit(rank).alias("rank"), (x["start"] + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version")))
 
     none = F.array().cast(T.ArrayType(SPAN))
-    return F.when(text.rlike(rule.pattern), F.aggregate(lengths, zero, step, lambda acc: acc["spans"])).otherwise(none)
+    return F.when(text.rlike(rule.pattern), bound(lengths, placed).cast(T.ArrayType(SPAN))).otherwise(none)
 
 
 class BlobLedger:
@@ -132,14 +155,22 @@ class BlobLedger:
             lambda s: F.struct(s["start"].alias("start"), F.try_element_at(rank, s["version"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["version"].alias("version")),
         )
         rows = self.entries().filter(F.size("spans") > 0).select("blob", own.alias("spans"))
-        return rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        # Writers that scan one blob at a time record the same spans; they count once.
+        return rows.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
-    def scan(self, docs: DataFrame) -> DataFrame:
-        """doc_id and the sorted spans of every row of ``docs``."""
+    def scan(self, docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """``keys`` (a path, say, and a version of it) and the sorted spans of every row of ``docs``."""
         self.update(docs)
-        paths = docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))
+        paths = docs.select(*keys, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))
         none = F.array().cast(T.ArrayType(SPAN))
-        return paths.join(self.findings(), "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+        return paths.join(self.findings(), "blob", "left").select(*keys, F.coalesce("spans", none).alias("spans"))
+
+
+def grown(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Scan with the base rules, then with all: the second pass scans what the ledger lacks, the added rules' pairs."""
+    first = BlobLedger(docs.sparkSession, path, BASE)
+    first.update(docs)
+    return BlobLedger(docs.sparkSession, first.path).scan(docs, keys)
 
 
 def listed(spans: Column) -> Column:
@@ -155,18 +186,24 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with the union of ``spans`` (sorted by start) replaced by ``mark``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        between = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
+    """``text`` with the union of ``spans`` (sorted by start) replaced by ``mark``.
+
+    Pieces are cut from segments of the text, not from its start each time.
+    """
+
+    def cut(segments: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / SEGMENT).cast("int"), F.floor((end - 1) / SEGMENT).cast("int")
+        own = F.array_join(F.slice(segments, first + 1, last - first + 1), "")
+        return F.when(end > start, F.substr(own, start % SEGMENT + 1, end - start)).otherwise("")
+
+    def replaced(segments: Column) -> Column:
+        reach = before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        pieces = F.zip_with(spans, reach, lambda s, r: F.struct(r.alias("a"), s["start"].alias("b")))
+        fresh = F.filter(pieces, lambda x: x["b"] >= x["a"])
+        head = F.array_join(F.transform(fresh, lambda x: F.concat(cut(segments, x["a"], x["b"]), F.lit(mark))), "")
+        return F.concat(head, cut(segments, F.array_max(F.transform(spans, lambda s: s["end"])), F.char_length(text)))
 
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    return F.when(F.size(spans) > 0, bound(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % SEGMENT), F.lit(0)), replaced)).otherwise(text)
 
 
 def mask(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
@@ -175,13 +212,12 @@ def mask(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
     ``n_chars``, where present, follows the new text.
     """
     ledger.update(docs)
-    columns = docs.columns
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    found = ledger.findings().select(F.col("blob").alias("_tw_blob"), F.col("spans").alias("_tw_spans"))
-    joined = docs.withColumn("_tw_blob", blob).join(found, "_tw_blob", "left")
-    clean = F.when(F.col("_tw_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_tw_spans")))
-    joined = joined.withColumn("text", clean)
-    if "n_chars" in columns:
-        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        joined = joined.withColumn("n_chars", F.when(F.col("_tw_spans").isNull(), F.col("n_chars")).otherwise(length))
-    return joined.select(*columns)
+    found = ledger.findings().select(F.col("blob").alias("key"), "spans")
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), blob.alias("blob")).join(found, F.col("blob") == F.col("key"), "left")
+    hit, text = F.col("spans").isNotNull(), F.col("own")["text"]
+    joined = joined.select("own", hit.alias("hit"), F.when(hit, masked(text, F.col("spans"))).otherwise(text).alias("masked"))
+    new = {"text": F.col("masked")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("hit"), F.char_length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("own")["n_chars"])
+    return joined.select(*[new.get(c, F.col("own")[c]).alias(c) for c in docs.columns])

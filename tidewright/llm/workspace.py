@@ -3,7 +3,11 @@
 A cluster names a folder that all its machines share in ``spark.checkpoint.dir``.
 Operators write intermediate tables there with Spark's own writers (so a lost
 executor only costs a task retry) and read them back. Only where the setting is
-absent, as in local tests, a folder of this process is created.
+absent and the master is local, as in tests, a folder of this process is
+created; on a cluster without the setting operators raise.
+
+Tables written inside a :class:`Scratch` block go when the block ends, but for
+those that are kept; the shuffle files of a write go with the write.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +53,8 @@ def shared_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     own = tempfile.mkdtemp(prefix="tidewright-")
     _OWN.append(own)
     spark.sparkContext.setCheckpointDir(own)
@@ -63,9 +70,56 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+class Scratch:
+    """Deletes the tables written in its block when the block ends; blocks nest."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Leave tables of this block to the block around it, if any."""
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            table = self.paths.pop(path)
+            if len(Scratch._open) > 1:
+                Scratch._open[-2].paths[path] = table
+
+    def __exit__(self, *error: object) -> None:
+        Scratch._open.remove(self)
+        remove(self.spark, self.paths)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders on any file system."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Executions inside drop their shuffle files at their end; none of them is run twice."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.options(**options).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if Scratch._open:
+        Scratch._open[-1].paths[path] = table
+    return table
