@@ -122,11 +122,25 @@ def test_level_responses():
     for _ in range(20):
         step = rng.normal(size=20)
         assert schedule.quadratic_cost(x + step - step.mean(), m) >= best
-    assert schedule.replay(x, np.full(20, 10.0), m)["impact"] == pytest.approx(10 * best / 100)
     with pytest.raises(NotImplementedError):
         schedule.replay_session()
 
 
+def test_replayed(spark):
+    """Drift and impact of schedules against mid paths, by session, against sums in plain Python."""
+    levels, rng, rows = [1.0, 0.5, 0.25], np.random.default_rng(4), []
+    for name in ("a", "b"):
+        for k in range(6):
+            rows.append((name, k, float(rng.uniform(1, 9)), 10 + float(rng.normal()) / 10))
+    frame = spark.createDataFrame(rows, "session string, slice int, shares double, mid double")
+    for r in schedule.replayed(frame, levels, ["session"]).collect():
+        x, mid = zip(*[(s, m) for name, _, s, m in rows if name == r.session])
+        cost = 0.5 * sum(x[i] * x[j] * levels[min(abs(i - j), 2)] for i in range(6) for j in range(6))
+        assert r.impact_cost == pytest.approx(cost)
+        assert r.impact_per_share == pytest.approx(mid[0] * cost / sum(x))
+        assert r.drift_per_share == pytest.approx(sum(a * b for a, b in zip(x, mid)) / sum(x) - mid[0])
+
+
 def session(n=6000):
     rng = np.random.default_rng(9)
     flow = rng.normal(0, 100, n)
@@ -170,9 +184,19 @@ def test_forms():
     assert f.theta == pytest.approx([2, 0.5], rel=0.02)
     y = 1.3 * u**0.4 * np.exp(rng.normal(0, 0.05, 600))
     rows = forms.contest(s, u, y, w, (forms.LINEAR, forms.POWER, forms.ATHL_06), 20)
-    assert rows[0]["form"] == "power" and rows[0]["boot_low"] < 0.4 < rows[0]["boot_high"] and rows[0]["delta_aic"] == 0
+    assert rows[0].form == "power" and rows[0].interval[0] < 0.4 < rows[0].interval[1] and forms.aic_gaps(rows)[0] == 0
     p = forms.exponent_profile(forms.POWER, u, y, w, [0.3, 0.4, 0.5])
-    assert p[1]["deviance"] == 0 and p[0]["deviance"] > 3.841
+    assert p[1].deviance == 0 and p[0].deviance > 3.841
+
+
+@pytest.mark.parametrize("form", forms.FORMS)
+def test_form_slopes_against_differences(form):
+    u = np.geomspace(1e-3, 30, 50)
+    shape = np.array([0.7, 0.4][: len(form.bounds)])
+    for k, slope in enumerate(form.slopes(shape, u)):
+        step = np.zeros(len(shape))
+        step[k] = 1e-6
+        assert slope == pytest.approx((form.basis(shape + step, u) - form.basis(shape - step, u)) / 2e-6, abs=1e-6)
 
 
 def test_schedules():

@@ -8,11 +8,46 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.sources.scratch import folder
 
-def edges(value: Column, bins: int) -> Column:
-    """Aggregate: distinct exact quantile edges of ``bins`` equal-count bins."""
-    points = F.array(*[F.lit(float(x)) for x in np.linspace(0, 1, bins + 1)])
-    return F.array_distinct(F.percentile(value, points))
+
+def cumulative(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values of ``order`` with their count ``_n``, the rows ``_before`` them and ``_all`` rows, within ``by``.
+
+    Counts are sorted by range over all tasks, and each task's counts are offset by
+    those of the tasks before it; so no group meets in one task. The sorted counts
+    are written, as both readers must see the same ranges.
+    """
+    spark, keys = df.sparkSession, [*by, *order]
+    path = folder(spark, "ranks")
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    counted.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    group = list(by) or [F.lit(0)]
+    # One row a task and group.
+    part = placed.groupBy(*by, "_p").agg(F.sum("_n").alias("_part"))
+    earlier = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(*by, "_p", F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_offset"), F.sum("_part").over(Window.partitionBy(*group)).alias("_all"))
+    inside = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(part, [*by, "_p"])
+    return rows.select(*keys, "_n", (F.col("_offset") + F.col("_inside")).alias("_before"), "_all")
+
+
+def edges(df: DataFrame, value: Column, bins: int, by: Sequence[str] = (), name: str = "edges") -> DataFrame:
+    """Distinct exact quantile edges of ``bins`` equal-count bins, one row a group."""
+    ranked = cumulative(df.select(*by, value.alias("_v")).filter("_v is not null"), ["_v"], by)
+    at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("_v")))
+    cuts, columns = np.linspace(0, 1, bins + 1), []
+    for j, point in enumerate(cuts):
+        place = F.lit(float(point)) * (F.col("_all") - 1)
+        columns += [at(F.floor(place)).alias(f"_lo{j}"), at(F.ceil(place)).alias(f"_hi{j}")]
+    found = ranked.groupBy(*by).agg(F.max("_all").alias("_all"), *columns)
+
+    def edge(j: int) -> Column:
+        place, lo, hi = F.lit(float(cuts[j])) * (F.col("_all") - 1), F.col(f"_lo{j}"), F.col(f"_hi{j}")
+        return F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi)
+
+    return found.select(*by, F.array_distinct(F.array(*[edge(j) for j in range(bins + 1)])).alias(name))
 
 
 def right_closed(value: Column, edge: Column) -> Column:
@@ -27,7 +62,7 @@ def left_closed(value: Column, edge: Column) -> Column:
 
 def with_edges(df: DataFrame, value: Column, bins: int, by: Sequence[str] = (), name: str = "edges") -> DataFrame:
     """``df`` with its group's edges; the groups' edges are one small row each."""
-    found = df.groupBy(*by).agg(edges(value, bins).alias(name))
+    found = edges(df, value, bins, by, name)
     return df.join(found, list(by)) if by else df.crossJoin(F.broadcast(found))  # one row
 
 
@@ -57,15 +92,11 @@ def log_bins(df: DataFrame, size: str, values: Sequence[str], bins: int, by: Seq
 def deciles(df: DataFrame, value: str, key: Column, by: Sequence[str] = (), groups: int = 10) -> DataFrame:
     """``df`` with a ``decile`` by the middle rank of whole tie groups.
 
-    Ties are counted first, so ranks run over distinct keys; the ranks of one
-    group of ``by`` are one window, as the exact rank needs.
+    Ties are counted first, so ranks run over distinct keys.
     """
     keyed = df.withColumn("_key", key)
-    counted = keyed.groupBy(*by, "_key").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy("_key")
-    whole = Window.partitionBy(*by)
-    ranked = counted.withColumn("_cum", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(whole))
-    ranked = ranked.withColumn("decile", F.floor((2 * F.col("_cum") - F.col("_n")) * groups / (2 * F.col("_all"))).cast("long"))
+    ranked = cumulative(keyed.select(*by, "_key"), ["_key"], by)
+    ranked = ranked.withColumn("decile", F.floor((2 * F.col("_before") + F.col("_n")) * groups / (2 * F.col("_all"))).cast("long"))
     return keyed.join(ranked.select(*by, "_key", "decile"), [*by, "_key"]).drop("_key")
 
 
@@ -81,7 +112,9 @@ def calibration(df: DataFrame, realised: str, predicted: str, key: Column, by: S
     return out.withColumn("ratio", F.col("realised") / F.nullif(F.col("predicted"), F.lit(0.0)))
 
 
-def tercile(value: str, tie: str, by: Sequence[str] = ()) -> Column:
-    """low, mid or high by row number; ``tie`` orders equal values."""
-    share = F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)) / F.count("*").over(Window.partitionBy(*by))
-    return F.when(share <= 1 / 3, "low").when(share <= 2 / 3, "mid").otherwise("high")
+def terciles(df: DataFrame, value: str, tie: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with low, mid or high by row number; ``tie`` tells equal values apart."""
+    ranked = cumulative(df.select(*by, value, tie), [value, tie], by)
+    share = (F.col("_before") + F.col("_n")) / F.col("_all")
+    ranked = ranked.withColumn(name, F.when(share <= 1 / 3, "low").when(share <= 2 / 3, "mid").otherwise("high"))
+    return df.join(ranked.select(*by, value, tie, name), [*by, value, tie])

@@ -115,8 +115,9 @@ def minute_shares(bars: DataFrame, keys: Sequence[str] = SESSION, width: int = 6
 
 def last_per_second(rows: DataFrame, keys: Sequence[str] = SESSION, order: str = "seq") -> DataFrame:
     """The last row of each second."""
-    w = Window.partitionBy(*keys, "sec").orderBy(F.col(order).desc())
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    rest = [c for c in rows.columns if c not in (*keys, "sec")]
+    last = rows.groupBy(*keys, "sec").agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
+    return last.select(*[F.col(f"_last.{c}").alias(c) if c in rest else F.col(c) for c in rows.columns])
 
 
 def depth_by_minute(ladder: DataFrame, sizes: Column, keys: Sequence[str] = SESSION) -> DataFrame:

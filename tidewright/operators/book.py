@@ -98,10 +98,12 @@ def session_bins(df: DataFrame, sizes: Sequence[float], volumes: DataFrame, sigm
     """Binned walking costs of a session: two sides, three size units, three cost units.
 
     ``volumes``: the keys with the daily volatility and volume columns. Sizes are
-    shares, shares over the first depth, and shares over daily volume.
+    shares, shares over the first depth, and shares over daily volume;
+    ``participating`` is the share of snapshots deep enough for a bin's sizes.
     """
     x = df.withColumn("x", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
-    c = costs(x).join(volumes, list(by))
+    deep = participation(df, sizes, by).select(*by, "x", F.col("buy").alias("_buy"), F.col("sell").alias("_sell"))
+    c = costs(x).join(volumes, list(by)).join(deep, [*by, "x"])
     both = c.select(
         *by,
         "mid",
@@ -109,7 +111,7 @@ def session_bins(df: DataFrame, sizes: Sequence[float], volumes: DataFrame, sigm
         "x",
         F.col(sigma).alias("_sigma"),
         F.col(volume).alias("_volume"),
-        F.explode(F.array(F.struct(F.lit("buy").alias("side"), F.col("buy_cost").alias("cost"), F.col("depth_l1_ask").cast("double").alias("touch")), F.struct(F.lit("sell").alias("side"), F.col("sell_cost").alias("cost"), F.col("depth_l1_bid").cast("double").alias("touch")))).alias("s"),
+        F.explode(F.array(F.struct(F.lit("buy").alias("side"), F.col("buy_cost").alias("cost"), F.col("depth_l1_ask").cast("double").alias("touch"), F.col("_buy").alias("deep")), F.struct(F.lit("sell").alias("side"), F.col("sell_cost").alias("cost"), F.col("depth_l1_bid").cast("double").alias("touch"), F.col("_sell").alias("deep")))).alias("s"),
     )
     units = F.explode(F.array(*[F.struct(F.lit(n).alias("size_normalisation"), v.alias("size")) for n, v in (("shares", F.col("x")), ("depth", X.ratio(F.col("x"), F.col("s.touch"))), ("volume", X.ratio(F.col("x"), F.col("_volume"))))]))
     rows = both.select("*", units.alias("u")).select(
@@ -120,9 +122,15 @@ def session_bins(df: DataFrame, sizes: Sequence[float], volumes: DataFrame, sigm
         (F.col("s.cost") / F.col("mid") * 1e4).alias("cost_bp"),
         X.ratio(F.col("s.cost") / F.col("mid"), F.col("_sigma")).alias("cost_sigma"),
         X.ratio(F.col("s.cost"), F.col("half_spread")).alias("cost_half_spreads"),
+        F.col("s.deep").alias("participating"),
     )
     keys = [*by, "side", "size_normalisation"]
-    return log_bins(rows, "size", ["cost_bp", "cost_sigma", "cost_half_spreads"], bins, keys)
+    return log_bins(rows, "size", ["cost_bp", "cost_sigma", "cost_half_spreads", "participating"], bins, keys)
+
+
+def deep_enough(bins: DataFrame, least: float) -> DataFrame:
+    """Bins whose sizes a share of snapshots of at least ``least`` could fill."""
+    return bins.filter(F.col("participating") >= least)
 
 
 def participation(df: DataFrame, sizes: Sequence[float], by: Sequence[str]) -> DataFrame:

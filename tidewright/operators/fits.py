@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import exprs as X
+from tidewright.functions.binning import cumulative
 from tidewright.operators import resample
 
 
@@ -320,12 +321,8 @@ def ols_hc1(df: DataFrame, y: str, xs: Sequence[str]) -> list[dict]:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks for ties."""
-    from pyspark.sql import Window
-
     def ranks(d: DataFrame, c: str, name: str) -> DataFrame:
-        counted = d.groupBy(c).agg(F.count("*").alias("_n"))
-        order = Window.orderBy(c)  # over distinct values only
-        ranked = counted.withColumn(name, F.sum("_n").over(order) - (F.col("_n") - 1) / 2)
+        ranked = cumulative(d.select(c), [c]).withColumn(name, F.col("_before") + (F.col("_n") + 1) / 2)
         return d.join(ranked.select(c, name), c)
 
     d = ranks(ranks(df.select(x, y).dropna(), x, "_rx"), y, "_ry")

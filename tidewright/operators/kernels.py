@@ -140,6 +140,48 @@ def calibrate(bars: DataFrame, keys: Sequence[str] = SESSION, lags: Sequence[int
     return bars.select(*keys, "sec", "mid", "signed_vol").groupBy(*keys).applyInPandas(run, f"{names}, delta double, n_lags int, r2_in double, r2_out double, g0 double, half_life double, best boolean, history_gain double, kernel array<double>")
 
 
+def pooled(bars: DataFrame, by: Sequence[str], keys: Sequence[str] = SESSION, lags: Sequence[int] = (0, 1, 2), deltas: Sequence[float] = (0.5, 1.0), train: float = 0.7) -> DataFrame:
+    """The lag fit of every shape over all sessions of a group, from sums of products.
+
+    Lags stay within a session; the first share of each session's complete rows
+    trains and the rest scores. What meets per group is two rows of sums, so a
+    group of any length is one partially aggregated pass.
+    """
+    import pandas as pd
+
+    most, order = max(lags), Window.partitionBy(*keys, "delta").orderBy("sec")
+    rows = bars.withColumn("delta", F.explode(F.array(*[F.lit(float(d)) for d in deltas])))
+    rows = rows.withColumn("_y", X.log_return(F.col("mid"), order)).withColumn("_f", X.signed_power(F.col("signed_vol"), F.col("delta")))
+    rows = lag_columns(rows, "_f", most, [*keys, "delta"]).withColumn("n_lags", F.explode(F.array(*[F.lit(int(k)) for k in lags])))
+    have = [F.when(F.col("n_lags") >= k, F.col(f"lag_{k}")).otherwise(F.lit(0.0)) for k in range(most + 1)]
+    rows = rows.select(*dict.fromkeys([*by, *keys]), "sec", "delta", "n_lags", "_y", *[c.alias(f"_x{k}") for k, c in enumerate(have)]).dropna()
+    session = Window.partitionBy(*keys, "delta", "n_lags")
+    inside = F.row_number().over(session.orderBy("sec")) <= F.floor(F.count("*").over(session) * train)
+    x = [f"_x{k}" for k in range(most + 1)]
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x)] + [F.sum(F.col(a) * F.col("_y")).alias(f"b{i}") for i, a in enumerate(x)]
+    table = rows.withColumn("_train", inside).groupBy(*by, "delta", "n_lags", "_train").agg(F.count("*").alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("syy"), *sums)
+
+    def solve(key, parts):
+        n = int(key[-1]) + 1
+        gram, cross, score = {}, {}, {}
+        for r in parts.to_dict("records"):
+            gram[r["_train"]] = np.array([[r[f"g{i}_{j}"] for j in range(n)] for i in range(n)])
+            cross[r["_train"]] = np.array([r[f"b{i}"] for i in range(n)])
+        kernel = np.linalg.lstsq(gram[True], cross[True], rcond=None)[0] if True in gram else np.full(n, np.nan)
+        for r in parts.to_dict("records"):
+            t = r["_train"]
+            total = r["syy"] - r["sy"] ** 2 / r["n"]
+            score[t] = 1 - (r["syy"] - 2 * kernel @ cross[t] + kernel @ gram[t] @ kernel) / total if total > 0 else np.nan
+        sizes = dict(zip(parts["_train"], parts["n"]))
+        return pd.DataFrame([[*key, kernel.tolist(), score.get(True), score.get(False), sizes.get(True, 0), sizes.get(False, 0)]], columns=[*by, "delta", "n_lags", "kernel", "r2_in", "r2_out", "n_train", "n_test"])
+
+    names = ", ".join(f"{k} {bars.schema[k].dataType.simpleString()}" for k in by)
+    fitted = table.groupBy(*by, "delta", "n_lags").applyInPandas(solve, f"{names}, delta double, n_lags int, kernel array<double>, r2_in double, r2_out double, n_train long, n_test long")
+    # The best shape scores best on the rest; fewer lags and the smaller power on ties.
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("r2_out").desc(), "n_lags", "delta"))
+    return fitted.withColumn("best", rank == 1)
+
+
 def levels(kernels: DataFrame, keys: Sequence[str], value: str = "coefficient", lag: str = "lag") -> DataFrame:
     """Level response: running sum of return responses over lags; also over lag 0."""
     w = Window.partitionBy(*keys).orderBy(lag)
@@ -147,6 +189,12 @@ def levels(kernels: DataFrame, keys: Sequence[str], value: str = "coefficient",
     return out.withColumn("relative", X.ratio(F.col(value), F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))))
 
 
+def shape(kernels: DataFrame, keys: Sequence[str], value: str = "coefficient", lag: str = "lag") -> DataFrame:
+    """Coefficients over that of lag 0, by session; NULL where lag 0 has none."""
+    start = F.max(F.when(F.col(lag) == 0, F.col(value))).over(Window.partitionBy(*keys))
+    return kernels.withColumn("shape", X.ratio(F.col(value), start))
+
+
 @dataclass(frozen=True)
 class LevelResponse:
     """A level response and what holds beyond its last lag: constant, zero or refuse."""

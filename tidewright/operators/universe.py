@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import exprs as X
-from tidewright.functions.binning import tercile
+from tidewright.functions.binning import cumulative, terciles
 from tidewright.operators.contracts import many_to_one, require
 
 
 def strata(stats: DataFrame) -> DataFrame:
     """Nine cells: tercile of relative tick by tercile of dollar volume, by rank."""
     s = stats.filter((F.col("relative_tick") > 0) & (F.col("dollar_volume") > 0))
-    s = s.withColumn("tick_tercile", tercile("relative_tick", "symbol")).withColumn("volume_tercile", tercile("dollar_volume", "symbol"))
+    s = terciles(terciles(s, "relative_tick", "symbol", "tick_tercile"), "dollar_volume", "symbol", "volume_tercile")
     return s.withColumn("cell", F.concat(F.col("tick_tercile"), F.lit("_tick__"), F.col("volume_tercile"), F.lit("_volume")))
 
 
@@ -28,17 +28,18 @@ def cell_counts(cells: DataFrame, names: int = 12) -> DataFrame:
 def draw(cells: DataFrame, names: int = 12, seed: int = 0) -> tuple[DataFrame, list[str]]:
     """Names drawn per cell and the cells that are short.
 
-    One generator runs over the cells in label order and each cell's symbols in
-    order; the universe is a list of listed securities.
+    One generator runs over the cells in label order and draws places among each
+    cell's symbols in order; the driver sees the cells' sizes only.
     """
     rng, chosen, short = np.random.default_rng(seed), [], []
-    for r in cells.groupBy("cell").agg(F.array_sort(F.collect_list("symbol")).alias("symbols")).orderBy("cell").collect():
-        take = min(names, len(r["symbols"]))
-        chosen += rng.choice(np.array(r["symbols"]), size=take, replace=False).tolist()
+    for r in cells.groupBy("cell").agg(F.countDistinct("symbol").alias("n")).orderBy("cell").collect():
+        take = min(names, r["n"])
+        chosen += [(r["cell"], int(k)) for k in rng.choice(r["n"], size=take, replace=False)]
         if take < names:
             short.append(r["cell"])
-    picked = cells.sparkSession.createDataFrame([(str(c),) for c in chosen], "symbol string")
-    return cells.join(picked, "symbol", "left_semi"), short
+    picked = cells.sparkSession.createDataFrame(chosen, "cell string, _place long")
+    placed = cumulative(cells.select("cell", "symbol").distinct(), ["symbol"], ["cell"]).withColumnRenamed("_before", "_place")
+    return cells.join(placed.join(picked, ["cell", "_place"]).select("cell", "symbol"), ["cell", "symbol"], "left_semi"), short
 
 
 def daily_stats(daily: DataFrame, least: int = 15) -> DataFrame:
@@ -52,6 +53,24 @@ def daily_stats(daily: DataFrame, least: int = 15) -> DataFrame:
     ).filter(F.col("days") >= least).withColumn("relative_tick", X.ratio(F.lit(0.01), F.col("close")))
 
 
+def regressors(stats: DataFrame) -> DataFrame:
+    """Logarithms of relative tick and dollar volume, and the daily range in ticks of 0.01."""
+    ticks = F.col("range_bp") / 1e4 * X.ratio(F.col("close"), F.lit(0.01))
+    return stats.withColumn("log_relative_tick", X.log(F.col("relative_tick"))).withColumn("log_dollar_volume", X.log(F.col("dollar_volume"))).withColumn("range_ticks", ticks)
+
+
+def roles(stats: DataFrame, drawn: DataFrame, named: Sequence[str] = ()) -> DataFrame:
+    """``role`` of each symbol: stratified where it was drawn, else named where it is on the short list; others go."""
+    hit = drawn.select("symbol").distinct().withColumn("_drawn", F.lit(True))
+    role = F.when(F.col("_drawn"), "stratified").when(F.col("symbol").isin(list(named)), "named")
+    return stats.join(hit, "symbol", "left").withColumn("role", role).filter("role is not null").drop("_drawn")
+
+
+def first_of_sessions(rows: DataFrame, values: Sequence[str], keys: Sequence[str] = ("symbol", "date")) -> DataFrame:
+    """One row a session of values that are constant within it, with the number of rows."""
+    return rows.groupBy(*keys).agg(*[F.any_value(v).alias(v) for v in values], F.count("*").alias("n"))
+
+
 def consolidated(daily: DataFrame) -> DataFrame:
     """Volume, absolute price (negative marks a quote midpoint) and dollar volume."""
     return daily.withColumn("price_crsp", F.abs("price")).withColumn("price_is_midpoint", F.col("price") < 0).withColumn("volume_crsp", X.number(F.col("volume"))).withColumn("dollar_volume_crsp", F.abs("price") * F.col("volume"))

@@ -72,6 +72,13 @@ def donor_profile(shapes: DataFrame, kind: str = "loso", value: str = "ratio", b
     return mine.join(donors, symbol).filter(rule).groupBy(symbol, date, bucket).agg(F.median(value).alias("multiplier"), F.count("*").alias("donors"))
 
 
+def donor_shares(volumes: DataFrame, kind: str = "prior", value: str = "volume", bucket: str = "bucket", keys: Sequence[str] = SESSION) -> DataFrame:
+    """Volume shape of a session from its donors: their median share in each bucket, brought to a sum of one."""
+    own = volumes.withColumn("share", X.ratio(F.col(value), F.sum(value).over(Window.partitionBy(*keys))))
+    shape = donor_profile(own, kind, "share", bucket, keys)
+    return shape.withColumn("share", X.ratio(F.col("multiplier"), F.sum("multiplier").over(Window.partitionBy(*keys)))).drop("multiplier")
+
+
 def profile_sigma(orders: DataFrame, profile: DataFrame, sigma: str = "sigma_d", keys: Sequence[str] = SESSION, bucket: int = X.HALF_HOUR) -> DataFrame:
     """Daily volatility times the half hour's multiplier, 1 where there is none."""
     o = orders.withColumn("bucket", X.grid(F.col("at"), bucket))

@@ -416,9 +416,21 @@ def blend_grid(spark, d):
     return t.select("symbol", "alpha", "c", (1000 * F.col("sse")).alias("sse"), "n")
 
 
-@query()
+def _least_sql(x: str, grid: np.ndarray, name: str) -> str:
+    g = ", ".join(repr(float(v)) for v in grid)
+    return f""", g AS (SELECT unnest([{g}]) AS {name}), s AS (SELECT symbol, {name}, SUM(({x}) * realised) AS A, SUM(({x}) * ({x})) AS B, SUM(realised * realised) AS yy, COUNT(*) AS n FROM mo, g GROUP BY 1, 2)
+  SELECT symbol, round(arg_min({name}, (yy - A * A / B, {name})), 6) AS {name}, round(arg_min(A / B, (yy - A * A / B, {name})), 6) AS c, MAX(n) AS n FROM s GROUP BY 1"""
+
+
+@query(_with(V.ORDERS) + _least_sql("pow(sigma, alpha) * pow(trail, 1 - alpha) * sqrt(q)", np.linspace(0, 1, 101), "alpha"))
 def blend_alpha(spark, d):
-    return fits.blend_alpha(V.metaorders(spark, d), "realised", "sigma", "trail", "q", ["symbol"])
+    return fits.blend_alpha(V.metaorders(spark, d), "realised", "sigma", "trail", "q", ["symbol"]).select("symbol", "alpha", "c", "n")
+
+
+@query(_with(V.ORDERS) + _least_sql("sigma * pow(q, delta)", np.linspace(0, 1.5, 151), "delta"))
+def power_least(spark, d):
+    grid = fits.profile(V.metaorders(spark, d), F.col("realised"), F.col("sigma") * F.pow("q", F.col("delta")), np.linspace(0, 1.5, 151).tolist(), ["symbol"], "delta")
+    return fits.lowest(grid, ["symbol"], "delta").select("symbol", "delta", "c", "n")
 
 
 @query()
@@ -631,9 +643,9 @@ def book_walk_bins(spark, d):
 @query()
 def form_contest(spark, d):
     rows = book.session_bins(V.ladder(spark, d), np.geomspace(1, 800, 20).tolist(), V.ladder(spark, d).select("label").distinct().withColumn("sigma", F.lit(0.02)).withColumn("volume", F.lit(1e6)), "sigma", "volume", ["label"], 10)
-    p = rows.filter("side = 'buy' and size_normalisation = 'depth'").orderBy("label", "bin").toPandas()
-    made = forms.contest(p["label"].astype(str).to_numpy(), p["size"].to_numpy(), p["cost_half_spreads"].to_numpy(), p["n"].to_numpy(float), (forms.LINEAR, forms.POWER, forms.ATHL_06), 20)
-    return spark.createDataFrame([(r["form"], r["exponent"], r["aic"], r["loso_rmse"]) for r in made], "form string, exponent double, aic double, loso_rmse double")
+    p = rows.filter("size_normalisation = 'depth'").orderBy("label", "side", "bin").toPandas()
+    made = forms.contest(p["label"].astype(str).to_numpy(), p["size"].to_numpy(), p["cost_half_spreads"].to_numpy(), p["n"].to_numpy(float), forms.FORMS, 20)
+    return spark.createDataFrame([(e.form, e.fit.exponent, e.fit.aic, e.left_out) for e in made], "form string, exponent double, aic double, loso_rmse double")
 
 
 @query(_with(V.LADDER) + "SELECT CAST(label AS BIGINT) AS label, round(median(ask_sz), 6) AS depth FROM levels WHERE level = 0 GROUP BY 1")
@@ -650,9 +662,16 @@ def _long_bars(spark, d):
     return b.select("symbol", (F.col("day") * 86_400 + F.col("sec")).alias("sec"), "signed_vol", "volume", "mid")
 
 
-@query()
+@query(_with(V.PRINTS, V.BARS) + """, f AS (SELECT symbol, dt, sec, d, ln(mid / lag(mid) OVER (PARTITION BY symbol, dt, d ORDER BY sec)) AS y, sign(signed_vol) * pow(abs(signed_vol), d) AS f FROM bars, (SELECT unnest([0.5, 1.0]) AS d)),
+  x AS (SELECT *, lag(f) OVER (PARTITION BY symbol, dt, d ORDER BY sec) AS f1 FROM f), c AS (SELECT *, row_number() OVER w <= floor(COUNT(*) OVER (PARTITION BY symbol, dt, d) * 0.7) AS train FROM x WHERE y IS NOT NULL AND f1 IS NOT NULL WINDOW w AS (PARTITION BY symbol, dt, d ORDER BY sec)),
+  s AS (SELECT symbol, d, train, COUNT(*) AS n, SUM(y) AS sy, SUM(y * y) AS yy, SUM(f * f) AS a, SUM(f * f1) AS b, SUM(f1 * f1) AS c, SUM(f * y) AS p, SUM(f1 * y) AS q FROM c GROUP BY 1, 2, 3),
+  k AS (SELECT symbol, d, 0 AS n_lags, p / a AS g0, 0 AS g1 FROM s WHERE train UNION ALL SELECT symbol, d, 1, (p * c - q * b) / (a * c - b * b), (q * a - p * b) / (a * c - b * b) FROM s WHERE train),
+  r AS (SELECT symbol, d, n_lags, g0, train, n, 1 - (yy - 2 * (g0 * p + g1 * q) + g0 * g0 * a + 2 * g0 * g1 * b + g1 * g1 * c) / (yy - sy * sy / n) AS r2 FROM k JOIN s USING (symbol, d))
+  SELECT symbol, CAST(d AS DOUBLE) AS delta, CAST(n_lags AS BIGINT) AS n_lags, round(1000 * MAX(g0), 6) AS g0, round(MAX(CASE WHEN train THEN r2 END), 6) AS r2_in, round(MAX(CASE WHEN NOT train THEN r2 END), 6) AS r2_out, CAST(MAX(CASE WHEN train THEN n END) AS BIGINT) AS n_train,
+  row_number() OVER (PARTITION BY symbol ORDER BY MAX(CASE WHEN NOT train THEN r2 END) DESC, n_lags, d) = 1 AS best FROM r GROUP BY symbol, d, n_lags""")
 def propagator_fit(spark, d):
-    return kernels.calibrate(_long_bars(spark, d), ("symbol",), (0, 1, 2), (0.5, 1.0)).drop("kernel")
+    k = kernels.pooled(minute_bars(spark, d), ["symbol"], KEYS, (0, 1), (0.5, 1.0))
+    return k.select("symbol", "delta", "n_lags", (1000 * F.get("kernel", F.lit(0))).alias("g0"), "r2_in", "r2_out", "n_train", "best")
 
 
 @query("SELECT i AS lag, round(SUM(1.0 / (1 + i)) OVER (ORDER BY i), 6) AS level, round(1.0 / (1 + i), 6) AS relative FROM range(10) t(i)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,14 @@ def parquet(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> Data
     return require_columns(df, columns).select(*columns) if columns else df
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """A scan that several plans read: kept in memory and on executors' disks until ``unpersist``.
+
+    Its lineage stays, so a lost executor costs a recomputation of what it held.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def members(table: DataFrame, at: str) -> DataFrame:
     """Symbols active at a date; the filter reaches the scan."""
     return table.filter(F.col("active") & (F.col("date") == F.lit(at).cast("date"))).select("symbol").distinct()
@@ -77,6 +86,12 @@ def union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def appended(table: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``table`` with the rows of ``more`` whose keys it lacks; doing it again changes nothing."""
+    new = more.dropDuplicates(list(keys)).join(table.select(*keys), list(keys), "left_anti")
+    return union([table, new.select(*more.columns)])
+
+
 def prints(raw: DataFrame) -> DataFrame:
     """Raw trades (ts, price in 1e-9, size, side) as prints with exchange seconds and sign."""
     return raw.select("symbol", F.to_date(F.from_utc_timestamp("ts", "America/New_York")).alias("date"), X.exchange_second(F.col("ts")).alias("sec"), X.price(F.col("price"), 1e-9).alias("price"), F.col("size").cast("double").alias("size"), X.aggressor_sign(F.col("side")).alias("sign"), "sequence")
