@@ -111,16 +111,30 @@ def power_arrays(y: np.ndarray, scale: np.ndarray, q: np.ndarray, weight: np.nda
 
 
 def power_fits(df: DataFrame, y: str, scale: str, q: str, by: Sequence[str], bounds: tuple[float, float] = (0.0, 1.5)) -> DataFrame:
-    """c and delta per group. The group's rows meet in one task: a symbol-day."""
-    keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
+    """c and delta of y = c * scale * q ** delta per group, from its sums at some sixty exponents.
 
-    def fit(key, rows):
-        import pandas as pd
+    What meets in a task per group is those sums, not its rows.
+    """
+    import pandas as pd
 
-        p = power_arrays(rows[y], rows[scale], rows[q], bounds=bounds)
-        return pd.DataFrame([[*key, p.c, p.delta, p.n]], columns=[*by, "c", "delta", "n"])
+    keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
+    rows = df.select(*by, F.col(y).alias("_y0"), F.col(scale).alias("_scale"), F.col(q).alias("_q")).filter((F.col("_scale") > 0))
+    table, center = _power_sums(rows, F.col("_y0"), "_q", by, bounds, F.col("_scale"))
+
+    def fit(key, sums):
+        sums = sums.sort_values("theta")
+        points, grid, matrix = nodes(bounds)
+        a, b = matrix @ sums["A"].to_numpy(), np.maximum(matrix @ sums["B"].to_numpy(), 1e-300)
+        error = -np.maximum(a, 0) ** 2 / b
+        k, delta, level = int(np.argmin(error)), 0.0, np.maximum(a, 0) / b * np.exp(-grid * center)
+        delta = grid[k]
+        if 0 < k < len(grid) - 1:
+            left, low, right = error[k - 1 : k + 2]
+            bend = left - 2 * low + right
+            delta += (grid[1] - grid[0]) * np.clip(0.5 * (left - right) / bend, -1, 1) if bend > 0 else 0.0
+        return pd.DataFrame([[*key, float(np.interp(delta, grid, level)), float(delta), int(sums["n"].iloc[0])]], columns=[*by, "c", "delta", "n"])
 
-    return df.select(*by, y, scale, q).groupBy(*by).applyInPandas(fit, f"{keys}, c double, delta double, n long")
+    return table.groupBy(*by).applyInPandas(fit, f"{keys}, c double, delta double, n long")
 
 
 def nodes(bounds: tuple[float, float], pieces: int = 4, degree: int = 16, fine: int = 3001) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,11 +158,12 @@ def nodes(bounds: tuple[float, float], pieces: int = 4, degree: int = 16, fine:
     return points, grid, matrix
 
 
-def _power_sums(orders: DataFrame, y: Column, q: str, by: Sequence[str], bounds: tuple[float, float]) -> tuple[DataFrame, float]:
+def _power_sums(orders: DataFrame, y: Column, q: str, by: Sequence[str], bounds: tuple[float, float], scale: Column | None = None) -> tuple[DataFrame, float]:
     """Sums of every group at the points, sizes taken relative to their mean logarithm."""
+    scale = F.lit(1.0) if scale is None else scale
     d = orders.withColumn("_y0", y).filter(X.all_finite(["_y0", q]) & (F.col(q) > 0)).withColumn("_lq", F.ln(q))
     center = d.agg(F.avg("_lq")).first()[0] or 0.0
-    table = profile(d, F.col("_y0"), F.exp(F.col("theta") * (F.col("_lq") - center)), nodes(bounds)[0].tolist(), by)
+    table = profile(d, F.col("_y0"), scale * F.exp(F.col("theta") * (F.col("_lq") - center)), nodes(bounds)[0].tolist(), by)
     return table.select(*by, "theta", "A", "B", "yy", "n"), center
 
 

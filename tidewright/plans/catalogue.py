@@ -433,9 +433,11 @@ def power_least(spark, d):
     return fits.lowest(grid, ["symbol"], "delta").select("symbol", "delta", "c", "n")
 
 
-@query()
+@query(_with(V.ORDERS) + """, g AS (SELECT unnest(range(0, 301)) * 0.005 AS d), s AS (SELECT symbol, d, SUM(sigma * pow(q, d) * realised) AS a, SUM(sigma * sigma * pow(q, 2 * d)) AS b, COUNT(*) AS n FROM mo, g GROUP BY 1, 2),
+  e AS (SELECT symbol, d, n, -a * a / b AS e, lag(-a * a / b) OVER w AS l, lead(-a * a / b) OVER w AS r FROM s WINDOW w AS (PARTITION BY symbol ORDER BY d)), k AS (SELECT symbol, arg_min(d, e) AS d, arg_min(l, e) AS l, MIN(e) AS e, arg_min(r, e) AS r, MAX(n) AS n FROM e GROUP BY 1)
+  SELECT symbol, round(d + COALESCE(0.005 * 0.5 * (l - r) / (l - 2 * e + r), 0), 3) AS delta, n FROM k""")
 def power_fits(spark, d):
-    return fits.power_fits(V.metaorders(spark, d), "realised", "sigma", "q", ["symbol"])
+    return fits.power_fits(V.metaorders(spark, d), "realised", "sigma", "q", ["symbol"]).select("symbol", F.round("delta", 3).alias("delta"), "n")
 
 
 _CROSS = np.geomspace(1e-4, 1e-2, 40)
