@@ -100,12 +100,6 @@ class WordEncoder:
         return self.many([text])[0]
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder a Python worker and vocabulary."""
-    return WordEncoder(path)
-
-
 def texts(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 2 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """Slices of (doc_id, text) batches as ids and UTF-8 bytes; null is empty.
 
