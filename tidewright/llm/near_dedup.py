@@ -51,13 +51,13 @@ from tidewright.llm.workspace import Scratch, hold, written
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 2
 #: Count-min table: rows, cells a row, pieces a row travels in.
-DEPTH, WIDTH, PIECES = 2, 1 << 21, 16
+DEPTH, WIDTH, PIECES = 2, 1 << 22, 16
 #: Up to so many shingles are kept in a row, to count common ones in place; more change cost only.
 CARRIED = 64
 #: The share of documents, as one in so many, below which shingles weigh alike.
-RARE = 2000
+RARE = 4000
 #: Slots of the filter that keeps sets without a candidate pair out of a shuffle.
-SLOTS = 1 << 24
+SLOTS = 1 << 25
 SKETCH = "row long, doc_id long, key string, ids binary, counts binary, piece int, cells binary"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -157,13 +157,13 @@ def weights(sketched: DataFrame) -> Weights:
         total = np.zeros(WIDTH // PIECES, np.int64)
         for cells in pieces["cells"]:
             total += np.frombuffer(zlib.decompress(cells), "<i4")
-        return pd.DataFrame({"piece": [pieces["piece"].iloc[0]], "cells": [total.astype("<i8").tobytes()]})
+        most = np.minimum(total, np.iinfo(np.int32).max).astype("<i4")
+        return pd.DataFrame({"piece": [pieces["piece"].iloc[0]], "cells": [most.tobytes()]})
 
-    table = np.zeros((DEPTH * PIECES, WIDTH // PIECES), np.int64)
+    table = np.zeros((DEPTH * PIECES, WIDTH // PIECES), np.int32)
     for r in sketched.filter("piece is not null").select("piece", "cells").groupBy("piece").applyInPandas(add, "piece int, cells binary").collect():
-        table[r["piece"]] = np.frombuffer(r["cells"], "<i8")
-    counts = np.minimum(table, np.iinfo(np.int32).max).astype(np.int32).reshape(DEPTH, WIDTH)
-    return Weights(sketched.filter("row is not null").count(), sketched.sparkSession.sparkContext.broadcast(counts))
+        table[r["piece"]] = np.frombuffer(r["cells"], "<i4")
+    return Weights(sketched.filter("row is not null").count(), sketched.sparkSession.sparkContext.broadcast(table.reshape(DEPTH, WIDTH)))
 
 
 class Sampler:
@@ -436,8 +436,8 @@ def visits(sketched: DataFrame, homes: DataFrame, weigh: Weights, threshold: flo
     """
     known = written(prefixes(sketched, weigh, threshold).join(homes.select("row", "cell", "size"), "row"), "near-prefixes")
     mixed = known.select(F.explode("tokens").alias("token"), "cell").groupBy("token").agg(F.min("cell").alias("low"), F.max("cell").alias("high"))
-    mixed = written(mixed.filter("low < high").select("token"), "near-mixed")
-    shared = _bitmap(mixed.select(F.col("token").cast("long").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")))
+    # Tokens that share a slot with a mixed one stay too; the join drops them.
+    shared = _bitmap(mixed.filter("low < high").select(F.col("token").cast("long").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -449,11 +449,11 @@ def visits(sketched: DataFrame, homes: DataFrame, weigh: Weights, threshold: flo
             owner = np.repeat(np.arange(len(sizes)), sizes)[held]
             row, n, weight, cell, size = (batch.column(k).to_numpy()[owner] for k in (0, 1, 2, 5, 6))
             rest = batch.column(4).flatten().to_numpy()[held] / 127.0 * weight
-            cols = (tokens[held], row, cell, size, n, (n - (held - starts[owner])).astype(np.int32), weight, rest)
+            cols = (tokens[held], row, cell, size, n, (n - (held - starts[owner])).astype(np.int32), weight.astype(np.float32), rest.astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "row", "cell", "size", "n", "left", "weight", "rest"])
 
-    flat = known.select("row", "n", "weight", "tokens", "rests", "cell", "size").mapInArrow(keep, "token int, row long, cell long, size long, n int, left int, weight double, rest double")
-    flat = written(flat.join(mixed, "token", "left_semi"), "near-rare")
+    flat = known.select("row", "n", "weight", "tokens", "rests", "cell", "size").mapInArrow(keep, "token int, row long, cell long, size long, n int, left int, weight float, rest float")
+    flat = written(flat, "near-rare")
     least, most = (lambda x: F.min(x).alias(f"{x}_b")), (lambda x: F.max(x).alias(f"{x}_b"))
     hosts = flat.groupBy("token", F.col("cell").alias("cell_b"), F.col("size").alias("size_b")).agg(most("left"), least("n"), most("rest"), least("weight"))
     share = threshold / (1 + threshold)

@@ -27,13 +27,15 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹
 
 
 class _Memo(dict):
-    """A dict that fills itself and starts anew at ``most`` entries."""
+    """A dict that fills itself and starts anew at ``most`` entries; keys over ``long`` are not kept."""
 
-    def __init__(self, make, most: int) -> None:
+    def __init__(self, make, most: int, long: int = 256) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.long = make, most, long
 
     def __missing__(self, key):
+        if len(key) > self.long:
+            return self.make(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)
