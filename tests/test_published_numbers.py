@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import exprs as X
-from tidewright.operators import fits, resample
+from tidewright.operators import fits, forms, resample
 
 # Size bins of one session and their impact over daily volatility.
 BINS = [
@@ -49,8 +49,7 @@ def test_bootstrap_bands():
 
 
 def test_information_criterion():
-    n, wsse = 600, 23452345.454796206
-    assert n * np.log(wsse / n) + 2 * 3 == pytest.approx(6350.1308472198625, abs=1e-6)
+    assert forms.information(600, 23452345.454796206, 3) == pytest.approx(6350.1308472198625, abs=1e-6)
 
 
 def test_crossover_in_ticks(spark):
