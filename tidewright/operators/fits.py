@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import exprs as X
-from tidewright.functions.binning import cumulative
+from tidewright.functions.binning import cumulative, qcut_means
 from tidewright.operators import resample
 
 
@@ -296,6 +296,29 @@ def two_regime_profile(bins: DataFrame, q: str, y: str, w: str, grid: Sequence[f
     return s.crossJoin(F.broadcast(least)).select("q_star", "a", "wsse", (F.col("n") * X.log(X.ratio(F.col("wsse"), F.col("_least")))).alias("deviance"))  # one row
 
 
+def crossovers(bins: DataFrame, q: str, y: str, w: str, by: Sequence[str], steps: int = 200) -> DataFrame:
+    """Per group: the crossover of least weighted error on a log grid over its sizes, its level, and whether it is interior."""
+    own = bins.filter(F.col(q) > 0)
+    ends = own.groupBy(*by).agg(F.ln(F.min(q)).alias("_lo"), F.ln(F.max(q)).alias("_hi"))
+    g = own.join(ends, list(by)).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    g = g.withColumn("q_star", F.exp(F.col("_lo") + F.col("_k") * (F.col("_hi") - F.col("_lo")) / (steps - 1))).withColumn("_x", X.two_regime(F.lit(1.0), F.col("q_star"), F.col(q)))
+    s = g.groupBy(*by, "_k").agg(F.max("q_star").alias("q_star"), F.sum(F.col(w) * F.col("_x") * F.col(y)).alias("A"), F.sum(F.col(w) * F.col("_x") * F.col("_x")).alias("B"), F.sum(F.col(w) * F.col(y) * F.col(y)).alias("yy"))
+    s = s.select(*by, "_k", "q_star", X.ratio(F.col("A"), F.col("B")).alias("a"), (F.col("yy") - F.col("A") * X.ratio(F.col("A"), F.col("B"))).alias("sse"))
+    return lowest(s, by, "_k").withColumn("interior", (F.col("_k") > 0) & (F.col("_k") < steps - 1)).drop("_k", "sse")
+
+
+def interior(found: DataFrame) -> DataFrame:
+    """Crossovers that do not sit at an end of the sizes seen."""
+    return found.filter("interior")
+
+
+def impact_law(df: DataFrame, x: str, y: str, bins: int = 12, rows: int = 10, least: int = 4) -> DataFrame:
+    """Exponent of bin means; no row under ``rows`` rows a bin or ``least`` bins of positive means."""
+    if len(df.select(x).limit(bins * rows).collect()) < bins * rows:
+        return log_log(df.limit(0), x, y).filter("n > 0")
+    return log_log(qcut_means(df, x, y, bins), f"mean_{x}", f"mean_{y}").filter(F.col("n") >= least)
+
+
 def log_log(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Exponent, log level, R2 and count of y = a x ** p on positive values."""
     lx, ly = X.log(F.col(x)), X.log(F.col(y))

@@ -87,18 +87,12 @@ def per_symbol(orders: DataFrame, daily: DataFrame, bins: int = 40, least: int =
     ``orders``: symbol, date, participation, impact, sigma_d. ``daily``: symbol,
     sigma, close, volume.
     """
-    import pandas as pd
-
     enough = orders.groupBy("symbol").agg(F.count("*").alias("n_orders"), F.median("participation").alias("median_participation")).filter(F.col("n_orders") >= least)
     own = orders.join(enough.select("symbol"), "symbol", "left_semi").withColumn("y", F.col("impact") / F.col("sigma_d")).filter("participation > 0 and y is not null")
     fit = fits.published_panels(own, F.col("y"), "participation", "symbol", "date", draws)
     binned = B.qcut_means(own, "participation", "y", bins, ["symbol"])
 
-    def cross(key, rows):
-        r = fits.two_regime_arrays(rows["mean_participation"], rows["mean_y"], rows["n"])
-        return pd.DataFrame([[key[0], r["a"], r["q_star"], not r["at_boundary"]]], columns=["symbol", "a", "q_star", "interior"])
-
-    regimes = binned.groupBy("symbol").applyInPandas(cross, "symbol string, a double, q_star double, interior boolean")
+    regimes = fits.crossovers(binned, "mean_participation", "mean_y", "n", ["symbol"])
     scale = daily.groupBy("symbol").agg(F.median("sigma").alias("sigma"), F.median("close").alias("close"), F.avg("volume").alias("mean_volume"))
     out = fit.join(regimes, "symbol").join(enough, "symbol").join(scale, "symbol")
     out = out.withColumn("ticks", X.crossover_ticks(F.col("a"), F.col("q_star"), F.col("sigma"), F.col("close"))["impact_ticks"])

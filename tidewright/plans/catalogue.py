@@ -453,6 +453,18 @@ def two_regime_profile(spark, d):
     return fits.two_regime_profile(bins, "mean_q", "mean_realised", "n", _CROSS.tolist()).withColumn("deviance", F.round("deviance", 4))
 
 
+@query(_with(V.ORDERS) + f""", z AS (SELECT symbol, q, CASE WHEN q <= 0.003 THEN q ELSE sqrt(0.003 * q) END * (1 + 0.1 * (u % 3)) AS y FROM mo), e AS (SELECT symbol, list_sort({_EDGES.format(v='q', p=_points(20))}) AS e FROM z GROUP BY symbol),
+  b AS (SELECT symbol, q, y, greatest(len(list_filter(e, lambda x: x < q)) - 1, 0) AS bin FROM z JOIN e USING (symbol)), m AS (SELECT symbol, avg(q) AS q, avg(y) AS y, COUNT(*) AS w FROM b GROUP BY symbol, bin),
+  n AS (SELECT symbol, ln(MIN(q)) AS lo, ln(MAX(q)) AS hi FROM m GROUP BY 1), g AS (SELECT symbol, w, y, q, k, exp(lo + k * (hi - lo) / 199) AS c FROM m JOIN n USING (symbol), (SELECT unnest(range(0, 200)) AS k)),
+  x AS (SELECT symbol, k, c, w, y, CASE WHEN q <= c THEN q ELSE sqrt(c * q) END AS x FROM g), s AS (SELECT symbol, k, MAX(c) AS c, SUM(w * x * y) / SUM(w * x * x) AS a, SUM(w * y * y) - SUM(w * x * y) * SUM(w * x * y) / SUM(w * x * x) AS sse FROM x GROUP BY 1, 2),
+  r AS (SELECT symbol, arg_min(k, (sse, k)) AS k, arg_min(c, (sse, k)) AS c, arg_min(a, (sse, k)) AS a FROM s GROUP BY 1) SELECT symbol, round(c, 6) AS q_star, round(a, 6) AS a, k > 0 AND k < 199 AS interior FROM r WHERE k > 0 AND k < 199""")
+def interior_crossovers(spark, d):
+    """Crossovers of a linear and a square-root branch by symbol, those at an end left out."""
+    y = F.when(F.col("q") <= 0.003, F.col("q")).otherwise(F.sqrt(0.003 * F.col("q"))) * (1 + 0.1 * (F.col("u") % 3))
+    bins = B.qcut_means(V.metaorders(spark, d).withColumn("y", y), "q", "y", 20, ["symbol"])
+    return fits.interior(fits.crossovers(bins, "mean_q", "mean_y", "n", ["symbol"])).select("symbol", "q_star", "a", "interior")
+
+
 @query(_with(V.ORDERS) + "SELECT symbol, round(regr_slope(ln(realised), ln(q)), 6) AS exponent, round(regr_intercept(ln(realised), ln(q)), 6) AS log_level, round(regr_r2(ln(realised), ln(q)), 6) AS r2, COUNT(*) AS n FROM mo GROUP BY 1")
 def log_log_fit(spark, d):
     return fits.log_log(V.metaorders(spark, d), "q", "realised", ["symbol"])
@@ -462,7 +474,7 @@ def log_log_fit(spark, d):
   b AS (SELECT q, realised, greatest(len(list_filter(e, lambda x: x < q)) - 1, 0) AS bin FROM mo, e), m AS (SELECT avg(q) AS x, avg(realised) AS y FROM b GROUP BY bin)
   SELECT round(regr_slope(ln(y), ln(x)), 6) AS exponent, round(regr_intercept(ln(y), ln(x)), 6) AS log_level, round(regr_r2(ln(y), ln(x)), 6) AS r2, COUNT(*) AS n FROM m WHERE x > 0 AND y > 0""")
 def impact_law(spark, d):
-    return fits.log_log(B.qcut_means(V.metaorders(spark, d), "q", "realised", 12), "mean_q", "mean_realised")
+    return fits.impact_law(V.metaorders(spark, d), "q", "realised", 12)
 
 
 @query(_with(V.ORDERS) + "SELECT round(corr(sigma, realised), 6) AS r, COUNT(*) AS n FROM mo")

@@ -359,3 +359,10 @@ def replayed_paths(spark, d):
     o = V.metaorders(spark, d).select("order_id", "shares", "u", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("slice"))
     rows = o.select("order_id", "slice", (F.col("shares") * F.col("slice")).alias("shares"), (100 + 0.01 * (F.col("u") % 7) * F.col("slice")).alias("mid"))
     return schedule.replayed(rows, [1.0, 0.5, 0.25], ["order_id"]).select("order_id", "drift_per_share", "impact_per_share")
+
+
+@query(with_views(V.ORDERS) + f""", s AS (SELECT row_number() OVER (ORDER BY symbol) - 1 AS k, COUNT(*) AS n, SUM(ln(q)) AS x, SUM(ln(realised)) AS y, SUM(ln(q) * ln(q)) AS xx, SUM(ln(q) * ln(realised)) AS xy FROM mo GROUP BY symbol), m(t, k, m) AS (VALUES {_TIMES}),
+  c AS (SELECT t, (SUM(m * n) * SUM(m * xy) - SUM(m * x) * SUM(m * y)) / (SUM(m * n) * SUM(m * xx) - SUM(m * x) * SUM(m * x)) AS c FROM s JOIN m USING (k) GROUP BY t) SELECT round(quantile_cont(c, 0.025), 6) AS low, round(quantile_cont(c, 0.975), 6) AS high FROM c""")
+def exponent_band(spark, d):
+    """Block interval of a log-log exponent."""
+    return spark.createDataFrame([tuple(map(float, fits.log_log_interval(V.metaorders(spark, d), "q", "realised", "symbol", _DRAWS)))], "low double, high double")
