@@ -14,6 +14,7 @@ from tidewright.plans.catalogue import KEYS, minute_bars, query
 from tidewright.plans.catalogue import _with as with_views
 from tidewright.sources import readers, sinks
 from tidewright.sources.scratch import folder
+from tidewright.streaming import live
 
 # Sources ----------------------------------------------------------------------
 
@@ -366,3 +367,34 @@ def replayed_paths(spark, d):
 def exponent_band(spark, d):
     """Block interval of a log-log exponent."""
     return spark.createDataFrame([tuple(map(float, fits.log_log_interval(V.metaorders(spark, d), "q", "realised", "symbol", _DRAWS)))], "low double, high double")
+
+
+# Streams ------------------------------------------------------------------------------
+
+
+@query(with_views(V.PRINTS) + """, p AS (SELECT prints.*, ts FROM prints JOIN events ON event_id = seq), b AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts) AS start, SUM(size) AS volume, SUM(size * sign) AS signed_vol, arg_max(price, (ts, seq)) AS mid FROM p GROUP BY 1, 2)
+  SELECT symbol, strftime(start, '%Y-%m-%d %H:%M') AS start, round(volume, 6) AS volume, round(signed_vol, 6) AS signed_vol, CAST(mid AS DOUBLE) AS mid FROM b WHERE start + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 1 MINUTE FROM events)""")
+def streamed_bars(spark, d):
+    """Bars of a stream of prints, as far as its watermark closes them."""
+    source, made = folder(spark, "stream-in"), folder(spark, "stream-out")
+    e = V.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    V.prints(spark, d).join(e, "seq").select("symbol", "ts", "seq", "price", "size", "sign").write.parquet(source)
+    prints = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    out = live.bars(prints, "1 hour", "1 minute").writeStream.format("parquet").option("checkpointLocation", made + "-log").trigger(availableNow=True).start(made)
+    out.awaitTermination()
+    return spark.read.parquet(made).select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "volume", "signed_vol", "mid")
+
+
+@query(with_views(V.PRINTS) + """, f AS (SELECT symbol, seq, sign, size, SUM(CASE WHEN sign = p THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY seq) AS run FROM (SELECT *, lag(sign) OVER (PARTITION BY symbol ORDER BY seq) AS p FROM prints WHERE sign <> 0)),
+  r AS (SELECT symbol, run, MAX(sign) AS sign, SUM(size) AS shares, COUNT(*) AS n_fills, MIN(seq) AS first_seq, MAX(seq) AS last_seq, MAX(ts) AS last FROM f JOIN events ON event_id = seq GROUP BY 1, 2), z AS (SELECT *, MAX(run) OVER (PARTITION BY symbol) AS most, MAX(last) OVER () AS now FROM r)
+  SELECT symbol, CAST(sign AS BIGINT) AS sign, round(shares, 6) AS shares, n_fills, first_seq, last_seq FROM z WHERE run < most OR last + INTERVAL 1 MILLISECOND < now - INTERVAL 1 HOUR""")
+def streamed_runs(spark, d):
+    """Runs of a stream of fills that a change of sign, or an hour's silence of the symbol, has closed."""
+    source, made = folder(spark, "stream-in"), folder(spark, "stream-out")
+    e = V.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    fills = V.prints(spark, d).filter("sign <> 0").join(e, "seq").select("symbol", "ts", "seq", F.col("sign").cast("int").alias("sign"), "size")
+    fills.write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    out = live.fill_runs(stream).writeStream.format("parquet").option("checkpointLocation", made + "-log").trigger(availableNow=True).start(made)
+    out.awaitTermination()
+    return spark.read.parquet(made)

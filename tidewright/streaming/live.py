@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,21 +35,24 @@ def fill_runs(fills: DataFrame, timeout: str = "1 hour") -> DataFrame:
         import pandas as pd
 
         (symbol,) = key
-        done, run = [], tuple(state.get) if state.exists else None
+        names = [c.split()[0] for c in RUNS.split(", ")]
+        open_run = [tuple(state.get)] if state.exists else []
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(symbol, *run)], columns=[c.split()[0] for c in RUNS.split(", ")])
+            yield pd.DataFrame([(symbol, *open_run[0])], columns=names)
             return
         rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, sign, size in zip(rows["seq"], rows["sign"], rows["size"]):
-            if run and run[0] == sign:
-                run = (run[0], run[1] + float(size), run[2] + 1, run[3], int(seq))
-            else:
-                if run:
-                    done.append((symbol, *run))
-                run = (int(sign), float(size), 1, int(seq), int(seq))
-        state.update(run)
+        sign, seq, size = (rows[c].to_numpy() for c in ("sign", "seq", "size"))
+        starts = np.concatenate([[0], np.flatnonzero(sign[1:] != sign[:-1]) + 1])
+        ends = np.append(starts[1:], len(sign))
+        runs = list(zip(sign[starts].tolist(), np.add.reduceat(size, starts).tolist(), (ends - starts).tolist(), seq[starts].tolist(), seq[ends - 1].tolist()))
+        if open_run and open_run[0][0] == runs[0][0]:
+            (way, shares, fills, begun, _), (_, more, others, _, last) = open_run[0], runs[0]
+            runs[0] = (way, shares + more, fills + others, begun, last)
+        else:
+            runs = open_run + runs
+        state.update(runs[-1])
         state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in RUNS.split(", ")])
+        yield pd.DataFrame([(symbol, *run) for run in runs[:-1]], columns=names)
 
     return late.groupBy("symbol").applyInPandasWithState(step, RUNS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
