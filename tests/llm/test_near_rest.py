@@ -111,3 +111,32 @@ def test_likely_keeps_every_link(spark):
     kept = {tuple(r) for r in near_dedup.likely(sketched, pairs, weigh, 0.8).collect()}
     want = {(r.row, r.leader) for r in near_dedup.verify(sketched, pairs, weigh).collect() if r.likeness >= 0.8}
     assert len(want) >= 20 and want <= kept and len(kept) < pairs.count() / 3
+
+
+def test_very_long_texts_and_weighted_links(spark):
+    """Texts of 30,000 words; and a pair that only weights link: what differs stands in most documents."""
+    rng = random.Random(12)
+    long = words(rng, 30_000)
+    near = list(long)
+    for k in range(0, 30_000, 600):
+        near[k] = "changed%d" % k
+    common = [words(rng, 6) for _ in range(40)]
+    texts = [" ".join(long), " ".join(near), " ".join(words(rng, 30_000))]
+    texts += [" ".join(sum(common, [])) + " " + " ".join(words(rng, 30)) for _ in range(60)]
+    rare = words(rng, 120)
+    texts += [" ".join(rare), " ".join(rare + sum(common[:12], []))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert got[0] == got[1] != got[2]
+    plain = near_dedup.shingles(texts[-1].encode().split())
+    assert len(near_dedup.shingles(texts[-2].encode().split())) / len(plain) < 0.8
+    assert got[63] == got[64] and len(set(got.values())) == 63
+
+
+def test_names_that_clash(spark):
+    columns = "doc_id long, text string, row int, key string, label int, _tw_doc_id int"
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(2, text, 1, "k", 2, 3), (1, text, 1, "k", 2, 3), (None, text, 1, "k", 2, 3)], columns)
+    kept = near_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]

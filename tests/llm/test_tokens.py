@@ -58,6 +58,17 @@ def test_bytes_as_the_library():
         assert own.decimal(got).decode() == ",".join(map(str, want))
 
 
+@pytest.mark.parametrize("text", ["a" * 20_000, "abc" * 5000 + "é" * 3000, "=" * 9000 + "1" * 9000, "漢字" * 4000])
+def test_one_long_pre_token(text):
+    """Words that no memo keeps encode as the library does, twice over."""
+    library, own, words = Tokenizer.from_file(BYTES), byte_bpe(BYTES), word_encoder(WORDS)
+    want = library.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert own.encode(text).tolist() == want
+        assert own.decode(np.array(want, np.uint32)) == text
+        assert np.frombuffer(words(text.encode()), "<u4").tolist() == Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+
+
 def test_broken_utf8_decodes_as_the_library():
     library, own = Tokenizer.from_file(BYTES), byte_bpe(BYTES)
     rng = random.Random(7)
