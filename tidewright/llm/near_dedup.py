@@ -51,11 +51,14 @@ from tidewright.llm.workspace import Scratch, hold, written
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 2
 #: Count-min table: rows, cells a row, pieces a row travels in.
-DEPTH, WIDTH, PIECES = 2, 1 << 22, 16
+DEPTH, WIDTH, PIECES = 2, 1 << 21, 16
 #: Up to so many shingles are kept in a row, to count common ones in place; more change cost only.
 CARRIED = 64
 #: The share of documents, as one in so many, below which shingles weigh alike.
-RARE = 4000
+RARE = 2000
+#: Share of a text by which its prefix is longer than one common shingle needs, so that several must be common.
+SPARE = 0.12
+FINE = 32_767
 #: Slots of the filter that keeps sets without a candidate pair out of a shuffle.
 SLOTS = 1 << 25
 SKETCH = "row long, doc_id long, key string, ids binary, counts binary, piece int, cells binary"
@@ -395,33 +398,37 @@ def profiles(sketched: DataFrame, pairs: DataFrame, weigh: Weights) -> DataFrame
 
 
 def prefixes(sketched: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
-    """row, n, weight and the rarest shingles: those that a linked pair's first common shingle can be.
+    """row, n, weight and the rarest shingles: those that a linked pair's first common shingles can be.
 
-    Shingles stand in one order for all documents, rarest first. ``rests`` is the
-    share of the weight from a shingle on, in 127ths and rounded up.
+    Shingles stand in one order for all documents, rarest first. Of what a linked
+    pair has in common, the first ``SPARE`` of the smaller text (by number or by
+    weight) stands in the prefixes of both. ``rests`` is the
+    share of the weight from a shingle on, in parts of ``FINE`` and rounded up;
+    ``beyond`` is the share past the prefix.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("near")
         for batch in batches:
-            sizes, totals, ends, tokens, rests = [], [], [0], [], []
+            sizes, totals, beyond, ends, tokens, rests = [], [], [], [0], [], []
             for own, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ids = np.frombuffer(own, "<u4")
                 order = np.lexsort((ids, weigh.seen(ids)))
                 rest = np.cumsum(weigh(ids, n and np.frombuffer(n, "<u4"))[order][::-1], dtype=np.float64)[::-1]
-                most = np.arange(len(ids), 0, -1) >= threshold * len(ids) - 1e-6
-                k = int(np.count_nonzero(most | (rest >= threshold * rest[0] * (1 - 1e-6))))
+                most = np.arange(len(ids), 0, -1) >= (threshold - SPARE) * len(ids) - 1e-6
+                k = int(np.count_nonzero(most | (rest >= (threshold - SPARE) * rest[0] * (1 - 1e-6))))
                 sizes.append(len(ids))
                 totals.append(rest[0])
+                beyond.append(rest[k] / rest[0] if k < len(ids) else 0.0)
                 ends.append(ends[-1] + k)
                 tokens.append(ids[order[:k]].view(np.int32))
-                rests.append(np.minimum(np.ceil(127 * (rest[:k] / rest[0]) + 1e-6), 127).astype(np.int8))
+                rests.append(np.minimum(np.ceil(FINE * (rest[:k] / rest[0]) + 1e-6), FINE).astype(np.int16))
             if sizes:
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (tokens, rests)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(totals, pa.float64()), *lists], names=["row", "n", "weight", "tokens", "rests"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(totals, pa.float64()), *lists, pa.array(beyond, pa.float64())], names=["row", "n", "weight", "tokens", "rests", "beyond"])
 
     narrow = sketched.filter("row is not null and octet_length(ids) > 0").select("row", "ids", "counts")
-    return narrow.mapInArrow(run, "row long, n int, weight double, tokens array<int>, rests array<tinyint>")
+    return narrow.mapInArrow(run, "row long, n int, weight double, tokens array<int>, rests array<smallint>, beyond double")
 
 
 def visits(sketched: DataFrame, homes: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
@@ -443,16 +450,26 @@ def visits(sketched: DataFrame, homes: DataFrame, weigh: Weights, threshold: flo
         bits = shared.value
         for batch in batches:
             tokens, sizes = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
-            starts = np.cumsum(sizes) - sizes
+            whole_n = batch.column(1).to_numpy()
+            starts, own = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
             at = tokens.astype(np.int64) & (SLOTS - 1)
-            held = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            owner = np.repeat(np.arange(len(sizes)), sizes)[held]
+            mixed_here = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            rests = batch.column(4).flatten().to_numpy().astype(float)
+            # Rests are rounded up by 1 at most, so a shingle's share is the difference to the next rest and 1 at most.
+            later = np.append(rests[1:], 0.0)
+            later[(starts + sizes - 1)[sizes > 0]] = np.floor(FINE * batch.column(7).to_numpy()[sizes > 0])
+            number = np.bincount(own, weights=mixed_here, minlength=len(sizes))
+            held_weight = np.bincount(own, weights=mixed_here * (rests - later + 1), minlength=len(sizes)) / FINE
+            least = SPARE * threshold
+            able = (number >= least * whole_n - 1e-6) | (held_weight >= least * (1 - 1e-6))
+            held = np.flatnonzero(mixed_here & able[own])
+            owner = own[held]
             row, n, weight, cell, size = (batch.column(k).to_numpy()[owner] for k in (0, 1, 2, 5, 6))
-            rest = batch.column(4).flatten().to_numpy()[held] / 127.0 * weight
+            rest = rests[held] / FINE * weight
             cols = (tokens[held], row, cell, size, n, (n - (held - starts[owner])).astype(np.int32), weight.astype(np.float32), rest.astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "row", "cell", "size", "n", "left", "weight", "rest"])
 
-    flat = known.select("row", "n", "weight", "tokens", "rests", "cell", "size").mapInArrow(keep, "token int, row long, cell long, size long, n int, left int, weight float, rest float")
+    flat = known.select("row", "n", "weight", "tokens", "rests", "cell", "size", "beyond").mapInArrow(keep, "token int, row long, cell long, size long, n int, left int, weight float, rest float")
     flat = written(flat, "near-rare")
     least, most = (lambda x: F.min(x).alias(f"{x}_b")), (lambda x: F.max(x).alias(f"{x}_b"))
     hosts = flat.groupBy("token", F.col("cell").alias("cell_b"), F.col("size").alias("size_b")).agg(most("left"), least("n"), most("rest"), least("weight"))
