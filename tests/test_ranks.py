@@ -56,7 +56,7 @@ def test_pooled_lags_of_one_session_are_the_session_fit(spark):
     mid = 100 * np.exp(np.cumsum(ret))
     rows = [("a", "d", k, float(flow[k]), float(mid[k])) for k in range(400)]
     df = spark.createDataFrame(rows, "symbol string, day string, sec int, signed_vol double, mid double")
-    got = {(r.delta, r.n_lags): r for r in kernels.pooled(df, ["symbol"], ("symbol", "day"), (0, 2), (0.5,)).collect()}
+    got = {(r.delta, r.n_lags): r for r in kernels.calibrate(df, ("symbol", "day"), ["symbol"], (0, 2), (0.5,), least=0).collect()}
     want = kernels.fit_lags(kernels.returns_of(mid), flow, 2, 0.5)
     r = got[0.5, 2]
     assert r.kernel == pytest.approx(want.kernel.tolist(), rel=1e-6)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -33,18 +33,78 @@ def cumulative(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> D
     return rows.select(*keys, "_n", (F.col("_offset") + F.col("_inside")).alias("_before"), "_all")
 
 
+def positions(df: DataFrame, order: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``df`` with each row's place ``_row`` (from 0) among the ``_rows`` rows of its group, whose ``order`` must tell rows apart.
+
+    Rows are dealt out by range and written; a task numbers its own part of a
+    group, offset by the parts before it, so no group meets in one task.
+    """
+    spark, path = df.sparkSession, folder(df.sparkSession, "places")
+    df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    part = placed.groupBy(*by, "_p").agg(F.count("*").alias("_n"))  # one row a task and group
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = part.select(*by, "_p", before.alias("_offset"), F.sum("_n").over(whole).alias("_rows"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order)) - 1
+    return placed.withColumn("_inside", inside).join(part, [*by, "_p"]).withColumn("_row", F.col("_offset") + F.col("_inside")).drop("_inside", "_offset", "_p")
+
+
+#: Cells an octave of a value in the first pass over it, and parts that the second cuts a cell in.
+OCTAVE, PARTS = 64, 4096
+_TINY, _HUGE = 2.0**-40, 2.0**980
+
+
+def _octave(v: Column) -> Column:
+    """Cell of a double: its octave's part, monotone in the value; some 130,000 cells hold all doubles."""
+    size = F.floor(OCTAVE * F.log2(F.greatest(F.abs(v) / _TINY, F.lit(1.0)))).cast("long")
+    ends = F.lit(OCTAVE * 2048).cast("long")
+    return F.when(F.isnan(v), ends + 1).when(F.abs(v) > _HUGE, F.when(v > 0, ends).otherwise(-ends)).when(v < 0, -size).otherwise(size)
+
+
+def located(df: DataFrame, value: Column, ranks: Callable[[Column], Column], by: Sequence[str] = ()) -> DataFrame:
+    """The distinct values that hold the rows of given ranks (from 0), with their count ``_n``, the rows ``_before`` them and ``_all`` rows.
+
+    ``ranks`` makes an array of ranks of the number of a group's rows. Three passes
+    over ``df`` count cells, each a part of the one before: octaves' parts, some
+    thousand parts of each of those that hold a rank, then the values of the parts
+    that do. Only counts are shuffled, cells without a rank go before the next pass,
+    and nothing is written or collected. NaN is greater than all else.
+    """
+    keys, group = list(by), list(by) or [F.lit(0)]
+    small = (lambda t: t) if by else F.broadcast  # without groups: a row or two a rank
+    rows = df.select(*keys, value.cast("double").alias("_v")).filter("_v is not null").withColumn("_c", _octave(F.col("_v")))
+
+    def holding(cells: DataFrame, within: Sequence, order: str) -> DataFrame:
+        w = Window.partitionBy(*within)
+        before = F.coalesce(F.sum("_n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_before")
+        placed = cells.withColumn("_before", before)
+        return placed.filter(F.exists(ranks(F.col("_all")), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))))
+
+    ends = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    first = rows.groupBy(*keys, "_c").agg(*ends).withColumn("_before", F.lit(0)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
+    first = holding(first, group, "_c").select(*keys, "_c", "_lo", "_hi", "_before", "_all")
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    part = F.when((F.col("_hi") > F.col("_lo")) & (F.abs("_c") < OCTAVE * 2048), F.least(F.floor(PARTS * share), F.lit(PARTS - 1))).otherwise(F.lit(0)).cast("long")
+    within = rows.join(small(first), [*keys, "_c"]).withColumn("_d", part)
+    second = holding(within.groupBy(*keys, "_c", "_d", "_before", "_all").agg(F.count("*").alias("_n")), [*keys, "_c"], "_d")
+    third = within.drop("_before", "_all").join(small(second.drop("_n")), [*keys, "_c", "_d"])
+    values = third.groupBy(*keys, "_c", "_d", "_before", "_all", "_v").agg(F.count("*").alias("_n"))
+    return holding(values, [*keys, "_c", "_d"], "_v").select(*keys, "_v", "_n", "_before", "_all")
+
+
 def edges(df: DataFrame, value: Column, bins: int, by: Sequence[str] = (), name: str = "edges") -> DataFrame:
     """Distinct exact quantile edges of ``bins`` equal-count bins, one row a group."""
-    ranked = cumulative(df.select(*by, value.alias("_v")).filter("_v is not null"), ["_v"], by)
+    cuts, columns = [F.lit(float(x)) for x in np.linspace(0, 1, bins + 1)], []
+    ends = lambda n: [f(x * (n - 1)).cast("long") for x in cuts for f in (F.floor, F.ceil)]
+    ranked = located(df, value, lambda n: F.array(*ends(n)), by)
     at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("_v")))
-    cuts, columns = np.linspace(0, 1, bins + 1), []
-    for j, point in enumerate(cuts):
-        place = F.lit(float(point)) * (F.col("_all") - 1)
-        columns += [at(F.floor(place)).alias(f"_lo{j}"), at(F.ceil(place)).alias(f"_hi{j}")]
+    for j, k in enumerate(ends(F.col("_all"))):
+        columns.append(at(k).alias(f"_v{j}"))
     found = ranked.groupBy(*by).agg(F.max("_all").alias("_all"), *columns)
 
     def edge(j: int) -> Column:
-        place, lo, hi = F.lit(float(cuts[j])) * (F.col("_all") - 1), F.col(f"_lo{j}"), F.col(f"_hi{j}")
+        place, lo, hi = cuts[j] * (F.col("_all") - 1), F.col(f"_v{2 * j}"), F.col(f"_v{2 * j + 1}")
         return F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi)
 
     return found.select(*by, F.array_distinct(F.array(*[edge(j) for j in range(bins + 1)])).alias(name))
@@ -90,14 +150,21 @@ def log_bins(df: DataFrame, size: str, values: Sequence[str], bins: int, by: Seq
 
 
 def deciles(df: DataFrame, value: str, key: Column, by: Sequence[str] = (), groups: int = 10) -> DataFrame:
-    """``df`` with a ``decile`` by the middle rank of whole tie groups.
+    """``df`` with a ``decile`` by the middle rank of whole tie groups of ``key``, a double.
 
-    Ties are counted first, so ranks run over distinct keys.
+    A decile starts at the tie group that holds its first rank, or behind it,
+    so the tie groups at those ranks decide every row's decile.
     """
-    keyed = df.withColumn("_key", key)
-    ranked = cumulative(keyed.select(*by, "_key"), ["_key"], by)
-    ranked = ranked.withColumn("decile", F.floor((2 * F.col("_before") + F.col("_n")) * groups / (2 * F.col("_all"))).cast("long"))
-    return keyed.join(ranked.select(*by, "_key", "decile"), [*by, "_key"]).drop("_key")
+    keyed = df.withColumn("_key", key.cast("double")).filter("_key is not null")
+    starts = lambda n: F.array(*[F.least(F.floor(n * F.lit(g) / groups), n - 1) for g in range(1, groups)])
+    ranked = located(keyed, F.col("_key"), starts, by)
+    # The decile of the tie group itself; keys between two such groups belong to the last start before them.
+    own = F.floor((2 * F.col("_before") + F.col("_n")) * groups / (2 * F.col("_all"))).cast("long")
+    behind = F.floor((2 * (F.col("_before") + F.col("_n")) + 1) * groups / (2 * F.col("_all"))).cast("long")
+    marks = ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("_v").alias("v"), own.alias("own"), behind.alias("behind")))).alias("_marks"))
+    marked = keyed.join(marks, list(by)) if by else keyed.crossJoin(F.broadcast(marks))  # one row a group
+    step = lambda found, m: F.when(m["v"] < F.col("_key"), m["behind"]).when(m["v"] == F.col("_key"), m["own"]).otherwise(found)
+    return marked.withColumn("decile", F.aggregate("_marks", F.lit(0).cast("long"), step)).drop("_key", "_marks")
 
 
 def calibration(df: DataFrame, realised: str, predicted: str, key: Column, by: Sequence[str] = (), groups: int = 10) -> DataFrame:

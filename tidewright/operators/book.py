@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import exprs as X
 from tidewright.functions.binning import log_bins
+from tidewright.operators.joins import nearest
 
 LADDER = ("bid_px", "bid_sz", "ask_px", "ask_sz")
 
@@ -98,23 +99,16 @@ def session_bins(df: DataFrame, sizes: Sequence[float], volumes: DataFrame, sigm
     """Binned walking costs of a session: two sides, three size units, three cost units.
 
     ``volumes``: the keys with the daily volatility and volume columns. Sizes are
-    shares, shares over the first depth, and shares over daily volume;
-    ``participating`` is the share of snapshots deep enough for a bin's sizes.
+    shares, shares over the first depth, and shares over daily volume.
+    ``participating`` is the share of snapshots deep enough at a bin's mean size:
+    every snapshot and size, also one too shallow for a cost, counts in the bin
+    whose mean size is nearest in logarithm.
     """
-    x = df.withColumn("x", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
-    deep = participation(df, sizes, by).select(*by, "x", F.col("buy").alias("_buy"), F.col("sell").alias("_sell"))
-    c = costs(x).join(volumes, list(by)).join(deep, [*by, "x"])
-    both = c.select(
-        *by,
-        "mid",
-        "half_spread",
-        "x",
-        F.col(sigma).alias("_sigma"),
-        F.col(volume).alias("_volume"),
-        F.explode(F.array(F.struct(F.lit("buy").alias("side"), F.col("buy_cost").alias("cost"), F.col("depth_l1_ask").cast("double").alias("touch"), F.col("_buy").alias("deep")), F.struct(F.lit("sell").alias("side"), F.col("sell_cost").alias("cost"), F.col("depth_l1_bid").cast("double").alias("touch"), F.col("_sell").alias("deep")))).alias("s"),
-    )
-    units = F.explode(F.array(*[F.struct(F.lit(n).alias("size_normalisation"), v.alias("size")) for n, v in (("shares", F.col("x")), ("depth", X.ratio(F.col("x"), F.col("s.touch"))), ("volume", X.ratio(F.col("x"), F.col("_volume"))))]))
-    rows = both.select("*", units.alias("u")).select(
+    walked = costs(df.withColumn("x", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))).join(volumes, list(by))
+    sides = [F.struct(F.lit(n).alias("side"), F.col(f"{n}_cost").alias("cost"), F.col(f"depth_l1_{q}").cast("double").alias("touch")) for n, q in (("buy", "ask"), ("sell", "bid"))]
+    both = walked.select(*by, "mid", "half_spread", "x", F.col(sigma).alias("_sigma"), F.col(volume).alias("_volume"), F.explode(F.array(*sides)).alias("s"))
+    units = [F.struct(F.lit(n).alias("size_normalisation"), v.alias("size")) for n, v in (("shares", F.col("x")), ("depth", X.ratio(F.col("x"), F.col("s.touch"))), ("volume", X.ratio(F.col("x"), F.col("_volume"))))]
+    rows = both.select("*", F.explode(F.array(*units)).alias("u")).select(
         *by,
         F.col("s.side").alias("side"),
         F.col("u.size_normalisation").alias("size_normalisation"),
@@ -122,10 +116,22 @@ def session_bins(df: DataFrame, sizes: Sequence[float], volumes: DataFrame, sigm
         (F.col("s.cost") / F.col("mid") * 1e4).alias("cost_bp"),
         X.ratio(F.col("s.cost") / F.col("mid"), F.col("_sigma")).alias("cost_sigma"),
         X.ratio(F.col("s.cost"), F.col("half_spread")).alias("cost_half_spreads"),
-        F.col("s.deep").alias("participating"),
+        F.col("s.cost").isNotNull().cast("double").alias("_deep"),
     )
     keys = [*by, "side", "size_normalisation"]
-    return log_bins(rows, "size", ["cost_bp", "cost_sigma", "cost_half_spreads", "participating"], bins, keys)
+    table = log_bins(rows, "size", ["cost_bp", "cost_sigma", "cost_half_spreads"], bins, keys)
+    return table.join(participation_by_bin(rows.select(*keys, "size", "_deep"), "_deep", table, keys), [*keys, "bin"], "left")
+
+
+def participation_by_bin(rows: DataFrame, deep: str, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys, bin, ``participating``: the mean of ``deep`` over the rows whose size is nearest to the bin's mean size."""
+    # A group has one short array: its bins' numbers and log sizes, in order.
+    ordered = F.sort_array(F.collect_list(F.struct("bin", F.ln("size").alias("center"))))
+    centers = table.groupBy(*keys).agg(ordered.alias("_bins"))
+    # Sizes of a fixed grid repeat, so they are counted before they are placed.
+    counted = rows.filter("size > 0").groupBy(*keys, "size").agg(F.sum(deep).alias("_deep"), F.count("*").alias("_n")).join(centers, list(keys))
+    place = F.element_at("_bins", nearest(F.col("size"), F.transform("_bins", lambda b: b["center"])).cast("int") + 1)["bin"]
+    return counted.withColumn("bin", place).groupBy(*keys, "bin").agg((F.sum("_deep") / F.sum("_n")).alias("participating"))
 
 
 def deep_enough(bins: DataFrame, least: float) -> DataFrame:

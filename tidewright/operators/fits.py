@@ -123,20 +123,55 @@ def power_fits(df: DataFrame, y: str, scale: str, q: str, by: Sequence[str], bou
 
     def fit(key, sums):
         sums = sums.sort_values("theta")
-        points, grid, matrix = nodes(bounds)
-        a, b = matrix @ sums["A"].to_numpy(), np.maximum(matrix @ sums["B"].to_numpy(), 1e-300)
-        error = -np.maximum(a, 0) ** 2 / b
-        k, delta, level = int(np.argmin(error)), 0.0, np.maximum(a, 0) / b * np.exp(-grid * center)
-        delta = grid[k]
-        if 0 < k < len(grid) - 1:
-            left, low, right = error[k - 1 : k + 2]
-            bend = left - 2 * low + right
-            delta += (grid[1] - grid[0]) * np.clip(0.5 * (left - right) / bend, -1, 1) if bend > 0 else 0.0
-        return pd.DataFrame([[*key, float(np.interp(delta, grid, level)), float(delta), int(sums["n"].iloc[0])]], columns=[*by, "c", "delta", "n"])
+        c, delta, _ = polished(sums["A"].to_numpy()[None, :], sums["B"].to_numpy()[None, :], bounds, center)
+        return pd.DataFrame([[*key, float(c[0]), float(delta[0]), int(sums["n"].iloc[0])]], columns=[*by, "c", "delta", "n"])
 
     return table.groupBy(*by).applyInPandas(fit, f"{keys}, c double, delta double, n long")
 
 
+class Curves:
+    """Rows of values at the points of :func:`nodes` as Chebyshev series of each piece, evaluated at a place per row."""
+
+    def __init__(self, values: np.ndarray, bounds: tuple[float, float], pieces: int = 4, degree: int = 16) -> None:
+        chebyshev = np.polynomial.chebyshev
+        x = np.cos(np.pi * np.arange(degree, -1, -1) / degree)
+        own = np.stack([values[:, k * degree : (k + 1) * degree + 1] for k in range(pieces)], axis=1)
+        self.series = own @ np.linalg.inv(chebyshev.chebvander(x, degree)).T
+        self.ends, self.pieces = np.linspace(*bounds, pieces + 1), pieces
+        self.slopes = chebyshev.chebder(self.series, axis=2) * (2 / (self.ends[1] - self.ends[0]))
+
+    def __call__(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values and slopes."""
+        piece = np.clip(np.searchsorted(self.ends, at, side="right") - 1, 0, self.pieces - 1)
+        t = 2 * (at - self.ends[piece]) / (self.ends[1] - self.ends[0]) - 1
+        rows = np.arange(len(at))
+        terms = np.polynomial.chebyshev.chebvander(t, self.series.shape[2] - 1)
+        return (self.series[rows, piece] * terms).sum(axis=1), (self.slopes[rows, piece] * terms[:, :-1]).sum(axis=1)
+
+
+def polished(a: np.ndarray, b: np.ndarray, bounds: tuple[float, float], center: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level, exponent and error's fall of each row of sums at the points: the least on a fine grid, then the root of ``2 B A' - A B'``."""
+    _, grid, matrix = nodes(bounds)
+    curve_a, curve_b = Curves(a, bounds), Curves(b, bounds)
+    fall = np.maximum(a @ matrix.T, 0) ** 2 / np.maximum(b @ matrix.T, 1e-300)
+    best = fall.argmax(axis=1)
+    lo, hi = grid[np.maximum(best - 1, 0)], grid[np.minimum(best + 1, len(grid) - 1)]
+
+    def slope(x: np.ndarray) -> np.ndarray:
+        (u, du), (v, dv) = curve_a(x), curve_b(x)
+        return 2 * v * du - u * dv
+
+    inside = slope(lo) * slope(hi) < 0
+    left, right, sign = lo.copy(), hi.copy(), np.sign(slope(lo))
+    for _ in range(60):
+        middle = 0.5 * (left + right)
+        same = np.sign(slope(middle)) == sign
+        left, right = np.where(same, middle, left), np.where(same, right, middle)
+    delta = np.where(inside, 0.5 * (left + right), grid[best])
+    top, low = np.maximum(curve_a(delta)[0], 0), np.maximum(curve_b(delta)[0], 1e-300)
+    return top / low * np.exp(-delta * center), delta, top**2 / low
+
+
 def nodes(bounds: tuple[float, float], pieces: int = 4, degree: int = 16, fine: int = 3001) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chebyshev points of each piece of an interval, a fine grid, and the matrix from values at the points to the grid."""
     x = np.cos(np.pi * np.arange(degree, -1, -1) / degree)
@@ -172,7 +207,7 @@ def published(orders: DataFrame, y: Column, q: str, group: str, draws: int = 100
 
     A and B are smooth in delta, so the pass keeps their group sums at some sixty
     points; every draw is a contraction of them, interpolated to a fine grid and
-    polished by the parabola through the three lowest errors.
+    polished by the root of the error's slope.
     """
     table, center = _power_sums(orders, y, q, [group], bounds)
     return contracted(table.toPandas(), group, bounds, center, draws, seed)
@@ -185,24 +220,13 @@ def contracted(rows, group: str, bounds: tuple[float, float], center: float, dra
     shape = (len(groups), len(points))
     rows = rows.sort_values([group, "theta"])
     a, b = rows["A"].to_numpy().reshape(shape), rows["B"].to_numpy().reshape(shape)
-    yy, n = rows["yy"].to_numpy().reshape(shape)[:, 0], rows["n"].to_numpy().reshape(shape)[:, 0]
-    half, step = int(np.argmin(np.abs(grid - 0.5))), grid[1] - grid[0]
-
-    def solve(m: np.ndarray) -> tuple[float, float, float]:
-        sa, sb = matrix @ (m @ a), np.maximum(matrix @ (m @ b), 1e-300)
-        sse = m @ yy - np.maximum(sa, 0) ** 2 / sb
-        k = int(np.argmin(sse))
-        delta = grid[k]
-        if 0 < k < len(grid) - 1:
-            left, low, right = sse[k - 1 : k + 2]
-            bend = left - 2 * low + right
-            delta += step * np.clip(0.5 * (left - right) / bend, -1, 1) if bend > 0 else 0.0
-        return float(max(sa[k], 0) / sb[k] * np.exp(-grid[k] * center)), float(delta), float(sa[half] / sb[half] * np.exp(-grid[half] * center))
-
-    c, delta, c_half = solve(np.ones(len(groups)))
-    made = np.array([solve(m) for m in resample.multiplicities(groups, draws, seed)]).reshape(-1, 3)
-    (d_lo, d_hi), (h_lo, h_hi) = resample.interval(made[:, 1]), resample.interval(made[:, 2])
-    return {"c_free": c, "delta": delta, "c_half": c_half, "n": int(n.sum()), "delta_low": d_lo, "delta_high": d_hi, "c_half_low": h_lo, "c_half_high": h_hi}
+    n = rows["n"].to_numpy().reshape(shape)[:, 0]
+    times = np.concatenate([np.ones((1, len(groups))), resample.multiplicities(groups, draws, seed).reshape(draws, len(groups))])
+    c, delta, _ = polished(times @ a, times @ b, bounds, center)
+    half = np.argmin(np.abs(grid - 0.5))
+    level = (times @ (a @ matrix[half])) / np.maximum(times @ (b @ matrix[half]), 1e-300) * np.exp(-grid[half] * center)
+    (d_lo, d_hi), (h_lo, h_hi) = resample.interval(delta[1:]), resample.interval(level[1:])
+    return {"c_free": float(c[0]), "delta": float(delta[0]), "c_half": float(level[0]), "n": int(n.sum()), "delta_low": d_lo, "delta_high": d_hi, "c_half_low": h_lo, "c_half_high": h_hi}
 
 
 def published_panels(orders: DataFrame, y: Column, q: str, panel: str, group: str, draws: int = 200, seed: int = 0, bounds: tuple[float, float] = (0.0, 3.0)) -> DataFrame:

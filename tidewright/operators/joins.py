@@ -33,10 +33,15 @@ def resolve_names(names: DataFrame, tickers: Sequence[str], as_of: str, codes: S
     return best(n, ["ticker"], [rank.asc(), F.col("namedt").desc(), F.col("nameendt").desc(), F.col("exchcd").asc(), F.col("permno").desc()])
 
 
+def nearest(size: Column, centers: Column) -> Column:
+    """Index of the nearest of ``centers`` (an array of log sizes) in log size, the lower one on ties."""
+    apart = F.transform(centers, lambda c, k: F.struct(F.abs(F.ln(size) - c).alias("d"), k.alias("bin")))
+    return F.array_min(apart)["bin"]
+
+
 def nearest_center(points: DataFrame, size: str, centers: Sequence[float]) -> DataFrame:
-    """Index of the nearest centre in log size, the lower one on ties. ``centers``: a short list."""
-    c = F.array(*[F.struct(F.abs(F.ln(F.col(size)) - F.lit(float(v)).cast("double")).alias("d"), F.lit(k).alias("bin")) for k, v in enumerate(centers)])
-    return points.filter(F.col(size) > 0).withColumn("bin", F.array_min(c)["bin"])
+    """Index of the nearest centre in log size. ``centers``: a short list."""
+    return points.filter(F.col(size) > 0).withColumn("bin", nearest(F.col(size), F.array(*[F.lit(float(v)) for v in centers])))
 
 
 def with_sizes(snapshots: DataFrame, sizes: Sequence[float], name: str = "x") -> DataFrame:

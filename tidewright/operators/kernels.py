@@ -1,7 +1,9 @@
 """Distributed-lag response of returns to order flow, and its level response.
 
-A lag regression needs its session's bars in order: each symbol-day is one group
-of two columns, and the lag matrix is built inside the worker.
+Every lag fit of a grid (powers of the flow by numbers of lags) is solved from
+sums of products. Sessions are cut in blocks of rows, each with the last rows of
+the block before it, so that lags need no other block and no session meets in one
+task; a block gives its sums for all shapes at once.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import exprs as X
+from tidewright.functions.binning import positions
 from tidewright.operators.bars import SESSION
 
 LAGS, DELTAS = (0, 1, 2, 5, 10, 20, 60), (0.25, 0.5, 0.75, 1.0)
@@ -124,62 +127,135 @@ def select_lags(returns: np.ndarray, volume: np.ndarray, end: int, grid: Sequenc
     return best[1]
 
 
-def calibrate(bars: DataFrame, keys: Sequence[str] = SESSION, lags: Sequence[int] = LAGS, deltas: Sequence[float] = DELTAS, predictive: bool = False) -> DataFrame:
-    """The whole grid of every session: scores, instant response, half life, gain over no lags."""
-    names = ", ".join(f"{k} {bars.schema[k].dataType.simpleString()}" for k in keys)
+def lag_sums(bars: DataFrame, keys: Sequence[str], by: Sequence[str], lags: Sequence[int], deltas: Sequence[float], train: float, end: float, split: str, block: int, drop: int = 0) -> DataFrame:
+    """Sums of lag products by ``by``, delta, n_lags and _train: ``_sums`` is n, sum y, sum y^2, then X'y and X'X row by row.
 
-    def run(key, rows):
-        import pandas as pd
-
-        rows = rows.sort_values("sec")
-        fits = search(returns_of(rows["mid"]), rows["signed_vol"].to_numpy(float), lags, deltas, predictive=predictive)
-        flat = {f.delta: f.r2_out for f in fits if f.lags == 0}
-        out = [[*key, f.delta, f.lags, f.r2_in, f.r2_out, float(f.kernel[0]), half_life(f.kernel, f.lags), k == 0, f.r2_out - flat.get(f.delta, np.nan), f.kernel.tolist()] for k, f in enumerate(fits)]
-        return pd.DataFrame(out, columns=[*keys, "delta", "n_lags", "r2_in", "r2_out", "g0", "half_life", "best", "history_gain", "kernel"])
-
-    return bars.select(*keys, "sec", "mid", "signed_vol").groupBy(*keys).applyInPandas(run, f"{names}, delta double, n_lags int, r2_in double, r2_out double, g0 double, half_life double, best boolean, history_gain double, kernel array<double>")
-
-
-def pooled(bars: DataFrame, by: Sequence[str], keys: Sequence[str] = SESSION, lags: Sequence[int] = (0, 1, 2), deltas: Sequence[float] = (0.5, 1.0), train: float = 0.7) -> DataFrame:
-    """The lag fit of every shape over all sessions of a group, from sums of products.
+    ``split``: the first ``train`` share of a session's complete rows trains
+    ("complete"), or of all its rows ("rows"). Only the first ``end`` share of rows
+    counts, and the flows of the first ``drop`` lags may be missing.
+    """
+    import pandas as pd
 
-    Lags stay within a session; the first share of each session's complete rows
-    trains and the rest scores. What meets per group is two rows of sums, so a
-    group of any length is one partially aggregated pass.
+    most, group, kinds = max(*lags, 1), [*keys, "_b"], lambda names: ", ".join(f"{k} {bars.schema[k].dataType.simpleString()}" for k in names)
+    rows = positions(bars.select(*dict.fromkeys([*by, *keys]), "sec", "mid", "signed_vol"), ["sec"], keys)
+    rows = rows.withColumn("_rows", F.floor(F.col("_rows") * end).cast("long")).filter("_row < _rows").withColumn("_b", F.floor(F.col("_row") / block))
+    # The last rows of a block also stand before the next one.
+    tail = rows.filter((F.pmod("_row", F.lit(block)) >= block - most) & ((F.col("_b") + 1) * block < F.col("_rows"))).withColumn("_b", F.col("_b") + 1)
+    rows = rows.unionByName(tail)
+
+    def complete(part):
+        part = part.sort_values("_row")
+        flow, returns = part["signed_vol"].to_numpy(float), returns_of(part["mid"])
+        own = part["_row"].to_numpy() // block == part["_b"].iloc[0]
+        broken = np.where(np.isfinite(flow), -1, np.arange(len(flow)))
+        run = np.arange(len(flow)) - np.maximum.accumulate(broken)
+        run = np.concatenate([np.zeros(drop), run])[: len(run)]
+        return part, flow, returns, [own & np.isfinite(returns) & (run > k - drop) for k in lags]
+
+    def count(key, part):
+        _, _, _, whole = complete(part)
+        return pd.DataFrame([[*key, k, int(w.sum())] for k, w in zip(lags, whole)], columns=[*group, "n_lags", "n"])
+
+    counted = rows.groupBy(*group).applyInPandas(count, f"{kinds(keys)}, _b long, n_lags int, n long")
+    session = Window.partitionBy(*keys, "n_lags")
+    before = F.coalesce(F.sum("n").over(session.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.select(*group, "n_lags", before.alias("before"), F.sum("n").over(session).alias("total"))
+
+    def products(key, part, places):
+        out = []
+        if len(part):
+            part, flow, returns, whole = complete(part)
+            names, row, number = [part[k].iloc[0] for k in by], part["_row"].to_numpy(), int(part["_rows"].iloc[0])
+            place = {r.n_lags: (r.before, r.total) for r in places.itertuples()}
+            for delta in deltas:
+                x = np.nan_to_num(lag_matrix(flow_of(flow, delta), max(lags)))
+                for k, rows_k in zip(lags, whole):
+                    at = np.flatnonzero(rows_k)
+                    start, total = place[k]
+                    inside = row[at] < int(number * train) if split == "rows" else start + np.arange(len(at)) < int(total * train)
+                    for side in (True, False):
+                        own = at[inside == side]
+                        u, y = x[own, : k + 1], returns[own]
+                        if len(own):
+                            out.append([*names, delta, k, side, np.concatenate([[len(own), y.sum(), y @ y], u.T @ y, (u.T @ u).ravel()])])
+        return pd.DataFrame(out, columns=[*by, "delta", "n_lags", "_train", "_sums"])
+
+    shape = f"{kinds(by)}, delta double, n_lags int, _train boolean, _sums array<double>"
+    made = rows.groupBy(*group).cogroup(counted.groupBy(*group)).applyInPandas(products, shape)
+
+    def combine(frames):
+        held: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for *key, sums in frame.itertuples(index=False):
+                key = tuple(key)
+                held[key] = held[key] + sums if key in held else np.array(sums)
+                if len(held) >= 1024:
+                    yield pd.DataFrame([[*k, v] for k, v in held.items()], columns=frame.columns)
+                    held = {}
+        if held:
+            yield pd.DataFrame([[*k, v] for k, v in held.items()], columns=[*by, "delta", "n_lags", "_train", "_sums"])
+
+    # Within each task, then by some tasks, then all: no task adds more than a few hundred rows a shape.
+    combined = made.mapInPandas(combine, shape).withColumn("_part", F.spark_partition_id() % 256)
+    total = [*by, "delta", "n_lags", "_train"]
+
+    def add(key, frame):
+        return pd.DataFrame([[*key[: len(total)], np.sum(np.stack(frame["_sums"].to_list()), axis=0)]], columns=[*total, "_sums"])
+
+    return combined.groupBy(*total, "_part").applyInPandas(add, shape)
+
+
+def calibrate(bars: DataFrame, keys: Sequence[str] = SESSION, by: Sequence[str] | None = None, lags: Sequence[int] = LAGS, deltas: Sequence[float] = DELTAS, predictive: bool = False, train: float = 0.7, end: float = 1.0, least: int = 50, split: str = "complete", block: int = 1 << 16) -> DataFrame:
+    """The lag fit of every shape over the sessions of each group: scores, instant response, half life, gain over no lags.
+
+    ``by`` (the session itself if absent) may pool sessions; lags stay within
+    one. The first ``train`` share of each session's complete rows trains and the
+    rest scores; shapes with fewer than ``least`` rows on a side are left out.
+    ``refit`` is the kernel of both parts together: with ``end`` it makes the
+    nested fit, whose shape is chosen and refitted before the rows from there on.
+    The best shape scores best on the rest; the smaller power and fewer lags on ties.
     """
     import pandas as pd
 
-    most, order = max(lags), Window.partitionBy(*keys, "delta").orderBy("sec")
-    rows = bars.withColumn("delta", F.explode(F.array(*[F.lit(float(d)) for d in deltas])))
-    rows = rows.withColumn("_y", X.log_return(F.col("mid"), order)).withColumn("_f", X.signed_power(F.col("signed_vol"), F.col("delta")))
-    rows = lag_columns(rows, "_f", most, [*keys, "delta"]).withColumn("n_lags", F.explode(F.array(*[F.lit(int(k)) for k in lags])))
-    have = [F.when(F.col("n_lags") >= k, F.col(f"lag_{k}")).otherwise(F.lit(0.0)) for k in range(most + 1)]
-    rows = rows.select(*dict.fromkeys([*by, *keys]), "sec", "delta", "n_lags", "_y", *[c.alias(f"_x{k}") for k, c in enumerate(have)]).dropna()
-    session = Window.partitionBy(*keys, "delta", "n_lags")
-    inside = F.row_number().over(session.orderBy("sec")) <= F.floor(F.count("*").over(session) * train)
-    x = [f"_x{k}" for k in range(most + 1)]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x)] + [F.sum(F.col(a) * F.col("_y")).alias(f"b{i}") for i, a in enumerate(x)]
-    table = rows.withColumn("_train", inside).groupBy(*by, "delta", "n_lags", "_train").agg(F.count("*").alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("syy"), *sums)
+    by = list(keys if by is None else by)
+    lags = [k for k in lags if k or not predictive]
+    drop = 1 if predictive else 0
+    sums = lag_sums(bars, keys, by, lags, deltas, train, end, split, block, drop)
 
     def solve(key, parts):
         n = int(key[-1]) + 1
-        gram, cross, score = {}, {}, {}
-        for r in parts.to_dict("records"):
-            gram[r["_train"]] = np.array([[r[f"g{i}_{j}"] for j in range(n)] for i in range(n)])
-            cross[r["_train"]] = np.array([r[f"b{i}"] for i in range(n)])
-        kernel = np.linalg.lstsq(gram[True], cross[True], rcond=None)[0] if True in gram else np.full(n, np.nan)
-        for r in parts.to_dict("records"):
-            t = r["_train"]
-            total = r["syy"] - r["sy"] ** 2 / r["n"]
-            score[t] = 1 - (r["syy"] - 2 * kernel @ cross[t] + kernel @ gram[t] @ kernel) / total if total > 0 else np.nan
-        sizes = dict(zip(parts["_train"], parts["n"]))
-        return pd.DataFrame([[*key, kernel.tolist(), score.get(True), score.get(False), sizes.get(True, 0), sizes.get(False, 0)]], columns=[*by, "delta", "n_lags", "kernel", "r2_in", "r2_out", "n_train", "n_test"])
-
+        total = {side: np.sum(np.stack(own["_sums"].to_list()), axis=0) for side, own in parts.groupby("_train")}
+        if min(total.get(side, [0])[0] for side in (True, False)) < max(least, 1):
+            return pd.DataFrame([], columns=columns)
+        cross = {side: v[3 : 3 + n][drop:] for side, v in total.items()}
+        gram = {side: v[3 + n :].reshape(n, n)[drop:, drop:] for side, v in total.items()}
+        kernel = np.linalg.lstsq(gram[True], cross[True], rcond=None)[0]
+        refit = np.linalg.lstsq(gram[True] + gram[False], cross[True] + cross[False], rcond=None)[0]
+        score = {}
+        for side, (count, sy, syy) in ((side, v[:3]) for side, v in total.items()):
+            spread = syy - sy**2 / count
+            score[side] = 1 - (syy - 2 * kernel @ cross[side] + kernel @ gram[side] @ kernel) / spread if spread > 0 else None
+        half = half_life(kernel, n - 1)
+        row = [*key, score[True], score[False], float(kernel[0]), None if np.isnan(half) else half, kernel.tolist(), refit.tolist(), int(total[True][0]), int(total[False][0])]
+        return pd.DataFrame([row], columns=columns)
+
+    columns = [*by, "delta", "n_lags", "r2_in", "r2_out", "g0", "half_life", "kernel", "refit", "n_train", "n_test"]
     names = ", ".join(f"{k} {bars.schema[k].dataType.simpleString()}" for k in by)
-    fitted = table.groupBy(*by, "delta", "n_lags").applyInPandas(solve, f"{names}, delta double, n_lags int, kernel array<double>, r2_in double, r2_out double, n_train long, n_test long")
-    # The best shape scores best on the rest; fewer lags and the smaller power on ties.
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("r2_out").desc(), "n_lags", "delta"))
-    return fitted.withColumn("best", rank == 1)
+    fitted = sums.groupBy(*by, "delta", "n_lags").applyInPandas(solve, f"{names}, delta double, n_lags int, r2_in double, r2_out double, g0 double, half_life double, kernel array<double>, refit array<double>, n_train long, n_test long")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("r2_out").desc_nulls_last(), "delta", "n_lags"))
+    flat = F.max(F.when(F.col("n_lags") == 0, F.col("r2_out"))).over(Window.partitionBy(*by, "delta"))
+    return fitted.withColumn("best", rank == 1).withColumn("history_gain", F.col("r2_out") - flat)
+
+
+def linear_lags(bars: DataFrame, keys: Sequence[str] = SESSION, by: Sequence[str] | None = None, grid: Sequence[int] = (1, 2, 5, 10, 20, 60), least: int = 100) -> DataFrame:
+    """The linear kernel with the number of lags that scores best on the last 30% of rows, refitted on all of them."""
+    found = calibrate(bars, keys, by, grid, (1.0,), least=least, split="rows").filter("best")
+    return found.select(*(keys if by is None else by), "n_lags", "r2_out", F.col("refit").alias("kernel"))
+
+
+def by_lag(fits: DataFrame, by: Sequence[str], kernel: str = "kernel") -> DataFrame:
+    """One row a lag of fitted kernels: lag and coefficient."""
+    return fits.select(*by, F.posexplode(kernel).alias("lag", "coefficient"))
 
 
 def levels(kernels: DataFrame, keys: Sequence[str], value: str = "coefficient", lag: str = "lag") -> DataFrame:

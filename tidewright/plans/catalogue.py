@@ -433,11 +433,25 @@ def power_least(spark, d):
     return fits.lowest(grid, ["symbol"], "delta").select("symbol", "delta", "c", "n")
 
 
-@query(_with(V.ORDERS) + """, g AS (SELECT unnest(range(0, 301)) * 0.005 AS d), s AS (SELECT symbol, d, SUM(sigma * pow(q, d) * realised) AS a, SUM(sigma * sigma * pow(q, 2 * d)) AS b, COUNT(*) AS n FROM mo, g GROUP BY 1, 2),
-  e AS (SELECT symbol, d, n, -a * a / b AS e, lag(-a * a / b) OVER w AS l, lead(-a * a / b) OVER w AS r FROM s WINDOW w AS (PARTITION BY symbol ORDER BY d)), k AS (SELECT symbol, arg_min(d, e) AS d, arg_min(l, e) AS l, MIN(e) AS e, arg_min(r, e) AS r, MAX(n) AS n FROM e GROUP BY 1)
-  SELECT symbol, round(d + COALESCE(0.005 * 0.5 * (l - r) / (l - 2 * e + r), 0), 3) AS delta, n FROM k""")
+#: Sums at exponents of step 0.0025: levels, products and their slopes.
+_POWER_SUMS = """, f AS (SELECT symbol, ln(q) AS l, {y} AS y, {scale} AS s FROM mo), g AS (SELECT unnest(range(0, 601)) AS j), x AS (SELECT symbol, j, y, l, s * exp(l * j * 0.0025) AS x FROM f, g),
+  s AS (SELECT symbol, j, SUM(x * y) AS a, SUM(x * x) AS b, SUM(x * y * l) AS da, 2 * SUM(x * x * l) AS db, COUNT(*) AS n FROM x GROUP BY 1, 2)"""
+
+
+def _root_sql(key: str) -> str:
+    """Exponent and level by ``key`` from sums ``s``: the root of the error's slope between grid points, by cubics through four of them."""
+    others = lambda i: [k for k in range(4) if k != i]
+    root = " + ".join(f"d{i} * " + " * ".join(f"g{k} / (g{k} - g{i})" for k in others(i)) for i in range(4))
+    level = " + ".join(f"v{i} * " + " * ".join(f"(d - d{k}) / (d{i} - d{k})" for k in others(i)) for i in range(4))
+    at = ", ".join(f"MAX(CASE WHEN e.j = p.j + {i - 1} THEN {c} END) AS {n}{i}" for i in range(4) for n, c in (("d", "e.j * 0.0025"), ("g", "e.g"), ("v", "e.v")))
+    return f""", e AS (SELECT {key}, j, 2 * da / a - db / b AS g, ln(a / b) AS v, a * a / b AS fall, n FROM s WHERE a > 0), k AS (SELECT {key}, arg_max(j, fall) AS best, MAX(n) AS n FROM e GROUP BY 1),
+  p AS (SELECT u.{key}, u.j FROM e u JOIN e w ON u.{key} = w.{key} AND w.j = u.j + 1 JOIN k ON k.{key} = u.{key} WHERE u.j IN (best - 1, best) AND sign(u.g) <> sign(w.g)),
+  q AS (SELECT e.{key}, {at} FROM e JOIN p ON e.{key} = p.{key} GROUP BY 1), o AS (SELECT *, {root} AS d FROM q), z AS (SELECT o.{key}, d, exp({level}) AS c, n FROM o JOIN k ON o.{key} = k.{key})"""
+
+
+@query(_with(V.ORDERS) + _POWER_SUMS.format(y="realised", scale="sigma") + _root_sql("symbol") + " SELECT symbol, round(c, 6) AS c, round(d, 6) AS delta, n FROM z")
 def power_fits(spark, d):
-    return fits.power_fits(V.metaorders(spark, d), "realised", "sigma", "q", ["symbol"]).select("symbol", F.round("delta", 3).alias("delta"), "n")
+    return fits.power_fits(V.metaorders(spark, d), "realised", "sigma", "q", ["symbol"]).select("symbol", "c", "delta", "n")
 
 
 _CROSS = np.geomspace(1e-4, 1e-2, 40)
@@ -496,10 +510,18 @@ def ols_hc1(spark, d):
     return spark.createDataFrame([(r["term"], r["coef"], r["se_robust"], round(r["t"], 3)) for r in rows], "term string, coef double, se_robust double, t double")
 
 
-@query()
+_DRAWS = 200
+#: The five event types of the driver's tables, in order, are the blocks; draw 0 is all of them once.
+_TIMES = ", ".join(f"({t}, {k}, {m})" for t, row in enumerate([[1] * 5, *resample.multiplicities(range(5), _DRAWS).tolist()]) for k, m in enumerate(row))
+
+
+@query(_with(V.ORDERS) + _POWER_SUMS.format(y="realised / sigma", scale="1.0").replace("s AS (SELECT symbol", "own AS (SELECT symbol") + f""", m(t, k, m) AS (VALUES {_TIMES}), b AS (SELECT own.*, dense_rank() OVER (ORDER BY symbol) - 1 AS k FROM own),
+  s AS (SELECT t, j, SUM(m * a) AS a, SUM(m * b) AS b, SUM(m * da) AS da, SUM(m * db) AS db, CAST(SUM(m * n) AS BIGINT) AS n FROM b JOIN m USING (k) GROUP BY 1, 2)""" + _root_sql("t") + """, h AS (SELECT t, a / b AS h FROM s WHERE j = 200)
+  SELECT round(MAX(CASE WHEN t = 0 THEN c END), 6) AS c_free, round(MAX(CASE WHEN t = 0 THEN h END), 6) AS c_half, round(quantile_cont(h, 0.975) FILTER (WHERE t > 0), 6) AS c_half_high, round(quantile_cont(h, 0.025) FILTER (WHERE t > 0), 6) AS c_half_low,
+  round(MAX(CASE WHEN t = 0 THEN d END), 6) AS delta, round(quantile_cont(d, 0.975) FILTER (WHERE t > 0), 6) AS delta_high, round(quantile_cont(d, 0.025) FILTER (WHERE t > 0), 6) AS delta_low, MAX(CASE WHEN t = 0 THEN n END) AS n FROM z JOIN h USING (t)""")
 def published_fit(spark, d):
     o = V.metaorders(spark, d)
-    f = fits.published(o, F.col("realised") / F.col("sigma"), "q", "symbol", 200)
+    f = fits.published(o, F.col("realised") / F.col("sigma"), "q", "symbol", _DRAWS)
     return spark.createDataFrame([f]).select(*sorted(f))
 
 
@@ -647,11 +669,37 @@ def pca_weights(spark, d):
     return book.integrated(book.imbalance_bars(_flows(spark, d), ("label",)), 10, F.col("sec") < 10).select("label", "sec", "ofi_integrated")
 
 
-@query()
-def book_walk_bins(spark, d):
+_GRID = np.geomspace(1, 8000, 30).tolist()
+_BINS = f""", g AS (SELECT unnest([{', '.join(map(repr, _GRID))}]) AS x), l2 AS (SELECT vec_id, label, level, 'buy' AS side, ask_px AS px, ask_sz AS sz FROM levels UNION ALL SELECT vec_id, label, level, 'sell', bid_px, bid_sz FROM levels),
+  cu AS (SELECT *, SUM(sz) OVER (PARTITION BY vec_id, side ORDER BY level) - sz AS before FROM l2),
+  wk AS (SELECT vec_id, label, side, x, SUM(least(greatest(x - before, 0), sz) * px) / x AS av, SUM(sz) AS depth, MAX(CASE WHEN level = 0 THEN sz END) AS touch FROM cu, g GROUP BY vec_id, label, side, x),
+  co AS (SELECT *, CASE WHEN depth >= x THEN CASE side WHEN 'buy' THEN av - 99.99 ELSE 99.99 - av END END AS cost FROM wk),
+  r AS (SELECT vec_id, label, side, x, cost, unnest(['shares', 'depth', 'volume']) AS size_normalisation, unnest([x, x / touch, x / 1e6]) AS size FROM co),
+  lo AS (SELECT *, round(ln(size), 12) AS ls FROM r WHERE cost IS NOT NULL),
+  e AS (SELECT label, side, size_normalisation, list_sort(list_distinct(list_transform({_EDGES.format(v='ls', p=_points(20))}, lambda x: round(x, 12)))) AS e FROM lo GROUP BY 1, 2, 3),
+  b AS (SELECT lo.*, least(greatest(len(list_filter(e, lambda y: y <= ls)) - 1, 0), len(e) - 2) AS bin FROM lo JOIN e USING (label, side, size_normalisation)),
+  t AS (SELECT label, side, size_normalisation, bin, avg(size) AS size, COUNT(*) AS n, avg(cost / 99.99 * 1e4) AS cost_bp, avg(cost / 99.99 / 0.02) AS cost_sigma, avg(cost / 0.01) AS cost_half_spreads, stddev_samp(cost / 99.99 * 1e4) AS cost_sd FROM b GROUP BY 1, 2, 3, 4),
+  d AS (SELECT r.label, r.side, r.size_normalisation, r.vec_id, r.x, MAX(CASE WHEN cost IS NULL THEN 0.0 ELSE 1.0 END) AS deep, arg_min(bin, (abs(ln(r.size) - ln(t.size)), bin)) AS bin FROM r JOIN t USING (label, side, size_normalisation) GROUP BY r.label, r.side, r.size_normalisation, r.vec_id, r.x),
+  p AS (SELECT label, side, size_normalisation, bin, avg(deep) AS participating FROM d GROUP BY 1, 2, 3, 4)"""
+
+
+def _walk_bins(spark, d):
     ladder = V.ladder(spark, d)
     scales = ladder.select("label").distinct().withColumn("sigma", F.lit(0.02)).withColumn("volume", F.lit(1e6))
-    return book.session_bins(ladder, np.geomspace(1, 800, 30).tolist(), scales, "sigma", "volume", ["label"], 20)
+    return book.session_bins(ladder, _GRID, scales, "sigma", "volume", ["label"], 20)
+
+
+@query(_with(V.LADDER) + _BINS + """ SELECT CAST(label AS BIGINT) AS label, side, size_normalisation, CAST(bin AS BIGINT) AS bin, round(size, 6) AS size, n, round(cost_bp, 6) AS cost_bp, round(cost_sigma, 6) AS cost_sigma,
+  round(cost_half_spreads, 6) AS cost_half_spreads, round(cost_sd, 6) AS cost_sd, round(participating, 6) AS participating FROM t LEFT JOIN p USING (label, side, size_normalisation, bin)""")
+def book_walk_bins(spark, d):
+    """Binned walking costs of both sides in three units of size, some sizes beyond most books."""
+    return _walk_bins(spark, d).select("label", "side", "size_normalisation", "bin", "size", "n", "cost_bp", "cost_sigma", "cost_half_spreads", "cost_sd", "participating")
+
+
+@query(_with(V.LADDER) + _BINS + " SELECT CAST(label AS BIGINT) AS label, side, size_normalisation, CAST(bin AS BIGINT) AS bin, round(participating, 6) AS participating FROM p WHERE participating >= 0.5")
+def participating_bins(spark, d):
+    """Book-walk bins that half of all snapshots can fill at the bin's mean size."""
+    return book.deep_enough(_walk_bins(spark, d), 0.5).select("label", "side", "size_normalisation", "bin", "participating")
 
 
 @query()
@@ -676,22 +724,48 @@ def _long_bars(spark, d):
     return b.select("symbol", (F.col("day") * 86_400 + F.col("sec")).alias("sec"), "signed_vol", "volume", "mid")
 
 
-@query(_with(V.PRINTS, V.BARS) + """, f AS (SELECT symbol, dt, sec, d, ln(mid / lag(mid) OVER (PARTITION BY symbol, dt, d ORDER BY sec)) AS y, sign(signed_vol) * pow(abs(signed_vol), d) AS f FROM bars, (SELECT unnest([0.5, 1.0]) AS d)),
-  x AS (SELECT *, lag(f) OVER (PARTITION BY symbol, dt, d ORDER BY sec) AS f1 FROM f), c AS (SELECT *, row_number() OVER w <= floor(COUNT(*) OVER (PARTITION BY symbol, dt, d) * 0.7) AS train FROM x WHERE y IS NOT NULL AND f1 IS NOT NULL WINDOW w AS (PARTITION BY symbol, dt, d ORDER BY sec)),
-  s AS (SELECT symbol, d, train, COUNT(*) AS n, SUM(y) AS sy, SUM(y * y) AS yy, SUM(f * f) AS a, SUM(f * f1) AS b, SUM(f1 * f1) AS c, SUM(f * y) AS p, SUM(f1 * y) AS q FROM c GROUP BY 1, 2, 3),
-  k AS (SELECT symbol, d, 0 AS n_lags, p / a AS g0, 0 AS g1 FROM s WHERE train UNION ALL SELECT symbol, d, 1, (p * c - q * b) / (a * c - b * b), (q * a - p * b) / (a * c - b * b) FROM s WHERE train),
-  r AS (SELECT symbol, d, n_lags, g0, train, n, 1 - (yy - 2 * (g0 * p + g1 * q) + g0 * g0 * a + 2 * g0 * g1 * b + g1 * g1 * c) / (yy - sy * sy / n) AS r2 FROM k JOIN s USING (symbol, d))
-  SELECT symbol, CAST(d AS DOUBLE) AS delta, CAST(n_lags AS BIGINT) AS n_lags, round(1000 * MAX(g0), 6) AS g0, round(MAX(CASE WHEN train THEN r2 END), 6) AS r2_in, round(MAX(CASE WHEN NOT train THEN r2 END), 6) AS r2_out, CAST(MAX(CASE WHEN train THEN n END) AS BIGINT) AS n_train,
-  row_number() OVER (PARTITION BY symbol ORDER BY MAX(CASE WHEN NOT train THEN r2 END) DESC, n_lags, d) = 1 AS best FROM r GROUP BY symbol, d, n_lags""")
+def _lag_sql(deltas, lags, by: str = "symbol", rows: str = "bars", least: int = 50) -> str:
+    """Kernels ``ke`` and scores ``fi`` of every shape: sums of lag products, solved by elimination on lists."""
+    return f""", f AS (SELECT {by} AS grp, dt, sec, d, ln(mid / lag(mid) OVER w) AS y, sign(signed_vol) * pow(abs(signed_vol), d) AS f FROM {rows}, (SELECT unnest([{', '.join(map(str, deltas))}]) AS d) WINDOW w AS (PARTITION BY symbol, dt, d ORDER BY sec)),
+  l AS (SELECT grp, dt, sec, d, y, list_reverse(list(f) OVER (PARTITION BY grp, dt, d ORDER BY sec ROWS BETWEEN {max(lags)} PRECEDING AND CURRENT ROW)) AS x FROM f),
+  c AS (SELECT grp, d, k, y, x, row_number() OVER w <= floor(COUNT(*) OVER (PARTITION BY grp, dt, d, k) * 0.7) AS train FROM l, (SELECT unnest([{', '.join(map(str, lags))}]) AS k) WHERE y IS NOT NULL AND len(x) > k WINDOW w AS (PARTITION BY grp, dt, d, k ORDER BY sec)),
+  n AS (SELECT grp, d, k, train, COUNT(*) AS n, SUM(y) AS sy, SUM(y * y) AS syy FROM c GROUP BY 1, 2, 3, 4),
+  ok AS (SELECT grp, d, k FROM n GROUP BY 1, 2, 3 HAVING COUNT(*) = 2 AND MIN(n) >= {least}), i AS (SELECT c.*, unnest(range(0, k + 1)) AS i FROM c SEMI JOIN ok USING (grp, d, k)),
+  b AS (SELECT grp, d, k, train, i, SUM(x[i + 1] * y) AS b FROM i GROUP BY ALL), ij AS (SELECT *, unnest(range(0, k + 1)) AS j FROM i), g AS (SELECT grp, d, k, train, i, j, SUM(x[i + 1] * x[j + 1]) AS g FROM ij GROUP BY ALL),
+  r AS (SELECT g.grp, g.d, g.k, g.i, list_append(list(g ORDER BY j), MAX(b)) AS r FROM g JOIN b ON (g.grp, g.d, g.k, g.i) = (b.grp, b.d, b.k, b.i) AND g.train AND b.train GROUP BY 1, 2, 3, 4), m AS (SELECT grp, d, k, list(r ORDER BY i) AS m FROM r GROUP BY 1, 2, 3),
+  e AS (SELECT grp, d, k, CAST(1 AS BIGINT) AS p, m FROM m UNION ALL SELECT grp, d, k, p + 1, list_transform(m, lambda row, pos: CASE WHEN pos = p THEN list_transform(row, lambda v: v / row[p]) ELSE list_transform(row, lambda v, j: v - row[p] * m[p][j] / m[p][p]) END) FROM e WHERE p <= k + 1),
+  ke AS (SELECT grp, d, k, i, m[i + 1][k + 2] AS c FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM e WHERE p = k + 2)), le AS (SELECT *, SUM(c) OVER (PARTITION BY grp, d, k ORDER BY i) AS level, MAX(CASE WHEN i = 0 THEN c END) OVER (PARTITION BY grp, d, k) AS g0 FROM ke),
+  h AS (SELECT grp, d, k, MAX(g0) AS g0, MIN(CASE WHEN i > 0 AND abs(level) <= abs(g0) / 2 THEN i END) AS half_life FROM le GROUP BY 1, 2, 3),
+  u AS (SELECT g.grp, g.d, g.k, g.train, SUM(a.c * z.c * g.g) AS q FROM g JOIN ke a ON (a.grp, a.d, a.k, a.i) = (g.grp, g.d, g.k, g.i) JOIN ke z ON (z.grp, z.d, z.k, z.i) = (g.grp, g.d, g.k, g.j) GROUP BY ALL),
+  v AS (SELECT b.grp, b.d, b.k, b.train, SUM(b * c) AS s FROM b JOIN ke USING (grp, d, k, i) GROUP BY ALL),
+  w AS (SELECT *, 1 - (syy - 2 * s + q) / (syy - sy * sy / n) AS r2 FROM n JOIN u USING (grp, d, k, train) JOIN v USING (grp, d, k, train)),
+  o AS (SELECT grp, d, k, MAX(CASE WHEN train THEN r2 END) AS r2_in, MAX(CASE WHEN NOT train THEN r2 END) AS r2_out, CAST(MAX(CASE WHEN train THEN n END) AS BIGINT) AS n_train, CAST(MAX(CASE WHEN NOT train THEN n END) AS BIGINT) AS n_test FROM w GROUP BY 1, 2, 3),
+  fi AS (SELECT *, r2_out - MAX(CASE WHEN k = 0 THEN r2_out END) OVER (PARTITION BY grp, d) AS gain, row_number() OVER (PARTITION BY grp ORDER BY r2_out DESC, d, k) = 1 AS best FROM o JOIN h USING (grp, d, k))"""
+
+
+def _lag_with(deltas=kernels.DELTAS, lags=kernels.LAGS) -> str:
+    return _with(V.PRINTS, V.BARS).replace("WITH ", "WITH RECURSIVE ", 1) + _lag_sql(deltas, lags)
+
+
+@query(_lag_with() + """ SELECT grp AS symbol, CAST(d AS DOUBLE) AS delta, CAST(k AS BIGINT) AS n_lags, round(1000 * g0, 6) AS g0, round(r2_in, 6) AS r2_in, round(r2_out, 6) AS r2_out, CAST(half_life AS DOUBLE) AS half_life, round(gain, 6) AS history_gain, n_train, n_test, best FROM fi""")
 def propagator_fit(spark, d):
-    k = kernels.pooled(minute_bars(spark, d), ["symbol"], KEYS, (0, 1), (0.5, 1.0))
-    return k.select("symbol", "delta", "n_lags", (1000 * F.get("kernel", F.lit(0))).alias("g0"), "r2_in", "r2_out", "n_train", "best")
+    """All 28 shapes of the lag fit by symbol, lags kept within sessions."""
+    k = kernels.calibrate(minute_bars(spark, d), KEYS, ["symbol"])
+    return k.select("symbol", "delta", "n_lags", (1000 * F.col("g0")).alias("g0"), "r2_in", "r2_out", "half_life", "history_gain", "n_train", "n_test", "best")
 
 
-@query("SELECT i AS lag, round(SUM(1.0 / (1 + i)) OVER (ORDER BY i), 6) AS level, round(1.0 / (1 + i), 6) AS relative FROM range(10) t(i)")
+@query(_lag_with((0.5, 1.0), (0, 5)) + " SELECT grp AS symbol, CAST(d AS DOUBLE) AS delta, i AS lag, round(1000 * c, 6) AS coefficient, round(1000 * level, 6) AS level FROM le WHERE k = 5")
 def level_response(spark, d):
-    k = spark.range(10).select(F.col("id").alias("lag"), (1.0 / (1 + F.col("id"))).alias("coefficient"), F.lit(1).alias("one"))
-    return kernels.levels(k, ["one"]).select("lag", "level", "relative")
+    """Level responses of fitted kernels of five lags."""
+    k = kernels.by_lag(kernels.calibrate(minute_bars(spark, d), KEYS, ["symbol"], (0, 5), (0.5, 1.0)).filter("n_lags = 5"), ["symbol", "delta"])
+    return kernels.levels(k, ["symbol", "delta"]).select("symbol", "delta", "lag", (1000 * F.col("coefficient")).alias("coefficient"), (1000 * F.col("level")).alias("level"))
+
+
+@query(_lag_with((0.5,), (0, 5)) + " SELECT grp AS symbol, i AS lag, round(c / g0, 4) AS shape FROM le WHERE k = 5")
+def kernel_shape(spark, d):
+    """Fitted kernels over their coefficient of lag 0."""
+    k = kernels.by_lag(kernels.calibrate(minute_bars(spark, d), KEYS, ["symbol"], (0, 5), (0.5,)).filter("n_lags = 5"), ["symbol"])
+    return kernels.shape(k, ["symbol"]).select("symbol", "lag", F.round("shape", 4).alias("shape"))
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import exprs as X
 from tidewright.operators import bars as bar
-from tidewright.operators import book, contracts, fits, joins, kernels, resample, schedule, universe, volatility
+from tidewright.operators import book, contracts, fits, joins, resample, schedule, universe, volatility
 from tidewright.plans import views as V
 from tidewright.plans.catalogue import KEYS, minute_bars, query
 from tidewright.plans.catalogue import _with as with_views
@@ -294,26 +294,6 @@ def donor_volume_shape(spark, d):
     return volatility.donor_shares(v, "prior", "volume", "bucket", KEYS)
 
 
-@query(with_views(V.PRINTS) + """, k AS (SELECT symbol, sec // 10800 AS lag, AVG(size) AS c FROM prints GROUP BY 1, 2) SELECT symbol, lag, round(c / MAX(CASE WHEN lag = 0 THEN c END) OVER (PARTITION BY symbol), 6) AS shape FROM k""")
-def kernel_shape(spark, d):
-    """Coefficients of a kernel over that of lag 0."""
-    k = V.prints(spark, d).groupBy("symbol", F.floor(F.col("sec") / 10800).alias("lag")).agg(F.avg("size").alias("coefficient"))
-    return kernels.shape(k, ["symbol"]).select("symbol", "lag", "shape")
-
-
-_DEEP = """, x AS (SELECT vec_id, label, ask_px, ask_sz, level, size FROM levels, (SELECT unnest([10.0, 300.0, 2000.0, 6000.0]) AS size)),
-  d AS (SELECT label, vec_id, size, SUM(ask_sz) >= size AS deep, SUM(ask_sz) AS total FROM x GROUP BY 1, 2, 3), p AS (SELECT label, size, AVG(CAST(deep AS DOUBLE)) AS participating FROM d GROUP BY 1, 2)"""
-
-
-@query(with_views(V.LADDER) + _DEEP + "SELECT CAST(label AS BIGINT) AS label, CAST(size AS DOUBLE) AS size, round(participating, 6) AS participating FROM p WHERE participating >= 0.5")
-def participating_bins(spark, d):
-    """Book-walk bins of the buy side in shares, one bin a size, that half of all snapshots can fill."""
-    ladder = V.ladder(spark, d)
-    scales = ladder.select("label").distinct().withColumn("sigma", F.lit(0.02)).withColumn("volume", F.lit(1e6))
-    one = [book.session_bins(ladder, [x], scales, "sigma", "volume", ["label"], 1) for x in (10.0, 300.0, 2000.0, 6000.0)]
-    return book.deep_enough(readers.union(one).filter("side = 'buy' and size_normalisation = 'shares'"), 0.5).select("label", "size", "participating")
-
-
 # Resampled blocks -------------------------------------------------------------------
 
 _DRAWS = 200
