@@ -27,9 +27,9 @@ a shingle, not on their number: see :class:`Weights`.
 
 Words are runs of ``[^\x20\x09-\x0D]``. Defined cases: a document of one to four
 words has no shingle and is linked only to equal word sequences; a null or empty
-text is alone in its class; rows that repeat a doc_id share its verdict; an empty
-table gives an empty result; other columns are ignored by :func:`classes` and
-kept by :func:`deduplicate`; a null doc_id takes part, and its row always stays.
+text is alone in its class; rows that repeat a doc_id are judged text by text; an
+empty table gives an empty result; other columns are ignored by :func:`classes`
+and kept by :func:`deduplicate`; a null doc_id takes part, and its row always stays.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 2
 #: Count-min table: rows, cells a row, pieces a row travels in.
 DEPTH, WIDTH, PIECES = 2, 1 << 21, 16
+#: Tables that one group adds.
+FAN = 64
 #: Up to so many shingles are kept in a row, to count common ones in place; more change cost only.
 CARRIED = 64
 #: The share of documents, as one in so many, below which shingles weigh alike.
@@ -92,6 +94,10 @@ def _cells(ids: np.ndarray) -> list[np.ndarray]:
     return [(((wide * m) >> np.uint64(20)) & np.uint64(WIDTH - 1)).astype(np.int64) for m in (_A, _B)]
 
 
+def _key(words: list[bytes]) -> str:
+    return xxhash.xxh3_128_hexdigest(b" ".join(words))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """A row per document, and rows with pieces of each task's count-min table."""
 
@@ -108,7 +114,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             for doc, text in zip(doc_ids, found):
                 words = text.split()
                 ids, counts = np.unique(shingles(words), return_counts=True)
-                key = xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else None
+                key = _key(words) if words else None
                 packed = counts.astype("<u4").tobytes() if len(ids) and counts.max() > 1 else None
                 out.append((row, doc, key, ids.astype("<u4").tobytes(), packed, None, None))
                 sets.append(ids)
@@ -118,7 +124,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             yield made(out)
         if table.any():
             pieces = table.reshape(DEPTH * PIECES, -1)
-            yield made([(None, None, None, None, None, k, zlib.compress(x.astype("<i4").tobytes(), 1)) for k, x in enumerate(pieces)])
+            task = TaskContext.get().partitionId()
+            yield made([(None, task, None, None, None, k, zlib.compress(x.astype("<i4").tobytes(), 1)) for k, x in enumerate(pieces)])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
@@ -152,7 +159,7 @@ class Weights:
 
 
 def weights(sketched: DataFrame) -> Weights:
-    """Sum of the tasks' tables; the result has a fixed size."""
+    """Sum of the tasks' tables; the result has a fixed size, and no group adds more than ``FAN`` tables."""
 
     def add(pieces):
         import pandas as pd
@@ -161,11 +168,17 @@ def weights(sketched: DataFrame) -> Weights:
         for cells in pieces["cells"]:
             total += np.frombuffer(zlib.decompress(cells), "<i4")
         most = np.minimum(total, np.iinfo(np.int32).max).astype("<i4")
-        return pd.DataFrame({"piece": [pieces["piece"].iloc[0]], "cells": [most.tobytes()]})
-
+        return pd.DataFrame({"piece": [pieces["piece"].iloc[0]], "task": [pieces["task"].iloc[0]], "cells": [zlib.compress(most.tobytes(), 1)]})
+
+    # A task's number is in doc_id of its rows of pieces.
+    tables = sketched.filter("piece is not null").select("piece", F.col("doc_id").alias("task"), "cells")
+    most = tables.agg(F.max("task")).first()[0] or 0
+    while most:
+        most //= FAN
+        tables = tables.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("piece", "task").applyInPandas(add, "piece int, task long, cells binary")
     table = np.zeros((DEPTH * PIECES, WIDTH // PIECES), np.int32)
-    for r in sketched.filter("piece is not null").select("piece", "cells").groupBy("piece").applyInPandas(add, "piece int, cells binary").collect():
-        table[r["piece"]] = np.frombuffer(r["cells"], "<i4")
+    for r in tables.collect():
+        table[r["piece"]] = np.frombuffer(zlib.decompress(r["cells"]), "<i4")
     return Weights(sketched.filter("row is not null").count(), sketched.sparkSession.sparkContext.broadcast(table.reshape(DEPTH, WIDTH)))
 
 
@@ -462,7 +475,10 @@ def visits(sketched: DataFrame, homes: DataFrame, weigh: Weights, threshold: flo
             held_weight = np.bincount(own, weights=mixed_here * (rests - later + 1), minlength=len(sizes)) / FINE
             least = SPARE * threshold
             able = (number >= least * whole_n - 1e-6) | (held_weight >= least * (1 - 1e-6))
-            held = np.flatnonzero(mixed_here & able[own])
+            # A linked pair has the threshold's share of both texts from its first common shingle on; later entries only counted.
+            left = whole_n[own] - (np.arange(len(own)) - starts[own])
+            live = (left >= threshold * whole_n[own] - 1e-6) | (rests >= threshold * FINE * (1 - 1e-6))
+            held = np.flatnonzero(mixed_here & able[own] & live)
             owner = own[held]
             row, n, weight, cell, size = (batch.column(k).to_numpy()[owner] for k in (0, 1, 2, 5, 6))
             rest = rests[held] / FINE * weight
@@ -603,8 +619,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("row", "label")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), class_size, kept (doc_id = class_id) of every row."""
+def _verdicts(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, key (of the words), class_id, class_size and kept of every row."""
     with Scratch(docs.sparkSession) as scratch:
         sketched = written(sketch(docs), "near-sketch")
         weigh = weights(sketched)
@@ -615,12 +631,37 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         labels = components(edges).select(F.col("row").alias("text_row"), "label")
         named = names.select("key", "text_row").join(labels, "text_row", "left").select("key", F.coalesce("label", "text_row").alias("label"))
         rows = sketched.filter("row is not null").select("row", "doc_id", "key").join(named, "key", "left")
-        rows = written(rows.select("doc_id", F.coalesce("label", "row").alias("label")), "near-rows")
+        rows = written(rows.select("doc_id", "key", F.coalesce("label", "row").alias("label")), "near-rows")
         scratch.keep(rows)
     sizes = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(sizes, "label").select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return rows.join(sizes, "label").select("doc_id", "key", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (least doc_id of its class), class_size, kept (doc_id = class_id) of every row."""
+    return _verdicts(docs, threshold).drop("key")
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` has not."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each class, with their columns."""
-    return docs.join(classes(docs, threshold).filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, one document of each class, with their columns.
+
+    A row goes by its doc_id and its words, so another text under the same doc_id
+    stays; rows alike in both share one verdict.
+    """
+
+    @F.arrow_udf("string")
+    def key_of(text: pa.Array) -> pa.Array:
+        words = (x and x.split() for x in text.cast(pa.binary()).to_pylist())
+        return pa.array([_key(x) if x else None for x in words], pa.string())
+
+    key, gone_id, gone_key = (_free(docs, f"_tw_{x}") for x in ("key", "gone_id", "gone_key"))
+    gone = _verdicts(docs, threshold).filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
+    keyed = docs.withColumn(key, key_of("text"))
+    return keyed.join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
