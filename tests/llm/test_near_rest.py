@@ -52,7 +52,7 @@ def test_prefix_join_finds_every_pair(spark):
     weigh = near_dedup.weights(sketched)
     apart = sketched.filter("row is not null").selectExpr("row", "row AS cell", "1L AS size")
     got = {tuple(sorted((r.row, r.cell))) for r in near_dedup.visits(sketched, apart, weigh, 0.8).collect()}
-    rows = [(r.row, np.frombuffer(r.ids, "<u4"), r.counts and np.frombuffer(r.counts, "<u4")) for r in sketched.filter("row is not null").orderBy("row").collect()]
+    rows = [(r.row, near_dedup.unpack(r.ids), r.counts and np.frombuffer(r.counts, "<u4")) for r in sketched.filter("row is not null").orderBy("row").collect()]
     want = set()
     for k, (a, x, n) in enumerate(rows):
         for b, y, m in rows[k + 1 :]:
@@ -140,3 +140,19 @@ def test_names_that_clash(spark):
     kept = near_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+
+
+def test_packed_sets_and_texts_under_one_doc_id(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 3000):
+        ids = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        assert (near_dedup.unpack(near_dedup.pack(ids)) == ids).all()
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, text), (2, text), (2, other), (2, text), (3, None), (3, " ")], "doc_id long, text string").repartition(4)
+    assert sorted(map(str, near_dedup.deduplicate(docs).collect())) == sorted(map(str, spark.createDataFrame([(1, text), (2, other), (3, None), (3, " ")], docs.schema).collect()))
+    # Tables of many tasks add up in levels to the same counts.
+    many = spark.createDataFrame([(k, f"{text} w{k % 7} x y z") for k in range(200)], docs.schema).repartition(23)
+    monkeypatch.setattr(near_dedup, "FAN", 3)
+    weigh = near_dedup.weights(near_dedup.written(near_dedup.sketch(many), "test-sketch"))
+    assert weigh.documents == 200
+    assert weigh.seen(near_dedup.shingles(text.encode().split())).tolist() == [200, 200, 200]

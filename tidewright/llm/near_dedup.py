@@ -1,7 +1,7 @@
 r"""Near-duplicate detection by improved consistent weighted sampling.
 
 1. ``sketch``: one pass over the texts. A document becomes the sorted set of its
-   five-word shingles (32-bit hashes) with their counts; each task also counts,
+   five-word shingles (48-bit hashes) with their counts; each task also counts,
    over all its documents, in how many documents a shingle occurs, in a
    count-min table of fixed size. The tables add up to one for the corpus.
 2. ``signatures``: shingles weigh ``tf * idf``. Improved consistent weighted
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.word_tokens import _Memo, texts
-from tidewright.llm.workspace import Scratch, hold, written
+from tidewright.llm.workspace import Scratch, hold, shuffles_removed, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 2
@@ -73,9 +73,9 @@ def _word_hashes() -> _Memo:
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
-    """32-bit hashes of all runs of five words, in text order."""
+    """48-bit hashes of all runs of five words, in text order."""
     if len(words) < WORDS:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint64)
     w = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
     n = len(words) - WORDS + 1
     h = w[:n].copy()
@@ -86,7 +86,18 @@ def shingles(words: list[bytes]) -> np.ndarray:
     h *= _B
     h ^= h >> np.uint64(29)
     h *= _A
-    return (h >> np.uint64(32)).astype(np.uint32)
+    return h >> np.uint64(16)
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """A sorted set of 48-bit numbers as six planes of bytes of their differences, of which the upper compress well."""
+    return np.diff(ids.astype("<u8"), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def unpack(planes: bytes) -> np.ndarray:
+    out = np.zeros((len(planes) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(planes, np.uint8).reshape(6, -1).T
+    return np.cumsum(out.view("<u8")[:, 0], dtype=np.uint64)
 
 
 def _cells(ids: np.ndarray) -> list[np.ndarray]:
@@ -116,7 +127,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 ids, counts = np.unique(shingles(words), return_counts=True)
                 key = _key(words) if words else None
                 packed = counts.astype("<u4").tobytes() if len(ids) and counts.max() > 1 else None
-                out.append((row, doc, key, ids.astype("<u4").tobytes(), packed, None, None))
+                out.append((row, doc, key, pack(ids), packed, None, None))
                 sets.append(ids)
                 row += 1
             for k, cells in enumerate(_cells(np.concatenate(sets))):
@@ -177,7 +188,9 @@ def weights(sketched: DataFrame) -> Weights:
         most //= FAN
         tables = tables.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("piece", "task").applyInPandas(add, "piece int, task long, cells binary")
     table = np.zeros((DEPTH * PIECES, WIDTH // PIECES), np.int32)
-    for r in tables.collect():
+    with shuffles_removed(sketched.sparkSession):
+        summed = tables.collect()
+    for r in summed:
         table[r["piece"]] = np.frombuffer(zlib.decompress(r["cells"]), "<i4")
     return Weights(sketched.filter("row is not null").count(), sketched.sparkSession.sparkContext.broadcast(table.reshape(DEPTH, WIDTH)))
 
@@ -218,7 +231,7 @@ class Sampler:
             hits = np.flatnonzero(a == least[owner])
             own = owner[hits]
             chosen = hits[np.flatnonzero(np.diff(own, prepend=-1))]
-            out[:, k] = (wide[chosen] << np.uint64(24)) ^ (level[chosen].astype(np.int64) & 0xFFFFFF).astype(np.uint64)
+            out[:, k] = wide[chosen] * _A ^ level[chosen].astype(np.int64).astype(np.uint64)
         return out
 
 
@@ -252,7 +265,7 @@ def signatures(sketched: DataFrame, weigh: Weights) -> DataFrame:
                             seen.clear()
                         seen.add(key)
                         place.append(k)
-                        ids.append(np.frombuffer(own, "<u4"))
+                        ids.append(unpack(own))
                         weight.append(weigh(ids[-1], n and np.frombuffer(n, "<u4")))
                 found: list = [None] * len(rows)
                 if place:
@@ -274,7 +287,8 @@ def similarity(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) ->
 def _bitmap(rows: DataFrame) -> Broadcast:
     """Bits of the slots that occur in column ``slot``, of a fixed size."""
     # The bitmap functions count from 1: slot s is bit s % 32768 of bucket s // 32768 + 1.
-    maps = rows.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect()
+    with shuffles_removed(rows.sparkSession):
+        maps = rows.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect()
     bits = np.zeros((SLOTS // 32_768, 4096), np.uint8)
     for r in maps:
         bits[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
@@ -306,7 +320,7 @@ def _slotted(sketched: DataFrame, pairs: DataFrame):
 def parity(ids: np.ndarray) -> bytes:
     """Odd sketch: a bit for each slot that an odd number of shingles falls in; as many slots as shingles, up to a power of two."""
     slots = 1 << max(6, int(len(ids)).bit_length())
-    return np.packbits((np.bincount(ids & np.uint32(slots - 1), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits((np.bincount((ids & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def apart_at_least(a: bytes, b: bytes) -> int:
@@ -332,7 +346,7 @@ def likely(sketched: DataFrame, pairs: DataFrame, weigh: Weights, threshold: flo
         for batch in map(keep, batches):
             out = []
             for row, own, n in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(own, "<u4")
+                ids = unpack(own)
                 rare = ids[weigh.rarity(ids) >= weigh.most]
                 out.append((row, len(ids), float(weigh(ids, n and np.frombuffer(n, "<u4")).sum(dtype=np.float64)), parity(rare)))
             if out:
@@ -352,7 +366,7 @@ def likely(sketched: DataFrame, pairs: DataFrame, weigh: Weights, threshold: flo
 def _compared(sketched: DataFrame, pairs: DataFrame, compare, schema: str) -> DataFrame:
     """``compare`` over ``pairs`` (row, leader and more) with the sets of both."""
     # Written once: both joins read it, and no task runs two Python stages at a time.
-    sets = written(_sets(sketched, pairs), "near-sets")
+    sets = written(_sets(sketched, pairs), "near-sets", compression="zstd")
     own = sets.select("row", F.col("ids").alias("ids_a"), F.col("counts").alias("counts_a"))
     lead = sets.select(F.col("row").alias("leader"), F.col("ids").alias("ids_b"), F.col("counts").alias("counts_b"))
     return pairs.join(own, "row").join(lead, "leader").select(*pairs.columns, "ids_a", "counts_a", "ids_b", "counts_b").mapInArrow(compare, schema)
@@ -363,13 +377,13 @@ def verify(sketched: DataFrame, pairs: DataFrame, weigh: Weights) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("near")
-        whole = lambda x: np.frombuffer(x, "<u4")
+        numbers = lambda n: n and np.frombuffer(n, "<u4")
         for batch in batches:
             found = []
             for a, n, b, m in zip(*(batch.column(k) for k in range(2, 6))):
                 a, n, b, m = a.as_py(), n.as_py(), b.as_py(), m.as_py()
-                x, y = whole(a), whole(b)
-                found.append(max(similarity(x, y, weigh(x, n and whole(n)), weigh(y, m and whole(m)))))
+                x, y = unpack(a), unpack(b)
+                found.append(max(similarity(x, y, weigh(x, numbers(n)), weigh(y, numbers(m)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["row", "leader", "likeness"])
 
     return _compared(sketched, pairs.select("row", "leader"), compare, "row long, leader long, likeness double")
@@ -385,28 +399,28 @@ def profiles(sketched: DataFrame, pairs: DataFrame, weigh: Weights) -> DataFrame
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("near")
-        whole = lambda x: np.frombuffer(x, "<u4")
+        numbers = lambda n: n and np.frombuffer(n, "<u4")
         for batch in batches:
             found, ends, tokens, shares, missing = [], [0], [], [], []
             for alone, a, n, b, m in zip(*(batch.column(k) for k in range(4, 9))):
                 a, n, b, m = a.as_py(), n.as_py(), b.as_py(), m.as_py()
-                x, y = whole(a), whole(b)
-                w = weigh(x, n and whole(n))
+                x, y = unpack(a), unpack(b)
+                w = weigh(x, numbers(n))
                 both = np.isin(x, y, assume_unique=True)
-                lacks = y[~np.isin(y, x, assume_unique=True)].view(np.int32)
-                found.append((max(similarity(x, y, w, weigh(y, m and whole(m)))), len(x), int(both.sum()), float(w.sum(dtype=np.float64)), float(w[both].sum(dtype=np.float64)), len(lacks)))
+                lacks = y[~np.isin(y, x, assume_unique=True)].astype(np.int64)
+                found.append((max(similarity(x, y, w, weigh(y, numbers(m)))), len(x), int(both.sum()), float(w.sum(dtype=np.float64)), float(w[both].sum(dtype=np.float64)), len(lacks)))
                 missing.append(lacks if len(lacks) <= CARRIED else None)
                 beside = np.zeros(0, np.int64) if alone.as_py() else np.flatnonzero(~both)
                 ends.append(ends[-1] + len(beside))
-                tokens.append(x[beside].view(np.int32))
+                tokens.append(x[beside].astype(np.int64))
                 shares.append(w[beside])
             if found:
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x), t)) for x, t in ((tokens, pa.int32()), (shares, pa.float32()))]
-                numbers = [pa.array(c, t) for c, t in zip(zip(*found), (pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32()))]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x), t)) for x, t in ((tokens, pa.int64()), (shares, pa.float32()))]
+                plain = [pa.array(c, t) for c, t in zip(zip(*found), (pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32()))]
                 names = ["row", "leader", "cell", "home", "alone", "likeness", "n", "i", "w", "wi", "m", "tokens", "weights", "missing"]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], *numbers, *lists, pa.array(missing, pa.list_(pa.int32()))], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], *plain, *lists, pa.array(missing, pa.list_(pa.int64()))], names=names)
 
-    schema = "row long, leader long, cell long, home boolean, alone boolean, likeness double, n int, i int, w double, wi double, m int, tokens array<int>, weights array<float>, missing array<int>"
+    schema = "row long, leader long, cell long, home boolean, alone boolean, likeness double, n int, i int, w double, wi double, m int, tokens array<long>, weights array<float>, missing array<long>"
     return _compared(sketched, pairs.select("row", "leader", "cell", "home", "alone"), compare, schema)
 
 
@@ -425,7 +439,7 @@ def prefixes(sketched: DataFrame, weigh: Weights, threshold: float) -> DataFrame
         for batch in batches:
             sizes, totals, beyond, ends, tokens, rests = [], [], [], [0], [], []
             for own, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ids = np.frombuffer(own, "<u4")
+                ids = unpack(own)
                 order = np.lexsort((ids, weigh.seen(ids)))
                 rest = np.cumsum(weigh(ids, n and np.frombuffer(n, "<u4"))[order][::-1], dtype=np.float64)[::-1]
                 most = np.arange(len(ids), 0, -1) >= (threshold - SPARE) * len(ids) - 1e-6
@@ -434,14 +448,14 @@ def prefixes(sketched: DataFrame, weigh: Weights, threshold: float) -> DataFrame
                 totals.append(rest[0])
                 beyond.append(rest[k] / rest[0] if k < len(ids) else 0.0)
                 ends.append(ends[-1] + k)
-                tokens.append(ids[order[:k]].view(np.int32))
+                tokens.append(ids[order[:k]].astype(np.int64))
                 rests.append(np.minimum(np.ceil(FINE * (rest[:k] / rest[0]) + 1e-6), FINE).astype(np.int16))
             if sizes:
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (tokens, rests)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(totals, pa.float64()), *lists, pa.array(beyond, pa.float64())], names=["row", "n", "weight", "tokens", "rests", "beyond"])
 
     narrow = sketched.filter("row is not null and octet_length(ids) > 0").select("row", "ids", "counts")
-    return narrow.mapInArrow(run, "row long, n int, weight double, tokens array<int>, rests array<smallint>, beyond double")
+    return narrow.mapInArrow(run, "row long, n int, weight double, tokens array<long>, rests array<smallint>, beyond double")
 
 
 def visits(sketched: DataFrame, homes: DataFrame, weigh: Weights, threshold: float) -> DataFrame:
@@ -454,10 +468,10 @@ def visits(sketched: DataFrame, homes: DataFrame, weigh: Weights, threshold: flo
     them holds and the least that any of them is, and of two cells the smaller
     one's texts visit the larger. Shingles of one cell only are dropped first.
     """
-    known = written(prefixes(sketched, weigh, threshold).join(homes.select("row", "cell", "size"), "row"), "near-prefixes")
+    known = written(prefixes(sketched, weigh, threshold).join(homes.select("row", "cell", "size"), "row"), "near-prefixes", compression="zstd")
     mixed = known.select(F.explode("tokens").alias("token"), "cell").groupBy("token").agg(F.min("cell").alias("low"), F.max("cell").alias("high"))
     # Tokens that share a slot with a mixed one stay too; the join drops them.
-    shared = _bitmap(mixed.filter("low < high").select(F.col("token").cast("long").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")))
+    shared = _bitmap(mixed.filter("low < high").select(F.col("token").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -465,7 +479,7 @@ def visits(sketched: DataFrame, homes: DataFrame, weigh: Weights, threshold: flo
             tokens, sizes = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
             whole_n = batch.column(1).to_numpy()
             starts, own = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-            at = tokens.astype(np.int64) & (SLOTS - 1)
+            at = tokens & (SLOTS - 1)
             mixed_here = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
             rests = batch.column(4).flatten().to_numpy().astype(float)
             # Rests are rounded up by 1 at most, so a shingle's share is the difference to the next rest and 1 at most.
@@ -485,7 +499,7 @@ def visits(sketched: DataFrame, homes: DataFrame, weigh: Weights, threshold: flo
             cols = (tokens[held], row, cell, size, n, (n - (held - starts[owner])).astype(np.int32), weight.astype(np.float32), rest.astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "row", "cell", "size", "n", "left", "weight", "rest"])
 
-    flat = known.select("row", "n", "weight", "tokens", "rests", "cell", "size", "beyond").mapInArrow(keep, "token int, row long, cell long, size long, n int, left int, weight float, rest float")
+    flat = known.select("row", "n", "weight", "tokens", "rests", "cell", "size", "beyond").mapInArrow(keep, "token long, row long, cell long, size long, n int, left int, weight float, rest float")
     flat = written(flat, "near-rare")
     least, most = (lambda x: F.min(x).alias(f"{x}_b")), (lambda x: F.max(x).alias(f"{x}_b"))
     hosts = flat.groupBy("token", F.col("cell").alias("cell_b"), F.col("size").alias("size_b")).agg(most("left"), least("n"), most("rest"), least("weight"))
@@ -622,7 +636,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _verdicts(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, key (of the words), class_id, class_size and kept of every row."""
     with Scratch(docs.sparkSession) as scratch:
-        sketched = written(sketch(docs), "near-sketch")
+        sketched = written(sketch(docs), "near-sketch", compression="zstd")
         weigh = weights(sketched)
         signed = written(signatures(sketched, weigh), "near-signatures")
         names = signed.filter("key is not null").groupBy("key").agg(F.min("row").alias("text_row"), F.max("bands").alias("bands"))

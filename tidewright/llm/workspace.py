@@ -102,7 +102,7 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> None:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession):
+def shuffles_removed(spark: SparkSession):
     """Executions inside drop their shuffle files at their end; none of them is run twice."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, None)
@@ -117,7 +117,7 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     if Scratch._open:
