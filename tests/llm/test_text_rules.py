@@ -252,7 +252,7 @@ def test_wrapped_licenses(spark):
         "Licensed under the\n\nMIT License",
     ]
     got = [r.licenses for r in license_scan.scan(docs(spark, texts)).orderBy("doc_id").collect()]
-    assert got == ["MIT", "BSD-2-Clause", "Apache-2.0", "all-rights-reserved", "MIT", "GPL-3.0", ""]
+    assert got == ["MIT", "BSD-2-Clause", "Apache-2.0", "all-rights-reserved", "MIT", "GPL-3.0-or-later", ""]
 
 
 def test_notices_of_many_licenses(spark):
@@ -265,7 +265,7 @@ def test_notices_of_many_licenses(spark):
     isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
     want = {
         "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
-        "# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": "GPL-2.0",
+        "# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": "GPL-2.0-or-later",
         "/* SPDX-License-Identifier: MIT */": "MIT",
         "SPDX-License-Identifier: MIT-0": "",
         "Mozilla Public License Version 2.0": "MPL-2.0",
@@ -274,22 +274,39 @@ def test_notices_of_many_licenses(spark):
         bsd + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.": "BSD-3-Clause",
         isc + ", provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
         isc + ".": "0BSD",
-        "under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or": "LGPL-2.1",
-        "under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or": "GPL-2.0",
-        "the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or": "AGPL-3.0",
+        "under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or": "LGPL-2.1-or-later",
+        "under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or": "GPL-2.0-or-later",
+        "the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or": "AGPL-3.0-or-later",
         "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007": "LGPL-3.0",
         "This is free and unencumbered software released into the public domain.": "Unlicense",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
         "CC0 1.0 Universal": "CC0-1.0",
         "It is not licensed under the MIT License": "",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+        "// SPDX-License-Identifier: (Apache-2.0 OR MIT) AND CC-BY-4.0": "Apache-2.0,CC-BY-4.0,MIT",
+        "SPDX-License-Identifier: LicenseRef-Own-1.0 OR Zlib": "Zlib",
+        "SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note\nSPDX-License-Identifier: MIT": "GPL-2.0-only,MIT",
+        "SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later",
+        "Licensed under either of\n\n": "",
+        "Licensed under either of Apache License, Version 2.0 or MIT license": "Apache-2.0,MIT",
+        "Dual licensed under the MIT license and the\nGNU General Public License version 2 or any later version.": "GPL-2.0-or-later,MIT",
+        "Distributed under the terms of the GPLv3.": "GPL-3.0-only",
+        "It was formerly licensed under the MIT license but is no longer": "",
+        "It is no longer licensed under the MIT license": "",
+        "Licensed under the Apache License, Version 2.0.1": "",
+        "unlicensed under the MIT license": "",
+        "GNU General Public License\nVersion 2, June 1991\n\nSPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only",
     }
     got = [r.licenses for r in license_scan.scan(docs(spark, list(want))).orderBy("doc_id").collect()]
     assert got == list(want.values())
 
 
 def test_hints_pass_every_sentence_over_to_the_rules(spark):
-    known = license_scan.SENTENCES | license_scan.BODIES
-    found = license_scan.scan(docs(spark, list(known))).orderBy("doc_id").collect()
+    known = [*license_scan.TITLES, *license_scan.BODIES, *[f"Licensed under the {x}" for x in license_scan.NAMES], *[f"SPDX-License-Identifier: {x}" for x in license_scan.SPDX]]
+    found = license_scan.scan(docs(spark, known)).orderBy("doc_id").collect()
     assert all(r.n_sentences >= 1 for r in found)
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from tidewright.llm.word_tokens import _Memo
 from tidewright.llm.workspace import hold
 
+#: Positions whose matches are held at a time.
+WINDOW = 1 << 15
 # Fixed value: the byte-level splitting pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -62,6 +65,7 @@ class ByteBpe:
         self.offsets, self.bytes = _blob(table)
         self.decimal_offsets, self.decimals = _blob([b"%d," % i for i in range(size)])
         self.length = [len(x) for x in table]
+        self.longest = max(self.length)
         # Rank of a token: -1 for single bytes, else the place of the merge that makes it.
         self.rank, self.halves, self.merged = [-1] * size, [(i, i) for i in range(size)], {}
         for k, pair in enumerate(model["model"]["merges"]):
@@ -98,20 +102,29 @@ class ByteBpe:
                 limit, b = rb + 1, self.halves[b][0]
 
     def _word(self, word: str) -> bytes:
-        return np.array(self.cut(word.encode()), "<u4").tobytes()
-
-    def cut(self, data: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        return np.frombuffer(self.cut(word.encode()), np.uint32).astype("<u4").tobytes()
+
+    def _starting(self, data: bytes, at: int) -> list[list[int]]:
+        """Tokens that start at each position of a window, short ones first."""
+        starting: list[list[int]] = [[] for _ in range(min(WINDOW, len(data) - at))]
+        for end, token in self.automaton.iter(data[at : at + WINDOW + self.longest].decode("latin-1")):
+            start = end + 1 - self.length[token]
+            if start < WINDOW:
+                starting[start].append(token)
+        return starting
+
+    def cut(self, data: bytes) -> array:
+        """Ids of one pre-token. Matches are kept for a window only, so a long one costs some eight bytes a byte."""
         n, length, fits = len(data), self.length, self._fits
-        starting: list[list[int]] = [[] for _ in range(n)]  # tokens at each position, short ones first
-        for end, token in self.automaton.iter(data.decode("latin-1")):
-            starting[end + 1 - length[token]].append(token)
-        out: list[int] = []
-        tried = [0] * (n + 1)  # how many of the position's tokens, from the longest, have been used up
+        out = array("I")
+        tried = array("H", bytes(2 * (n + 1)))  # how many of the position's tokens, from the longest, have been used up
         dead = bytearray(n + 1)
-        at = 0
+        at, base, starting = 0, 0, self._starting(data, 0)
         while at < n:
-            options, last = starting[at], out[-1] if out else -1
+            if not base <= at < base + WINDOW:
+                base = at // WINDOW * WINDOW
+                starting = self._starting(data, base)
+            options, last = starting[at - base], out[-1] if out else -1
             for k in range(tried[at], len(options)):
                 token = options[-1 - k]
                 if not dead[at + length[token]] and (last < 0 or fits[last, token]):
@@ -178,6 +191,8 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     Defined cases: a null text counts as empty (no ids); repeated rows give
     equal rows; an empty table gives an empty result; other columns are ignored.
+    Very long texts, also ones of a single pre-token, need memory in proportion
+    to their length (some twenty bytes a byte).
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,9 +6,10 @@ Three tables under one shared folder make the index:
   text), a row number, and the row number of its *entry*, the first row of the
   same task with the same normalised bytes. Copies within a task share an entry,
   so a text that a third of all rows repeat is one entry a task.
-* the directory: a row for each prefix of leading key bits, with its bucket and
-  the bucket's owner. A bucket over its bytes doubles the directory below it until
-  it fits or holds one key only. It has a row for some MB of text.
+* the directory: a row for each bucket, with the leading key bits it holds and its
+  owner. A bucket over its bytes doubles the directory below it until it fits or
+  holds one key only. Tasks decide this, each for one overfull bucket; the
+  directory has a row for some MB of text and stays a table.
 * ``pages``: entries by bucket. An owner task has the buckets of one key range in
   key order, chains entries of equal keys and compares their bytes; entries of
   equal bytes get the same variant number.
@@ -28,7 +29,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -43,6 +43,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 HEAP = (("_tw_row", T.LongType()), ("_tw_entry", T.LongType()), ("_tw_key", T.LongType()), ("_tw_chars", T.LongType()), ("_tw_bytes", T.LongType()), ("_tw_sha", T.StringType()))
 #: Bits by which an overfull part of the directory grows at a time, and the entries that never split a bucket.
 STEP, FEW = 6, 16
+#: The most leading bits that a bucket is told by.
+MOST = 48
 
 
 def heap(docs: DataFrame, key_bits: int = 64, held_bytes: int = 64 << 20) -> DataFrame:
@@ -85,50 +87,57 @@ def _prefix(bits: int) -> F.Column:
     return F.shiftrightunsigned("_tw_key", 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def directory(entries: DataFrame, capacity: int) -> tuple[int, np.ndarray]:
-    """Global depth and the bucket of each of its 2 ** depth prefixes.
+def _halver(depth: int, deeper: int, capacity: int):
+    """How far one bucket of ``depth`` bits is halved, from its counts by ``deeper`` bits."""
 
-    ``entries``: _tw_key and _tw_bytes. Only prefixes of overfull buckets are
-    counted again, a few bits deeper each time. A bucket of ``FEW`` entries is
-    not split, so long texts do not deepen the directory beyond the row count's
-    logarithm.
-    """
-    depth, leaves = 0, []  # (first prefix as a fraction of the key space in 64 bits, depth)
-    full: set[int] | None = None
-    while full is None or full:
-        deeper = min(depth + STEP, 48) if full is not None else STEP
-        part = entries
-        if full is not None:
-            over = entries.sparkSession.createDataFrame([(x,) for x in sorted(full)], "_tw_over long")
-            part = entries.withColumn("_tw_over", _prefix(depth)).join(over, "_tw_over", "left_semi")
-        rows = part.groupBy(_prefix(deeper).alias("prefix")).agg(F.sum("_tw_bytes").alias("n"), F.count("*").alias("entries"), F.min("_tw_key").alias("a"), F.max("_tw_key").alias("b")).collect()
-        sizes = {r["prefix"]: (r["n"], r["entries"], r["a"] == r["b"]) for r in rows}
-        parents = {0} if full is None else full
-        base = 0 if full is None else depth
-        full = set()
+    def halve(key, rows):
+        import pandas as pd
+
+        sizes = {r.prefix: (r.n, r.entries, r.single) for r in rows.itertuples()}
+        out = []
 
         def split(prefix: int, at: int) -> None:
             """Halve one bucket until it fits, holds one key, or the counts are too coarse."""
             width = deeper - at
             own = [sizes[p] for p in range(prefix << width, (prefix + 1) << width) if p in sizes]
             if sum(n for n, *_ in own) <= capacity or sum(k for _, k, _ in own) <= FEW or len(own) == 1 and own[0][2]:
-                leaves.append((prefix, at))
+                out.append((at, prefix, False))
             elif at < deeper:
                 split(prefix << 1, at + 1)
                 split((prefix << 1) + 1, at + 1)
-            elif deeper < 48:
-                full.add(prefix)
             else:
-                leaves.append((prefix, at))
+                out.append((at, prefix, deeper < MOST))
+
+        split(int(key[0]), depth)
+        return pd.DataFrame(out, columns=["depth", "prefix", "full"])
+
+    return halve
+
+
+def directory(entries: DataFrame, capacity: int) -> DataFrame:
+    """depth and prefix (of so many leading key bits) of every bucket.
+
+    ``entries``: _tw_key and _tw_bytes. In each round the directory doubles
+    ``STEP`` times below overfull buckets: entries are counted by prefix, and a
+    group of 2 ** STEP counts at most decides how far one bucket is halved. A
+    bucket of ``FEW`` entries is not split, so long texts do not deepen the
+    directory beyond the row count's logarithm.
+    """
+    found, full, depth = None, None, 0
+    while True:
+        deeper = min(depth + STEP, MOST)
+        counts = entries.groupBy(_prefix(depth).alias("parent"), _prefix(deeper).alias("prefix")).agg(
+            F.sum("_tw_bytes").alias("n"), F.count("_tw_bytes").alias("entries"), (F.min("_tw_key") == F.max("_tw_key")).alias("single")
+        )
+        if full is not None:
+            counts = counts.join(full.select(F.col("prefix").alias("parent")), "parent", "left_semi")
 
-        for p in sorted(parents):
-            split(p, base)
-        depth = deeper
-    top = max((d for _, d in leaves), default=0)
-    table = np.zeros(1 << top, dtype=np.int64)
-    for bucket, (prefix, own) in enumerate(sorted(leaves, key=lambda x: x[0] << (top - x[1]))):
-        table[prefix << (top - own) : (prefix + 1) << (top - own)] = bucket
-    return top, table
+        round_ = written(counts.groupBy("parent").applyInPandas(_halver(depth, deeper, capacity), "depth int, prefix long, full boolean"), "dedup-directory")
+        leaves = round_.filter("not full").select("depth", "prefix")
+        found = leaves if found is None else found.union(leaves)
+        full, depth = round_.filter("full"), deeper
+        if deeper == MOST or full.isEmpty():
+            return found
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +173,17 @@ def index(docs: DataFrame, key_bits: int = 64, bucket_bytes: int = 32 << 20, own
     narrow = entries.select("_tw_key", "_tw_bytes")
     total = narrow.agg(F.sum("_tw_bytes")).first()[0] or 0
     owners = max(-(-total // owner_bytes), spark.sparkContext.defaultParallelism)
-    depth, table = directory(narrow, max(min(bucket_bytes, total // (4 * owners)), 1))
-    buckets = int(table[-1]) + 1
-    # Buckets are numbered in key order, so an owner's buckets are one key range.
-    leaves = pa.table({"_tw_prefix": np.arange(len(table)), "_tw_bucket": table, "_tw_owner": (table * owners // buckets).astype(np.int32)})
-    places = written(spark.createDataFrame(leaves), "dedup-directory")
-    if len(table) <= 1 << 21:  # 20 bytes a row
+    leaves = directory(narrow, max(min(bucket_bytes, total // (4 * owners)), 1))
+    # Buckets are numbered by their first key, so they stand in key order and an owner's buckets are one key range.
+    first = F.expr(f"shiftleft(prefix, {MOST} - depth)")
+    owner = F.least(F.floor(first / float(1 << MOST) * owners), F.lit(owners - 1)).cast("int")
+    places = written(leaves.select(F.struct("depth", "prefix").alias("_tw_at"), (first * 64 + F.col("depth")).alias("_tw_bucket"), owner.alias("_tw_owner")), "dedup-places")
+    depths = sorted(r[0] for r in places.select("_tw_at.depth").distinct().collect())  # MOST numbers at most
+    if places.count() <= 1 << 20:  # 40 bytes a row
         places = F.broadcast(places)
-    routed = entries.withColumn("_tw_prefix", _prefix(depth)).join(places, "_tw_prefix").select("_tw_owner", "_tw_bucket", "_tw_key", "_tw_entry", "text")
+    # An entry lies in one bucket of one of the depths.
+    at = [F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths] or [F.lit(None).cast("struct<depth:int,prefix:bigint>")]
+    routed = entries.withColumn("_tw_at", F.explode(F.array(*at))).join(places, "_tw_at").select("_tw_owner", "_tw_bucket", "_tw_key", "_tw_entry", "text")
     owned = routed.repartitionById(owners, "_tw_owner").sortWithinPartitions("_tw_bucket", "_tw_key").select("_tw_bucket", "_tw_key", "_tw_entry", "text")
     pages = owned.mapInArrow(_chained, "_tw_bucket long, _tw_key long, _tw_entry long, _tw_variant int")
     return rows, written(pages, "dedup-pages")

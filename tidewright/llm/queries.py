@@ -114,8 +114,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _license_sql() -> str:
-    quoted = lambda x: "'" + x + "'"
-    keys, values = (", ".join(map(quoted, x)) for x in (license_scan.SENTENCES, license_scan.SENTENCES.values()))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    pairs = lambda table: f"MAP([{', '.join(map(quoted, table))}], [{', '.join(map(quoted, table.values()))}])"
+    known, text = license_scan.KNOWN, "lower(COALESCE(text, '') || chr(10))"
+    for pattern, value in license_scan.STEPS:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(value)}, 'g')"
     hits = {
         name: "(" + " OR ".join(f"regexp_matches(seq, {quoted(';' + ';(?:[^;]+;)*'.join(steps) + ';')})" for steps in sequences) + ")"
         for name, sequences in license_scan.RULES.items()
@@ -124,9 +127,11 @@ def _license_sql() -> str:
     for name in sorted(hits):
         stronger = "".join(f" AND NOT {hits[x]}" for x in license_scan.YIELDS.get(name, []))
         rules.append(f"CASE WHEN {hits[name]}{stronger} THEN {quoted(name)} END")
-    return f"""WITH p AS (SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(COALESCE(text, ''), '\\.(\\s|$)', chr(10), 'g'), '[\\n\\r!?;]+'),
-  lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS parts FROM documents),
-  i AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: MAP([{keys}], [{values}])[s]), lambda x: x IS NOT NULL) AS ids FROM p),
+    return f"""WITH l AS (SELECT doc_id, '/ ' || {text} || ' /' AS line FROM documents),
+  f AS (SELECT doc_id, list_transform(regexp_extract_all(line, {quoted(known.pattern)}), lambda s: trim(regexp_replace(s, '[|/ ]+', ' ', 'g'))) AS found FROM l),
+  m AS (SELECT doc_id, found, {pairs(known.whole)} AS whole, {pairs(known.named)} AS named FROM f),
+  i AS (SELECT doc_id, list_filter(flatten(list_transform(found, lambda s: CASE WHEN whole[s] IS NOT NULL THEN [whole[s]] WHEN regexp_matches(s, '^{license_scan.NEGATED} ') THEN []
+  ELSE list_transform(regexp_extract_all(s, {quoted(known.name_pattern)}), lambda x: named[x]) END)), lambda x: x IS NOT NULL) AS ids FROM m),
   q AS (SELECT doc_id, ids, ';' || array_to_string(ids, ';') || ';' AS seq FROM i),
   r AS (SELECT doc_id, ids, list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS found FROM q)
   SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids, CAST(len(found) AS BIGINT) AS n_licenses, array_to_string(found, ',') AS licenses FROM r"""
