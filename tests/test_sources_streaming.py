@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,14 +89,61 @@ def test_streamed_bars_equal_batch(spark, tmp_path):
     assert got == want
 
 
-def test_streamed_runs_equal_batch(spark, tmp_path):
-    for k, part in enumerate((fills()[:3], fills()[3:6], fills()[6:])):
-        spark.createDataFrame(part, DDL).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = live.fill_runs(stream).writeStream.format("memory").queryName("live_runs").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+def streamed(spark, tmp_path, parts, schema, make, name):
+    """Rows of a stream whose triggers read ``parts`` one after another."""
+    source = str(tmp_path / name)
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-log")).start()
     q.processAllAvailable()
     q.stop()
-    got = sorted((r.first_seq, r.sign, r.n_fills, r.shares) for r in spark.sql("select * from live_runs").collect())
-    m = spark.createDataFrame(fills(), DDL).selectExpr("symbol", "to_date(ts) dt", "seq", "cast(seq as double) time", "4 event_type", "cast(size as long) size", "-sign direction", "price mid")
-    want = sorted((int(r.t_start), int(r.sign), r.n_fills, r.shares) for r in runs.fill_runs(m).collect())
-    assert got == want[:-1]  # the last run is still open
+    return spark.sql(f"select * from {name}").collect()
+
+
+def shuffled(rows, size, seed=5):
+    """Rows in parts, out of order within some places."""
+    rng = random.Random(seed)
+    order = sorted(range(len(rows)), key=lambda k: k + rng.uniform(0, 6))
+    return [[rows[k] for k in order[at : at + size]] for at in range(0, len(rows), size)]
+
+
+def test_streamed_runs_equal_batch_whatever_the_order(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [("AB"[k % 2], START + dt.timedelta(seconds=200 * k), k, 10.0, float(k % 5 + 1), rng.choice([1, 1, -1])) for k in range(400)]
+    end = [(s, START + dt.timedelta(days=3), 900 + k, 1.0, 1.0, 1) for k, s in enumerate("AB")]
+    got = sorted((r.symbol, r.first_seq, r.last_seq, r.sign, r.n_fills, r.shares) for r in streamed(spark, tmp_path, [*shuffled(rows, 40), end], DDL, live.fill_runs, "live_runs"))
+    m = spark.createDataFrame(rows, DDL).selectExpr("symbol", "to_date(ts) dt", "seq", "cast(seq as double) time", "4 event_type", "cast(size as long) size", "-sign direction", "price mid")
+    want = sorted((r.symbol, int(r.t_start), int(r.t_end), int(r.sign), r.n_fills, r.shares) for r in runs.fill_runs(m).collect())
+    assert len({r[1].date() for r in rows}) == 2
+    assert got == want and len(got) > 50
+
+
+def test_streamed_bin_runs_equal_batch_and_close_at_a_missing_bin(spark, tmp_path):
+    rng, schema = random.Random(2), "symbol string, ts timestamp, signed double, volume double, mid_first double, mid_last double"
+    kept = [k for k in range(300) if rng.random() > 0.15]
+    rows = [(s, START + dt.timedelta(seconds=1800 * k), rng.choice([5.0, 4.0, -4.0, 1.0]), 10.0, 100.0 + k, 101.0 + k) for k in kept for s in "AB"]
+    end = [(s, START + dt.timedelta(days=30), 0.0, 1.0, 1.0, 1.0) for s in "AB"]
+    got = streamed(spark, tmp_path, [*shuffled(rows, 50), end], schema, lambda x: live.bin_runs(x, 1800, late="6 hours"), "live_bins")
+    b = spark.createDataFrame(rows, schema).selectExpr("symbol", "to_date(ts) dt", "hour(ts) * 3600 + minute(ts) * 60 bin", "signed", "volume", "mid_first", "mid_last", "case when abs(signed) / volume >= 0.3 then cast(sign(signed) as int) else 0 end direction")
+    want = sorted((r.symbol, r.dt, r.bin_start, int(r.sign), r.net, r.gross, r.n_bins, r.mid_start, r.mid_end) for r in runs.bin_runs(b, ("symbol", "dt"), 1800).collect())
+    assert sorted((r.symbol, r.bin_start.date(), r.bin_start.hour * 3600 + r.bin_start.minute * 60, r.sign, r.net, r.gross, r.n_bins, r.mid_start, r.mid_end) for r in got) == want
+    # Without any further bin, the watermark of other symbols closes a run at its missing bin.
+    first = [("A", START, 5.0, 10.0, 1.0, 2.0), ("B", START + dt.timedelta(hours=9), 0.0, 1.0, 1.0, 1.0)]
+    alone = streamed(spark, tmp_path, [first], schema, lambda x: live.bin_runs(x, 1800, late="1 hour"), "live_alone")
+    assert [(r.symbol, r.n_bins) for r in alone] == [("A", 1)]
+
+
+def test_manifest_of_a_file_over_two_gigabytes(spark, tmp_path):
+    size = (2 << 30) + 12_345
+    with open(tmp_path / "big.bin", "wb") as file:  # a sparse file
+        file.truncate(size)
+        file.seek(1 << 30)
+        file.write(b"in the middle")
+    (tmp_path / "small.bin").write_bytes(b"x")
+    sha, left = hashlib.sha256(), size
+    with open(tmp_path / "big.bin", "rb") as file:
+        while part := file.read(1 << 24):
+            sha.update(part)
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in sinks.manifest(spark, [str(tmp_path / "*.bin")]).collect()}
+    assert got == {"big.bin": (left, sha.hexdigest()), "small.bin": (1, hashlib.sha256(b"x").hexdigest())}

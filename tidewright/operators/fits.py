@@ -293,6 +293,55 @@ def rate_arrays(y: np.ndarray, q: np.ndarray, rate: np.ndarray, steps: int = 601
     return c, float(delta), slope
 
 
+def _cone(sums: np.ndarray, edge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least error, c and k of y = c (u + k v) for columns of sums uu, uv, vv, uy, vy, yy, where c > 0 and k lies within ``edge``."""
+    uu, uv, vv, uy, vy, yy = sums
+    det = uu * vv - uv * uv
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c, ck = (vv * uy - uv * vy) / det, (uu * vy - uv * uy) / det
+        free = (det > 1e-12 * uu * vv) & (c > 0) & (np.abs(ck) <= edge * c)
+        found = [(np.where(free, c, 1e-12), np.where(free, ck / c, 0.0))]
+        found += [(np.maximum((uy + k * vy) / (uu + 2 * k * uv + k * k * vv), 1e-12), np.full(len(uu), k)) for k in (-edge, 0.0, edge)]
+    errors = np.array([yy - 2 * c * (uy + k * vy) + c * c * (uu + 2 * k * uv + k * k * vv) for c, k in found])
+    pick = np.where(free, 0, 1 + errors[1:].argmin(axis=0))
+    at = np.arange(len(uu))
+    return errors[pick, at], np.array([c for c, _ in found])[pick, at], np.array([k for _, k in found])[pick, at]
+
+
+def rate_fits(df: DataFrame, y: str, q: str, rate: str, by: Sequence[str], bounds: tuple[float, float] = (0.0, 3.0)) -> DataFrame:
+    """c, delta and k of y = c * q ** delta * (1 + k * ln rate) per group, as :func:`rate_arrays`, from sums at the points."""
+    import pandas as pd
+
+    keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
+    d = df.withColumn("_lr", X.log(F.col(rate))).filter(X.all_finite([y, q, "_lr"]) & (F.col(q) > 0)).withColumn("_lq", F.ln(q))
+    center = d.agg(F.avg("_lq")).first()[0] or 0.0
+    points = nodes(bounds)[0]
+    g = d.withColumn("theta", F.explode(F.array(*[F.lit(v) for v in points.tolist()]))).withColumn("_u", F.exp(F.col("theta") * (F.col("_lq") - center))).withColumn("_v", F.col("_u") * F.col("_lr"))
+    u, v, target = F.col("_u"), F.col("_v"), F.col(y)
+    sums = {"uu": u * u, "uv": u * v, "vv": v * v, "uy": u * target, "vy": v * target, "yy": target * target}
+    table = g.groupBy(*by, "theta").agg(*[F.sum(e).alias(n) for n, e in sums.items()], F.max(F.abs("_lr")).alias("most"), F.count("*").alias("n"))
+
+    names = list(sums)
+
+    def fit(key, rows):
+        rows = rows.sort_values("theta")
+        values, edge = rows[names].to_numpy().T, 0.95 / max(float(rows["most"].max()), 1e-9)
+        curve = Curves(values, bounds)
+        _, grid, matrix = nodes(bounds)
+        errors = _cone(values @ matrix.T, edge)[0]
+        best = int(np.argmin(errors))
+        solve = lambda x: [float(v[0]) for v in _cone(curve(np.full(len(names), x))[0][:, None], edge)]
+        lo, hi, phi = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)], (5**0.5 - 1) / 2
+        for _ in range(50):
+            a, b = hi - phi * (hi - lo), lo + phi * (hi - lo)
+            lo, hi = (lo, b) if solve(a)[0] <= solve(b)[0] else (a, hi)
+        delta = 0.5 * (lo + hi) if solve(0.5 * (lo + hi))[0] <= errors[best] else grid[best]
+        _, c, k = solve(delta)
+        return pd.DataFrame([[*key, c * np.exp(-delta * center), float(delta), k, int(rows["n"].iloc[0])]], columns=[*by, "c", "delta", "k", "n"])
+
+    return table.groupBy(*by).applyInPandas(fit, f"{keys}, c double, delta double, k double, n long")
+
+
 def two_regime_arrays(q: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 200) -> dict[str, float]:
     """Crossover of a linear and a square-root branch by profiling; with its interval."""
     q, y, w = (np.asarray(v, float) for v in (q, y, w))

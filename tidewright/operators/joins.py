@@ -10,12 +10,44 @@ from pyspark.sql import functions as F
 from tidewright.functions import exprs as X
 
 FIRST, LAST = "1900-01-01", "2100-12-31"
+#: Days are counted from here; blocks of up to 2 ** (LEVELS - 1) days hold all dates.
+ORIGIN, LEVELS = "0001-01-01", 23
 
 
-def valid_at(facts: DataFrame, names: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Rows of ``names`` valid at each fact's date; open ends reach from 1900 to 2100."""
+def day_cells(first: Column, last: Column) -> Column:
+    """The fewest blocks of 1, 2, 4 ... days that make up the days from ``first`` to ``last``, as (level, cell)."""
+    # From both ends upwards: an end that is no left (right) half of the next larger block is one by itself.
+    start = F.struct(first.alias("a"), (last + 1).alias("z"), F.array().cast("array<struct<level:int,cell:int>>").alias("out"))
+
+    def step(acc: Column, level: Column) -> Column:
+        a, z = acc["a"], acc["z"]
+        low, high = (a < z) & (a % 2 == 1), (a < z) & (z % 2 == 1)
+        # One block left of both ends is the same block.
+        high = high & ~(low & (z - 1 == a))
+        one = lambda use, cell: F.when(use, F.array(F.struct(level.alias("level"), cell.alias("cell")))).otherwise(F.array())
+        out = F.concat(acc["out"], one(low, a), one(high, z - 1))
+        return F.struct(F.shiftright(a + low.cast("int"), 1).alias("a"), F.shiftright(z, 1).alias("z"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step)["out"]
+
+
+def valid_at(facts: DataFrame, names: DataFrame, key: str, at: str, start: str, end: str, salts: int = 8) -> DataFrame:
+    """Rows of ``names`` valid at each fact's date; open ends reach from 1900 to 2100.
+
+    A name's days are a few blocks of 1, 2, 4 ... days, and a fact's date lies in
+    one block of each size; so facts and names meet in equal blocks, each pair
+    once, and the join makes no row that is no match. Facts of one key are dealt
+    out by ``salts``, for which names are repeated.
+    """
+    day = lambda c: F.datediff(c, F.lit(ORIGIN).cast("date"))
     n = names.withColumn("_from", F.coalesce(F.col(start).cast("date"), F.lit(FIRST).cast("date"))).withColumn("_to", F.coalesce(F.col(end).cast("date"), F.lit(LAST).cast("date")))
-    return facts.join(n, key).filter((F.col("_from") <= F.col(at)) & (F.col("_to") >= F.col(at))).drop("_from", "_to")
+    n = n.withColumn("_block", F.explode(day_cells(day("_from"), day("_to")))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("_from", "_to")
+    # Sizes that no name uses need no block of a fact: one row, LEVELS numbers at most.
+    used = n.agg(F.sort_array(F.collect_set("_block.level")).alias("_levels"))
+    f = facts.filter(F.col(at).isNotNull()).crossJoin(F.broadcast(used))
+    blocks = F.transform("_levels", lambda k: F.struct(k.alias("level"), F.floor(day(F.col(at).cast("date")) / F.pow(F.lit(2), k)).cast("int").alias("cell")))
+    f = f.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")).withColumn("_block", F.explode(blocks)).drop("_levels")
+    return f.join(n, [key, "_salt", "_block"]).drop("_salt", "_block")
 
 
 def best(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Out-of-sample contest of impact models within each session.
 
-A session (one symbol-day of bars and orders) is one cogroup: the lag kernel
-needs its bars in order. Time-of-day multipliers come from other sessions and
-are joined to the orders beforehand, as columns ``loso`` and ``prior`` (NULL: no
-such profile; a symbol's first session has no ``prior`` model at all).
+:func:`contest` is one plan: orders get their scales by window frames, all fits
+come from sums by session, and predictions are column expressions. No session
+meets in one task. :func:`evaluate` does the same for one session in arrays.
+Time-of-day multipliers come from other sessions and are joined to the orders
+beforehand, as columns ``loso`` and ``prior`` (NULL: no such profile; a symbol's
+first session has no ``prior`` model at all).
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators import fits, kernels
+from tidewright.functions import exprs as X
+from tidewright.operators import fits, kernels, volatility
 from tidewright.operators.bars import SESSION
+from tidewright.sources.scratch import folder
 
+# The models' names, in the order of published tables.
 MODELS = ("propagator", "propagator_scaled", "sqrt", "sqrt_trailing_sigma", "sqrt_blend", "sqrt_tod_loso", "sqrt_tod_prior", "sqrt_rate", "power_tod_loso", "power_tod_prior")
 
 
@@ -164,6 +169,64 @@ def evaluate(bars: DataFrame, orders: DataFrame, keys: Sequence[str] = SESSION,
     return left.cogroup(right).applyInPandas(run, f"{names}, model string, metric string, value double")
 
 
+def contest(bars: DataFrame, orders: DataFrame, keys: Sequence[str] = SESSION, train: float = 0.7, least: int = 50, window: int = 1800, seconds: int = 23_400, lags: Sequence[int] = kernels.LAGS, deltas: Sequence[float] = kernels.DELTAS, least_bars: int = 50, only: Sequence[str] = MODELS) -> DataFrame:
+    """Scores of every model on the test orders of every session: a row a session and model.
+
+    ``orders``: keys, order_id, t_start, t_end, shares, sign, mid_start, mid_end,
+    session_volume, sigma_d, and optionally loso and prior. Sessions with fewer
+    than ``least`` orders on a side give no rows, nor does a model whose kernel has
+    fewer than ``least_bars`` bars on a side of its own split.
+    """
+    spark, keys = bars.sparkSession, list(keys)
+    kinds = [k for k in ("loso", "prior") if k in orders.columns and any(m.endswith(k) for m in only)]
+    place = side(F.col("t_start"), F.col("t_end"), F.col("first"), F.col("last"), F.col("split"))
+    own = orders.join(split_seconds(bars, keys, train), keys).withColumn("side", place)
+    present = orders.groupBy(*keys).agg(F.lit(1).alias("_any"), *[F.count(k).alias(f"has_{k}") for k in kinds])
+    own = own.filter((F.col("mid_start") > 0) & (F.col("shares") > 0) & F.col("side").isin("train", "test"))
+    size = own.groupBy(*keys).agg(*[F.count(F.when(F.col("side") == n, 1)).alias(f"_{n}") for n in ("train", "test")]).filter((F.col("_train") >= least) & (F.col("_test") >= least))
+    own = own.join(size.select(*keys), keys, "left_semi").join(present, keys)
+    own = own.withColumn("y", X.impact_log(F.col("sign"), F.col("mid_start"), F.col("mid_end"))).withColumn("q", F.col("shares") / F.col("session_volume")).withColumn("at", F.floor("t_start"))
+    near = volatility.trailing_sigma(bars, own, keys, window, seconds, "side").select(*keys, "order_id", F.col("sigma").alias("near"))
+    own = own.join(near, [*keys, "order_id"])
+    if "sqrt_rate" in only:
+        own = own.join(volatility.execution_rate(bars, own, keys).select(*keys, "order_id", "rate"), [*keys, "order_id"])
+    for kind in kinds:
+        usable = F.when(F.col(kind) > 0, F.col(kind))
+        own = own.withColumn(f"scaled_{kind}", F.when(F.col(f"has_{kind}") > 0, F.col("sigma_d") * F.coalesce(usable, F.lit(1.0))))
+    path = folder(spark, "contest")
+    own.write.parquet(path)  # read by every fit below
+    own = spark.read.parquet(path)
+    root = F.sqrt("q")
+    if any(m.startswith("propagator") for m in only):
+        kernel = kernels.calibrate(bars, keys, lags=lags, deltas=deltas, end=train, least=least_bars).filter("best").select(*keys, F.col("delta").alias("_delta"), F.col("refit").alias("_kernel"))
+        span = (F.floor("t_end") - F.floor("t_start") + 1).cast("double")
+        own = own.join(kernel, keys, "left").withColumn("raw", X.propagator_impact(F.col("_kernel"), F.col("shares"), F.col("sign"), span, F.col("_delta")))
+    fit_on = own.filter("side = 'train'")
+    levels = {"sqrt": F.col("sigma_d") * root, "sqrt_trailing_sigma": F.col("near") * root} | {f"sqrt_tod_{k}": F.col(f"scaled_{k}") * root for k in kinds}
+    if "raw" in own.columns:
+        levels["propagator_scaled"] = F.col("raw")
+    fitted = fit_on.groupBy(*keys).agg(*[fits.level(F.col("y"), x).alias(f"c_{n}") for n, x in levels.items()])
+    made = {n: F.col(f"c_{n}") * x for n, x in levels.items()}
+    if "raw" in own.columns:
+        made["propagator"] = F.col("raw")
+    if "sqrt_blend" in only:
+        best = fits.blend_alpha(fit_on.filter("sigma_d > 0 and near > 0"), "y", "sigma_d", "near", "q", keys).select(*keys, F.col("alpha").alias("_alpha"), F.col("c").alias("c_blend"))
+        fitted = fitted.join(best, keys, "left")
+        made["sqrt_blend"] = F.col("c_blend") * X.blend(F.col("sigma_d"), F.col("near"), F.col("_alpha")) * root
+    for kind in kinds:
+        if f"power_tod_{kind}" in only:
+            power = fits.power_fits(fit_on, "y", f"scaled_{kind}", "q", keys).select(*keys, F.col("c").alias(f"c_power_{kind}"), F.col("delta").alias(f"d_power_{kind}"))
+            fitted = fitted.join(power, keys, "left")
+            made[f"power_tod_{kind}"] = X.power_impact(F.col(f"c_power_{kind}"), F.col(f"d_power_{kind}"), F.col(f"scaled_{kind}"), F.col("q"))
+    if "sqrt_rate" in only:
+        rate = fits.rate_fits(fit_on.withColumn("_y", F.col("y") / F.col("sigma_d")), "_y", "q", "rate", keys).select(*keys, F.col("c").alias("c_rate"), F.col("delta").alias("d_rate"), F.col("k").alias("k_rate"))
+        fitted = fitted.join(rate, keys, "left")
+        made["sqrt_rate"] = X.rate_impact(F.col("c_rate"), F.col("d_rate"), F.col("k_rate"), F.col("sigma_d"), F.col("q"), F.col("rate"))
+    tested = own.filter("side = 'test'").join(fitted, keys)
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), made[n].alias("p")) for n in MODELS if n in made and n in only]))
+    return fits.scores(tested.select(*keys, "y", rows.alias("m")).select(*keys, "y", "m.*"), "y", "p", [*keys, "model"])
+
+
 def comparison(scores: DataFrame) -> DataFrame:
     """Per model: sessions and medians of out-of-sample R2 and slope."""
     wide = scores.filter("model <> 'parameters'").groupBy("model").agg(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +65,56 @@ def donor_profile(shapes: DataFrame, kind: str = "loso", value: str = "ratio", b
     """Median over other sessions of the same symbol, per session and bucket.
 
     ``loso``: all other sessions; ``prior``: earlier ones only, so a symbol's
-    first session has no rows. Keys are (symbol, date).
+    first session has no rows. Keys are (symbol, date). A symbol's bucket is one
+    group, as long as the symbol has days: its values are sorted once, and every
+    session's median is read off the ranks, so donors are never paired up.
+    ``donors`` counts sessions with a row, also one without a value.
     """
+    import pandas as pd
+
     symbol, date = keys
+    kinds = dict(shapes.dtypes)
     mine = shapes.select(symbol, date).distinct()
-    donors = shapes.select(symbol, F.col(date).alias("_donor"), bucket, value)
-    rule = F.col("_donor") != F.col(date) if kind == "loso" else F.col("_donor") < F.col(date)
-    return mine.join(donors, symbol).filter(rule).groupBy(symbol, date, bucket).agg(F.median(value).alias("multiplier"), F.count("*").alias("donors"))
+    own = shapes.groupBy(symbol, date, bucket).agg(F.first(value).cast("double").alias("_value"), F.lit(True).alias("_held"))
+    # As large as the result: every session with every bucket of its symbol.
+    grid = mine.join(shapes.select(symbol, bucket).distinct(), symbol).join(own, [symbol, date, bucket], "left")
+
+    def medians(key, rows):
+        rows = rows.sort_values(date)
+        values, held = rows["_value"].to_numpy(float), rows["_held"].notna().to_numpy()
+        found, donors = (left_out if kind == "loso" else earlier)(values), (held.sum() - held if kind == "loso" else np.cumsum(held) - held)
+        out = pd.DataFrame({symbol: rows[symbol], date: rows[date], bucket: rows[bucket], "multiplier": found, "donors": donors.astype("int64")})
+        return out[donors > 0]
+
+    return grid.groupBy(symbol, bucket).applyInPandas(medians, f"{symbol} {kinds[symbol]}, {date} {kinds[date]}, {bucket} {kinds[bucket]}, multiplier double, donors long")
+
+
+def left_out(values: np.ndarray) -> np.ndarray:
+    """For each place the median of the values at all others; NaN is no value."""
+    own = np.flatnonzero(np.isfinite(values))
+    order = np.sort(values[own])
+    n, out = len(order), np.full(len(values), np.median(order) if len(order) else np.nan)
+    if n:
+        rank = np.empty(n, int)
+        rank[np.argsort(values[own], kind="stable")] = np.arange(n)
+        # Without rank r, the i-th of the rest is the i-th or, from r on, the next one.
+        at = lambda i: order[np.minimum(i + (i >= rank), n - 1)]
+        rest = n - 1
+        out[own] = 0.5 * (at(np.full(n, (rest - 1) // 2)) + at(np.full(n, rest // 2))) if rest else np.nan
+    return out
+
+
+def earlier(values: np.ndarray) -> np.ndarray:
+    """For each place the median of the values before it; NaN is no value."""
+    held: list[float] = []
+    out = np.full(len(values), np.nan)
+    for k, v in enumerate(values.tolist()):
+        n = len(held)
+        if n:
+            out[k] = 0.5 * (held[(n - 1) // 2] + held[n // 2])
+        if np.isfinite(v):
+            insort(held, v)
+    return out
 
 
 def donor_shares(volumes: DataFrame, kind: str = "prior", value: str = "volume", bucket: str = "bucket", keys: Sequence[str] = SESSION) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import binning as B
 from tidewright.functions import exprs as X
+from tidewright.functions import tables
 from tidewright.operators import bars as bar
 from tidewright.operators import book, contracts, fits, forms, joins, kernels, models, resample, runs, schedule, studies, universe, volatility
 from tidewright.plans import views as V
@@ -438,12 +439,12 @@ _POWER_SUMS = """, f AS (SELECT symbol, ln(q) AS l, {y} AS y, {scale} AS s FROM
   s AS (SELECT symbol, j, SUM(x * y) AS a, SUM(x * x) AS b, SUM(x * y * l) AS da, 2 * SUM(x * x * l) AS db, COUNT(*) AS n FROM x GROUP BY 1, 2)"""
 
 
-def _root_sql(key: str) -> str:
+def _root_sql(key: str, step: float = 0.0025) -> str:
     """Exponent and level by ``key`` from sums ``s``: the root of the error's slope between grid points, by cubics through four of them."""
     others = lambda i: [k for k in range(4) if k != i]
     root = " + ".join(f"d{i} * " + " * ".join(f"g{k} / (g{k} - g{i})" for k in others(i)) for i in range(4))
     level = " + ".join(f"v{i} * " + " * ".join(f"(d - d{k}) / (d{i} - d{k})" for k in others(i)) for i in range(4))
-    at = ", ".join(f"MAX(CASE WHEN e.j = p.j + {i - 1} THEN {c} END) AS {n}{i}" for i in range(4) for n, c in (("d", "e.j * 0.0025"), ("g", "e.g"), ("v", "e.v")))
+    at = ", ".join(f"MAX(CASE WHEN e.j = p.j + {i - 1} THEN {c} END) AS {n}{i}" for i in range(4) for n, c in (("d", f"e.j * {step}"), ("g", "e.g"), ("v", "e.v")))
     return f""", e AS (SELECT {key}, j, 2 * da / a - db / b AS g, ln(a / b) AS v, a * a / b AS fall, n FROM s WHERE a > 0), k AS (SELECT {key}, arg_max(j, fall) AS best, MAX(n) AS n FROM e GROUP BY 1),
   p AS (SELECT u.{key}, u.j FROM e u JOIN e w ON u.{key} = w.{key} AND w.j = u.j + 1 JOIN k ON k.{key} = u.{key} WHERE u.j IN (best - 1, best) AND sign(u.g) <> sign(w.g)),
   q AS (SELECT e.{key}, {at} FROM e JOIN p ON e.{key} = p.{key} GROUP BY 1), o AS (SELECT *, {root} AS d FROM q), z AS (SELECT o.{key}, d, exp({level}) AS c, n FROM o JOIN k ON o.{key} = k.{key})"""
@@ -479,6 +480,31 @@ def interior_crossovers(spark, d):
     return fits.interior(fits.crossovers(bins, "mean_q", "mean_y", "n", ["symbol"])).select("symbol", "q_star", "a", "interior")
 
 
+@query(_with(V.ORDERS) + _POWER_SUMS.format(y="realised", scale="sigma") + _root_sql("symbol") + " SELECT symbol, round(c, 6) AS c, round(d, 6) AS delta, n AS rows FROM z")
+def sql_power_fits(spark, d):
+    """Power fits called from SQL, over sums that the same SQL makes."""
+    tables.register(spark)
+    V.metaorders(spark, d).createOrReplaceTempView("tw_orders")
+    points = ", ".join(repr(float(x)) for x in fits.nodes((0.0, 1.5))[0])
+    return spark.sql(f"""WITH c AS (SELECT avg(ln(q)) AS center FROM tw_orders), x AS (SELECT symbol, theta, realised AS y, sigma * exp(theta * (ln(q) - center)) AS x FROM tw_orders, c LATERAL VIEW explode(array({points})) AS theta),
+      s AS (SELECT symbol, theta, sum(x * y) AS A, sum(x * x) AS B, count(*) AS n FROM x GROUP BY symbol, theta)
+      SELECT * FROM power_fit(TABLE(s) PARTITION BY symbol ORDER BY theta, center => {V.metaorders(spark, d).agg(F.avg(F.ln("q"))).first()[0]!r}D)""")
+
+
+@query(_with(V.ORDERS) + f""", z AS (SELECT symbol, q, CASE WHEN q <= 0.003 THEN q ELSE sqrt(0.003 * q) END * (1 + 0.1 * (u % 3)) AS y FROM mo), e AS (SELECT symbol, list_sort({_EDGES.format(v='q', p=_points(20))}) AS e FROM z GROUP BY symbol),
+  b AS (SELECT symbol, q, y, greatest(len(list_filter(e, lambda x: x < q)) - 1, 0) AS bin FROM z JOIN e USING (symbol)), m AS (SELECT symbol, avg(q) AS q, avg(y) AS y, COUNT(*) AS w FROM b GROUP BY symbol, bin),
+  n AS (SELECT symbol, ln(MIN(q)) AS lo, ln(MAX(q)) AS hi, COUNT(*) AS bins FROM m GROUP BY 1), g AS (SELECT symbol, bins, w, y, q, k, exp(lo + k * (hi - lo) / 199) AS c FROM m JOIN n USING (symbol), (SELECT unnest(range(0, 200)) AS k)),
+  x AS (SELECT symbol, bins, k, c, w, y, CASE WHEN q <= c THEN q ELSE sqrt(c * q) END AS x FROM g), s AS (SELECT symbol, k, MAX(bins) AS bins, MAX(c) AS c, SUM(w * x * y) / SUM(w * x * x) AS a, SUM(w * y * y) - SUM(w * x * y) * SUM(w * x * y) / SUM(w * x * x) AS sse FROM x GROUP BY 1, 2),
+  r AS (SELECT symbol, MIN(sse) AS least, arg_min(c, (sse, k)) AS c, arg_min(a, (sse, k)) AS a FROM s GROUP BY 1) SELECT symbol, round(r.a, 6) AS a, round(r.c, 6) AS q_star, round(MIN(CASE WHEN bins * ln(sse / least) <= 3.841 THEN s.c END), 6) AS low, round(MAX(CASE WHEN bins * ln(sse / least) <= 3.841 THEN s.c END), 6) AS high FROM s JOIN r USING (symbol) GROUP BY 1, 2, 3""")
+def sql_two_regime_fits(spark, d):
+    """Crossovers with their intervals by a table function."""
+    tables.register(spark)
+    y = F.when(F.col("q") <= 0.003, F.col("q")).otherwise(F.sqrt(0.003 * F.col("q"))) * (1 + 0.1 * (F.col("u") % 3))
+    bins = B.qcut_means(V.metaorders(spark, d).withColumn("y", y), "q", "y", 20, ["symbol"])
+    bins.select("symbol", F.col("mean_q").alias("q"), F.col("mean_y").alias("y"), F.col("n").alias("w")).createOrReplaceTempView("tw_bins")
+    return spark.sql("SELECT symbol, a, q_star, low, high FROM two_regime_fit(TABLE(tw_bins) PARTITION BY symbol ORDER BY q)")
+
+
 @query(_with(V.ORDERS) + "SELECT symbol, round(regr_slope(ln(realised), ln(q)), 6) AS exponent, round(regr_intercept(ln(realised), ln(q)), 6) AS log_level, round(regr_r2(ln(realised), ln(q)), 6) AS r2, COUNT(*) AS n FROM mo GROUP BY 1")
 def log_log_fit(spark, d):
     return fits.log_log(V.metaorders(spark, d), "q", "realised", ["symbol"])
@@ -683,6 +709,10 @@ _BINS = f""", g AS (SELECT unnest([{', '.join(map(repr, _GRID))}]) AS x), l2 AS
   p AS (SELECT label, side, size_normalisation, bin, avg(deep) AS participating FROM d GROUP BY 1, 2, 3, 4)"""
 
 
+#: The same bins as one table of SQL.
+_TABLED = ", tb AS (WITH " + _BINS[2:] + " SELECT * FROM t)"
+
+
 def _walk_bins(spark, d):
     ladder = V.ladder(spark, d)
     scales = ladder.select("label").distinct().withColumn("sigma", F.lit(0.02)).withColumn("volume", F.lit(1e6))
@@ -702,12 +732,47 @@ def participating_bins(spark, d):
     return book.deep_enough(_walk_bins(spark, d), 0.5).select("label", "side", "size_normalisation", "bin", "participating")
 
 
+def _panel(spark, d):
+    return _walk_bins(spark, d).filter("size_normalisation = 'depth'")
+
+
 @query()
 def form_contest(spark, d):
-    rows = book.session_bins(V.ladder(spark, d), np.geomspace(1, 800, 20).tolist(), V.ladder(spark, d).select("label").distinct().withColumn("sigma", F.lit(0.02)).withColumn("volume", F.lit(1e6)), "sigma", "volume", ["label"], 10)
-    p = rows.filter("size_normalisation = 'depth'").orderBy("label", "side", "bin").toPandas()
-    made = forms.contest(p["label"].astype(str).to_numpy(), p["size"].to_numpy(), p["cost_half_spreads"].to_numpy(), p["n"].to_numpy(float), forms.FORMS, 20)
-    return spark.createDataFrame([(e.form, e.fit.exponent, e.fit.aic, e.left_out) for e in made], "form string, exponent double, aic double, loso_rmse double")
+    """All six forms on the book-walk bins of both sides, with 400 draws of sessions."""
+    c = forms.contested(_panel(spark, d), "label", "size", "cost_half_spreads", "n")
+    return c.select("form", "exponent", "exponent_low", "exponent_high", "aic", "delta_aic", "left_out", "place")
+
+
+def _contest_sql(groups: int, draws: int) -> str:
+    """The linear form, the power and the power of 0.6, fitted from sums of each session: whole, without each session, and by draws."""
+    jobs = [("all", [1] * groups)] + [(f"f{k}", [int(j != k) for j in range(groups)]) for k in range(groups)] + [(f"d{t}", row) for t, row in enumerate(resample.multiplicities(range(groups), draws).tolist())]
+    values = ", ".join(f"('{t}', {k}, {m})" for t, row in jobs for k, m in enumerate(row) if m)
+    return f""", pn AS (SELECT dense_rank() OVER (ORDER BY CAST(label AS VARCHAR)) - 1 AS k, ln(size) AS l, cost_half_spreads AS y, n AS w FROM tb WHERE size_normalisation = 'depth'),
+  gr AS (SELECT unnest(range(0, 601)) AS j), xx AS (SELECT k, j, w, y, l, exp(l * j * 0.005) AS x FROM pn, gr), own AS (SELECT k, j, SUM(w * x * y) AS a, SUM(w * x * x) AS b, SUM(w * x * y * l) AS da, 2 * SUM(w * x * x * l) AS db, SUM(w * y * y) AS yy, COUNT(*) AS n, SUM(w) AS w FROM xx GROUP BY 1, 2),
+  m(job, k, m) AS (VALUES {values}), s AS (SELECT job, j, SUM(m * a) AS a, SUM(m * b) AS b, SUM(m * da) AS da, SUM(m * db) AS db, CAST(SUM(m * n) AS BIGINT) AS n FROM own JOIN m USING (k) GROUP BY 1, 2)
+  {_root_sql("job", 0.005)}, fx AS (SELECT job, CASE j WHEN 200 THEN 'linear' ELSE 'athl_beta_0.6' END AS form, j * 0.005 AS d, a / b AS c FROM s WHERE j IN (120, 200)),
+  fo AS (SELECT job, form, d, c FROM fx WHERE job NOT LIKE 'd%' UNION ALL SELECT job, 'power', d, c FROM z),
+  er AS (SELECT fo.job, form, d, SUM(w * (y - c * exp(l * d)) * (y - c * exp(l * d))) AS wsse FROM fo JOIN pn ON fo.job = 'all' OR fo.job = 'f' || pn.k GROUP BY 1, 2, 3), sz AS (SELECT COUNT(*) AS n, SUM(w) AS w FROM pn),
+  al AS (SELECT form, d, wsse, sz.n * ln(wsse / sz.n) + 2 * CASE form WHEN 'power' THEN 2 ELSE 1 END AS aic FROM er, sz WHERE job = 'all'), cv AS (SELECT form, sqrt(SUM(wsse) / MAX(sz.w)) AS left_out FROM er, sz WHERE job LIKE 'f%' GROUP BY 1),
+  bd AS (SELECT quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM z WHERE job LIKE 'd%')
+  SELECT form, CASE WHEN form = 'power' THEN round(d, 6) END AS exponent, CASE WHEN form = 'power' THEN round(lo, 6) END AS exponent_low, CASE WHEN form = 'power' THEN round(hi, 6) END AS exponent_high, round(wsse, 4) AS wsse, round(aic, 4) AS aic,
+  round(left_out, 6) AS left_out, row_number() OVER (ORDER BY left_out, form) AS place FROM al JOIN cv USING (form), bd"""
+
+
+@query(_with(V.LADDER) + _TABLED + """, pn AS (SELECT label || side AS k, ln(size) AS l, cost_half_spreads AS y, n AS w FROM tb WHERE size_normalisation = 'depth'), gr AS (SELECT unnest(range(0, 601)) AS j), xx AS (SELECT k, j, w, y, l, exp(l * j * 0.0025) AS x FROM pn, gr),
+  s AS (SELECT k, j, SUM(w * x * y) AS a, SUM(w * x * x) AS b, SUM(w * x * y * l) AS da, 2 * SUM(w * x * x * l) AS db, COUNT(*) AS n FROM xx GROUP BY 1, 2)""" + _root_sql("k") + " SELECT k AS panel, round(c, 6) AS level, round(d, 6) AS exponent FROM z")
+def sql_form_fits(spark, d):
+    """The power form by book side, fitted by a table function."""
+    tables.register(spark)
+    _panel(spark, d).select(F.concat("label", "side").alias("panel"), F.col("size").alias("u"), F.col("cost_half_spreads").alias("y"), F.col("n").cast("double").alias("w")).createOrReplaceTempView("tw_panel")
+    return spark.sql("SELECT panel, level, exponent FROM form_fit(TABLE(tw_panel) PARTITION BY panel ORDER BY u, form => 'power')")
+
+
+@query(_with(V.LADDER) + _TABLED + _contest_sql(10, 100))
+def form_fits(spark, d):
+    """Three of the forms with folds, draws and ranks."""
+    c = forms.contested(_panel(spark, d), "label", "size", "cost_half_spreads", "n", (forms.LINEAR, forms.POWER, forms.ATHL_06), 100)
+    return c.select("form", "exponent", "exponent_low", "exponent_high", F.round("wsse", 4).alias("wsse"), F.round("aic", 4).alias("aic"), "left_out", "place")
 
 
 @query(_with(V.LADDER) + "SELECT CAST(label AS BIGINT) AS label, round(median(ask_sz), 6) AS depth FROM levels WHERE level = 0 GROUP BY 1")
@@ -768,13 +833,53 @@ def kernel_shape(spark, d):
     return kernels.shape(k, ["symbol"]).select("symbol", "lag", F.round("shape", 4).alias("shape"))
 
 
+def _contest(spark, d, **options):
+    """The contest on the sessions of the driver's tables, with time-of-day shapes of their other sessions."""
+    b = minute_bars(spark, d)
+    o = V.metaorders(spark, d).withColumn("bucket", X.grid(F.col("at"), 7200))
+    shapes = bar.shape_from_mids(b, KEYS, 7200)
+    for kind in ("loso", "prior"):
+        o = o.join(volatility.donor_profile(shapes, kind).select(*KEYS, "bucket", F.col("multiplier").alias(kind)), [*KEYS, "bucket"], "left")
+    start = F.col("at").cast("double")
+    o = o.select(*KEYS, "order_id", start.alias("t_start"), (start + F.col("u")).alias("t_end"), "shares", F.lit(1.0).alias("sign"), F.lit(100.0).alias("mid_start"), (100.0 * F.exp("realised")).alias("mid_end"), F.lit(10_000.0).alias("session_volume"), F.lit(0.02).alias("sigma_d"), "loso", "prior")
+    return models.contest(b, o, KEYS, least=12, window=7200, **options)
+
+
 @query()
 def ten_models(spark, d):
-    b = _long_bars(spark, d)
-    o = V.metaorders(spark, d).withColumn("day", F.datediff("dt", F.lit("2024-01-01")))
-    start = F.col("day") * 86_400.0 + F.col("at")
-    o = o.select("symbol", start.alias("t_start"), (start + F.col("u")).alias("t_end"), "shares", F.lit(1.0).alias("sign"), F.lit(100.0).alias("mid_start"), (100.0 * F.exp("realised")).alias("mid_end"), F.lit(10_000.0).alias("session_volume"), F.lit(0.02).alias("sigma_d"), (1 + F.col("u") / 40).alias("loso"))
-    return models.evaluate(b, o, ("symbol",), least=20)
+    """All ten models on every session that is long enough."""
+    return _contest(spark, d, lags=(0, 1, 2), least_bars=5).select(*KEYS, "model", "n", "r2_no_refit", "r2_refit", "slope", "mean_realised", "mean_predicted")
+
+
+_SEVEN = ("sqrt", "sqrt_trailing_sigma", "sqrt_blend", "sqrt_tod_loso", "sqrt_tod_prior", "power_tod_loso", "power_tod_prior")
+_SHARED = _SPLIT + _MID + _donor("<>").replace("mine AS", "mine_l AS").replace("FROM mine m", "FROM mine_l m").replace("donor AS", "donor_l AS") + _donor("<") + """, hp AS (SELECT symbol, dt, COUNT(multiplier) AS has FROM donor GROUP BY 1, 2),
+  o0 AS (SELECT mo.symbol, mo.dt, order_id, "at", u, q, realised AS y, CASE WHEN "at" >= split THEN 'test' WHEN "at" + u < split THEN 'train' END AS side, CAST(floor(("at" - 34200) / 7200) AS BIGINT) AS bucket FROM mo JOIN sp USING (symbol, dt) WHERE "at" >= sp."first" AND "at" + u <= sp."last"),
+  sz AS (SELECT symbol, dt FROM o0 GROUP BY 1, 2 HAVING COUNT(*) FILTER (WHERE side = 'train') >= 12 AND COUNT(*) FILTER (WHERE side = 'test') >= 12), any_l AS (SELECT mo.symbol, mo.dt, COUNT(a.multiplier) AS has_l, COUNT(b.multiplier) AS has_p FROM mo LEFT JOIN donor_l a ON a.symbol = mo.symbol AND a.dt = mo.dt AND a.bucket = CAST(floor((mo."at" - 34200) / 7200) AS BIGINT) LEFT JOIN donor b ON b.symbol = mo.symbol AND b.dt = mo.dt AND b.bucket = CAST(floor((mo."at" - 34200) / 7200) AS BIGINT) GROUP BY 1, 2),
+  o1 AS (SELECT o0.*, CASE WHEN has_l > 0 THEN 0.02 * COALESCE(CASE WHEN l.multiplier > 0 THEN l.multiplier END, 1) END AS sl, CASE WHEN has_p > 0 THEN 0.02 * COALESCE(CASE WHEN p.multiplier > 0 THEN p.multiplier END, 1) END AS spr FROM o0 JOIN sz USING (symbol, dt) JOIN any_l USING (symbol, dt) LEFT JOIN donor_l l USING (symbol, dt, bucket) LEFT JOIN donor p USING (symbol, dt, bucket) WHERE side IS NOT NULL),
+  sq AS (SELECT symbol, dt, sec, COALESCE(ret * ret, 0) AS sq FROM mr), tr AS (SELECT o1.symbol, o1.dt, order_id, side, sqrt(COALESCE(SUM(sq), 0) / greatest(COUNT(sq), 1) * 23400) AS raw FROM o1 LEFT JOIN sq ON sq.symbol = o1.symbol AND sq.dt = o1.dt AND sq.sec >= o1."at" - 7200 AND sq.sec < o1."at" GROUP BY 1, 2, 3, 4),
+  tm AS (SELECT symbol, dt, side, median(raw) FILTER (WHERE raw > 0) AS mid FROM tr GROUP BY 1, 2, 3), o2 AS (SELECT o1.*, symbol || '|' || dt AS ses, COALESCE(CASE WHEN raw > 0 THEN raw END, mid) AS near FROM o1 JOIN tr USING (symbol, dt, order_id, side) JOIN tm USING (symbol, dt, side)),
+  lv AS (SELECT ses, SUM(y * sqrt(q) * 0.02) / SUM(q * 0.0004) AS c1, SUM(y * sqrt(q) * near) / SUM(q * near * near) AS c2, SUM(y * sqrt(q) * sl) / SUM(q * sl * sl) AS c3, SUM(y * sqrt(q) * spr) / SUM(q * spr * spr) AS c4 FROM o2 WHERE side = 'train' GROUP BY 1),
+  ag AS (SELECT unnest([""" + ", ".join(repr(float(v)) for v in np.linspace(0, 1, 101)) + """]) AS al), bs AS (SELECT ses, al, SUM(y * pow(0.02, al) * pow(near, 1 - al) * sqrt(q)) AS a, SUM(pow(pow(0.02, al) * pow(near, 1 - al), 2) * q) AS b, SUM(y * y) AS yy FROM o2, ag WHERE side = 'train' AND near > 0 GROUP BY 1, 2),
+  bb AS (SELECT ses, arg_min(al, (yy - a * a / b, al)) AS al, arg_min(a / b, (yy - a * a / b, al)) AS c FROM bs GROUP BY 1), jj AS (SELECT unnest(range(0, 301)) AS j), """
+
+
+def _seven_sql() -> str:
+    """Scores of the seven models that sums give in closed form, or by the root of a slope."""
+    power = []
+    for kind, scale in (("loso", "sl"), ("prior", "spr")):
+        own = f"""fk AS (SELECT ses, ln(q) AS l, y, {scale} AS s FROM o2 WHERE side = 'train' AND {scale} > 0), xk AS (SELECT ses, j, y, l, s * exp(l * j * 0.005) AS x FROM fk, jj),
+  s AS (SELECT ses, j, SUM(x * y) AS a, SUM(x * x) AS b, SUM(x * y * l) AS da, 2 * SUM(x * x * l) AS db, COUNT(*) AS n FROM xk GROUP BY 1, 2){_root_sql("ses", 0.005)}"""
+        power.append(f"pw_{kind} AS (WITH {own} SELECT ses, c, d FROM z)")
+    pairs = {"sqrt": "c1 * 0.02 * sqrt(q)", "sqrt_trailing_sigma": "c2 * near * sqrt(q)", "sqrt_blend": "bb.c * pow(0.02, bb.al) * pow(near, 1 - bb.al) * sqrt(q)", "sqrt_tod_loso": "c3 * sl * sqrt(q)", "sqrt_tod_prior": "c4 * spr * sqrt(q)", "power_tod_loso": "pl.c * sl * pow(q, pl.d)", "power_tod_prior": "pp.c * spr * pow(q, pp.d)"}
+    names, values = ", ".join(f"'{n}'" for n in pairs), ", ".join(pairs.values())
+    return f"""{_SHARED}{', '.join(power)}, pr AS (SELECT symbol, dt, y, unnest([{names}]) AS model, unnest([{values}]) AS p FROM o2 JOIN lv ON lv.ses = o2.ses LEFT JOIN bb ON bb.ses = o2.ses LEFT JOIN pw_loso pl ON pl.ses = o2.ses LEFT JOIN pw_prior pp ON pp.ses = o2.ses WHERE side = 'test')
+  SELECT symbol, dt, model, COUNT(*) AS n, round(1 - SUM((y - p) * (y - p)) / regr_syy(y, p), 6) AS r2_no_refit, round(regr_r2(y, p), 6) AS r2_refit, round(regr_slope(y, p), 6) AS slope, round(avg(y), 6) AS mean_realised, round(avg(p), 6) AS mean_predicted FROM pr WHERE p IS NOT NULL GROUP BY 1, 2, 3"""
+
+
+@query(_with(V.PRINTS, V.BARS, V.ORDERS) + _seven_sql())
+def seven_models(spark, d):
+    """The models without a kernel or an execution rate, on every session that is long enough."""
+    return _contest(spark, d, only=_SEVEN).select(*KEYS, "model", "n", "r2_no_refit", "r2_refit", "slope", "mean_realised", "mean_predicted")
 
 
 _COST = ", s AS (SELECT order_id, symbol, unnest(range(1, 6)) AS t, shares FROM mo), w AS (SELECT *, 1.0 / (t * t) AS wt, 1.0 AS one FROM s)"
@@ -838,10 +943,11 @@ def normaliser_variants(spark, d):
     return universe.variants(o, v).groupBy("variant").agg(F.count("*").alias("n"), fits.level(F.col("y"), F.sqrt("size")).alias("c_half"))
 
 
-@query("SELECT s_nationkey::BIGINT AS k FROM supplier EXCEPT SELECT c_nationkey::BIGINT FROM customer WHERE c_acctbal > 9000")
+@query("SELECT p_partkey::BIGINT AS k FROM part WHERE p_size % 2 = 0 EXCEPT SELECT l_partkey::BIGINT FROM lineitem WHERE l_quantity > 47")
 def set_difference(spark, d):
-    a = V.table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("k")).distinct()
-    b = V.table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").cast("long").alias("k"))
+    """Requested symbols that no trade resolves."""
+    a = V.table(spark, d, "part").filter("p_size % 2 = 0").select(F.col("p_partkey").cast("long").alias("k")).distinct()
+    b = V.table(spark, d, "lineitem").filter("l_quantity > 47").select(F.col("l_partkey").cast("long").alias("k"))
     return a.join(b, "k", "left_anti")
 
 
@@ -886,17 +992,24 @@ def usable_sessions(spark, d):
     return studies.usable_sessions(V.prints(spark, d), KEYS, 65, 1800, 13)
 
 
-@query(_with(V.PRINTS) + """SELECT symbol, dt, seq, round(size, 6) AS size, round(price, 6) AS mid FROM prints""")
+@query(_with(V.PRINTS, V.MESSAGES) + """SELECT m.symbol, m.dt, m.seq, m.size, m.event_type, CAST(p.price AS DOUBLE) AS mid, p.side FROM messages m JOIN prints p USING (symbol, dt, seq)""")
 def aligned_rows(spark, d):
-    p = V.prints(spark, d)
-    return studies.aligned(p.select(*KEYS, "seq", "size"), p.select(*KEYS, "seq", F.col("price").alias("mid")), KEYS)
+    """Messages with the book row of the same place; sessions must have as many of both."""
+    m, p = V.messages(spark, d), V.prints(spark, d)
+    return studies.aligned(m.select(*KEYS, "seq", "size", "event_type"), p.select(*KEYS, "seq", F.col("price").alias("mid"), "side"), KEYS)
 
 
-@query(_with(V.PRINTS) + """, a AS (SELECT symbol, dt, MAX(price) AS sigma, COUNT(*) AS fills FROM prints GROUP BY 1, 2), b AS (SELECT symbol, dt, COUNT(*) AS displayed FROM prints GROUP BY 1, 2), c AS (SELECT symbol, dt, MAX(size) AS spread FROM prints GROUP BY 1, 2)
-  SELECT symbol, dt, round(sigma, 6) AS sigma, fills, displayed, round(spread, 6) AS spread FROM a JOIN b USING (symbol, dt) JOIN c USING (symbol, dt)""")
+@query(_with(V.PRINTS, V.MESSAGES, V.BARS) + """, a AS (SELECT symbol, dt, stddev_samp(mid) AS sigma, SUM(CASE WHEN k % 5 < 3 THEN floor(size * 100) + 1 ELSE 0 END) AS fills FROM (SELECT p.*, b.mid FROM prints p JOIN bars b ON b.symbol = p.symbol AND b.dt = p.dt AND b.sec = p.sec // 60 * 60) GROUP BY 1, 2),
+  b AS (SELECT symbol, dt, SUM(size) AS displayed FROM messages WHERE event_type = 4 GROUP BY 1, 2), c AS (SELECT symbol, dt, MAX(price) - MIN(price) AS spread FROM prints GROUP BY 1, 2)
+  SELECT symbol, dt, round(sigma, 6) AS sigma, CAST(fills AS BIGINT) AS fills, CAST(displayed AS BIGINT) AS displayed, round(CAST(spread AS DOUBLE), 6) AS spread FROM a JOIN b USING (symbol, dt) JOIN c USING (symbol, dt)""")
 def session_scales(spark, d):
-    g = V.prints(spark, d).groupBy(*KEYS)
-    return studies.session_scales(g.agg(F.max("price").alias("sigma"), F.count("*").alias("fills")), g.agg(F.count("*").alias("displayed")), g.agg(F.max("size").alias("spread")), KEYS)
+    """Volatility, volume and book tables as one row a session; shares of fills are tallied from prints and from messages and must agree."""
+    p = V.prints(spark, d)
+    b = minute_bars(spark, d).select(*KEYS, F.col("sec").alias("minute"), "mid")
+    marked = p.withColumn("minute", F.floor(F.col("sec") / 60) * 60).join(b, [*KEYS, "minute"])
+    reference = marked.groupBy(*KEYS).agg(F.stddev_samp("mid").alias("sigma"), F.sum(F.when(F.col("k") % 5 < 3, F.floor(F.col("size") * 100) + 1).otherwise(0)).alias("fills"))
+    volumes = V.messages(spark, d).filter("event_type = 4").groupBy(*KEYS).agg(F.sum("size").alias("displayed"))
+    return studies.session_scales(reference, volumes, p.groupBy(*KEYS).agg((F.max("price") - F.min("price")).alias("spread")), KEYS)
 
 
 @query(_with(V.PRINTS, V.BARS) + """, m AS (SELECT symbol, dt, CAST(floor((sec - 34200) / 60) AS BIGINT) AS minute, SUM(volume) AS v FROM bars WHERE sec >= 34200 GROUP BY 1, 2, 3), s AS (SELECT symbol, dt, minute, v / nullif(SUM(v) OVER (PARTITION BY symbol, dt), 0) AS share FROM m),
@@ -918,17 +1031,42 @@ def flow_comparison(spark, d):
     return studies.incremental(studies.compare_flows(_ofi_like(spark, d), keys=("symbol",)), ("symbol",))
 
 
-@query()
+def _published_sql(groups: int, draws: int) -> str:
+    """Published fits ``pu`` of each panel of ``rel`` (panel, grp, y, q) with intervals over ``groups`` groups a panel."""
+    times = [[1] * groups, *resample.multiplicities(range(groups), draws).tolist()]
+    values = ", ".join(f"({t}, {k}, {m})" for t, row in enumerate(times) for k, m in enumerate(row) if m)
+    band = lambda c, name: ", ".join(f"quantile_cont({c}, {p}) FILTER (WHERE t > 0) AS {name}_{end}" for p, end in ((0.025, "low"), (0.975, "high")))
+    return f""", f AS (SELECT panel, grp, ln(q) AS l, y FROM rel WHERE q > 0 AND y IS NOT NULL), gr AS (SELECT unnest(range(0, 301)) AS j), x AS (SELECT panel, grp, j, y, l, exp(l * j * 0.005) AS x FROM f, gr),
+  own AS (SELECT panel, grp, j, SUM(x * y) AS a, SUM(x * x) AS b, SUM(x * y * l) AS da, 2 * SUM(x * x * l) AS db, COUNT(*) AS n FROM x GROUP BY 1, 2, 3), m(t, k, m) AS (VALUES {values}),
+  ra AS (SELECT *, dense_rank() OVER (PARTITION BY panel ORDER BY grp) - 1 AS k FROM own), s AS (SELECT panel || '#' || t AS pt, j, SUM(m * a) AS a, SUM(m * b) AS b, SUM(m * da) AS da, SUM(m * db) AS db, CAST(SUM(m * n) AS BIGINT) AS n FROM ra JOIN m USING (k) GROUP BY 1, 2)
+  {_root_sql("pt", 0.005)}, ha AS (SELECT pt, a / b AS h FROM s WHERE j = 100), al AS (SELECT split_part(z.pt, '#', 1) AS panel, CAST(split_part(z.pt, '#', 2) AS INTEGER) AS t, c, d, h, n FROM z JOIN ha ON z.pt = ha.pt),
+  pu AS (SELECT panel, MAX(CASE WHEN t = 0 THEN c END) AS c_free, MAX(CASE WHEN t = 0 THEN d END) AS delta, MAX(CASE WHEN t = 0 THEN h END) AS c_half, MAX(CASE WHEN t = 0 THEN n END) AS n, {band('d', 'delta')}, {band('h', 'c_half')} FROM al GROUP BY 1)"""
+
+
+_PUBLISHED = "round(c_free, 6) AS c_free, round(delta, 6) AS delta, round(c_half, 6) AS c_half, n, round(delta_low, 6) AS delta_low, round(delta_high, 6) AS delta_high, round(c_half_low, 6) AS c_half_low, round(c_half_high, 6) AS c_half_high"
+
+
+@query(_with(V.ORDERS) + ", rel AS (SELECT symbol AS panel, dt AS grp, realised / sigma AS y, q FROM mo)" + _published_sql(30, 50) + f""", ed AS (SELECT panel, list_sort({_EDGES.format(v='q', p=_points(20))}) AS e FROM rel GROUP BY 1),
+  bi AS (SELECT rel.panel, q, y, greatest(len(list_filter(e, lambda x: x < q)) - 1, 0) AS bin FROM rel JOIN ed ON rel.panel = ed.panel), me AS (SELECT panel, avg(q) AS q, avg(y) AS y, COUNT(*) AS w FROM bi GROUP BY panel, bin),
+  li AS (SELECT panel, ln(MIN(q)) AS lo, ln(MAX(q)) AS hi FROM me GROUP BY 1), cg AS (SELECT me.panel, w, y, q, kk, exp(lo + kk * (hi - lo) / 199) AS c FROM me JOIN li ON me.panel = li.panel, (SELECT unnest(range(0, 200)) AS kk)),
+  cx AS (SELECT panel, kk, c, w, y, CASE WHEN q <= c THEN q ELSE sqrt(c * q) END AS x FROM cg), cs AS (SELECT panel, kk, MAX(c) AS c, SUM(w * x * y) / SUM(w * x * x) AS a, SUM(w * y * y) - SUM(w * x * y) * SUM(w * x * y) / SUM(w * x * x) AS sse FROM cx GROUP BY 1, 2),
+  cr AS (SELECT panel, arg_min(kk, (sse, kk)) AS kk, arg_min(c, (sse, kk)) AS q_star, arg_min(a, (sse, kk)) AS a FROM cs GROUP BY 1), en AS (SELECT panel, COUNT(*) AS n_orders, median(q) AS median_participation FROM rel GROUP BY 1 HAVING COUNT(*) >= 50)
+  SELECT pu.panel AS symbol, {_PUBLISHED}, round(q_star, 6) AS q_star, round(a, 6) AS a, kk > 0 AND kk < 199 AS interior, n_orders, round(median_participation, 6) AS median_participation, 0.02::DOUBLE AS sigma, 100.0::DOUBLE AS close, 1e6::DOUBLE AS mean_volume,
+  round(a * q_star * 0.02 * 100 / 0.01, 6) AS ticks, delta_low <= 0.5 AND delta_high >= 0.5 AS brackets_half FROM pu JOIN cr ON pu.panel = cr.panel JOIN en ON pu.panel = en.panel""")
 def per_symbol_fits(spark, d):
+    """Exponents with block intervals over days, and crossovers in ticks, by symbol."""
     o = V.metaorders(spark, d).select("symbol", F.col("dt").alias("date"), F.col("q").alias("participation"), F.col("realised").alias("impact"), F.col("sigma").alias("sigma_d"))
     daily = o.select("symbol", "date").distinct().select("symbol", F.lit(0.02).alias("sigma"), F.lit(100.0).alias("close"), F.lit(1e6).alias("volume"))
     return studies.per_symbol(o, daily, 20, 50, 50)
 
 
-@query()
+@query(_with(V.ORDERS) + """, rel AS (SELECT unnest(['venue', 'consolidated_volume', 'consolidated_sigma', 'consolidated_both']) AS panel, symbol || '_' || strftime(dt, '%Y-%m-%d') AS grp,
+  unnest([realised / sigma, realised / sigma, realised / (0.02 + 0.001 * day(dt)), realised / (0.02 + 0.001 * day(dt))]) AS y, unnest([q, shares / (15000 + 500 * day(dt)), q, shares / (15000 + 500 * day(dt))]) AS q FROM mo)""" + _published_sql(150, 50) + f" SELECT panel AS variant, {_PUBLISHED} FROM pu")
 def variant_fits(spark, d):
+    """The published fit under four pairs of volume and volatility, resampled by session."""
     o = V.metaorders(spark, d).select("symbol", F.col("dt").alias("date"), F.col("shares").alias("Q"), F.col("q").alias("participation"), F.col("realised").alias("impact"), F.col("sigma").alias("sigma_d"))
-    v = o.select("symbol", "date").distinct().withColumn("volume_crsp", F.lit(20_000.0)).withColumn("sigma_crsp", F.lit(0.03))
+    day = F.dayofmonth("date")
+    v = o.select("symbol", "date").distinct().withColumn("volume_crsp", (15_000 + 500 * day).cast("double")).withColumn("sigma_crsp", 0.02 + 0.001 * day)
     return studies.variant_fits(o, v, 50)
 
 

@@ -365,16 +365,37 @@ def streamed_bars(spark, d):
     return spark.read.parquet(made).select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "volume", "signed_vol", "mid")
 
 
-@query(with_views(V.PRINTS) + """, f AS (SELECT symbol, seq, sign, size, SUM(CASE WHEN sign = p THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY seq) AS run FROM (SELECT *, lag(sign) OVER (PARTITION BY symbol ORDER BY seq) AS p FROM prints WHERE sign <> 0)),
-  r AS (SELECT symbol, run, MAX(sign) AS sign, SUM(size) AS shares, COUNT(*) AS n_fills, MIN(seq) AS first_seq, MAX(seq) AS last_seq, MAX(ts) AS last FROM f JOIN events ON event_id = seq GROUP BY 1, 2), z AS (SELECT *, MAX(run) OVER (PARTITION BY symbol) AS most, MAX(last) OVER () AS now FROM r)
-  SELECT symbol, CAST(sign AS BIGINT) AS sign, round(shares, 6) AS shares, n_fills, first_seq, last_seq FROM z WHERE run < most OR last + INTERVAL 1 MILLISECOND < now - INTERVAL 1 HOUR""")
-def streamed_runs(spark, d):
-    """Runs of a stream of fills that a change of sign, or an hour's silence of the symbol, has closed."""
+def _streamed(spark, rows, runs):
+    """``runs`` of a stream of the files of ``rows``, as far as its watermark closes them."""
     source, made = folder(spark, "stream-in"), folder(spark, "stream-out")
-    e = V.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
-    fills = V.prints(spark, d).filter("sign <> 0").join(e, "seq").select("symbol", "ts", "seq", F.col("sign").cast("int").alias("sign"), "size")
-    fills.write.parquet(source)
+    rows.write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    out = live.fill_runs(stream).writeStream.format("parquet").option("checkpointLocation", made + "-log").trigger(availableNow=True).start(made)
+    out = runs(stream).writeStream.format("parquet").option("checkpointLocation", made + "-log").trigger(availableNow=True).start(made)
     out.awaitTermination()
     return spark.read.parquet(made)
+
+
+@query(with_views(V.PRINTS) + """, n AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS w FROM events WHERE event_id IN (SELECT seq FROM prints WHERE sign <> 0)), p AS (SELECT symbol, dt, seq, sign, size, ts FROM prints JOIN events ON event_id = seq, n WHERE sign <> 0 AND ts < w),
+  f AS (SELECT *, SUM(CASE WHEN sign = b THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, dt ORDER BY seq) AS run FROM (SELECT *, lag(sign) OVER (PARTITION BY symbol, dt ORDER BY seq) AS b FROM p)),
+  r AS (SELECT symbol, dt, run, MAX(sign) AS sign, SUM(size) AS shares, COUNT(*) AS n_fills, MIN(seq) AS first_seq, MAX(seq) AS last_seq FROM f GROUP BY 1, 2, 3), z AS (SELECT *, MAX(run) OVER (PARTITION BY symbol, dt) AS most FROM r)
+  SELECT symbol, CAST(sign AS BIGINT) AS sign, round(shares, 6) AS shares, n_fills, first_seq, last_seq FROM z, n WHERE run < most OR dt + INTERVAL 1 DAY <= w""")
+def streamed_runs(spark, d):
+    """Runs of a stream of fills, ended by a change of sign or by their day."""
+    e = V.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    fills = V.prints(spark, d).filter("sign <> 0").join(e, "seq").select("symbol", "ts", "seq", F.col("sign").cast("int").alias("sign"), "size")
+    return _streamed(spark, fills, live.fill_runs)
+
+
+@query(with_views(V.PRINTS, V.BARS) + """, b AS (SELECT symbol, dt, sec // 1800 * 1800 AS bin, SUM(signed_vol) AS signed, SUM(volume) AS volume, arg_min(mid, sec) AS a, arg_max(mid, sec) AS z FROM bars GROUP BY 1, 2, 3),
+  t AS (SELECT *, dt + to_seconds(bin) AS ts, CASE WHEN abs(signed) / nullif(volume, 0) >= 0.3 AND signed <> 0 THEN sign(signed) ELSE 0 END AS way FROM b), n AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS w FROM t), p AS (SELECT * FROM t, n WHERE ts < w),
+  f AS (SELECT *, SUM(CASE WHEN way = l AND bin - k = 1800 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, dt ORDER BY bin) AS run FROM (SELECT *, lag(way) OVER o AS l, lag(bin) OVER o AS k FROM p WINDOW o AS (PARTITION BY symbol, dt ORDER BY bin))),
+  r AS (SELECT symbol, dt, run, MAX(way) AS way, SUM(signed) AS net, SUM(volume) AS gross, COUNT(*) AS n_bins, MIN(bin) AS bin_start, MAX(bin) AS last, arg_min(a, bin) AS mid_start, arg_max(z, bin) AS mid_end FROM f WHERE way <> 0 GROUP BY 1, 2, 3), z AS (SELECT r.*, (SELECT MAX(f.run) FROM f WHERE f.symbol = r.symbol AND f.dt = r.dt) AS most FROM r)
+  SELECT symbol, CAST(way AS BIGINT) AS sign, round(net, 6) AS net, round(gross, 6) AS gross, n_bins, strftime(dt + to_seconds(bin_start), '%Y-%m-%d %H:%M') AS bin_start, CAST(mid_start AS DOUBLE) AS mid_start, CAST(mid_end AS DOUBLE) AS mid_end
+  FROM z, n WHERE run < most OR least(dt + INTERVAL 1 DAY, dt + to_seconds(last + 1800)) < w""")
+def streamed_bin_runs(spark, d):
+    """Runs of a stream of half-hour bins, ended by a change of direction, a missing bin or their day."""
+    b = bar.directional(minute_bars(spark, d), KEYS, 1800)
+    ts = F.timestamp_seconds(F.unix_timestamp(F.col("dt").cast("timestamp")) + F.col("bin"))
+    bins = b.select("symbol", ts.alias("ts"), "signed", "volume", "mid_first", "mid_last")
+    out = _streamed(spark, bins, lambda s: live.bin_runs(s, 1800))
+    return out.withColumn("bin_start", F.date_format("bin_start", "yyyy-MM-dd HH:mm"))
