@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tidewright.llm import byte_bpe as bpe_module
 from tidewright.llm import packing, token_store
 from tidewright.llm.byte_bpe import byte_bpe, round_trip
 from tidewright.llm.word_tokens import END, word_encoder
@@ -216,19 +217,19 @@ def test_too_costly_piece_is_an_error():
 
 
 def test_windows_of_matches_do_not_show_in_ids(monkeypatch):
-    own, rng = byte_bpe.ByteBpe(vocabulary("byte_bpe_50k.json")), random.Random(4)
+    own, rng = bpe_module.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), random.Random(4)
     texts = ["".join(rng.choice("abcdefgh theinorsté中") for _ in range(n)).replace(" ", "") for n in (1, 40, 900, 6000)] + ["a" * 5000, "ab" * 3000]
     whole = [own.cut(x.encode()).tolist() for x in texts]
     assert all(own.decode(np.array(ids, np.uint32)) == x for ids, x in zip(whole, texts))
     for window in (3, 64):
-        monkeypatch.setattr(byte_bpe, "WINDOW", window)
+        monkeypatch.setattr(bpe_module, "WINDOW", window)
         assert [own.cut(x.encode()).tolist() for x in texts] == whole
 
 
 def test_one_pre_token_of_megabytes_needs_little_memory():
     import tracemalloc
 
-    own, rng = byte_bpe.ByteBpe(vocabulary("byte_bpe_50k.json")), random.Random(6)
+    own, rng = bpe_module.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
     data = "".join(rng.choice("etaoinshrdlu") for _ in range(1 << 20)).encode()
     own.cut(data[: 1 << 16])  # fills the memo of pairs
     tracemalloc.start()
