@@ -87,55 +87,32 @@ def _prefix(bits: int) -> F.Column:
     return F.shiftrightunsigned("_tw_key", 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def _halver(depth: int, deeper: int, capacity: int):
-    """How far one bucket of ``depth`` bits is halved, from its counts by ``deeper`` bits."""
-
-    def halve(key, rows):
-        import pandas as pd
-
-        sizes = {r.prefix: (r.n, r.entries, r.single) for r in rows.itertuples()}
-        out = []
-
-        def split(prefix: int, at: int) -> None:
-            """Halve one bucket until it fits, holds one key, or the counts are too coarse."""
-            width = deeper - at
-            own = [sizes[p] for p in range(prefix << width, (prefix + 1) << width) if p in sizes]
-            if sum(n for n, *_ in own) <= capacity or sum(k for _, k, _ in own) <= FEW or len(own) == 1 and own[0][2]:
-                out.append((at, prefix, False))
-            elif at < deeper:
-                split(prefix << 1, at + 1)
-                split((prefix << 1) + 1, at + 1)
-            else:
-                out.append((at, prefix, deeper < MOST))
-
-        split(int(key[0]), depth)
-        return pd.DataFrame(out, columns=["depth", "prefix", "full"])
-
-    return halve
-
-
 def directory(entries: DataFrame, capacity: int) -> DataFrame:
-    """depth and prefix (of so many leading key bits) of every bucket.
+    """depth and prefix (of so many leading key bits) of every bucket that holds entries.
 
     ``entries``: _tw_key and _tw_bytes. In each round the directory doubles
-    ``STEP`` times below overfull buckets: entries are counted by prefix, and a
-    group of 2 ** STEP counts at most decides how far one bucket is halved. A
-    bucket of ``FEW`` entries is not split, so long texts do not deepen the
-    directory beyond the row count's logarithm.
+    ``STEP`` times below overfull buckets: entries are counted by prefix, and the
+    counts add up to those of every bucket between. A bucket fits if it has
+    ``capacity`` bytes, one key, or ``FEW`` entries at most, so long texts do not
+    deepen the directory beyond the row count's logarithm; the largest ones that
+    fit are the round's buckets.
     """
     found, full, depth = None, None, 0
     while True:
         deeper = min(depth + STEP, MOST)
-        counts = entries.groupBy(_prefix(depth).alias("parent"), _prefix(deeper).alias("prefix")).agg(
-            F.sum("_tw_bytes").alias("n"), F.count("_tw_bytes").alias("entries"), (F.min("_tw_key") == F.max("_tw_key")).alias("single")
-        )
+        counts = entries.groupBy(_prefix(deeper).alias("prefix")).agg(F.sum("_tw_bytes").alias("n"), F.count("*").alias("entries"), (F.min("_tw_key") == F.max("_tw_key")).alias("single"))
         if full is not None:
-            counts = counts.join(full.select(F.col("prefix").alias("parent")), "parent", "left_semi")
-
-        round_ = written(counts.groupBy("parent").applyInPandas(_halver(depth, deeper, capacity), "depth int, prefix long, full boolean"), "dedup-directory")
-        leaves = round_.filter("not full").select("depth", "prefix")
+            over = full.select(F.col("prefix").alias("over"))
+            counts = counts.join(over, F.shiftright("prefix", deeper - depth) == F.col("over"), "left_semi")
+        spread = counts.withColumn("depth", F.explode(F.sequence(F.lit(depth), F.lit(deeper)))).withColumn("prefix", F.expr(f"shiftright(prefix, {deeper} - depth)"))
+        buckets = spread.groupBy("depth", "prefix").agg(F.sum("n").alias("n"), F.sum("entries").alias("entries"), ((F.count("*") == 1) & F.bool_and("single")).alias("single"))
+        fits = (F.col("n") <= capacity) | (F.col("entries") <= FEW) | F.col("single") | (F.col("depth") == MOST)
+        buckets = written(buckets.select("depth", "prefix", fits.alias("fits")), "dedup-directory")
+        above = buckets.filter("fits").select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
+        inner = buckets.withColumn("up", F.shiftright("prefix", 1)).join(above, ["depth", "up"], "left_anti")
+        leaves = inner.filter("fits").select("depth", "prefix")
         found = leaves if found is None else found.union(leaves)
-        full, depth = round_.filter("full"), deeper
+        full, depth = inner.filter(~F.col("fits") & (F.col("depth") == deeper)), deeper
         if deeper == MOST or full.isEmpty():
             return found
 
