@@ -102,29 +102,27 @@ class ByteBpe:
                 limit, b = rb + 1, self.halves[b][0]
 
     def _word(self, word: str) -> bytes:
-        return np.frombuffer(self.cut(word.encode()), np.uint32).astype("<u4").tobytes()
-
-    def _starting(self, data: bytes, at: int) -> list[list[int]]:
-        """Tokens that start at each position of a window, short ones first."""
-        starting: list[list[int]] = [[] for _ in range(min(WINDOW, len(data) - at))]
-        for end, token in self.automaton.iter(data[at : at + WINDOW + self.longest].decode("latin-1")):
-            start = end + 1 - self.length[token]
-            if start < WINDOW:
-                starting[start].append(token)
-        return starting
-
-    def cut(self, data: bytes) -> array:
-        """Ids of one pre-token. Matches are kept for a window only, so a long one costs some eight bytes a byte."""
+        return np.array(self.cut(word.encode()), "<u4").tobytes()
+
+    def starting(self, data: bytes, n: int) -> list[list[int]]:
+        """Tokens that start at each of the first ``n`` positions, short ones first."""
+        length, found = self.length, [[] for _ in range(len(data))]
+        for end, token in self.automaton.iter(data.decode("latin-1")):
+            found[end + 1 - length[token]].append(token)
+        return found[:n] if n < len(found) else found
+
+    def cut(self, data: bytes) -> list[int] | array:
+        """Ids of one pre-token. A long one has the matches of one window held and costs some eight bytes a byte."""
         n, length, fits = len(data), self.length, self._fits
-        out = array("I")
-        tried = array("H", bytes(2 * (n + 1)))  # how many of the position's tokens, from the longest, have been used up
+        if n <= WINDOW:
+            starting, out, tried = self.starting(data, n), [], [0] * (n + 1)
+        else:
+            starting, out, tried = _Windows(self, data), array("I"), array("H", bytes(2 * (n + 1)))
+        # ``tried``: how many of the position's tokens, from the longest, have been used up.
         dead = bytearray(n + 1)
-        at, base, starting = 0, 0, self._starting(data, 0)
+        at = 0
         while at < n:
-            if not base <= at < base + WINDOW:
-                base = at // WINDOW * WINDOW
-                starting = self._starting(data, base)
-            options, last = starting[at - base], out[-1] if out else -1
+            options, last = starting[at], out[-1] if out else -1
             for k in range(tried[at], len(options)):
                 token = options[-1 - k]
                 if not dead[at + length[token]] and (last < 0 or fits[last, token]):
@@ -160,6 +158,20 @@ class ByteBpe:
         return _gather(ids, self.decimal_offsets, self.decimals)[:-1]
 
 
+class _Windows:
+    """Tokens that start at each position of a long pre-token, found a window at a time."""
+
+    def __init__(self, bpe: ByteBpe, data: bytes) -> None:
+        self.bpe, self.data, self.base, self.held = bpe, data, -1, []
+
+    def __getitem__(self, at: int) -> list[int]:
+        base = at // WINDOW * WINDOW
+        if base != self.base:
+            end = base + WINDOW
+            self.base, self.held = base, self.bpe.starting(self.data[base : end + self.bpe.longest], min(end, len(self.data)) - base)
+        return self.held[at - base]
+
+
 def _blob(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64), np.frombuffer(b"".join(parts), np.uint8)
 
