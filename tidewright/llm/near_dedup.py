@@ -575,7 +575,9 @@ def links(sketched: DataFrame, signed: DataFrame, weigh: Weights, threshold: flo
     def test(pairs: DataFrame) -> None:
         if tested:
             pairs = pairs.join(all_tested().select("row", "leader"), ["row", "leader"], "left_anti")
-        tested.append(written(verify(sketched, written(pairs, "near-pairs"), weigh), "near-tested"))
+        with Scratch(sketched.sparkSession) as scratch:  # the compared sets go at once
+            tested.append(written(verify(sketched, written(pairs, "near-pairs"), weigh), "near-tested"))
+            scratch.keep(tested[-1])
 
     members = signed.filter("bands is not null").select("row", F.posexplode("bands").alias("band", "key"))
     company = None
@@ -602,8 +604,10 @@ def links(sketched: DataFrame, signed: DataFrame, weigh: Weights, threshold: flo
     guests = visits(sketched, homes, weigh, threshold).join(homes.filter("row = leader").select("cell", "leader", "size"), "cell")
     guests = written(guests.select("row", "leader", "cell", F.lit(False).alias("home"), (F.col("size") == 1).alias("alone")), "near-guests")
     own = homes.filter("size > 1").select("row", "leader", "cell", F.lit(True).alias("home"), F.lit(False).alias("alone"))
-    pairs = own.union(guests.filter("not alone")).union(likely(sketched, guests.filter("alone"), weigh, threshold))
-    profiled = written(profiles(sketched, written(pairs, "near-visits"), weigh), "near-profiles")
+    with Scratch(sketched.sparkSession) as scratch:
+        pairs = own.union(guests.filter("not alone")).union(likely(sketched, guests.filter("alone"), weigh, threshold))
+        profiled = written(profiles(sketched, written(pairs, "near-visits"), weigh), "near-profiles")
+        scratch.keep(profiled)
     tested.append(profiled.filter("row <> leader").select("row", "leader", "likeness"))
 
     def linked() -> DataFrame:
