@@ -191,7 +191,9 @@ def deduplicate(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     inner = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("own"))
     with Scratch(docs.sparkSession) as scratch:
         rows, pages = index(inner, key_bits)
-        members, classes = _verdicts(rows, pages)
-        scratch.keep(rows, members)
-    kept = classes.select(F.col("_tw_keep").alias("_tw_row"))
-    return rows.join(kept, "_tw_row", "left_semi").select(*[F.col("own")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
+        _, classes = _verdicts(rows, pages)
+        kept = rows.join(classes.select(F.col("_tw_keep").alias("_tw_row")), "_tw_row", "left_semi")
+        # The heap holds every row, so what stays is written and the heap goes.
+        out = written(kept.select("doc_id", "text", "own"), "dedup-kept", compression="zstd")
+        scratch.keep(out)
+    return out.select(*[F.col("own")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
