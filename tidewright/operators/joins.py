@@ -12,6 +12,8 @@ from tidewright.functions import exprs as X
 FIRST, LAST = "1900-01-01", "2100-12-31"
 #: Days are counted from here; blocks of up to 2 ** (LEVELS - 1) days hold all dates.
 ORIGIN, LEVELS = "0001-01-01", 23
+#: Facts of a key from which they are salted.
+HOT = 100_000
 
 
 def day_cells(first: Column, last: Column) -> Column:
@@ -36,18 +38,21 @@ def valid_at(facts: DataFrame, names: DataFrame, key: str, at: str, start: str,
 
     A name's days are a few blocks of 1, 2, 4 ... days, and a fact's date lies in
     one block of each size; so facts and names meet in equal blocks, each pair
-    once, and the join makes no row that is no match. Facts of one key are dealt
-    out by ``salts``, for which names are repeated.
+    once, and the join makes no row that is no match. Facts of a key with over
+    ``HOT`` of them are dealt out by ``salts``, for which its names are repeated. Both sides are always shuffled:
+    estimates know nothing of the repeats, so names would be sent whole to every task.
     """
     day = lambda c: F.datediff(c, F.lit(ORIGIN).cast("date"))
     n = names.withColumn("_from", F.coalesce(F.col(start).cast("date"), F.lit(FIRST).cast("date"))).withColumn("_to", F.coalesce(F.col(end).cast("date"), F.lit(LAST).cast("date")))
-    n = n.withColumn("_block", F.explode(day_cells(day("_from"), day("_to")))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("_from", "_to")
+    n = n.withColumn("_block", F.explode(day_cells(day("_from"), day("_to")))).drop("_from", "_to")
+    hot = F.broadcast(facts.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT).select(key, F.lit(salts).alias("_salts")))  # one row in HOT facts at most
+    n = n.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     # Sizes that no name uses need no block of a fact: one row, LEVELS numbers at most.
     used = n.agg(F.sort_array(F.collect_set("_block.level")).alias("_levels"))
-    f = facts.filter(F.col(at).isNotNull()).crossJoin(F.broadcast(used))
+    f = facts.filter(F.col(at).isNotNull()).crossJoin(F.broadcast(used)).join(hot, key, "left")
     blocks = F.transform("_levels", lambda k: F.struct(k.alias("level"), F.floor(day(F.col(at).cast("date")) / F.pow(F.lit(2), k)).cast("int").alias("cell")))
-    f = f.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")).withColumn("_block", F.explode(blocks)).drop("_levels")
-    return f.join(n, [key, "_salt", "_block"]).drop("_salt", "_block")
+    f = f.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.coalesce("_salts", F.lit(1))).cast("int")).withColumn("_block", F.explode(blocks)).drop("_levels", "_salts")
+    return f.hint("merge").join(n.hint("merge"), [key, "_salt", "_block"]).drop("_salt", "_block")
 
 
 def best(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
