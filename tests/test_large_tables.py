@@ -27,3 +27,9 @@ def test_names_of_an_interval_join_are_never_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in last
     got = sorted((r.key, r["at"], r.name) for r in joined.collect())
     assert got == sorted((k, at, name) for k, at in facts for key, a, z, name in names if key == k and a <= at <= z)
+
+
+def test_share_of_a_count_is_that_of_decimals(spark):
+    assert int(1440 * 0.7) == 1007
+    bars = spark.createDataFrame([("a", "d", 60 * k) for k in range(1440)], "symbol string, dt string, sec long")
+    assert models.split_seconds(bars).first().split == 60 * 1008

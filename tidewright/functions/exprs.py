@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
@@ -20,6 +21,16 @@ def finite(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
+def part(n: Column, share: float) -> Column:
+    """Whole part of a share of a count, by the decimal as written: 0.7 of 1440 is 1008, which doubles put just below."""
+    return F.floor(n.cast("decimal(20,0)") * F.lit(Decimal(str(share)))).cast("long")
+
+
+def part_of(n: int, share: float) -> int:
+    """:func:`part` of a number."""
+    return int(Decimal(str(share)) * int(n))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, NULL where b is 0."""
     return a / F.nullif(b, F.lit(0))

@@ -32,7 +32,7 @@ def split_seconds(bars: DataFrame, keys: Sequence[str] = SESSION, train: float =
     w = Window.partitionBy(*keys).orderBy("sec")
     n = F.count("*").over(Window.partitionBy(*keys))
     ranked = bars.select(*keys, "sec", F.row_number().over(w).alias("_r"), n.alias("_n"))
-    cut = F.max(F.when(F.col("_r") == F.floor(F.col("_n") * train) + 1, F.col("sec"))).alias("split")
+    cut = F.max(F.when(F.col("_r") == X.part(F.col("_n"), train) + 1, F.col("sec"))).alias("split")
     return ranked.groupBy(*keys).agg(F.min("sec").alias("first"), F.max("sec").alias("last"), cut)
 
 
@@ -83,7 +83,7 @@ def score(y: np.ndarray, p: np.ndarray) -> dict[str, float]:
 def predictions(bars: dict[str, np.ndarray], orders: dict[str, np.ndarray], volume: float, sigma: float, train: float = 0.7, least: int = 50) -> tuple[dict[str, np.ndarray], np.ndarray, dict[str, float]]:
     """Predictions for the test orders by model, their realised impact, and the parameters."""
     sec, ret = bars["sec"], kernels.returns_of(bars["mid"])
-    cut = int(len(sec) * train)
+    cut = X.part_of(len(sec), train)
     if not 0 < cut < len(sec):
         raise ValueError("an empty bar window")
     split = sec[cut]
