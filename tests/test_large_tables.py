@@ -33,3 +33,22 @@ def test_share_of_a_count_is_that_of_decimals(spark):
     assert int(1440 * 0.7) == 1007
     bars = spark.createDataFrame([("a", "d", 60 * k) for k in range(1440)], "symbol string, dt string, sec long")
     assert models.split_seconds(bars).first().split == 60 * 1008
+
+
+def test_schedules_are_priced_from_sums(spark):
+    rng, n = np.random.default_rng(1), 6000
+    start = np.sort(rng.uniform(34200, 34200 + n - 10, 1500))
+    q = np.exp(rng.uniform(-12, -6, 1500))
+    impact = 0.8 * 0.02 * np.sqrt(q) * np.exp(rng.normal(0, 0.05, 1500))
+    rows = [("a", float(s), float(s + 1), float(x * 1e6), 1.0, 100.0, float(100 * np.exp(y))) for s, x, y in zip(start, q, impact)]
+    profile, shape = np.linspace(0.5, 2, 13), np.full(390, 1 / 390)
+    array = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    o = spark.createDataFrame(rows, "symbol string, t_start double, t_end double, shares double, sign double, mid_start double, mid_end double")
+    o = o.select("*", F.lit(1e6).alias("session_volume"), F.lit(0.02).alias("sigma_d"), F.lit(1e6).alias("adv"), array(profile).alias("profile"), array(shape).alias("shape"))
+    b = spark.range(34200, 34200 + n).select(F.lit("a").alias("symbol"), F.col("id").alias("sec")).unionByName(spark.createDataFrame([("short", 34200)], "symbol string, sec long"))
+    found = studies.evaluate_schedules(b, o, ("symbol",))
+    assert "CoGroups" not in plan(found)
+    got = {(r.symbol, r.schedule, r.pricing): r.cost for r in found.collect()}
+    arrays = {c: np.array([r[k] for r in rows]) for k, c in enumerate(o.columns[:7]) if k}
+    want = studies.price_schedules({"sec": 34200.0 + np.arange(n)}, arrays, 1e6, 0.02, 1e6, profile, shape)
+    assert got == pytest.approx({("a", name, kind): c for name, kind, c in want})
