@@ -35,6 +35,14 @@ def test_share_of_a_count_is_that_of_decimals(spark):
     assert models.split_seconds(bars).first().split == 60 * 1008
 
 
+def test_cells_keep_every_name_when_its_volume_is_summed_twice(spark):
+    noisy = F.udf(lambda v: v * (1 + 1e-15 * random.randrange(1000)), "double").asNondeterministic()
+    stats = spark.range(300).select(F.col("id").cast("string").alias("symbol"), (0.01 / (1 + F.col("id"))).alias("relative_tick"), noisy((1 + F.col("id") * 7 % 300).cast("double")).alias("dollar_volume"))
+    cells = universe.strata(stats)
+    assert cells.count() == 300 == cells.select("symbol").distinct().count()
+    assert {r["volume_tercile"]: r["count"] for r in cells.groupBy("volume_tercile").count().collect()} == {"low": 100, "mid": 100, "high": 100}
+
+
 def test_schedules_are_priced_from_sums(spark):
     rng, n = np.random.default_rng(1), 6000
     start = np.sort(rng.uniform(34200, 34200 + n - 10, 1500))

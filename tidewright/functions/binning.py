@@ -180,7 +180,7 @@ def calibration(df: DataFrame, realised: str, predicted: str, key: Column, by: S
 
 
 def terciles(df: DataFrame, value: str, tie: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """``df`` with low, mid or high by row number; ``tie`` tells equal values apart."""
+    """``df`` with low, mid or high by row number; ``tie`` tells equal values apart. ``df`` is read twice and must give the same values."""
     ranked = cumulative(df.select(*by, value, tie), [value, tie], by)
     share = (F.col("_before") + F.col("_n")) / F.col("_all")
     ranked = ranked.withColumn(name, F.when(share <= 1 / 3, "low").when(share <= 2 / 3, "mid").otherwise("high"))

@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 from tidewright.functions import exprs as X
 from tidewright.functions.binning import cumulative, terciles
 from tidewright.operators.contracts import many_to_one, require
+from tidewright.sources.scratch import folder
 
 
 def strata(stats: DataFrame) -> DataFrame:
-    """Nine cells: tercile of relative tick by tercile of dollar volume, by rank."""
-    s = stats.filter((F.col("relative_tick") > 0) & (F.col("dollar_volume") > 0))
+    """Nine cells: tercile of relative tick by tercile of dollar volume, by rank.
+
+    The values are written first. Ranks are joined back by value, and a sum of
+    doubles made again may differ in its last digit, which would lose its row.
+    """
+    path = folder(stats.sparkSession, "strata")
+    stats.filter((F.col("relative_tick") > 0) & (F.col("dollar_volume") > 0)).write.parquet(path)
+    s = stats.sparkSession.read.parquet(path)
     s = terciles(terciles(s, "relative_tick", "symbol", "tick_tercile"), "dollar_volume", "symbol", "volume_tercile")
     return s.withColumn("cell", F.concat(F.col("tick_tercile"), F.lit("_tick__"), F.col("volume_tercile"), F.lit("_volume")))
 
