@@ -35,6 +35,15 @@ def test_share_of_a_count_is_that_of_decimals(spark):
     assert models.split_seconds(bars).first().split == 60 * 1008
 
 
+def test_lag_fits_train_on_the_share_of_decimals(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", "d", k, float(rng.normal()), float(100 + rng.normal())) for k in range(1441)]
+    df = spark.createDataFrame(rows, "symbol string, dt string, sec int, signed_vol double, mid double")
+    r = kernels.calibrate(df, ("symbol", "dt"), lags=(0,), deltas=(0.5,)).first()
+    assert (r.n_train, r.n_test) == (1008, 432)
+    assert kernels.fit_lags(kernels.returns_of(np.array([x[4] for x in rows])), np.array([x[3] for x in rows]), 0, 0.5).n_train == 1008
+
+
 def test_cells_keep_every_name_when_its_volume_is_summed_twice(spark):
     noisy = F.udf(lambda v: v * (1 + 1e-15 * random.randrange(1000)), "double").asNondeterministic()
     stats = spark.range(300).select(F.col("id").cast("string").alias("symbol"), (0.01 / (1 + F.col("id"))).alias("relative_tick"), noisy((1 + F.col("id") * 7 % 300).cast("double")).alias("dollar_volume"))
