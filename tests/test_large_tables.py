@@ -52,6 +52,26 @@ def test_cells_keep_every_name_when_its_volume_is_summed_twice(spark):
     assert {r["volume_tercile"]: r["count"] for r in cells.groupBy("volume_tercile").count().collect()} == {"low": 100, "mid": 100, "high": 100}
 
 
+def test_trailing_windows_without_a_frame_of_their_length(spark):
+    rng = np.random.default_rng(3)
+    sec = np.sort(rng.choice(3000, 500, replace=False)) - 200
+    mid = np.where(sec < 900, 100.0, 100 + rng.normal(size=500).round(2))
+    orders = [("a", "d", k, int(t), "xy"[k % 2]) for k, t in enumerate(rng.integers(-300, 3300, 400))] + [("a", "d", 900, None, "x")]
+    b = spark.createDataFrame([("a", "d", int(s), float(m)) for s, m in zip(sec, mid)], "symbol string, dt string, sec long, mid double")
+    o = spark.createDataFrame(orders, "symbol string, dt string, order_id long, at long, part string")
+    found = volatility.trailing_sigma(b, o.unionByName(o.limit(1)), window=250, subset="part")
+    assert "RangeFrame, -250" not in plan(found)
+    got = {r.order_id: r.sigma for r in found.collect()}
+    assert found.count() == len(orders) + 1
+    sq, want = np.concatenate([[0.0], np.log(mid[1:] / mid[:-1]) ** 2]), {}
+    for _, _, k, t, p in orders:
+        own = sq[(sec >= t - 250) & (sec < t)] if t is not None else sq[:0]
+        want[k] = p, np.sqrt(own.sum() / max(len(own), 1) * 23_400)
+    rows = [want[r[2]] for r in [*orders, orders[0]]]  # the first order stands twice
+    middle = {p: np.median([v for q, v in rows if q == p and v > 0]) for p in "xy"}
+    assert got == pytest.approx({k: v if v > 0 else middle[p] for k, (p, v) in want.items()})
+
+
 def test_schedules_are_priced_from_sums(spark):
     rng, n = np.random.default_rng(1), 6000
     start = np.sort(rng.uniform(34200, 34200 + n - 10, 1500))

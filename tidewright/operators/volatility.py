@@ -30,21 +30,28 @@ def trailing_volume(daily: DataFrame, by: str = "permno", rows: int = 20) -> Dat
 def trailing_sigma(bars: DataFrame, orders: DataFrame, keys: Sequence[str] = SESSION, window: int = 1800, seconds: int = 23_400, subset: str | None = None) -> DataFrame:
     """Realised volatility of the ``window`` seconds before each order's ``at``.
 
-    Orders and bars are one stream: a range frame over it replaces a range join.
+    Time is cut in blocks of ``window`` seconds, so a window is the end of one block
+    and the start of the next: two running sums over bars and asked seconds, whose
+    work does not grow with the rows in a window. No sum is a difference of others.
     An order without a usable window gets the median of its own batch: of
     ``keys`` and, if given, ``subset`` (such as train or test).
     """
     r = bars.withColumn("_sq", F.coalesce(F.pow(X.log_return(F.col("mid"), Window.partitionBy(*keys).orderBy("sec")), F.lit(2)), F.lit(0.0)))
-    r = r.select(*keys, F.col("sec").alias("at"), "_sq", F.lit(None).cast("struct<id:bigint,subset:string>").alias("_order"))
+    r = r.select(*keys, F.col("sec").cast("long").alias("_t"), "_sq", F.lit(None).cast("long").alias("at"))
     name = F.col(subset).cast("string") if subset else F.lit("")
-    o = orders.select(*keys, F.col("at").cast("long").alias("at"), F.lit(None).cast("double").alias("_sq"), F.struct(F.col("order_id").cast("long").alias("id"), name.alias("subset")).alias("_order"))
-    w = Window.partitionBy(*keys).orderBy("at").rangeBetween(-window, -1)
-    variance = F.sum("_sq").over(w) / F.greatest(F.count("_sq").over(w), F.lit(1))
-    both = r.unionByName(o).withColumn("raw", F.sqrt(F.coalesce(variance, F.lit(0.0)) * seconds)).filter("_order is not null")
+    o = orders.select(*keys, F.col("order_id").cast("long").alias("order_id"), name.alias("subset"), F.col("at").cast("long").alias("at"))
+    asked = o.filter("at is not null").select(*keys, "at").distinct()
+    asked = asked.select(*keys, F.explode(F.array(F.col("at") - window, F.col("at"))).alias("_t"), F.lit(None).cast("double").alias("_sq"), "at")
+    block = [*keys, F.floor(F.col("_t") / window)]
+    upto = Window.partitionBy(*block).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    since = Window.partitionBy(*block).orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    side = lambda f: F.when(F.col("_t") == F.col("at"), f("_sq").over(upto)).otherwise(f("_sq").over(since))
+    ends = r.unionByName(asked).select(*keys, "at", side(F.sum).alias("_sum"), side(F.count).alias("_n")).filter("at is not null")
+    found = ends.groupBy(*keys, "at").agg((F.sum("_sum") / F.greatest(F.sum("_n"), F.lit(1))).alias("_variance"))
+    raw = o.join(found, [*keys, "at"], "left").withColumn("raw", F.sqrt(F.coalesce("_variance", F.lit(0.0)) * seconds))
     usable = F.when(F.col("raw") > 0, F.col("raw"))
-    middle = both.groupBy(*keys, F.col("_order.subset").alias("subset")).agg(F.median(usable).alias("_middle"))
-    out = both.withColumn("subset", F.col("_order.subset")).join(middle, [*keys, "subset"])
-    return out.select(*keys, F.col("_order.id").alias("order_id"), "subset", "at", F.coalesce(usable, "_middle").alias("sigma"))
+    middle = raw.groupBy(*keys, "subset").agg(F.median(usable).alias("_middle"))
+    return raw.join(middle, [*keys, "subset"]).select(*keys, "order_id", "subset", "at", F.coalesce(usable, "_middle").alias("sigma"))
 
 
 def execution_rate(bars: DataFrame, orders: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
