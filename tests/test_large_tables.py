@@ -89,3 +89,15 @@ def test_schedules_are_priced_from_sums(spark):
     arrays = {c: np.array([r[k] for r in rows]) for k, c in enumerate(o.columns[:7]) if k}
     want = studies.price_schedules({"sec": 34200.0 + np.arange(n)}, arrays, 1e6, 0.02, 1e6, profile, shape)
     assert got == pytest.approx({("a", name, kind): c for name, kind, c in want})
+
+
+def test_streamed_runs_of_days_that_sequence_numbers_mix(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1, 9)
+    at = lambda day, k: start + dt.timedelta(days=day, seconds=k)
+    rows = [("A", at(k % 3, k), k, 10.0, 1.0, 1 if k % 3 else -1) for k in range(30)] + [("A", at(9, 0), 100, 1.0, 1.0, 1)]
+    source, made = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, price double, size double, sign int").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    live.fill_runs(stream).writeStream.format("parquet").option("checkpointLocation", made + "-log").trigger(availableNow=True).start(made).awaitTermination()
+    got = sorted((r.first_seq, r.last_seq, r.sign, r.n_fills) for r in spark.read.parquet(made).collect())
+    assert got == [(0, 27, -1, 10), (1, 28, 1, 10), (2, 29, 1, 10)]

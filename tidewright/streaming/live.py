@@ -29,14 +29,15 @@ def bars(prints: DataFrame, width: str = "30 seconds", late: str = "1 minute") -
 
 
 class Runs(StatefulProcessor):
-    """Runs of one symbol's rows in sequence order, whatever order they arrive in.
+    """Runs of one symbol's day in sequence order, whatever order its rows arrive in.
 
     Rows wait in a list until the watermark passes them, so none can come before
     them any more, and are then taken in order of ``seq``. A run ends when the sign
     changes, with its day (UTC), and, given ``width`` (milliseconds between rows), at
     a row that is missing; rows of sign 0 belong to no run. Timers stand at the
     first waiting row and at the end of the open run, so that runs close without
-    further rows. State is the rows of one watermark delay and one run.
+    further rows. Runs end with their day, so each day has a state of its own: a timer
+    takes the rows of one day at most into memory, also where a first batch holds all.
     """
 
     def __init__(self, width: int | None = None) -> None:
@@ -85,7 +86,7 @@ class Runs(StatefulProcessor):
         if ends:
             self.handle.registerTimer(max(min(ends), now + 1))
         if done:
-            yield pd.DataFrame([(*key, *r) for r in done], columns=["symbol", *(x.split()[0] for x in OPEN.split(", "))])
+            yield pd.DataFrame([(*key, *r) for r in done], columns=["symbol", "day", *(x.split()[0] for x in OPEN.split(", "))])
 
     def ends(self, run: tuple) -> int:
         """The first time (ms) that no row of the run can have."""
@@ -99,8 +100,8 @@ class Runs(StatefulProcessor):
 def _runs(rows: DataFrame, late: str, width: int | None) -> DataFrame:
     # Lists and timers of state need this store.
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    watched = rows.withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
-    return watched.groupBy("symbol").transformWithStateInPandas(Runs(width), f"symbol string, {OPEN}", "Append", "EventTime")
+    watched = rows.withWatermark("ts", late).withColumn("at", F.unix_millis("ts")).withColumn("day", F.floor(F.col("at") / DAY))
+    return watched.groupBy("symbol", "day").transformWithStateInPandas(Runs(width), f"symbol string, day long, {OPEN}", "Append", "EventTime")
 
 
 def fill_runs(fills: DataFrame, late: str = "1 hour") -> DataFrame:
