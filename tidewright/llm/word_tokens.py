@@ -23,6 +23,8 @@ END = (1).to_bytes(4, "little")
 # Texts without these characters are stable under composition, have one lower-case form a
 # character and no special token; below, how the vocabulary splits them once they are in lower case.
 _ODD = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]|<\|")
+#: The ASCII characters of a plain text, deleted before the rest is looked at.
+_COMMON = bytes([*range(9, 14), *range(0x20, 0x7F)])
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
@@ -81,10 +83,18 @@ class WordEncoder:
         split = [_PIECES.findall(x.lower()) for x in texts]
         if len(self._pieces) > self.most:
             self._pieces.clear()
-        if new := set().union(*split).difference(self._pieces):
-            self._learn(list(new))
-        get = self._pieces.__getitem__
-        return [b"".join(map(get, own)) for own in split]
+        get, made, unseen = self._pieces.__getitem__, [], []
+        for at, own in enumerate(split):
+            try:
+                made.append(b"".join(map(get, own)))
+            except KeyError:
+                made.append(b"")
+                unseen.append(at)
+        if unseen:
+            self._learn(list({x for at in unseen for x in split[at] if x not in self._pieces}))
+            for at in unseen:
+                made[at] = b"".join(map(get, split[at]))
+        return made
 
     def _odd(self, text: bytes) -> bytes:
         words = [x.decode() for x in text.split()]
@@ -94,7 +104,7 @@ class WordEncoder:
 
     def many(self, texts: list[bytes]) -> list[bytes]:
         decoded = [x.decode() for x in texts]
-        odd = [_ODD.search(x) is not None for x in decoded]
+        odd = [b"<|" in x or _ODD.search(x.translate(None, _COMMON).decode()) is not None for x in texts]
         known = iter(self._plain([x for x, o in zip(decoded, odd) if not o]))
         return [self._odd(x) if o else next(known) for x, o in zip(texts, odd)]
 
