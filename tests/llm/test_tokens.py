@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from tidewright.llm import byte_bpe as bpe_module
 from tidewright.llm import packing, token_store
 from tidewright.llm.byte_bpe import byte_bpe, round_trip
-from tidewright.llm.word_tokens import END, word_encoder
+from tidewright.llm.word_tokens import END, WordEncoder, word_encoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -122,6 +122,42 @@ def test_store_round_trip_and_pruning(spark, tmp_path):
     assert "PushedFilters: [In(doc_id" in plan
 
 
+def test_memo_of_pieces_is_bounded():
+    """Rare pieces go, common ones come back from the older half, long ones are not kept; ids stay the library's."""
+    library, own, rng = Tokenizer.from_file(WORDS), WordEncoder(WORDS, pieces=500), random.Random(8)
+    for k in range(12):
+        words = ["".join(rng.choice("etaoinshrdlué") for _ in range(9)) for _ in range(300)] + ["the", "don't"] * 20 + ["ab" * 200, "=" * 300]
+        rng.shuffle(words)
+        text = " ".join(words)
+        assert np.frombuffer(own(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        kept = [*own._pieces, *own._older]
+        assert "the" in own._pieces and len(kept) < 2000
+        assert max(map(len, kept)) < 200
+
+
+def test_store_sends_small_batches(spark, tmp_path, monkeypatch):
+    (tmp_path / "seen").mkdir()
+    plain, seen = token_store.texts, str(tmp_path / "seen")
+
+    def noted(batches):
+        def each():
+            for at, batch in enumerate(batches):
+                open(f"{seen}/{at}-{batch.nbytes}", "w").close()
+                yield batch
+
+        return plain(each())
+
+    monkeypatch.setattr(token_store, "texts", noted)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 300) AS text").coalesce(1)
+    token_store.write_tokens(docs, str(tmp_path / "tokens"), WORDS)
+    sizes = [int(p.name.split("-")[1]) for p in (tmp_path / "seen").iterdir()]
+    assert sizes and max(sizes) < 3 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b")
+    rows = token_store.digests(spark, str(tmp_path / "tokens")).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in rows) == [(i, i * 601, 601) for i in range(4000)]
+    assert len({r.ids_crc32 for r in rows}) == 1
+
+
 def test_store_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     token_store.write_tokens(frame(spark, ["x"]).limit(0), path, WORDS)

@@ -4,7 +4,9 @@ Documents are dealt out by doc_id range, sorted and encoded, and each range is
 one ORC file: ids are integer lists (run-length encoded by the format), stripes
 can be read in parallel, row indexes and Bloom filters on doc_id let a lookup
 skip stripes and row groups. A row knows its place within its file; a file's
-place follows from the files' totals, one number a file.
+place follows from the files' totals, one number a file. Both ways, Python workers
+get batches of about 2 MB, so their memory and that of the JVM's buffers does not
+follow the length of texts, but for a single long one.
 
 Defined cases: a null text counts as empty and holds the end id alone; repeated
 doc_ids stay side by side in one file (their order is free); a null doc_id comes
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.word_tokens import END, texts, word_encoder
+from tidewright.llm.workspace import small_batches, written
 
 SCHEMA = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 NAMES = ["part", "doc_id", "start_in_part", "n_tokens", "ids"]
@@ -56,7 +59,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, stripe_bytes: int
         "orc.stripe.size": str(stripe_bytes),
         "compression": "zstd",
     }
-    ordered.mapInArrow(encoded, SCHEMA).write.options(**options).orc(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(encoded, SCHEMA).write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
@@ -74,7 +78,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(4)
-            data = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
+            data = memoryview(lists.flatten().to_numpy(zero_copy_only=False).view("<u4")).cast("B")
             n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             ends = n.cumsum()
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist())]
@@ -84,4 +88,5 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return rows.mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with small_batches(spark):
+        return written(rows.mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long"), "token-digests")

@@ -9,6 +9,7 @@ only once as long as it stays in the (bounded) memo.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,31 +49,43 @@ class WordEncoder:
     """UTF-8 bytes of texts to their ids as little-endian unsigned 32-bit integers.
 
     Plain texts are split here, and each piece has a memo. Pieces that are new go
-    to the library many at a time, as one string with blanks between; each ends
-    with a token that closes a word. A text with any other character is cut at
+    to the library many at a time, as strings with blanks between, and past its
+    normaliser and splitter, whose work is done; each ends with a token that closes
+    a word. A text with any other character is cut at
     white space, and the words that hold one go to the library whole.
+
+    Most pieces of a corpus never come again, so the memo has two ages: at
+    ``pieces`` entries it becomes the older one, which gives back what is asked
+    for and goes at the next change. Pieces over ``long`` characters stay for
+    their slice of texts only.
     """
 
-    def __init__(self, path: str, pieces: int = 1_000_000, words: int = 50_000, block: int = 2048) -> None:
+    def __init__(self, path: str, pieces: int = 320_000, words: int = 50_000, block: int = 512, long: int = 256) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.split = Tokenizer(self.library.model)
+        self.split.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.most, self.block = pieces, block
+        self.most, self.block, self.long = pieces, block, long
         self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._words = _Memo(lambda word: self._ids(word).tobytes(), words)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), self.block):
-            own = new[at : at + self.block]
-            ids = self._ids(" ".join(own))
+        blocks = [new[at : at + self.block] for at in range(0, len(new), self.block)]
+        found = self.split.encode_batch_fast([" ".join(own) for own in blocks], add_special_tokens=False)
+        for own, encoding in zip(blocks, found):
+            ids = np.array(encoding.ids, "<u4")
             data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()
             if len(ends) == len(own):
                 self._pieces.update(zip(own, map(data.__getitem__, map(slice, [0, *ends], ends))))
@@ -82,7 +95,7 @@ class WordEncoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         split = [_PIECES.findall(x.lower()) for x in texts]
         if len(self._pieces) > self.most:
-            self._pieces.clear()
+            self._older, self._pieces = self._pieces, {}
         get, made, unseen = self._pieces.__getitem__, [], []
         for at, own in enumerate(split):
             try:
@@ -91,9 +104,15 @@ class WordEncoder:
                 made.append(b"")
                 unseen.append(at)
         if unseen:
-            self._learn(list({x for at in unseen for x in split[at] if x not in self._pieces}))
+            new = set().union(*(split[at] for at in unseen)).difference(self._pieces)
+            known = new.intersection(self._older)
+            self._pieces.update(zip(known, map(self._older.__getitem__, known)))
+            self._learn(list(new - known))
             for at in unseen:
                 made[at] = b"".join(map(get, split[at]))
+            for x in new:
+                if len(x) > self.long:
+                    del self._pieces[x]
         return made
 
     def _odd(self, text: bytes) -> bytes:

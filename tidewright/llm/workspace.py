@@ -102,17 +102,26 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> None:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Executions inside drop their shuffle files at their end; none of them is run twice."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for the executions inside."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def shuffles_removed(spark: SparkSession):
+    """Executions inside drop their shuffle files at their end; none of them is run twice."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, size: str = "2m"):
+    """Arrow batches that executions inside send to Python workers hold about ``size`` or one row."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
