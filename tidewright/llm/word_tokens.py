@@ -60,7 +60,7 @@ class WordEncoder:
     their slice of texts only.
     """
 
-    def __init__(self, path: str, pieces: int = 320_000, words: int = 50_000, block: int = 512, long: int = 256) -> None:
+    def __init__(self, path: str, pieces: int = 500_000, words: int = 50_000, block: int = 512, long: int = 256) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
